@@ -31,7 +31,7 @@ MIN_COUNT = 2
 #: Languages a model may hold.
 MAX_LANGUAGES = 256
 #: Bits a byte above which no learned language explains a text.
-MAX_BITS = 6.0
+MAX_BITS = 7.5
 UNDETERMINED = "und"
 _START = 0x0A  # every text counts as preceded by line ends
 
