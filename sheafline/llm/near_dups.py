@@ -32,10 +32,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_bytes, chunks, map_arrow
+from .base import as_bytes, chunks, map_arrow, shared_folder
 
 SHINGLE = 3
 SEED = 42
@@ -262,13 +262,6 @@ def _block_links(batches):
         yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go where spark.checkpoint.dir says; only where it is unset (tests) to a local folder."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sheafline-checkpoints")
-
-
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links between different fingerprints of the column fp, enough for their components."""
     spark = prints.sparkSession

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, lang_id, near_dups, quality, tokcount
+from . import decontam, lang_id, near_dups, pieces, quality, tokcount, url_tree
 from .base import remainder, table
 
 
@@ -19,6 +19,10 @@ def op2_decontaminate(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_piece_sampling(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"), ids=False)
+
+
 def op5_simhash_golay(spark, sf_dir):
     found = near_dups.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", near_dups.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -32,6 +36,13 @@ def op9_quality_bands(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_url_templates(spark, sf_dir):
+    """A page's label is that of the document its path names last."""
+    pages = table(spark, sf_dir, "pages")
+    key = F.expr("try_cast(nullif(regexp_extract(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '([0-9]+)[^0-9]*$', 1), '') as bigint)")
+    return url_tree.judge(pages, table(spark, sf_dir, "labels"), key)
+
+
 _OP2_SQL = r"""
 WITH dw AS (
   SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -55,8 +66,8 @@ FROM dw d LEFT JOIN counted c ON c.doc_id = d.doc_id LEFT JOIN named n ON n.doc_
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op5_simhash_golay, op8_token_counts, op9_quality_bands)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_piece_sampling, op5_simhash_golay, op8_token_counts, op9_quality_bands, op10_url_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2_SQL}
+    return {"op2_decontaminate": _OP2_SQL, "op10_url_templates": url_tree.oracle_sql()}
