@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from .base import chunks, map_arrow
 
+#: Bytes of text whose words are filtered together: the more, the more words are the same.
+CHUNK = 6 << 20
 ALPHA = 1.0
 RANK_SHIFT = 10.0
 SEED = 7
@@ -108,15 +110,16 @@ class Lattice:
 
     def sample(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """The piece ids drawn for each text, by its 64-bit key."""
-        number: dict[str, int] = {}
         words, count = [], []
         for text in texts:
             found = _WORD.findall(" " + text) if text else []
             count.append(len(found))
-            words += [number.setdefault(w, len(number)) for w in found]
+            words += found
         if not words:
             return [np.zeros(0, "i4") for _ in texts]
-        word = np.array(words, "i8")
+        number = dict.fromkeys(words)
+        number = dict(zip(number, range(len(number)), strict=True))
+        word = np.fromiter(map(number.__getitem__, words), "i8", len(words))
         size = np.fromiter(map(len, number), "i8", len(number))
         chars = np.frombuffer("".join(number).encode("utf-32-le"), "<u4").astype("i8")
         first = np.cumsum(size) - size
@@ -126,7 +129,7 @@ class Lattice:
         wide = lambda c: np.where(c < 0x80, 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4)))
         weight = np.where(piece >= 0, self.weight[np.maximum(piece, 0)], self.byte_weight * wide(-piece - 1))
         depth = inside[end - 1] + 1
-        order = np.lexsort((start, end, depth))
+        order = np.argsort((depth * (len(chars) + 1) + end) * 256 + (end - start))  # no two are equal, so a row's order is its own
         start, end, piece, weight, depth = start[order], end[order], piece[order], weight[order], depth[order]
         total = np.full(len(chars), -np.inf)  # of the state after each character
         share = np.empty(len(start))
@@ -142,7 +145,7 @@ class Lattice:
             sums = np.add.reduceat(power, group)
             total[e[group] - 1] = most + np.log(sums)
             share[lo:hi] = power / sums[each]
-        order = np.argsort(end, kind="stable")
+        order = np.argsort(end * 256 + (end - start))
         start, end, piece, share = start[order], end[order], piece[order], share[order]
         new = np.concatenate([[0], np.nonzero(np.diff(end))[0] + 1, [len(end)]])
         run = np.cumsum(share)
@@ -215,7 +218,7 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str = "piece_bpe_32k.mod
         is_byte = np.zeros(len(own.spelling), bool)
         is_byte[own.byte_piece] = True
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=CHUNK):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 drawn = own.sample(texts, row_keys(part.column(key).to_pylist(), seed))
                 columns = [pa.array([len(d) for d in drawn], pa.int64()), pa.array([int(is_byte[d].sum()) for d in drawn], pa.int64())]
