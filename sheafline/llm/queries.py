@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, lang_id, near_dups, pieces, quality, tokcount, url_tree
+from . import class_lm, decontam, lang_id, near_dups, pieces, quality, tokcount, url_tree
 from .base import remainder, table
 
 
@@ -23,6 +23,10 @@ def op3_piece_sampling(spark, sf_dir):
     return pieces.encode(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op4_class_lm(spark, sf_dir):
+    return class_lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
+
+
 def op5_simhash_golay(spark, sf_dir):
     found = near_dups.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", near_dups.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -66,7 +70,7 @@ FROM dw d LEFT JOIN counted c ON c.doc_id = d.doc_id LEFT JOIN named n ON n.doc_
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_piece_sampling, op5_simhash_golay, op8_token_counts, op9_quality_bands, op10_url_templates)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_piece_sampling, op4_class_lm, op5_simhash_golay, op8_token_counts, op9_quality_bands, op10_url_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
