@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import class_lm, decontam, lang_id, near_dups, pieces, quality, tokcount, url_tree
+from . import class_lm, decontam, lang_id, near_dups, pieces, pii, quality, suffix, tokcount, url_tree
 from .base import remainder, table
 
 
@@ -32,6 +32,15 @@ def op5_simhash_golay(spark, sf_dir):
     return found.select("doc_id", near_dups.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_personal_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.train(pii.sample(docs)))
+
+
+def op7_repeated_spans(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     return tokcount.token_counts(table(spark, sf_dir, "documents"))
 
@@ -70,7 +79,7 @@ FROM dw d LEFT JOIN counted c ON c.doc_id = d.doc_id LEFT JOIN named n ON n.doc_
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_piece_sampling, op4_class_lm, op5_simhash_golay, op8_token_counts, op9_quality_bands, op10_url_templates)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_piece_sampling, op4_class_lm, op5_simhash_golay, op6_personal_data, op7_repeated_spans, op8_token_counts, op9_quality_bands, op10_url_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
