@@ -116,9 +116,9 @@ def test_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: in
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id (and the columns of `keep`), n_words, hits (start and end of the maximal runs of hit words, as pairs in one
-    array) and items, one row for each row of docs."""
-    docs = docs.withColumn("__row", F.monotonically_increasing_id()).select("__row", "doc_id", "text", *keep)
+    """doc_id (and the columns of `keep`), __n (words), __runs (start and end of the maximal runs of hit words, in
+    one array) and __items, one row for each row of docs."""
+    docs = docs.withColumn("__row", F.monotonically_increasing_id()).select("__row", "doc_id", "text", *(c for c in keep if c != "text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text" or "text" in keep)
     names = [f.name for f in docs.schema if f.name != "text" or "text" in keep]
 
@@ -138,18 +138,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS,
                         edges = np.nonzero(np.diff(np.concatenate([[False], hit, [False]]).astype("i1")))[0]
                         runs.append(edges.tolist())
                         items.append(sorted(own.names[i] for i in got))
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*names, "n_words", "runs", "items"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*names, "__n", "__runs", "__items"])
 
-        return map_arrow(docs, run, fields + ", n_words long, runs array<bigint>, items array<string>")
+        return map_arrow(docs, run, fields + ", __n long, __runs array<bigint>, __items array<string>")
 
     parts = [block(t) for t in test_blocks(benchmark, block_words, window)]
     if len(parts) == 1:
         return parts[0].drop("__row")
-    merged = parts[0].select(*names, "n_words", "runs", "items")
+    merged = parts[0].select(*names, "__n", "__runs", "__items")
     for part in parts[1:]:
-        merged = merged.unionByName(part.select(*names, "n_words", "runs", "items"))
-    whole = merged.groupBy("__row").agg(*(F.first(c).alias(c) for c in names[1:]), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("runs")).alias("runs"))
-    return whole.withColumn("runs", merge_runs(F.col("runs"))).drop("__row")
+        merged = merged.unionByName(part.select(*names, "__n", "__runs", "__items"))
+    whole = merged.groupBy("__row").agg(*(F.first(c).alias(c) for c in names[1:]), F.first("__n").alias("__n"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"), F.flatten(F.collect_list("__runs")).alias("__runs"))
+    return whole.withColumn("__runs", merge_runs(F.col("__runs"))).drop("__row")
 
 
 def merge_runs(runs):
@@ -171,8 +171,8 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     found = scan(docs, benchmark, **options)
     size = lambda a: F.aggregate(F.transform(a, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return found.select(
-        "doc_id", "n_words", size(F.col("runs")).alias("n_hit"), F.size(F.array_distinct("items")).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(F.array_distinct("items")), ","), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"),
+        "doc_id", F.col("__n").alias("n_words"), size(F.col("__runs")).alias("n_hit"), F.size(F.array_distinct("__items")).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.array_distinct("__items")), ","), 256).alias("items_sha256"), (F.size("__runs") > 0).alias("contaminated"),
     )
 
 
@@ -194,14 +194,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "spans", **option
     names = docs.columns
     found = scan(docs, benchmark, keep=tuple(c for c in names if c != "doc_id"), **options)
     if remove == "documents":
-        return found.filter(F.size("runs") == 0).select(*names)
+        return found.filter(F.size("__runs") == 0).select(*names)
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
                 texts = part.column("text").cast(pa.binary()).to_pylist()
-                runs = part.column("runs").to_pylist()
+                runs = part.column("__runs").to_pylist()
                 text = pa.array([None if t is None else cut(t, r).decode() if r else t.decode() for t, r in zip(texts, runs, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([text if c == "text" else part.column(c) for c in names], names)
 
-    return map_arrow(found.select(*names, "runs"), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return map_arrow(found.select(*names, "__runs"), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
