@@ -1,9 +1,427 @@
-"""All queries by name, with the SQL that gives the same rows."""
+"""All queries by name, with the SQL that gives the same rows. They run the operators over the star schema's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions import formats, parse, stats, text
+from ..model import ROUTES
+from ..operators import checks, metrics, review, route, salary
+from ..sources.extract import page_merge
+from .adapters import declared, judged, routed, statements, table
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# text and parsing
+
+
+@query("SELECT doc_id, translate(strip_accents(text), 'đĐ', 'dD') AS bare, translate(strip_accents(text), 'đĐ', 'dD') <> text AS marked FROM documents")
+def strip_accents_docs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.strip_accents(F.col("text")).alias("bare"), text.has_diacritics(F.col("text")).alias("marked"))
+
+
+@query("SELECT doc_id, upper(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS name, regexp_replace(text, '[^0-9]', '', 'g') AS digits, replace(lower(text), 'ß', 'ss') AS folded FROM (SELECT doc_id, replace(text, 'ß', 'ss') AS text FROM documents)")
+def normalized_docs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("ß"), F.lit("ss")))
+    return d.select("doc_id", text.normalize_name(F.col("text")).alias("name"), text.digits_only(F.col("text")).alias("digits"), text.fold(F.col("text")).alias("folded"))
+
+
+@query("""SELECT doc_id, regexp_replace(text, '[\\x00-\\x7F\\p{P}\\p{Z}\\p{S}đĐàáâãèéêìíòóôõùúýăĩũơưÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝĂĨŨƠƯñÑǹǸŃńẁẂ]', '', 'g') AS strange FROM documents""")
+def garbled_docs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.foreign_chars(F.col("text")).alias("strange"))
+
+
+@query("""WITH p AS (SELECT doc_id, substr(text, 1, 24) AS a, CASE doc_id % 4 WHEN 0 THEN translate(strip_accents(substr(text, 1, 24)), 'đĐ', 'dD') WHEN 1 THEN '  ' || lower(substr(text, 1, 24)) WHEN 2 THEN substr(text, 2, 24) ELSE replace(replace(substr(text, 1, 24), 'é', 'è'), 'ä', 'a') END AS b FROM documents),
+n AS (SELECT doc_id, upper(trim(regexp_replace(replace(a, 'ß', 'ss'), '\\s+', ' ', 'g'))) AS a, upper(trim(regexp_replace(replace(b, 'ß', 'ss'), '\\s+', ' ', 'g'))) AS b FROM p)
+SELECT doc_id, a = b OR ((strip_accents(a) = a OR strip_accents(b) = b) AND strip_accents(a) = strip_accents(b)) AS same FROM n""")
+def name_match_pairs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    a = F.substring("text", 1, 24)
+    m = F.col("doc_id") % 4
+    b = F.when(m == 0, text.strip_accents(a)).when(m == 1, F.concat(F.lit("  "), F.lower(a))).when(m == 2, F.substring("text", 2, 24)).otherwise(F.replace(F.replace(a, F.lit("é"), F.lit("è")), F.lit("ä"), F.lit("a")))
+    sharp = lambda s: F.replace(s, F.lit("ß"), F.lit("ss"))
+    return d.select("doc_id", text.names_match(sharp(a), sharp(b)).alias("same"))
+
+
+@query("SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 4 THEN floor(o_totalprice / 1e5) * 1e5 + 1e6 ELSE round_even(o_totalprice, 0) END AS BIGINT) AS amount FROM orders")
+def money_parse(spark, sf_dir):
+    """Amounts printed in every style and read again."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 5
+    v = F.when(k == 4, (F.floor(F.col("o_totalprice") / 100000) * 100000 + 1000000)).otherwise(F.bround("o_totalprice").cast("bigint")).cast("bigint")
+    o = o.select("o_orderkey", k.alias("k"), v.alias("v"))
+    shown = F.when(F.col("k") == 0, formats.money_as(F.col("v"), "dong")).when(F.col("k") == 1, formats.money_as(F.col("v"), "vnd")).when(F.col("k") == 2, formats.money_as(F.col("v"), "d")).when(F.col("k") == 3, formats.money_as(F.col("v"), "comma")).otherwise(formats.money_as(F.col("v"), "trieu"))
+    return o.withColumn("raw", shown).select("o_orderkey", parse.money(F.col("raw")).alias("amount"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(NULL AS DATE) AS never FROM orders")
+def date_parse(spark, sf_dir):
+    """Dates printed in every style and read again; the 31st of February never is one."""
+    o = table(spark, sf_dir, "orders")
+    d, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 4
+    raw = F.when(k == 0, formats.date_as(d, "slash")).when(k == 1, formats.date_as(d, "dash")).when(k == 2, formats.date_as(d, "dot")).otherwise(formats.date_as(d, "long"))
+    return o.select("o_orderkey", parse.day(raw).alias("d"), parse.day(F.concat(F.lit("31/02/"), F.year("o_orderdate"))).alias("never"))
+
+
+@query("""SELECT c_custkey, CASE WHEN length(d) BETWEEN 6 AND 19 THEN d END AS account, CASE WHEN length(d) BETWEEN 9 AND 11 THEN d END AS phone, CASE WHEN length(d || '000') = 12 THEN d || '000' END AS identity, TRY_CAST(d AS BIGINT) AS number
+FROM (SELECT c_custkey, regexp_replace(c_name || CAST(c_custkey AS VARCHAR), '[^0-9]', '', 'g') AS d FROM customer)""")
+def id_parse(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.col("c_custkey").cast("string")).alias("raw"))
+    return c.select("c_custkey", parse.account(F.col("raw")).alias("account"), parse.phone(F.col("raw")).alias("phone"), parse.identity(F.concat("raw", F.lit(" 000"))).alias("identity"), parse.integer(F.col("raw")).alias("number"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'xac_dinh_thoi_han' WHEN 'O' THEN 'khong_xac_dinh_thoi_han' END AS kind FROM orders")
+def contract_kind(spark, sf_dir):
+    raw = F.when(F.col("o_orderstatus") == "F", "HĐ Xác định thời hạn").when(F.col("o_orderstatus") == "O", "KHÔNG xác định thời hạn").otherwise("thử việc")
+    return table(spark, sf_dir, "orders").select("o_orderkey", parse.contract_kind(raw).alias("kind"))
+
+
+@query("""SELECT l_orderkey AS bundle_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(round_even(l_extendedprice, 0) AS BIGINT)) AS BIGINT) AS total, CAST(count(*) FILTER (l_returnflag = 'N') AS BIGINT) AS credits, max(CAST(l_shipdate AS DATE)) AS last FROM lineitem GROUP BY l_orderkey""")
+def txn_json_roundtrip(spark, sf_dir):
+    """Statements written as JSON in three forms of row and parsed again."""
+    t = statements(spark, sf_dir)
+    amount, credit, form = F.format_number("so_tien", 0), F.col("loai") == "ghi_co", F.col("l_linenumber") % 3
+    day = F.date_format("ngay", "dd/MM/yyyy")
+    two = F.create_map(F.lit("ngay"), day, F.lit("mo_ta"), F.col("mo_ta"), F.lit("ghi_co"), F.when(credit, amount), F.lit("ghi_no"), F.when(~credit, amount))
+    signed = F.create_map(F.lit("ngay"), day, F.lit("mo_ta"), F.col("mo_ta"), F.lit("so_tien"), F.concat(F.when(credit, "+").otherwise("-"), amount), F.lit("loai"), F.lit("?"))
+    plain = F.create_map(F.lit("ngay"), day, F.lit("mo_ta"), F.col("mo_ta"), F.lit("so_tien"), F.concat(amount, F.lit(" VND")), F.lit("loai"), F.when(credit, "C").otherwise("Nợ"))
+    rows = t.groupBy("bundle_id").agg(F.to_json(F.collect_list(F.when(form == 0, two).when(form == 1, signed).otherwise(plain))).alias("raw"))
+    got = rows.select("bundle_id", parse.transactions(F.col("raw")).alias("t"))
+    return got.select("bundle_id", F.size("t").cast("bigint").alias("n"), F.aggregate("t", F.lit(0).cast("bigint"), lambda s, x: s + x["so_tien"]).alias("total"), F.size(F.filter("t", lambda x: x["loai"] == "ghi_co")).cast("bigint").alias("credits"), F.array_max(F.transform("t", lambda x: x["ngay"])).alias("last"))
+
+
+# salary
+
+_MONTHS = "SELECT l_orderkey AS bundle_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(sum(CAST(round_even(l_extendedprice, 0) AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL"
+
+
+@query(_MONTHS)
+def monthly_credit(spark, sf_dir):
+    return salary.monthly_credit(statements(spark, sf_dir))
+
+
+@query(f"SELECT bundle_id, round(CAST(sum(total) AS DOUBLE) / count(*), 6) AS average, max(n) > 1 AS double_month FROM ({_MONTHS}) GROUP BY bundle_id")
+def avg_credit(spark, sf_dir):
+    m = salary.monthly_credit(statements(spark, sf_dir))
+    return m.groupBy("bundle_id").agg(F.round(F.sum("total").cast("double") / F.count("*"), 6).alias("average"), (F.max("n") > 1).alias("double_month"))
+
+
+@query(f"""WITH m AS ({_MONTHS}), a AS (SELECT bundle_id, CAST(sum(total) AS DOUBLE) / count(*) AS average, max(n) > 1 AS twice FROM m GROUP BY bundle_id)
+SELECT o_orderkey AS bundle_id, CASE WHEN l.k IS NULL THEN 'unknown' WHEN coalesce(twice, false) THEN 'unknown' WHEN average IS NULL THEN 'unknown' WHEN CAST(round_even(o_totalprice, 0) AS DOUBLE) <= average * (CAST(1.0 AS DOUBLE) + CAST(0.1 AS DOUBLE)) THEN 'pass' ELSE 'fail' END AS status
+FROM orders LEFT JOIN a ON a.bundle_id = o_orderkey LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) l ON l.k = o_orderkey""")
+def income_check(spark, sf_dir):
+    """Declared income against the mean salary of the statement, with its order of unknowns."""
+    rows = statements(spark, sf_dir).groupBy("bundle_id").agg(F.collect_list(F.struct("ngay", "mo_ta", "so_tien", "loai")).alias("rows"))
+    j = declared(spark, sf_dir).join(rows, "bundle_id", "left").withColumn("months", salary.salary_by_month(F.col("rows"), checks.RulesConfig()))
+    a = checks.Operand("don_vay", "thu_nhap_thang", F.col("declared"), F.col("declared").isNotNull())
+    b = checks.Operand("sao_ke", "giao_dich", F.col("rows"), F.col("rows").isNotNull())
+    return j.select("bundle_id", checks.income(a, b, F.col("months"), checks.RulesConfig())["status"].alias("status"))
+
+
+# checks
+
+
+@query("""SELECT o_orderkey AS bundle_id, CASE WHEN c.c_mktsegment <> 'BUILDING' AND o_orderstatus <> 'P' AND o_custkey % 7 <> c_custkey % 7 + (CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END) THEN 'fail'
+WHEN c.c_custkey IS NULL OR c.c_mktsegment = 'BUILDING' OR o_orderstatus = 'P' THEN 'unknown' ELSE 'pass' END AS status FROM orders LEFT JOIN customer c ON c_custkey = o_custkey""")
+def all_equal_check(spark, sf_dir):
+    o = declared(spark, sf_dir).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    a = checks.Operand("don_vay", "so_cccd", F.col("o_custkey") % 7, F.col("o_orderstatus") != "P")
+    b = checks.Operand("cccd", "so_cccd", F.col("c_custkey") % 7 + F.when(F.col("bundle_id") % 5 == 0, 1).otherwise(0), F.col("c_mktsegment") != "BUILDING")
+    return o.select("bundle_id", checks.all_equal("R2", [a, b], lambda x, y: x.value == y.value, "number")["status"].alias("status"))
+
+
+_SHIP = "(SELECT l_orderkey, min(CAST(l_shipdate AS DATE)) AS first, max(CAST(l_shipdate AS DATE)) AS last FROM lineitem GROUP BY l_orderkey)"
+
+
+@query(f"""SELECT o_orderkey AS bundle_id, CASE WHEN last IS NULL OR o_orderpriority = '1-URGENT' THEN 'unknown' WHEN last >= CAST(o_orderdate AS DATE) THEN 'pass' ELSE 'fail' END AS status,
+CASE WHEN o_orderstatus = 'F' THEN 'pass' WHEN last IS NOT NULL THEN CASE WHEN o_orderpriority = '1-URGENT' THEN 'unknown' WHEN last >= CAST(o_orderdate AS DATE) THEN 'pass' ELSE 'fail' END ELSE 'unknown' END AS contract
+FROM orders LEFT JOIN {_SHIP} s ON l_orderkey = o_orderkey""")
+def date_order_check(spark, sf_dir):
+    s = statements(spark, sf_dir).groupBy("bundle_id").agg(F.max("ngay").alias("last"))
+    o = declared(spark, sf_dir).join(s, "bundle_id", "left")
+    later = checks.Operand("hdld", "ngay_ket_thuc", F.col("last"), F.lit(True))
+    earlier = checks.Operand("don_vay", "ngay_ky", F.col("signed"), F.col("o_orderpriority") != "1-URGENT")
+    kind = checks.Operand("hdld", "loai_hd", F.when(F.col("o_orderstatus") == "F", "khong_xac_dinh_thoi_han").otherwise("xac_dinh_thoi_han"), F.lit(True))
+    return o.select("bundle_id", checks.date_order("R5", later, earlier, "valid")["status"].alias("status"), checks.contract(kind, later, earlier)["status"].alias("contract"))
+
+
+@query(f"""SELECT o_orderkey AS bundle_id, CASE WHEN first IS NULL THEN 'unknown' WHEN date_diff('day', last, CAST(o_orderdate AS DATE)) <= 30 AND CAST(first + INTERVAL 3 MONTH AS DATE) <= last + 1 THEN 'pass' ELSE 'fail' END AS status
+FROM orders LEFT JOIN {_SHIP} s ON l_orderkey = o_orderkey""")
+def coverage_check(spark, sf_dir):
+    s = statements(spark, sf_dir).groupBy("bundle_id").agg(F.min("ngay").alias("first"), F.max("ngay").alias("last"))
+    o = declared(spark, sf_dir).join(s, "bundle_id", "left")
+    known = F.col("first").isNotNull()
+    operands = [checks.Operand("sao_ke", "ky_tu", F.col("first"), known), checks.Operand("sao_ke", "ky_den", F.col("last"), known), checks.Operand("don_vay", "ngay_ky", F.col("signed"), F.lit(True))]
+    return o.select("bundle_id", checks.coverage(*operands, checks.RulesConfig())["status"].alias("status"))
+
+
+@query("""WITH f AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS have FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey AS bundle_id, CASE WHEN len(list_filter(['A', 'N', 'R'], lambda x: NOT list_contains(coalesce(have, []), x))) > 0 THEN 'fail' ELSE 'pass' END AS status,
+'missing or unreadable: ' || array_to_string(list_filter(['A', 'N', 'R'], lambda x: NOT list_contains(coalesce(have, []), x)), ', ') AS missing FROM orders LEFT JOIN f ON l_orderkey = o_orderkey""")
+def completeness(spark, sf_dir):
+    have = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("bundle_id")).agg(F.collect_set("l_returnflag").alias("have"))
+    o = declared(spark, sf_dir).join(have, "bundle_id", "left")
+    c = checks.completeness(F.coalesce("have", F.array().cast("array<string>")), F.array().cast("array<string>"), ["A", "N", "R"])
+    return o.select("bundle_id", c["status"].alias("status"), F.concat(F.lit("missing or unreadable: "), F.array_join(F.transform(c["evidence"], lambda e: e["doc_type"]), ", ")).alias("missing"))
+
+
+@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 MONTH AS DATE) AS later, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS next, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders")
+def add_months_check(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.add_months("o_orderdate", 3).alias("later"), F.add_months("o_orderdate", 1).alias("next"), F.to_date(F.trunc("o_orderdate", "MM")).alias("month"))
+
+
+# routing
+
+_FLAGS = "SELECT l_orderkey AS bundle_id, list(CASE WHEN l_quantity > 45 THEN 'R' || l_linenumber END ORDER BY l_linenumber) FILTER (l_quantity > 45) AS failed, list('UNKNOWN:R' || l_linenumber ORDER BY l_linenumber) FILTER (l_discount = 0) AS unk, list('FORMAT:l.' || l_linenumber ORDER BY l_linenumber) FILTER (l_tax > 0.06) AS err FROM (SELECT DISTINCT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity, min(l_discount) AS l_discount, max(l_tax) AS l_tax FROM lineitem GROUP BY l_orderkey, l_linenumber) GROUP BY l_orderkey"
+
+
+@query(f"""WITH f AS ({_FLAGS}) SELECT bundle_id, CASE WHEN len(coalesce(err, [])) >= 3 THEN 'REQUEST_MORE' WHEN len(coalesce(failed, [])) > 0 THEN 'REVIEW' WHEN len(coalesce(unk, [])) > 0 THEN 'REVIEW' ELSE 'AUTO_PASS' END AS route,
+array_to_string(CASE WHEN len(coalesce(err, [])) >= 3 THEN err WHEN len(coalesce(failed, [])) > 0 THEN failed ELSE coalesce(unk, []) END, ',') AS reasons FROM f""")
+def route_orders(spark, sf_dir):
+    """The router over lines as checks: format errors, fails and unknowns by line."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.min("l_discount").alias("d"), F.max("l_tax").alias("t"))
+    rows = li.groupBy(F.col("l_orderkey").alias("bundle_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "q", "d", "t"))).alias("rows"))
+    named = lambda keep, prefix: F.transform(F.filter("rows", keep), lambda r: F.concat(F.lit(prefix), r["l_linenumber"].cast("string")))
+    none = F.array().cast("array<string>")
+    made = route.decide(F.lit(False), named(lambda r: r["t"] > 0.06, "FORMAT:l."), named(lambda r: r["q"] > 45, "R"), named(lambda r: r["d"] == 0, "UNKNOWN:R"), none, none, 3)
+    return rows.select("bundle_id", made.alias("m")).select("bundle_id", "m.route", F.array_join("m.reasons", ",").alias("reasons"))
+
+
+@query(f"""WITH f AS ({_FLAGS}), r AS (SELECT bundle_id, unnest(coalesce(unk, [])) AS reason FROM f UNION ALL SELECT bundle_id, unnest(coalesce(err, [])) FROM f UNION ALL SELECT bundle_id, unnest(coalesce(failed, [])) FROM f)
+SELECT CASE WHEN contains(reason, ':') THEN split_part(reason, ':', 1) ELSE 'RULE' END AS kind, count(*) AS n FROM r GROUP BY 1""")
+def route_reasons(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.min("l_discount").alias("d"), F.max("l_tax").alias("t"))
+    n = F.col("l_linenumber").cast("string")
+    made = F.filter(F.array(F.when(F.col("d") == 0, F.concat(F.lit("UNKNOWN:R"), n)), F.when(F.col("t") > 0.06, F.concat(F.lit("FORMAT:l."), n)), F.when(F.col("q") > 45, F.concat(F.lit("R"), n))), lambda x: x.isNotNull())
+    rows = li.select(F.col("l_orderkey").alias("bundle_id"), made.alias("reasons"))
+    return route.parse_reasons(rows).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# evaluation
+
+
+@query("""SELECT lang, source, CAST(GROUPING(lang) * 2 + GROUPING(source) AS BIGINT) AS gid, count(*) AS n, round(avg(CAST(guess = lang AS DOUBLE)), 9) AS acc
+FROM (SELECT *, CASE WHEN regexp_matches(text, '[äöüßÄÖÜ]') THEN 'de' WHEN regexp_matches(text, '[ñíóáú]') THEN 'es' WHEN regexp_matches(text, '[éèêçàù]') THEN 'fr' ELSE 'en' END AS guess FROM documents) GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())""")
+def accuracy_grouping_sets(spark, sf_dir):
+    rows = judged(spark, sf_dir).withColumn("ok", F.col("guess") == F.col("lang"))
+    return metrics.field_accuracy(rows, [["lang"], ["source"], ["lang", "source"], []]).withColumn("acc", F.round("acc", 9))
+
+
+@query("""WITH d AS (SELECT * FROM (VALUES ('E1', '1-URGENT'), ('E2', '2-HIGH'), ('E3', '3-MEDIUM'), ('E9', 'none')) t(code, rule_id)), h AS (SELECT d.code, CASE WHEN o_orderstatus = 'F' THEN 'fail' WHEN o_orderstatus = 'O' THEN 'pass' ELSE 'unknown' END AS status FROM orders JOIN d ON rule_id = o_orderpriority)
+SELECT d.code, d.rule_id, count(status) AS n, count(*) FILTER (status = 'fail') AS caught, count(*) FILTER (status = 'unknown') AS unknown, count(*) FILTER (status = 'pass') AS missed, CASE WHEN count(status) > 0 THEN round(CAST(count(*) FILTER (status = 'fail') AS DOUBLE) / count(status), 9) END AS recall FROM d LEFT JOIN h ON h.code = d.code GROUP BY d.code, d.rule_id""")
+def recall_by_code(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("bundle_id"), F.col("o_orderpriority").alias("rule_id"), F.when(F.col("o_orderstatus") == "F", "fail").when(F.col("o_orderstatus") == "O", "pass").otherwise("unknown").alias("status"))
+    mapping = {"E1": "1-URGENT", "E2": "2-HIGH", "E3": "3-MEDIUM", "E9": "none"}
+    back = F.when(F.col("rule_id") == "1-URGENT", "E1").when(F.col("rule_id") == "2-HIGH", "E2").when(F.col("rule_id") == "3-MEDIUM", "E3")
+    injected = o.select("bundle_id", back.alias("code")).filter("code is not null")
+    return metrics.recall_by_code(spark, injected, o, mapping).withColumn("recall", F.round("recall", 9))
+
+
+_ROUTED = "SELECT o_orderkey AS bundle_id, CASE o_orderstatus WHEN 'F' THEN 'AUTO_PASS' WHEN 'O' THEN 'REVIEW' ELSE 'REQUEST_MORE' END AS expected, CASE WHEN o_totalprice < 150000 THEN 'AUTO_PASS' WHEN o_totalprice < 300000 THEN 'REVIEW' ELSE 'REQUEST_MORE' END AS actual, o_orderpriority AS priority, o_custkey, o_orderdate, o_totalprice FROM orders"
+
+
+@query(f"SELECT r.expected, {', '.join(f'count(*) FILTER (actual = {chr(39)}{a}{chr(39)}) AS {a}' for a in ROUTES)} FROM (VALUES ('AUTO_PASS'), ('REVIEW'), ('REQUEST_MORE')) r(expected) LEFT JOIN ({_ROUTED}) o ON o.expected = r.expected GROUP BY r.expected")
+def confusion_matrix(spark, sf_dir):
+    return metrics.confusion(spark, routed(spark, sf_dir))
+
+
+@query(f"""SELECT count(*) AS n_bundles, count(*) FILTER (expected <> 'AUTO_PASS') AS n_with_errors, count(*) FILTER (expected = 'AUTO_PASS') AS n_clean, count(*) FILTER (actual = 'AUTO_PASS' AND expected <> 'AUTO_PASS') AS escaped,
+round(CAST(count(*) FILTER (actual = 'AUTO_PASS' AND expected <> 'AUTO_PASS') AS DOUBLE) / count(*) FILTER (expected <> 'AUTO_PASS'), 9) AS escape_rate,
+round(CAST(count(*) FILTER (actual <> 'AUTO_PASS' AND expected = 'AUTO_PASS') AS DOUBLE) / count(*) FILTER (expected = 'AUTO_PASS'), 9) AS false_review_rate,
+round(CAST(count(*) FILTER (actual = 'AUTO_PASS') AS DOUBLE) / count(*), 9) AS automation_rate FROM ({_ROUTED})""")
+def escape_rates(spark, sf_dir):
+    e = metrics.end_to_end(routed(spark, sf_dir)).drop("escape_rate_upper95")
+    return e.withColumns({c: F.round(c, 9) for c in ("escape_rate", "false_review_rate", "automation_rate")})
+
+
+@query()
+def clopper_pearson(spark, sf_dir):
+    """Upper bounds of the share of large orders by priority and month (bisection, so no SQL)."""
+    o = table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.trunc("o_orderdate", "MM").alias("month")).agg(F.count_if(F.col("o_totalprice") > 400000).alias("k"), F.count("*").alias("n"))
+    return o.withColumn("upper", stats.upper_bound_95(F.col("k"), F.col("n")))
+
+
+@query("""SELECT code, count(*) AS n, round(CAST(count(*) FILTER (NOT flagged) AS DOUBLE) / count(*), 9) AS rate FROM (SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderpriority ELSE 'clean' END AS code, o_totalprice > 300000 AS flagged FROM orders) GROUP BY code""")
+def near_miss_rates(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    near = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.array("o_orderpriority")).otherwise(F.array().cast("array<string>"))
+    return metrics.not_flagged(o.select(near.alias("near"), (F.col("o_totalprice") > 300000).alias("flagged"))).withColumn("rate", F.round("rate", 9))
+
+
+@query("""WITH a AS (SELECT l_returnflag AS g, l_partkey % 50 AS k, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL), b AS (SELECT l_returnflag AS g, l_partkey % 50 AS k, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY ALL)
+SELECT coalesce(a.g, b.g) AS g, CAST(sum(coalesce(a.n, 0)) AS BIGINT) AS n_truth, CAST(sum(coalesce(b.n, 0)) AS BIGINT) AS n_pred, CAST(sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS BIGINT) AS hit FROM a FULL JOIN b ON a.g = b.g AND a.k = b.k GROUP BY 1""")
+def bag_overlap(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_partkey") % 50).alias("k"), "l_linestatus", "l_quantity")
+    return metrics.bag_overlap(li.filter("l_linestatus = 'O'"), li.filter("l_quantity > 25"), ["k"], ["g"]).drop("recall", "precision")
+
+
+@query("SELECT event_type, round(median(value), 9) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf_dir):
+    return metrics.latency(table(spark, sf_dir, "events"), "value", ["event_type"]).withColumn("p50", F.round("p50", 9))
+
+
+@query("SELECT event_type, count(*) AS calls, count(DISTINCT user_id) AS users, round(sum(CAST(round_even(value * 100, 0) AS BIGINT)) * 0.77 / 1e6, 9) AS cost FROM events GROUP BY event_type")
+def call_costs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.count("*").alias("calls"), F.count_distinct("user_id").alias("users"), F.round(F.sum(F.bround(F.col("value") * 100).cast("bigint")) * F.lit(0.77) / 1e6, 9).alias("cost"))
+
+
+@query("""SELECT * FROM (SELECT 'field' AS kind, 0 AS ord, count(*) AS n FROM documents WHERE NOT regexp_matches(text, '[äöüßÄÖÜ]') AND lang = 'de' UNION ALL SELECT 'rule_miss', 1, count(*) FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'false_flag', 2, count(*) FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT 'route', 3, count(*) FROM (""" + _ROUTED + ") WHERE expected <> actual) WHERE n > 0")
+def error_union(spark, sf_dir):
+    o, d = table(spark, sf_dir, "orders"), judged(spark, sf_dir)
+    row = lambda df, key, kind, e, a: df.select(F.col(key).cast("string").alias("bundle_id"), F.lit(kind).alias("kind"), F.lit("x").alias("detail"), e.alias("expected"), a.alias("actual"))
+    fields = row(d.filter("lang = 'de' and guess <> 'de'"), "doc_id", "field", F.col("lang"), F.col("guess"))
+    missed = row(o.filter("o_orderstatus = 'P'"), "o_orderkey", "rule_miss", F.lit("fail"), F.lit("pass"))
+    flags = row(o.filter("o_totalprice > 400000"), "o_orderkey", "false_flag", F.lit("no fail"), F.lit("R4"))
+    wrong = row(routed(spark, sf_dir).filter("expected <> actual"), "bundle_id", "route", F.col("expected"), F.col("actual"))
+    return metrics.error_rows(fields, missed, flags, wrong).groupBy("kind", "ord").agg(F.count("*").alias("n"))
+
+
+# windows and review
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CAST(1000000 + sum(CASE WHEN l_returnflag = 'N' THEN CAST(round_even(l_extendedprice, 0) AS BIGINT) ELSE -CAST(round_even(l_extendedprice, 0) AS BIGINT) END) OVER (PARTITION BY l_orderkey ORDER BY CAST(l_shipdate AS DATE), l_linenumber, l_partkey, l_suppkey, l_quantity, round_even(l_extendedprice, 0), l_returnflag ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM lineitem""")
+def running_balance(spark, sf_dir):
+    t = statements(spark, sf_dir)
+    w = W.partitionBy("bundle_id").orderBy("ngay", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "so_tien", F.when(F.col("loai") == "ghi_co", "N").otherwise("A")).rowsBetween(W.unboundedPreceding, 0)
+    signed = F.when(F.col("loai") == "ghi_co", F.col("so_tien")).otherwise(-F.col("so_tien"))
+    return t.select(F.col("bundle_id").alias("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", (F.sum(signed).over(w) + 1000000).cast("bigint").alias("balance"))
+
+
+_RUNS = f"SELECT strftime(o_orderdate, '%Y-%m') AS run_id, priority AS split, 'all' AS filter, round(CAST(count(*) FILTER (actual = 'AUTO_PASS' AND expected <> 'AUTO_PASS') AS DOUBLE) / count(*), 6) AS escape_rate, round(CAST(count(*) FILTER (actual = 'AUTO_PASS') AS DOUBLE) / count(*), 6) AS automation_rate FROM ({_ROUTED}) GROUP BY ALL"
+
+
+@query(f"""SELECT *, round(escape_rate - prev_escape_rate, 6) AS d_escape, coalesce(escape_rate - prev_escape_rate > 0, false) AS rejected FROM (SELECT run_id, split, escape_rate, automation_rate, lag(run_id) OVER w AS prev_run_id, lag(escape_rate) OVER w AS prev_escape_rate FROM ({_RUNS}) WINDOW w AS (PARTITION BY split, filter ORDER BY run_id))""")
+def prev_run_delta(spark, sf_dir):
+    r = routed(spark, sf_dir).groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("run_id"), F.col("priority").alias("split"), F.lit("all").alias("filter"))
+    auto = F.col("actual") == "AUTO_PASS"
+    runs = r.agg(F.round(F.count_if(auto & (F.col("expected") != "AUTO_PASS")).cast("double") / F.count("*"), 6).alias("escape_rate"), F.round(F.count_if(auto).cast("double") / F.count("*"), 6).alias("automation_rate"))
+    return metrics.gate(runs).select("run_id", "split", "escape_rate", "automation_rate", "prev_run_id", "prev_escape_rate", F.round("d_escape", 6).alias("d_escape"), "rejected")
+
+
+@query(f"SELECT bundle_id, actual, lag(bundle_id) OVER w AS prev, lead(bundle_id) OVER w AS next FROM ({_ROUTED}) WINDOW w AS (PARTITION BY actual, o_custkey ORDER BY bundle_id)")
+def neighbours(spark, sf_dir):
+    r = routed(spark, sf_dir).withColumn("class", F.concat_ws("/", "actual", F.col("o_custkey").cast("string")))
+    return review.neighbours(r, "class", "bundle_id").select("bundle_id", "actual", "prev", "next")
+
+
+@query("SELECT event_type, user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def latest_state(spark, sf_dir):
+    return review.latest(table(spark, sf_dir, "events"), ["event_type", "user_id"], [F.desc("ts"), F.desc("event_id")]).select("event_type", "user_id", "event_id", "value")
+
+
+@query("SELECT o_orderpriority AS code, min(o_orderkey) AS first FROM orders GROUP BY 1")
+def first_per_code(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy(F.col("o_orderpriority").alias("code")).agg(F.min_by("o_orderkey", "o_orderkey").alias("first"))
+
+
+@query("""SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS r FROM events GROUP BY user_id, event_type) WHERE r = 1""")
+def mode_first_seen(spark, sf_dir):
+    return review.mode_first_seen(table(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id")
+
+
+_STATE = "SELECT user_id AS bundle_id, min(epoch(ts)) FILTER (event_type = 'view') AS opened_at, max(epoch(ts)) FILTER (event_type = 'purchase') AS closed_at FROM events WHERE event_type IN ('view', 'purchase') GROUP BY user_id HAVING opened_at IS NOT NULL"
+
+
+def _events(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return review.open_events(e.filter("event_type = 'view'").select(F.col("user_id").alias("bundle_id"), F.lit("REVIEW").alias("route"), F.array(F.lit("R1")).alias("reasons"), "at"), F.col("at")).unionByName(
+        review.close_events(e.filter("event_type = 'purchase'").select(F.col("user_id").alias("bundle_id"), F.lit("x").alias("reviewer"), F.lit("valid").alias("conclusion"), F.lit("{}").alias("edits"), F.lit("").alias("note"), "at"), F.col("at"))
+    )
+
+
+@query(f"SELECT bundle_id, CAST(opened_at AS DOUBLE) AS opened_at, CAST(closed_at AS DOUBLE) AS closed_at, CASE WHEN closed_at IS NULL THEN 'open' ELSE 'closed' END AS status FROM ({_STATE})")
+def review_state(spark, sf_dir):
+    return review.state(_events(spark, sf_dir)).select("bundle_id", "opened_at", "closed_at", "status")
+
+
+@query(f"""SELECT c_custkey AS bundle_id, CASE WHEN opened_at IS NULL THEN 'new' WHEN closed_at IS NULL THEN 'open' ELSE 'closed' END AS status FROM customer LEFT JOIN ({_STATE}) s ON s.bundle_id = c_custkey WHERE c_mktsegment <> 'BUILDING' AND contains(lower(CAST(c_custkey AS VARCHAR) || ' ' || c_name), '00001')""")
+def queue_left_join(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bundle_id"), F.col("c_name").alias("customer"), F.when(F.col("c_mktsegment") == "BUILDING", "AUTO_PASS").otherwise("REVIEW").alias("route"))
+    return review.queue(c, review.state(_events(spark, sf_dir)), search="00001").select("bundle_id", "status")
+
+
+@query(f"""SELECT c_mktsegment AS route, count(*) AS n, count(closed_at) AS closed, round(avg(closed_at - opened_at), 3) AS mean_seconds FROM customer LEFT JOIN ({_STATE}) s ON s.bundle_id = c_custkey GROUP BY 1""")
+def queue_kpis(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bundle_id"), F.col("c_mktsegment").alias("route"))
+    return review.kpis(c.join(review.state(_events(spark, sf_dir)).drop("route"), "bundle_id", "left")).withColumn("mean_seconds", F.round("mean_seconds", 3))
+
+
+@query("SELECT min(c_custkey) AS bundle_id, min(c_custkey) AS pos FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def next_open(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bundle_id"), F.col("c_custkey").alias("pos"))
+    return review.next_open(c, table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("bundle_id")))
+
+
+@query("SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(round_even(l_extendedprice, 0) AS BIGINT)) AS BIGINT) AS total FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice < 150000) GROUP BY 1")
+def auto_semi(spark, sf_dir):
+    auto = routed(spark, sf_dir).filter("actual = 'AUTO_PASS'")
+    li = table(spark, sf_dir, "lineitem").join(auto.select(F.col("bundle_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+    return li.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(F.bround("l_extendedprice").cast("bigint")).alias("total"))
+
+
+@query("""SELECT a.l_orderkey, count(*) AS pairs, count(*) FILTER (a.l_returnflag <> b.l_returnflag) AS differing FROM (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM lineitem) a JOIN (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.pos <> b.pos GROUP BY 1""")
+def evidence_peers(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.withColumn("pos", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))).select("l_orderkey", "pos", F.col("l_returnflag").alias("value"))
+    return review.peers(rows, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count("*").alias("pairs"), F.count_if(F.col("value") != F.col("peer_value")).alias("differing"))
+
+
+@query("SELECT conv_id, arg_min(text, turn) FILTER (role = 'user' AND text IS NOT NULL) AS text, min(turn) FILTER (role = 'user' AND text IS NOT NULL) AS turn FROM conversations GROUP BY conv_id")
+def page_merge_conversations(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("role") == "user", F.col("text")))
+    return page_merge(c, ["conv_id"], "turn", "text")
+
+
+_SAMPLES = f"""WITH o AS ({_ROUTED}), a AS (SELECT bundle_id, 0 AS step, bundle_id AS pos, 'auto' AS why FROM o WHERE expected = 'AUTO_PASS' AND actual = 'AUTO_PASS' ORDER BY bundle_id LIMIT 2),
+e AS (SELECT min(bundle_id) AS bundle_id, 1 AS step, min(bundle_id) AS pos, priority AS why FROM o WHERE expected <> 'AUTO_PASS' GROUP BY priority), f AS (SELECT bundle_id, 3 AS step, bundle_id AS pos, 'false_review' AS why FROM o WHERE expected = 'AUTO_PASS' AND actual <> 'AUTO_PASS')
+SELECT bundle_id, step, pos, why FROM (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY step, pos, why) AS r FROM (SELECT * FROM a UNION ALL SELECT * FROM e UNION ALL SELECT * FROM f)) WHERE r = 1"""
+
+
+@query(_SAMPLES)
+def sample_picker(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    r = routed(spark, sf_dir).select("bundle_id", F.col("bundle_id").alias("pos"), "expected", "actual", F.when(F.col("expected") != "AUTO_PASS", F.array("priority")).otherwise(none).alias("errors"), none.alias("near"))
+    return review.pick_samples(r)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN '—' ELSE replace(format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)), ',', '.') || ' ₫' END AS shown, strftime(o_orderdate, '%d/%m/%Y') AS day, CAST(round_even(o_totalprice * 100 / 500000, 0) AS BIGINT) AS pct FROM orders")
+def display_formats(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    v = F.when(F.col("o_orderkey") % 9 != 0, F.bround("o_totalprice").cast("bigint"))
+    return o.select("o_orderkey", formats.money_shown(v).alias("shown"), formats.date_shown(F.to_date("o_orderdate")).alias("day"), F.bround(F.col("o_totalprice") * 100 / 500000).cast("bigint").alias("pct"))
+
+
+@query()
+def bundle_decisions(spark, sf_dir):
+    """Synthetic bundles through the whole dataflow: extraction, fields, checks and routes (as many as there are nations
+    times four)."""
+    from ..sources.generator import generate
+    from .bundles import run
+
+    n = table(spark, sf_dir, "nation").count() * 4
+    return run(generate(spark, n)).select("bundle_id", "route", F.array_join("reasons", ",").alias("reasons"))
