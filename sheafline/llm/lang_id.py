@@ -114,11 +114,10 @@ def build(counts, order: int = ORDER) -> Model | None:
         return None
     languages = sorted(counts["lang"].unique())
     zero = counts[counts["k"] == 0]
-    seen = np.unique(zero["gram"].to_numpy())
+    seen = np.unique(np.append(zero["gram"].to_numpy(), _START))  # the start has a symbol of its own
     symbol = np.zeros(256, "u2")
     symbol[seen] = np.arange(1, len(seen) + 1)
     width = len(seen) + 1  # symbol 0: bytes that no language has
-    byte_of = np.concatenate([[-1], seen])
     tables = {(lang, int(k)): (g["gram"].to_numpy("i8"), g["n"].to_numpy("i8")) for (lang, k), g in counts.sort_values("gram").groupby(["lang", "k"])}
     contexts = [np.unique(np.concatenate([t[0] >> 8 for (_, k2), t in tables.items() if k2 == k] or [np.zeros(0, "i8")])) for k in range(order + 1)]
     base = np.cumsum([0, *(len(c) for c in contexts)])
@@ -157,7 +156,6 @@ def build(counts, order: int = ORDER) -> Model | None:
             tail = tail * width + symbol[p]
         grid = state.reshape(-1, width**k)
         grid[:, tail] = base[k] + np.arange(len(tail))
-    assert byte_of[0] == -1
     return Model(languages, symbol, state, cost.reshape(len(languages), -1), order)
 
 

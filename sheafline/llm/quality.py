@@ -24,9 +24,9 @@ from .base import as_bytes, chunks, map_arrow
 LEVEL = 3
 CHUNK = 4096
 #: (bytes from which it holds, least ratio, greatest ratio)
-BANDS = ((0, 0.5, 9.0), (128, 0.40, 1.05), (512, 0.28, 0.92), (2048, 0.20, 0.85), (8192, 0.14, 0.80))
+BANDS = ((0, 0.5, 9.0), (128, 0.40, 1.0), (512, 0.28, 0.82), (2048, 0.20, 0.70), (8192, 0.14, 0.65))
 #: The same for chunks of a text of more than one; a chunk may repeat itself for a while in sound text (tables, lists).
-CHUNK_BANDS = ((0, 0.08, 0.85),)
+CHUNK_BANDS = ((0, 0.08, 0.72),)
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 LEAST_WORDS = 10
