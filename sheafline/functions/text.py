@@ -62,7 +62,9 @@ def nfc(s: Column) -> Column:
     """Composed form of Latin letters; other scripts' clusters are left as they are."""
     table = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in _clusters().items())), F.lit("\n"), F.lit("\t"))  # folded into one literal
     parts = F.regexp_extract_all(s, F.lit(r"(?s)(\P{Mn}\p{Mn}*|\p{Mn}+)"), F.lit(1))
-    composed = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+    # a cluster that is no letter as a whole is composed as far as its first mark
+    begun = lambda p: F.concat(F.coalesce(F.try_element_at(table, F.substring(p, 1, 2)), F.substring(p, 1, 2)), F.substring(p, 3, 1 << 20))
+    composed = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), begun(p))), "")
     return F.when(s.rlike(r"\p{Mn}"), composed).otherwise(s)
 
 

@@ -34,7 +34,7 @@ def plan(i: int) -> tuple[list[str], list[str]]:
     j = i // 2
     if i % 2 == 0:
         first = codes[j % len(codes)]
-        if j % 10 == 9 and first != "E8":
+        if j % 9 == 8 and first != "E8":
             return [first, next(c for c in codes[(j + 3) % 7 :] + codes if c not in (first, "E8") and {c, first} != {"E5", "E7"})], []
         return [first], []
     return [], [NEAR_MISSES[j // 3 % len(NEAR_MISSES)]] if j % 3 == 0 else []
