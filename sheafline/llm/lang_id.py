@@ -30,8 +30,9 @@ SAMPLE_ROWS = 1000
 MIN_COUNT = 2
 #: Languages a model may hold.
 MAX_LANGUAGES = 256
-#: Bits a byte above which no learned language explains a text.
-MAX_BITS = 7.5
+#: Bits a byte above which no learned language explains a text of MAX_BITS_FROM bytes or more (one key or address can
+#: raise a short text's bits as much).
+MAX_BITS, MAX_BITS_FROM = 7.5, 512
 UNDETERMINED = "und"
 _START = 0x0A  # every text counts as preceded by line ends
 
