@@ -19,7 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops rows without a letter, and rows that no learned language explains."""
     model = lang_id.fit(docs, remainder("doc_id", 4) != 2)
     found = lang_id.predict(docs, model)
-    return found.filter((F.col("lang_pred") != lang_id.UNDETERMINED) & (F.col("bits") <= lang_id.MAX_BITS)).select(*docs.columns)
+    strange = (F.col("bits") > lang_id.MAX_BITS) & (F.octet_length("text") >= lang_id.MAX_BITS_FROM)
+    return found.filter((F.col("lang_pred") != lang_id.UNDETERMINED) & ~strange).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
