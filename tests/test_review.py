@@ -89,7 +89,6 @@ def test_http_extractor(spark):
 def test_stream(spark, tmp_path):
     spark.createDataFrame([("a", t) for t in ("cccd", "don_vay", "hdld", "sao_ke")] + [("b", "cccd")], "bundle_id string, doc_type string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("bundle_id string, doc_type string").parquet(str(tmp_path / "in"))
-    q = arrivals.assemble(stream).writeStream.format("memory").queryName("arrived").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = arrivals.assemble(stream).writeStream.format("memory").queryName("arrived").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
+    assert q.awaitTermination(120)  # one batch: with a timer there is always another, so processAllAvailable() never returns
     assert [(r["bundle_id"], r["complete"]) for r in spark.sql("select * from arrived").collect()] == [("a", True)]
