@@ -30,6 +30,13 @@ def remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def fresh(df: DataFrame, *names: str) -> DataFrame:
+    """df with these text or number columns as new expressions: how they are partitioned is not known any more, so a join
+    by them reads shuffled rows alone. Adaptive execution can split the partitions of hot keys only then."""
+    text = {n for n, kind in df.dtypes if kind == "string"}
+    return df.select(*(F.concat(F.col(c), F.lit("")).alias(c) if c in names and c in text else F.col(c).bitwiseXOR(F.lit(0).cast("long")).alias(c) if c in names else F.col(c) for c in df.columns))
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` bytes of the column each."""
     col = batch.column(column)

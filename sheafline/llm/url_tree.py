@@ -7,8 +7,8 @@ differs stays a branch of its own. A template is rejected if its smoothed labell
 pages of share PRIOR added, reaches REJECT.
 
 All of it is DataFrame operations: per level two counts by node and segment, each combined before it is shuffled, and
-joins with node tables that have each key once, so a hot host only lengthens the larger side, which adaptive execution
-splits. Hosts are never gathered.
+joins with node tables that have each key once, so a hot host only lengthens the larger side. Both sides of a join are
+shuffled for it alone (`fresh`), so adaptive execution splits that side. Hosts are never gathered.
 
 Null urls and urls without :// have empty host and path, fit no rule and are of the empty host's tree. Repeated rows
 stay repeated. A url without a label counts for the tree's shape only.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import shared_folder
+from .base import fresh, shared_folder
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -76,13 +76,14 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         children = at.groupBy("host", "template", seg.alias("__seg")).agg(F.count("*").alias("__n"))
         node = children.groupBy("host", "template").agg(((F.count("*") >= LEAST_CHILDREN) & (F.count("*") * SHARE > F.sum("__n"))).alias("__variable"))
         shape = F.regexp_replace(F.regexp_replace(seg, "[A-Za-z]+", "a"), "[0-9]+", "0")
-        at = at.join(node, ["host", "template"]).withColumn("__seg", F.when(F.col("__variable"), F.concat(F.lit("*"), shape)).otherwise(seg)).drop("__variable")
+        at = at.join(fresh(node, "host", "template"), ["host", "template"]).withColumn("__seg", F.when(F.col("__variable"), F.concat(F.lit("*"), shape)).otherwise(seg)).drop("__variable")
+        at = fresh(at, "host", "template")
         branch = at.groupBy("host", "template", "__seg").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k"))
         whole = branch.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
         n, k, rest, rest_k = F.col("n"), F.col("k"), F.col("all_n") - F.col("n"), F.col("all_k") - F.col("k")
         apart = (n >= LEAST_LABELLED) & (rest >= LEAST_LABELLED) & ((k * rest - rest_k * n) * (k * rest - rest_k * n) * F.col("all_n") > Z_SQUARED * n * rest * F.col("all_k") * (F.col("all_n") - F.col("all_k")))
         named = branch.join(whole, ["host", "template"]).select("host", "template", "__seg", F.when(apart, F.col("__seg")).otherwise("~").alias("__branch"))
-        at = at.join(named, ["host", "template", "__seg"]).withColumn("template", F.concat("template", F.lit("/"), "__branch")).drop("__seg", "__branch", f"__s{i}")
+        at = at.join(fresh(named, "host", "template"), ["host", "template", "__seg"]).withColumn("template", F.concat("template", F.lit("/"), "__branch")).drop("__seg", "__branch", f"__s{i}")
     return at.checkpoint()
 
 
@@ -95,7 +96,7 @@ def judge(pages: DataFrame, labels: DataFrame, key: Column, rules: tuple = RULES
     found = templates(rows)
     purity = found.groupBy("host", "template").agg((F.coalesce(F.sum("bad"), F.lit(0)).cast("double") + PRIOR * PRIOR_WEIGHT).alias("k"), (F.count("bad").cast("double") + PRIOR_WEIGHT).alias("n")).select("host", "template", (F.col("k") >= REJECT * F.col("n")).alias("__bad"))
     rule = rule_of(F.col("host"), F.col("path"), rules)
-    out = found.join(purity, ["host", "template"]).withColumn("rule", rule)
+    out = found.join(fresh(purity, "host", "template"), ["host", "template"]).withColumn("rule", rule)
     return out.select("page_id", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), F.when(F.col("__bad"), "block").otherwise("allow")).alias("verdict"), "template")
 
 
