@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_bytes, chunks, map_arrow, shared_folder
+from .base import as_bytes, chunks, fresh, map_arrow, shared_folder
 
 SPAN = 400
 GRAM = 128
@@ -228,12 +228,11 @@ def remove_repeats(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = map_arrow(docs.filter(F.octet_length("text") >= SPAN).select("key", "text"), _rows, "anchor long, d1 long, d2 long, key binary, lo long, hi long").checkpoint()
     shared = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    # as an expression, so that the count is not bound to the join's partitions and those of hot anchors can be split
-    anchor = F.col("anchor").bitwiseXOR(F.lit(0).cast("long")).alias("anchor")
-    again = rows.join(shared, "anchor", "left_semi").select(anchor, "d1", "d2", "key", "lo", "hi").groupBy("anchor", "d1", "d2", "key", "lo", "hi").agg(F.count("*").alias("n")).checkpoint()
+    # neither the count before the join nor the one after it is bound to its partitions, so those of hot anchors can be split
+    again = fresh(rows.join(fresh(shared, "anchor"), "anchor", "left_semi"), "anchor").groupBy("anchor", "d1", "d2", "key", "lo", "hi").agg(F.count("*").alias("n")).checkpoint()
     alike = again.groupBy("anchor", "d1", "d2").agg(F.sum("n").alias("n"), F.min(F.struct("key", "lo")).alias("one"))
     kinds = alike.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    state = alike.join(kinds, "anchor").select("anchor", "d1", "d2", (F.col("n") > 1).alias("full"), "one", "kinds")
+    state = fresh(alike, "anchor").join(fresh(kinds, "anchor"), "anchor").select("anchor", "d1", "d2", (F.col("n") > 1).alias("full"), "one", "kinds")
     told = again.join(state, ["anchor", "d1", "d2"]).select(
         "key", F.struct("lo", "hi", "anchor", "full", ((F.col("kinds") > 1) & (F.struct("key", "lo") == F.col("one"))).alias("send"), (F.col("kinds") > bucket).alias("large")).alias("run")
     )
