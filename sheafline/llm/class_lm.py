@@ -4,19 +4,24 @@ A text is its words, lower-cased (ASCII), and one end. Every word belongs to a c
 
     log10 P(text) = sum of log10 P(class | class before) + log10 P(word | class)
 
-Word types are the LEXICON most frequent words, the end, and for all other words, seen or not, FORMS types by their form
-(a hash of the last bytes and of which kinds of character occur). Exchange clustering moves each type in turn to the class
-that gives the training tokens the highest likelihood under the class bigram model, until no move helps. It needs nothing
-but the counts of pairs of types, which are gathered over all training tokens; their number is bounded by the types, not
-by the corpus.
+Every word seen LEAST_SEEN times or more is a type of its own, however many there are; all other words, seen or not, share
+FORMS types by their form (a hash of the last bytes and of which kinds of character occur). Classes are found in two steps:
 
-P(word | class) = P(type | class) * P(word | type). Within a form type, a word seen n times has (n - DISCOUNT) of the
-type's tokens; what is discounted is left for unseen words, spread over one more than the vocabulary's size. Class
-transitions are interpolated with class frequencies (Witten-Bell).
+* Exchange clustering of the core, that is the LEXICON most frequent words, the end and the forms: each type in turn moves to
+  the class that gives the training tokens the highest likelihood under the class bigram model, until no move helps. It
+  needs the counts of pairs of core types, gathered over all training tokens.
+* One exchange step for every other word, in parallel: its counts of neighbours by class are gathered by word, and it goes
+  from its form's class to the class that raises the likelihood most, the table of the core held fixed.
+
+Class bigrams are then counted again over all training tokens with the words' final classes.
+
+P(word | class) is a word's share of its class. A form has the share of its words, and P(word | form): a word seen n times
+has (n - DISCOUNT) of the form's tokens; what is discounted is left for unseen words, spread over one more than the
+vocabulary's size. Class transitions are interpolated with class frequencies (Witten-Bell).
 
 Word counts are exact over all training tokens, whatever their number. The HEAD most frequent words are broadcast (a size
-bound that the choice of a least count keeps); all other words are counted by document, joined with the counts by word
-and summed by row. So no word with many tokens is ever shuffled by occurrence, and none is left out.
+bound that the choice of a least count keeps); the places of all other words are joined by word with counts and classes and
+put into their row's sequence of classes. So no word with many tokens is ever shuffled by occurrence, and none is left out.
 
 Null texts are empty: one end token. Rows of equal doc_id are scored apart. Without training rows every count is 0.
 """
@@ -35,6 +40,8 @@ from .base import as_bytes, chunks, map_arrow, shared_folder
 
 LEXICON = 639
 FORMS = 384
+#: Occurrences in training from which a word has a class by its own contexts.
+LEAST_SEEN = 5
 CLASSES = 48
 #: Most words whose counts are broadcast.
 HEAD = 200_000
@@ -43,6 +50,9 @@ SWEEPS = 12
 #: Different words a worker counts before it hands them on.
 _FLUSH = 300_000
 _CELLS = 1 << 14
+#: Counts of neighbours a worker holds before it hands them on.
+_HELD = 4_000_000
+_OPEN = 255  # class of a word that is to be joined
 _END = b" "  # no word has a space
 
 
@@ -139,6 +149,121 @@ def _xlogx(x):
     return np.where(x > 0, x * np.log(np.maximum(x, 1.0)), 0.0)
 
 
+def gains(table: np.ndarray, left: np.ndarray, right: np.ndarray, go: np.ndarray, come: np.ndarray, itself: float) -> np.ndarray:
+    """Gain of adding a type with these counts to and from classes (and itself) to each class; the last takes none."""
+    n_out, n_in = go.sum() + itself, come.sum() + itself
+    # rows, columns, and the cell where both change
+    rows = (_xlogx(table + go[None, :]) - _xlogx(table)).sum(1)
+    cols = (_xlogx(table + come[:, None]) - _xlogx(table)).sum(0)
+    d = table.diagonal()
+    cross = _xlogx(d + go + come + itself) - _xlogx(d + go) - _xlogx(d + come) + _xlogx(d)
+    gain = rows + cols + cross - (_xlogx(left + n_out) - _xlogx(left)) - (_xlogx(right + n_in) - _xlogx(right))
+    gain[-1] = -np.inf
+    return gain
+
+
+def step_of(table: np.ndarray, a: int, go: np.ndarray, come: np.ndarray, itself: float) -> int:
+    """The class to which exchange takes a type of class a; go and come have its neighbours of its own class without
+    itself. Empty classes take none: words that move in parallel would all meet there."""
+    table = table.copy()
+    table[a] -= go
+    table[:, a] -= come
+    table[a, a] -= itself
+    left, right = table.sum(1), table.sum(0)
+    gain = gains(table, left, right, go, come, itself)
+    gain[(left + right == 0) & (np.arange(len(table)) != a)] = -np.inf
+    b = int(np.argmax(gain))
+    return b if gain[b] > gain[a] + 1e-9 else a
+
+
+def neighbours(texts: DataFrame, place: dict[bytes, int], kind: np.ndarray, own: np.ndarray, of: np.ndarray, forms_at: int, tail: bool) -> DataFrame:
+    """(word, in_head, cells) of the words to which `own` points in the head and, if tail, of all words outside the head:
+    counts of neighbours by class before, class after, and of the word after itself, in parts to be added."""
+    shared = texts.sparkSession.sparkContext.broadcast((place, kind, own, of))
+    width = 2 * CLASSES + 1
+
+    def run(batches):
+        place, kind, own, of = shared.value
+        at, names = place.get, list(place)
+        heads = len(names)
+        far: dict[bytes, int] = {}
+        held, n_held = [], 0
+
+        def out():
+            if held:
+                code = np.concatenate([c for c, _ in held])
+                order = np.argsort(code, kind="stable")
+                code, n = code[order], np.concatenate([k for _, k in held])[order]
+                first = np.nonzero(np.concatenate([[True], code[1:] != code[:-1]]))[0]
+                code, n = code[first], np.add.reduceat(n, first)
+                word = code // width
+                start = np.nonzero(np.concatenate([[True], word[1:] != word[:-1]]))[0]
+                cells = np.stack([code % width, n], axis=1).astype("<i4")
+                bounds, tails = np.append(start, len(code)), list(far)
+                for i in range(0, len(start), 20_000):
+                    part = word[start[i : i + 20_000]].tolist()
+                    b = bounds[i : i + 20_001]
+                    packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(((b - b[0]) * 8).astype("<i4").tobytes()), pa.py_buffer(cells[b[0] : b[-1]].tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array([names[w] if w < heads else tails[w - heads] for w in part], pa.binary()), pa.array([w < heads for w in part]), packed], ["word", "in_head", "cells"])
+            held.clear()
+            far.clear()
+
+        for batch in batches:
+            for part in chunks(batch):
+                ids, types = [-1], [0]
+                for data in as_bytes(part.column("text")):
+                    for w in tokens(data):
+                        i = at(w, -1)
+                        if i >= 0:
+                            ids.append(i if own[i] else -1)
+                            types.append(kind[i])
+                        else:
+                            ids.append(heads + far.setdefault(w, len(far)) if tail else -1)
+                            types.append(forms_at + form(w))
+                    ids.append(-1)
+                    types.append(0)
+                word, cls = np.array(ids, "i8"), of[np.array(types, "i8")]
+                use = np.nonzero(word >= 0)[0]
+                if not len(use):
+                    continue
+                w = word[use]
+                same = use[word[use] == word[use + 1]]
+                code, n = np.unique(np.concatenate([w * width + cls[use - 1], w * width + CLASSES + cls[use + 1], word[same] * width + 2 * CLASSES]), return_counts=True)
+                held.append((code, n))
+                n_held += len(code)
+                if n_held > _HELD or len(far) > _FLUSH:
+                    yield from out()
+                    n_held = 0
+        yield from out()
+
+    return map_arrow(texts.select("text"), run, "word binary, in_head boolean, cells binary")
+
+
+def word_classes(cells: DataFrame, table: np.ndarray, of_form: np.ndarray) -> DataFrame:
+    """(word, in_head, cls): the class of every word seen LEAST_SEEN times or more, by one exchange step from its form's."""
+    shared = cells.sparkSession.sparkContext.broadcast((table.astype("f8"), of_form))
+
+    def run(batches):
+        table, of_form = shared.value
+        for batch in batches:
+            words, heads, cls = [], [], []
+            for w, h, parts in zip(batch.column("word").to_pylist(), batch.column("in_head").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                cell = np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2)
+                n = np.bincount(cell[:, 0], cell[:, 1], 2 * CLASSES + 1)
+                come, go, itself = n[:CLASSES], n[CLASSES:-1], n[-1]
+                if come.sum() < LEAST_SEEN:
+                    continue
+                a = int(of_form[form(w)])
+                come[a] -= itself
+                go[a] -= itself
+                words.append(w)
+                heads.append(h)
+                cls.append(step_of(table, a, go, come, itself))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(heads, pa.bool_()), pa.array(cls, pa.int64())], ["word", "in_head", "cls"])
+
+    return map_arrow(cells.groupBy("word", "in_head").agg(F.collect_list("cells").alias("cells")), run, "word binary, in_head boolean, cls long")
+
+
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of every type; the end (type 0) keeps a class of its own, the last."""
     n = len(pairs)
@@ -168,13 +293,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             table[a, a] -= itself
             left[a] -= n_out
             right[a] -= n_in
-            # gain of adding it to each class: rows, columns, and the cell where both change
-            rows = (_xlogx(table + go[None, :]) - _xlogx(table)).sum(1)
-            cols = (_xlogx(table + come[:, None]) - _xlogx(table)).sum(0)
-            d = table.diagonal()
-            cross = _xlogx(d + go + come + itself) - _xlogx(d + go) - _xlogx(d + come) + _xlogx(d)
-            gain = rows + cols + cross - (_xlogx(left + n_out) - _xlogx(left)) - (_xlogx(right + n_in) - _xlogx(right))
-            gain[classes - 1] = -np.inf
+            gain = gains(table, left, right, go, come, itself)
             b = int(np.argmax(gain))
             if gain[b] <= gain[a] + 1e-9:
                 b = a
@@ -195,6 +314,14 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+def transitions(table: np.ndarray) -> np.ndarray:
+    """P(class | class before) of a table of class bigrams."""
+    came = table.sum(0)
+    plain = (came + 1) / (came.sum() + len(table))
+    kinds = np.maximum((table > 0).sum(1), 1)
+    return (table + kinds[:, None] * plain) / (table.sum(1) + kinds)[:, None]
+
+
 class Model:
     """What scoring needs: log10 probabilities by type, and sums of tokens and of seen words by form type."""
 
@@ -203,13 +330,9 @@ class Model:
         one = np.zeros((types.size, classes))
         one[np.arange(types.size), of] = 1
         table = one.T @ pairs @ one
-        came = table.sum(0)
-        plain = (came + 1) / (came.sum() + classes)
-        kinds = np.maximum((table > 0).sum(1), 1)
-        step = (table + kinds[:, None] * plain) / (table.sum(1) + kinds)[:, None]
         count = pairs.sum(0) + 0.5
         emit = count / (one.T @ count)[of]
-        self.step = np.log10(step)[of][:, of].astype("f8") + np.log10(emit)[None, :]  # by type and the type before
+        self.step = np.log10(transitions(table))[of][:, of].astype("f8") + np.log10(emit)[None, :]  # by type and the type before
         self.form_tokens, self.form_words, self.vocabulary = form_tokens, form_words, vocabulary
 
     def within(self, n: np.ndarray, forms: np.ndarray) -> np.ndarray:
@@ -220,6 +343,11 @@ class Model:
         return np.log10(np.where(n > 0, np.maximum(seen, 1e-300), unseen))
 
 
+def _form_share(model: Model, n: np.ndarray, forms: np.ndarray) -> np.ndarray:
+    """log10 of the tokens, of those of its class, that a word of a form type seen n times has."""
+    return np.log10(model.form_tokens[forms] + 0.5) + model.within(n, forms)
+
+
 def score(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, by a model of the rows where
     held_out is false."""
@@ -250,7 +378,7 @@ def score(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ()) -> Data
         tokens_of, words_of = np.zeros(FORMS, "i8"), np.zeros(FORMS, "i8")
         for batch in batches:
             for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                if w not in own.number and w != _END:
+                if n < LEAST_SEEN and w not in own.number and w != _END:
                     f = form(w)
                     tokens_of[f] += n
                     words_of[f] += 1
@@ -259,21 +387,28 @@ def score(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ()) -> Data
     form_tokens, form_words = np.zeros(FORMS, "i8"), np.zeros(FORMS, "i8")
     for r in vocab.mapInArrow(by_form, "form long, tokens long, words long").groupBy("form").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect():
         form_tokens[r["form"]], form_words[r["form"]] = r["tokens"], r["words"]
-    model = Model(types, exchange(pairs), pairs, form_tokens, form_words, n_words)
-    # by head word: its type, count, base term and term within its form type
+    of = exchange(pairs)
+    model = Model(types, of, pairs, form_tokens, form_words, n_words)
+    # by head word: its count, type and class, and the log10 of its tokens within its class
     names = list(counts)
+    place = {w: i for i, w in enumerate(names)}
     n = np.array([counts[w] for w in names], "f8")
     kind = np.array([numbers[w] for w in names], "i8")
     base_unit = np.log10(float((n_tokens + 1) * (n_words + 1)))
     in_form = kind >= types.forms_at
-    inner = np.where(in_form, model.within(n, np.where(in_form, kind - types.forms_at, 0)), 0.0)
-    place = {w: i for i, w in enumerate(names)}
+    one = np.eye(CLASSES)[of]
+    tail = not vocab.filter(~in_head & (F.col("n") >= LEAST_SEEN)).isEmpty()
+    found = word_classes(neighbours(train, place, kind, in_form & (n >= LEAST_SEEN), of, types.forms_at, tail), one.T @ pairs @ one, of[types.forms_at :]).checkpoint()
+    cls = of[kind]
+    for r in found.filter("in_head").select("word", "cls").toLocalIterator():
+        cls[place[bytes(r["word"])]] = r["cls"]
+    share = np.where(in_form & (n < LEAST_SEEN), _form_share(model, n, np.where(in_form, kind - types.forms_at, 0)), np.log10(np.maximum(n, 0.5)))
     end_n = float(counts.get(_END, 0))
-    shared = spark.sparkContext.broadcast((types, model, place, kind, np.log10(n + 1) - base_unit, inner))
+    shared = spark.sparkContext.broadcast((place, cls.astype("u1"), np.log10(n + 1) - base_unit, share))
     fields = ["__row", "doc_id", "held_out", *keep]
 
     def run(batches):
-        types, model, place, kind, base, inner = shared.value
+        place, cls, base, share = shared.value
         at = place.get
         for batch in batches:
             for part in chunks(batch):
@@ -281,47 +416,85 @@ def score(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ()) -> Data
                 for row, data in zip(rows, as_bytes(part.column("text")), strict=True):
                     words = tokens(data)
                     index = np.fromiter((at(w, -1) for w in words), "i8", len(words))
-                    rare = np.nonzero(index < 0)[0]
-                    type_of = kind[index] if len(kind) else np.zeros(len(words), "i8")
-                    if len(rare):
-                        here = [words[i] for i in rare.tolist()]
-                        forms = [form(w) for w in here]
-                        type_of[rare] = np.array(forms) + types.forms_at
-                        for (w, f), k in Counter(zip(here, forms, strict=True)).items():
-                            tail[0].append(row)
-                            tail[1].append(w)
-                            tail[2].append(k)
-                            tail[3].append(f)
+                    places: dict[bytes, list[int]] = {}
+                    for i in np.nonzero(index < 0)[0].tolist():
+                        places.setdefault(words[i], []).append(i)
+                    for w, where in places.items():
+                        tail[0].append(row)
+                        tail[1].append(w)
+                        tail[2].append(np.array(where, "<i4").tobytes())
+                        tail[3].append(form(w))
                     known = index[index >= 0]
-                    seq = np.concatenate([[0], type_of, [0]])
-                    local.append((len(words) + 1, len(known) + (end_n > 0), float(base[known].sum()) + np.log10(end_n + 1) - base_unit, float(model.step[seq[:-1], seq[1:]].sum()) + float(inner[known].sum())))
-                total, known, base_sum, sum_ = zip(*local, strict=True)
+                    seq = np.full(len(words) + 1, _OPEN, "u1")
+                    seq[-1] = CLASSES - 1
+                    seq[:-1][index >= 0] = cls[known] if len(known) else 0
+                    local.append((len(words) + 1, len(known) + (end_n > 0), float(base[known].sum()) + np.log10(end_n + 1) - base_unit, float(share[known].sum()) + np.log10(max(end_n, 0.5)), seq.tobytes()))
+                total, known, base_sum, sum_, seqs = zip(*local, strict=True)
                 n, m = len(rows), len(tail[0])
                 null = lambda k: pa.nulls(m, k)
                 columns = [pa.concat_arrays([part.column(c).combine_chunks() if isinstance(part.column(c), pa.ChunkedArray) else part.column(c), pa.array(tail[0], pa.int64()) if c == "__row" else null(part.column(c).type)]) for c in fields]
-                columns += [pa.array([*(b"\n%d" % r for r in rows), *tail[1]], pa.binary()), pa.array([*total, *[0] * m], pa.int64()), pa.array([*known, *[0] * m], pa.int64()), pa.array([*base_sum, *[0.0] * m]), pa.array([*sum_, *[0.0] * m]), pa.array([*[0] * n, *tail[2]], pa.int64()), pa.array([*[-1] * n, *tail[3]], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, [*fields, "word", "n_tokens", "n_known", "base_score", "score", "times", "form"])
+                columns += [pa.array([*(b"\n%d" % r for r in rows), *tail[1]], pa.binary()), pa.array([*total, *[None] * m], pa.int64()), pa.array([*known, *[None] * m], pa.int64()), pa.array([*base_sum, *[None] * m], pa.float64()), pa.array([*sum_, *[None] * m], pa.float64()), pa.array([*seqs, *[None] * m], pa.binary()), pa.array([*[None] * n, *tail[2]], pa.binary()), pa.array([*[None] * n, *tail[3]], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [*fields, "word", "n_tokens", "n_known", "base_score", "score", "seq", "places", "form"])
 
     ready = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "text", held_out.alias("held_out"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema if f.name != "text") + ", word binary, n_tokens long, n_known long, base_score double, score double, times long, form long"
-    parts = map_arrow(ready, run, schema)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema if f.name not in ("text", "__row"))
+    sums = "n_tokens long, n_known long, base_score double, score double, seq binary"
+    parts = map_arrow(ready, run, f"__row long, {kept}, word binary, {sums}, places binary, form long")
     # rows that tell of a document itself have a word that no text has, and so find no count
-    rare = vocab.filter(~in_head).select(F.col("word").alias("__word"), F.col("n").alias("__n"))
-    joined = parts.join(rare, parts["word"] == rare["__word"], "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
-    totals = spark.createDataFrame([(i, int(form_tokens[i]), int(form_words[i])) for i in range(FORMS)], "form long, __tokens long, __words long")
-    joined = joined.join(F.broadcast(totals), "form", "left")
-    unseen = F.when(F.col("__tokens") > 0, DISCOUNT * F.col("__words") / F.greatest(F.col("__tokens"), F.lit(1))).otherwise(1.0) / float(n_words + 1)
-    within = F.log10(F.when(F.col("__n") > 0, (F.col("__n") - DISCOUNT) / F.greatest(F.col("__tokens"), F.lit(1))).otherwise(unseen))
-    rare_row = F.col("times") > 0
-    return (
-        joined.groupBy("__row")
-        .agg(
-            *(F.max(c).alias(c) for c in fields[1:]),
-            F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(rare_row & (F.col("__n") > 0), F.col("times")).otherwise(0)).alias("n_known"),
-            F.lit(int(n_tokens)).cast("long").alias("train_tokens"),
-            F.sum(F.col("base_score") + F.when(rare_row, F.col("times") * (F.log10(F.col("__n") + 1.0) - float(base_unit))).otherwise(0.0)).alias("base_score"),
-            F.sum(F.col("score") + F.when(rare_row, F.col("times") * within).otherwise(0.0)).alias("score"),
-        )
-        .drop("__row")
-    )
+    rare = vocab.filter(~in_head).join(found.filter(~F.col("in_head")).select("word", "cls"), "word", "left").select(F.col("word").alias("__word"), F.col("n").alias("__n"), F.col("cls").alias("__cls"))
+    joined = parts.join(rare, parts["word"] == rare["__word"], "left")
+    open_words = F.when(F.col("places").isNotNull(), F.struct("places", "form", F.coalesce("__n", F.lit(0)).alias("n"), F.coalesce("__cls", F.lit(-1)).alias("cls")))
+    grouped = joined.groupBy("__row").agg(*(F.max(c).alias(c) for c in [*fields[1:], "n_tokens", "n_known", "base_score", "score", "seq"]), F.collect_list(open_words).alias("__open"))
+    whole = spark.sparkContext.broadcast((model, of[types.forms_at :]))
+
+    def fill(batches):
+        model, of_form = whole.value
+        for batch in batches:
+            size = batch.column("n_tokens").to_numpy(zero_copy_only=False)
+            seq = np.frombuffer(b"".join(batch.column("seq").to_pylist()), "u1").copy()
+            start = np.cumsum(size) - size
+            known, base, own = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("n_known", "base_score", "score"))
+            lists = batch.column("__open")
+            items = lists.flatten()
+            if len(items):
+                row = np.repeat(np.arange(len(size)), np.diff(lists.offsets.to_numpy()))
+                where = items.field("places").to_pylist()
+                times = np.array([len(x) // 4 for x in where])
+                n, forms, cls = (items.field(c).to_numpy(zero_copy_only=False) for c in ("n", "form", "cls"))
+                seq[np.repeat(start[row], times) + np.frombuffer(b"".join(where), "<i4")] = np.repeat(np.where(cls < 0, of_form[forms], cls), times)
+                share = np.where(cls < 0, _form_share(model, n, forms), np.log10(np.maximum(n, 1)))
+                np.add.at(known, row, np.where(n > 0, times, 0))
+                np.add.at(base, row, times * (np.log10(n + 1.0) - base_unit))
+                np.add.at(own, row, times * share)
+            filled = [seq[a : a + k].tobytes() for a, k in zip(start, size, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields[1:]), batch.column("n_tokens"), pa.array(known), pa.array(base), pa.array(own), pa.array(filled, pa.binary())], [*fields[1:], "n_tokens", "n_known", "base_score", "score", "seq"])
+
+    filled = map_arrow(grouped.drop("__row"), fill, f"{kept}, {sums}").checkpoint()
+
+    def bigrams(batches):
+        total = np.zeros(CLASSES * CLASSES, "i8")
+        for batch in batches:
+            seq = np.frombuffer(bytes([CLASSES - 1]) + b"".join(batch.column("seq").to_pylist()), "u1").astype("i8")
+            total += np.bincount(seq[:-1] * CLASSES + seq[1:], minlength=CLASSES * CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(total)[0]), pa.array(total[total > 0])], ["cell", "n"])
+
+    table = np.zeros(CLASSES * CLASSES)
+    for r in map_arrow(filled.filter(~F.col("held_out")).select("seq"), bigrams, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        table[r["cell"]] = r["n"]
+    table = table.reshape(CLASSES, CLASSES)
+    # forms have half a token more than seen, and an end that was never seen has half a token
+    size = table.sum(0) + 0.5 * np.bincount(of[types.forms_at :], minlength=CLASSES)
+    size[CLASSES - 1] = max(size[CLASSES - 1], 0.5)
+    step = np.log10(transitions(table)) - np.log10(np.maximum(size, 0.5))[None, :]
+
+    def judge(batches):
+        for batch in batches:
+            own = batch.column("score").to_numpy(zero_copy_only=False).copy()
+            for i, data in enumerate(batch.column("seq").to_pylist()):
+                seq = np.frombuffer(data, "u1")
+                own[i] += step[CLASSES - 1, seq[0]] + step[seq[:-1], seq[1:]].sum()
+            yield pa.RecordBatch.from_arrays([*(pa.array(own) if c == "score" else batch.column(c) for c in names_out)], names_out)
+
+    names_out = [*fields[1:], "n_tokens", "n_known", "base_score", "score"]
+    judged = map_arrow(filled, judge, f"{kept}, n_tokens long, n_known long, base_score double, score double")
+    return judged.select(*fields[1:], "n_tokens", "n_known", F.lit(int(n_tokens)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -234,6 +234,31 @@ def test_exchange_and_probabilities():
     assert np.allclose((10**model.step).sum(1), 1)
 
 
+def test_every_word_with_contexts_is_clustered(spark, monkeypatch):
+    """Words outside the lexicon, in the head or not, get their class by their own neighbours."""
+    monkeypatch.setattr(class_lm, "LEXICON", 8)
+    dice = random.Random(3)
+    common = [["north", "east", "south", "west"], ["red", "blue", "green", "black"]]
+    names = [[f"n{k:03d}{e}" for e in ("ab", "cd") for k in range(30)], [f"m{k:03d}{e}" for e in ("ab", "cd") for k in range(30)]]
+    rows = []
+    for i in range(400):
+        words = []
+        for _ in range(30):  # a word of kind 0 stands before one of kind 1, and they bear no kind in their form
+            words += [dice.choice([*common[0] * 15, *names[0]]), dice.choice([*common[1] * 15, *names[1]])]
+        rows.append((i, " ".join(words), "en", "s", 0))
+    texts = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    held = remainder("doc_id", 7) == 2
+    right, wrong = " ".join(f"{a} {b}" for a, b in zip(*names, strict=True)), " ".join([*names[0], *names[1]])
+    both = texts.unionByName(spark.createDataFrame([(9001, right, "en", "s", 0), (9002, wrong, "en", "s", 0)], SCHEMA))
+    held = held | (F.col("doc_id") > 9000)
+    got = {}
+    for head in (200_000, 30):
+        monkeypatch.setattr(class_lm, "HEAD", head)
+        got[head] = {r["doc_id"]: r["score"] for r in class_lm.score(both, held).collect()}
+        assert got[head][9001] > got[head][9002] + 20
+    assert all(abs(got[30][k] - v) < 1e-6 for k, v in got[200_000].items())
+
+
 # near-duplicates
 
 
