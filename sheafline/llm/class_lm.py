@@ -364,7 +364,11 @@ def score(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ()) -> Data
         if held + words > HEAD:
             break
         least, held = e, held + words
-    in_head = F.lit(False) if least is None else (eighths >= least) | (F.col("word") == F.lit(_END))
+    chosen = F.lit(False) if least is None else eighths >= least
+    if least is None and steps:  # the topmost words alone are too many: the first of them by count and word
+        last = vocab.filter(eighths == steps[0][0]).orderBy(F.desc("n"), "word").limit(HEAD).orderBy("n", F.desc("word")).first()
+        chosen = (F.col("n") > last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") <= F.lit(bytes(last["word"]))))
+    in_head = chosen | (F.col("word") == F.lit(_END))
     counts = {bytes(r["word"]): r["n"] for r in vocab.filter(in_head).select("word", "n").toLocalIterator()}
     lexicon = sorted((w for w in counts if w != _END), key=lambda w: (-counts[w], w))[:LEXICON]
     types = Types(lexicon)

@@ -259,6 +259,14 @@ def test_every_word_with_contexts_is_clustered(spark, monkeypatch):
     assert all(abs(got[30][k] - v) < 1e-6 for k, v in got[200_000].items())
 
 
+def test_head_of_words_of_one_count(spark, monkeypatch):
+    """More words of the highest count than the head holds: the end is known all the same."""
+    monkeypatch.setattr(class_lm, "HEAD", 5)
+    texts = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)), "en", "s", 0)], SCHEMA)
+    r = class_lm.score(texts, F.lit(False)).first()
+    assert (r["n_tokens"], r["n_known"]) == (21, 21) and abs(r["base_score"] - 21 * math.log10(2 / 22 / 22)) < 1e-9
+
+
 # near-duplicates
 
 
