@@ -302,16 +302,22 @@ def components(pairs: DataFrame) -> DataFrame:
         before = now
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE, cache: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable), one row for each row of docs."""
+def rooted(docs: DataFrame, shingle: int = SHINGLE, cache: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable) and root (a fingerprint that names the component alone), one
+    row for each row of docs."""
     shared_folder(docs.sparkSession)
     rows = cache(fingerprints(docs, shingle))
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(prints))
     least = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = least.join(of_root, "root").select(F.col("fp").alias("print"), "component_id")
-    return rows.join(named, rows["fp"] == named["print"]).select("doc_id", "fp", "component_id")
+    named = least.join(of_root, "root").select(F.col("fp").alias("print"), "component_id", "root")
+    return rows.join(named, rows["fp"] == named["print"]).select("doc_id", "fp", "component_id", "root")
+
+
+def classes(docs: DataFrame, shingle: int = SHINGLE, cache: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable), one row for each row of docs."""
+    return rooted(docs, shingle, cache).drop("root")
 
 
 def as_hex(fp):
@@ -321,14 +327,19 @@ def as_hex(fp):
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs with one document of each component: the one whose doc_id names it.
 
-    Of rows that share that doc_id one stays. Rows are judged by (doc_id, fp), so only keys are shuffled with the ids of
-    those to go; null doc_ids go only if their component has another document.
+    Rows with a doc_id of their own are judged by it, so only keys are shuffled with the ids of those to go. Null and
+    repeated doc_ids tell no rows apart: their rows are judged by doc_id and fp together, and of rows equal in both one
+    stays, if their component has no other document that names it.
     """
-    found = classes(docs, shingle)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    found = rooted(docs, shingle).checkpoint()
+    shared = found.groupBy("doc_id").count().filter("doc_id is null or count > 1").select(F.col("doc_id").alias("__again"))
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").isNotNull()).select("doc_id")
+    gone = gone.unionByName(shared.select(F.col("__again").alias("doc_id"))).distinct().select(F.col("doc_id").alias("__gone"))
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
-    repeated = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again"))
-    if repeated.isEmpty():
+    if shared.isEmpty():
         return kept
-    again = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["__again"]), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["__again"]), "left_anti").unionByName(again)
+    named = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "doc_id")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__fp"))
+    again = docs.join(shared, docs["doc_id"].eqNullSafe(shared["__again"]), "left_semi")
+    again = fingerprints(again.select("doc_id", "text", F.struct("*").alias("__doc")), shingle, keep=("__doc",)).dropDuplicates(["doc_id", "fp"])
+    again = again.join(named, (again["fp"] == named["__fp"]) & again["doc_id"].eqNullSafe(named["__id"]), "left_semi")
+    return kept.unionByName(again.select("__doc.*"))

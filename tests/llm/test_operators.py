@@ -326,6 +326,15 @@ def test_near_duplicates(spark, empty, odd):
     assert near_dups.one_of_each(odd).columns == odd.columns
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    """Null and repeated doc_ids: each component keeps one row, whatever the ids of others."""
+    text = [prose([f"{c}{i}" for i in range(60)], 40, 1) for c in "abcdef"]
+    rows = [(1, text[0]), (None, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (7, text[3]), (7, text[4]), (7, text[0]), (8, text[5]), (8, text[5])]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in near_dups.one_of_each(d).collect()), key=repr)
+    assert got == sorted([(1, text[0]), (None, text[1]), (None, text[2]), (7, text[3]), (7, text[4]), (8, text[5])], key=repr)
+
+
 def test_large_groups_go_out_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "GROUP_ROWS", 3)
     import pyarrow as pa
