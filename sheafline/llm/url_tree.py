@@ -23,7 +23,7 @@ from .base import fresh, shared_folder
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Levels of the tree; deeper segments count as one segment at the last level.
+#: Least levels of the tree; it goes on to the deepest path.
 DEPTH = 4
 #: A segment is variable if a node has so many children, and more than one for each SHARE rows.
 LEAST_CHILDREN = 8
@@ -59,20 +59,22 @@ def verdict_of(rule: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def segments(path: Column, depth: int = DEPTH) -> list[Column]:
-    """The segments by level ($: the path has ended)."""
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    last = F.when(F.size(parts) >= depth, F.array_join(F.slice(parts, depth, 1 << 20), "/"))
-    return [*(F.coalesce(F.get(parts, i), F.lit("$")) for i in range(depth - 1)), F.coalesce(last, F.lit("$"))]
+def segments(path: Column) -> Column:
+    """The segments of a path, by level."""
+    return F.split(F.regexp_replace(path, "^/", ""), "/")
 
 
-def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """pages (with host, path and bad: 1, 0 or null) with the column template added."""
+def templates(pages: DataFrame) -> DataFrame:
+    """pages (with host, path and bad: 1, 0 or null) with the column template added: one branch a level, $ where the path
+    has ended."""
     shared_folder(pages.sparkSession)
-    at = pages.withColumns({f"__s{i}": s for i, s in enumerate(segments(F.col("path"), depth))}).withColumn("template", F.lit(""))
-    for i in range(depth):
-        at = at.checkpoint()  # a level is read several times by the next
-        seg = F.col(f"__s{i}")
+    at = pages.withColumn("__parts", segments(F.col("path"))).withColumn("template", F.lit(""))
+    at = at.checkpoint()
+    levels = max(DEPTH, at.agg(F.max(F.size("__parts"))).first()[0] or 0)
+    for i in range(levels):
+        if i:
+            at = at.checkpoint()  # a level is read several times by the next
+        seg = F.coalesce(F.get("__parts", F.lit(i)), F.lit("$"))
         children = at.groupBy("host", "template", seg.alias("__seg")).agg(F.count("*").alias("__n"))
         node = children.groupBy("host", "template").agg(((F.count("*") >= LEAST_CHILDREN) & (F.count("*") * SHARE > F.sum("__n"))).alias("__variable"))
         shape = F.regexp_replace(F.regexp_replace(seg, "[A-Za-z]+", "a"), "[0-9]+", "0")
@@ -83,8 +85,8 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         n, k, rest, rest_k = F.col("n"), F.col("k"), F.col("all_n") - F.col("n"), F.col("all_k") - F.col("k")
         apart = (n >= LEAST_LABELLED) & (rest >= LEAST_LABELLED) & ((k * rest - rest_k * n) * (k * rest - rest_k * n) * F.col("all_n") > Z_SQUARED * n * rest * F.col("all_k") * (F.col("all_n") - F.col("all_k")))
         named = branch.join(whole, ["host", "template"]).select("host", "template", "__seg", F.when(apart, F.col("__seg")).otherwise("~").alias("__branch"))
-        at = at.join(fresh(named, "host", "template"), ["host", "template", "__seg"]).withColumn("template", F.concat("template", F.lit("/"), "__branch")).drop("__seg", "__branch", f"__s{i}")
-    return at.checkpoint()
+        at = at.join(fresh(named, "host", "template"), ["host", "template", "__seg"]).withColumn("template", F.concat("template", F.lit("/"), "__branch")).drop("__seg", "__branch")
+    return at.drop("__parts").checkpoint()
 
 
 def judge(pages: DataFrame, labels: DataFrame, key: Column, rules: tuple = RULES) -> DataFrame:
@@ -101,7 +103,7 @@ def judge(pages: DataFrame, labels: DataFrame, key: Column, rules: tuple = RULES
 
 
 def oracle_sql(rules: tuple = RULES, depth: int = DEPTH) -> str:
-    """The same rows in DuckDB SQL, for the pages and labels tables."""
+    """The same rows in DuckDB SQL, for the pages and labels tables, if no path has more than `depth` segments."""
     best = "NULL"
     for name, start, _ in sorted(rules, key=lambda r: len(r[0] + r[1])):
         best = f"CASE WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{start}') THEN '{name}{start}' ELSE {best} END"

@@ -533,3 +533,19 @@ def test_urls(spark, empty):
     assert [by_id[1000 + i]["rule"] for i in (5, 6, 7, 9, 10)] == [None, "net/", "net/", "net/", "example.net/en/"]
     assert any(r["verdict"] == "block" and r["rule"] is None for r in rows)
     assert url_tree.judge(pages.limit(0), labels, key).count() == 0
+
+
+def test_deep_urls_keep_their_branches(spark):
+    import duckdb
+
+    rows = [(i, f"https://h.org/blog/2020/01/02/{'spam' if i % 3 else 'news'}/{i}") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, toxic int")
+    key = F.expr("try_cast(regexp_extract(url, '([0-9]+)$', 1) as bigint)")
+    got = url_tree.judge(pages, labels, key, rules=()).collect()
+    assert all(r["verdict"] == ("block" if r["page_id"] % 3 else "allow") for r in got) and len({r["template"] for r in got}) == 2
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    con.register("labels", labels.toPandas())
+    want = con.execute(url_tree.oracle_sql(depth=6)).fetchall()
+    assert sorted(map(tuple, url_tree.judge(pages, labels, key).collect()), key=repr) == sorted(want, key=repr)
