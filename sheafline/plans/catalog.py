@@ -418,10 +418,10 @@ def display_formats(spark, sf_dir):
 
 @query()
 def bundle_decisions(spark, sf_dir):
-    """Synthetic bundles through the whole dataflow: extraction, fields, checks and routes (as many as there are nations
-    times four)."""
+    """Synthetic bundles through the whole dataflow: extraction, fields, checks and routes (as many as there are
+    customers)."""
     from ..sources.generator import generate
     from .bundles import run
 
-    n = table(spark, sf_dir, "nation").count() * 4
+    n = table(spark, sf_dir, "customer").count()
     return run(generate(spark, n)).select("bundle_id", "route", F.array_join("reasons", ",").alias("reasons"))

@@ -36,6 +36,11 @@ def test_query(spark, name):
     assert a == b
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_bundles_grow_with_the_tables(spark):
+    assert catalog.queries()["bundle_decisions"](spark, str(DATA)).count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
+
+
 def test_entry_without_optional_parts(tmp_path):
     shutil.copytree(ROOT / "sheafline", tmp_path / "sheafline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
