@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds in derived arrays at a time; a longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
-#: Rows an Arrow batch may hold: texts can be long, so few.
-BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """mapInArrow with batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow. Spark bounds its batches by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB), so that long texts
+    come in few rows; `chunks` takes them on in smaller parts."""
     return df.mapInArrow(function, schema)
 
 
@@ -64,8 +62,10 @@ def as_bytes(col: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in col.cast(pa.binary()).to_pylist()]
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go where spark.checkpoint.dir says; only where it is unset (tests) to a local folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints and intermediate tables: that of spark.checkpoint.dir; where it is unset (as in tests) one
+    in the warehouse, which all executors share too."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sheafline-checkpoints")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()

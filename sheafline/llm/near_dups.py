@@ -248,25 +248,31 @@ def _links(batches):
 
 
 def _block_links(batches):
-    """Links of pairs of blocks; rows come sorted by pair and side, and a pair has two blocks at most."""
-    table = pa.Table.from_batches([*batches])
-    if not table.num_rows:
-        return
-    pair = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-    side = table.column("side").to_numpy()
-    fp = table.column("b").to_numpy().view("u8")
-    bounds = np.concatenate([[0], np.nonzero((pair[1:] != pair[:-1]).any(1))[0] + 1, [len(pair)]])
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        left, right = fp[lo:hi][side[lo:hi] == 0], fp[lo:hi][side[lo:hi] == 1]
-        made = np.array(forest(left, right if pair[lo, 1] != pair[lo, 2] else None), "u8").reshape(-1, 2).view("i8")
-        yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
+    """Links of pairs of blocks. Rows come sorted by pair and side; one pair, of two blocks at most, is held at a time."""
+    held: list[np.ndarray] = []  # rows of the pair in hand: key, i, j, side, fp
+
+    def done():
+        rows = np.concatenate(held)
+        held.clear()
+        left, right = (rows[rows[:, 3] == s, 4].view("u8") for s in (0, 1))
+        made = np.array(forest(left, right if rows[0, 1] != rows[0, 2] else None), "u8").reshape(-1, 2).view("i8")
+        return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype("i8") for c in ("key", "i", "j", "side", "b")], axis=1)
+        for part in np.split(rows, np.nonzero((rows[1:, :3] != rows[:-1, :3]).any(1))[0] + 1):
+            if held and (held[0][0, :3] != part[0, :3]).any():
+                yield done()
+            held.append(part)
+    if held:
+        yield done()
 
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links between different fingerprints of the column fp, enough for their components."""
-    spark = prints.sparkSession
     keyed = map_arrow(prints.select("fp"), _expand, "key long, fp long")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "a long, b long, key long, block long").checkpoint()
     direct = found.filter(F.col("key").isNull()).select("a", "b")
     large = found.filter(F.col("key").isNotNull())

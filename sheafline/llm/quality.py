@@ -17,7 +17,6 @@ from itertools import compress
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .base import as_bytes, chunks, map_arrow
 
@@ -88,6 +87,17 @@ def repeated_lines(data: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def measure(data: bytes, packer: zstandard.ZstdCompressor) -> tuple:
+    """n_words, the base measures, base_failed, kept and the three ratios of a text."""
+    words = data.split()
+    letters = b"".join(words)
+    n = len(words)
+    again = repeated_words(words)
+    failed = n < LEAST_WORDS or 100 * again > MOST_REPEATED * n
+    found = ratios(data, packer)
+    return n, len(letters.decode()), len(letters) - len(letters.translate(None, SYMBOLS)), repeated_lines(data), again, failed, not failed and verdict(len(data), *found), *found
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base measures, base_failed, kept and the three ratios, one row for each row of docs."""
 
@@ -95,18 +105,7 @@ def judge(docs: DataFrame) -> DataFrame:
         packer = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             for part in chunks(batch):
-                rows = []
-                for data in as_bytes(part.column("text")):
-                    words = data.split()
-                    letters = b"".join(words)
-                    n = len(words)
-                    chars = len(letters.decode())
-                    symbols = len(letters) - len(letters.translate(None, SYMBOLS))
-                    again = repeated_words(words)
-                    failed = n < LEAST_WORDS or 100 * again > MOST_REPEATED * n
-                    found = ratios(data, packer)
-                    rows.append((n, chars, symbols, repeated_lines(data), again, failed, not failed and verdict(len(data), *found), *found))
-                columns = list(zip(*rows, strict=True))
+                columns = list(zip(*(measure(data, packer) for data in as_bytes(part.column("text"))), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:5]), *(pa.array(c, pa.bool_()) for c in columns[5:7]), *(pa.array(c, pa.float64()) for c in columns[7:])], names)
 
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "least_chunk", "most_chunk"]
@@ -115,6 +114,12 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept (by key; rows that share a key and any of which is rejected go)."""
-    bad = judge(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of docs that are kept, each judged by its own text alone, with all their columns."""
+
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            for part in chunks(batch):
+                yield part.filter(pa.array([measure(data, packer)[6] for data in as_bytes(part.column("text"))], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema.simpleString()[7:-1])
