@@ -16,8 +16,8 @@ FORMS types by their form (a hash of the last bytes and of which kinds of charac
 Class bigrams are then counted again over all training tokens with the words' final classes.
 
 P(word | class) is a word's share of its class. A form has the share of its words, and P(word | form): a word seen n times
-has (n - DISCOUNT) of the form's tokens; what is discounted is left for unseen words, spread over one more than the
-vocabulary's size. Class transitions are interpolated with class frequencies (Witten-Bell).
+has (n - DISCOUNT) of the form's tokens; what is discounted is left for unseen words, of which a form is taken to have one
+more than it has seen ones. Class transitions are interpolated with class frequencies (Witten-Bell).
 
 Word counts are exact over all training tokens, whatever their number. The HEAD most frequent words are broadcast (a size
 bound that the choice of a least count keeps); the places of all other words are joined by word with counts and classes and
@@ -325,7 +325,7 @@ def transitions(table: np.ndarray) -> np.ndarray:
 class Model:
     """What scoring needs: log10 probabilities by type, and sums of tokens and of seen words by form type."""
 
-    def __init__(self, types: Types, of: np.ndarray, pairs: np.ndarray, form_tokens: np.ndarray, form_words: np.ndarray, vocabulary: int, classes: int = CLASSES):
+    def __init__(self, types: Types, of: np.ndarray, pairs: np.ndarray, form_tokens: np.ndarray, form_words: np.ndarray, classes: int = CLASSES):
         self.types = types
         one = np.zeros((types.size, classes))
         one[np.arange(types.size), of] = 1
@@ -333,13 +333,13 @@ class Model:
         count = pairs.sum(0) + 0.5
         emit = count / (one.T @ count)[of]
         self.step = np.log10(transitions(table))[of][:, of].astype("f8") + np.log10(emit)[None, :]  # by type and the type before
-        self.form_tokens, self.form_words, self.vocabulary = form_tokens, form_words, vocabulary
+        self.form_tokens, self.form_words = form_tokens, form_words
 
     def within(self, n: np.ndarray, forms: np.ndarray) -> np.ndarray:
         """log10 P(word | form type) of words seen n times in training."""
         total, words = self.form_tokens[forms], self.form_words[forms]
         seen = (n - DISCOUNT) / np.maximum(total, 1)
-        unseen = np.where(total > 0, DISCOUNT * words / np.maximum(total, 1), 1.0) / (self.vocabulary + 1)
+        unseen = np.where(total > 0, DISCOUNT * words / np.maximum(total, 1), 1.0) / (words + 1)
         return np.log10(np.where(n > 0, np.maximum(seen, 1e-300), unseen))
 
 
@@ -392,13 +392,13 @@ def score(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ()) -> Data
     for r in vocab.mapInArrow(by_form, "form long, tokens long, words long").groupBy("form").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect():
         form_tokens[r["form"]], form_words[r["form"]] = r["tokens"], r["words"]
     of = exchange(pairs)
-    model = Model(types, of, pairs, form_tokens, form_words, n_words)
+    model = Model(types, of, pairs, form_tokens, form_words)
     # by head word: its count, type and class, and the log10 of its tokens within its class
     names = list(counts)
     place = {w: i for i, w in enumerate(names)}
     n = np.array([counts[w] for w in names], "f8")
     kind = np.array([numbers[w] for w in names], "i8")
-    base_unit = np.log10(float((n_tokens + 1) * (n_words + 1)))
+    base_unit = np.log10(float(n_tokens + n_words + 1))
     in_form = kind >= types.forms_at
     one = np.eye(CLASSES)[of]
     tail = not vocab.filter(~in_head & (F.col("n") >= LEAST_SEEN)).isEmpty()

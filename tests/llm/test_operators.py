@@ -202,7 +202,7 @@ def test_class_model(docs, empty, odd):
     want = Counter()
     for r in rows:
         w = [*(r["text"] or "").encode().lower().split(), b" "]
-        want[(r["doc_id"], is_held(r["doc_id"]), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + 1) / (v + 1)) for x in w), 6))] += 1
+        want[(r["doc_id"], is_held(r["doc_id"]), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + 1 * (v + 1))) for x in w), 6))] += 1
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
     assert all(r["score"] < 0 for r in got) and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
     assert class_lm.score(empty, held).count() == 0
@@ -230,7 +230,7 @@ def test_exchange_and_probabilities():
     of = class_lm.exchange(pairs, classes=3)
     assert len({of[1], of[3], of[5]}) == 1 and len({of[2], of[4], of[6]}) == 1 and of[1] != of[2] and of[0] == 2
     types = class_lm.Types([b"w%d" % i for i in range(6)])
-    model = class_lm.Model(types, of, pairs, np.ones(class_lm.FORMS, "i8"), np.ones(class_lm.FORMS, "i8"), 10, classes=3)
+    model = class_lm.Model(types, of, pairs, np.ones(class_lm.FORMS, "i8"), np.ones(class_lm.FORMS, "i8"), classes=3)
     assert np.allclose((10**model.step).sum(1), 1)
 
 
@@ -264,7 +264,7 @@ def test_head_of_words_of_one_count(spark, monkeypatch):
     monkeypatch.setattr(class_lm, "HEAD", 5)
     texts = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)), "en", "s", 0)], SCHEMA)
     r = class_lm.score(texts, F.lit(False)).first()
-    assert (r["n_tokens"], r["n_known"]) == (21, 21) and abs(r["base_score"] - 21 * math.log10(2 / 22 / 22)) < 1e-9
+    assert (r["n_tokens"], r["n_known"]) == (21, 21) and abs(r["base_score"] - 21 * math.log10(2 / (21 + 21 + 1))) < 1e-9
 
 
 # near-duplicates
@@ -435,7 +435,7 @@ def test_repeated_spans(spark, bucket):
             q = p[at : at + dice.randint(200, 600)]
             parts += [q[:250] + "X" + q[251:] if dice.random() < 0.3 else q, text(dice.randint(0, 40))]
         rows.append((i, " ".join(parts)))
-    rows += [(100, "a" * 1000), (101, "ab" * 450), (102, None), (103, ""), (104, rows[0][1]), (104, rows[0][1]), (106, "é" * 300), (107, "a" * 401), (None, "q" * 399)]
+    rows += [(100, "a" * 1000), (101, "ab" * 450), (102, None), (103, ""), (104, rows[0][1]), (104, rows[0][1]), (106, "é" * 300), (107, "a" * 401), (None, "q" * 399), (108, f"{passages[0]} tail"), (109, f"{text(5)} {passages[1]} {passages[1]} {passages[1]} "), (110, "x" + "0123456789 unit " * 60)]
     got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bucket)
     assert sorted(map(tuple, got.collect()), key=repr) == spans_brute(rows)
 
@@ -449,6 +449,26 @@ def test_long_texts_in_segments(monkeypatch):
     whole = suffix.runs_of(np.frombuffer(data, "u1"))
     assert whole[0][0] == 0 and whole[1][-1] == len(data) - suffix.SPAN and (whole[0][1:] == whole[1][:-1] + 1).all()
 
+    def starts(rows):
+        """Anchor and distance from it of every start that the rows cover."""
+        out = {}
+        for anchors, names, lo, shape in rows:
+            for h, a, x in zip(anchors.tolist(), lo.tolist(), shape.tolist(), strict=True):
+                length, lead, step, times = suffix.unpack(x)
+                out |= {a + t * step + i: (h, lead - i) for t in range(times) for i in range(length + 1)}
+        return out
+
+    one = starts(suffix.rows_of(data))
+    monkeypatch.setattr(suffix, "SEGMENT", 700)
+    parts = suffix.rows_of(data)
+    assert len(parts) > 10 and starts(parts) == one and set(one) == set(range(len(data) - suffix.SPAN + 1))
+
+
+def test_periodic_texts_are_few_rows():
+    for unit in ("a", "abc", "0123456789 some longer unit of text, "):
+        rows = suffix.rows_of((unit * (40_000 // len(unit))).encode())
+        assert sum(len(r[0]) for r in rows) <= len(unit) + 300
+
 
 # token counts
 
