@@ -45,6 +45,10 @@ LEAST_SEEN = 5
 CLASSES = 48
 #: Most words whose counts are broadcast.
 HEAD = 200_000
+#: Words of the head that one row of neighbour counts stands for.
+HEAD_BLOCK = 1000
+#: Size of the filter for words outside the head that are to have a class (4 MB).
+TAIL_BITS = 1 << 25
 DISCOUNT = 0.5
 SWEEPS = 12
 #: Different words a worker counts before it hands them on.
@@ -176,19 +180,35 @@ def step_of(table: np.ndarray, a: int, go: np.ndarray, come: np.ndarray, itself:
     return b if gain[b] > gain[a] + 1e-9 else a
 
 
-def neighbours(texts: DataFrame, place: dict[bytes, int], kind: np.ndarray, own: np.ndarray, of: np.ndarray, forms_at: int, tail: bool) -> DataFrame:
-    """(word, in_head, cells) of the words to which `own` points in the head and, if tail, of all words outside the head:
-    counts of neighbours by class before, class after, and of the word after itself, in parts to be added."""
-    shared = texts.sparkSession.sparkContext.broadcast((place, kind, own, of))
+def known_tail(words: DataFrame) -> bytes:
+    """One bit for each remainder that the crc32 of one of these words has: what tells most other words apart before they
+    are shuffled. Its size is fixed; however full it is, no word of theirs is missed."""
+    bit = F.crc32("word") % TAIL_BITS + 1  # Spark's buckets of bits count from 1
+    out = bytearray(TAIL_BITS // 8)
+    for r in words.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits")).toLocalIterator():
+        at = (r["k"] - 1) * len(r["bits"])
+        out[at : at + len(r["bits"])] = r["bits"]
+    return bytes(out)
+
+
+def neighbours(texts: DataFrame, place: dict[bytes, int], kind: np.ndarray, own: np.ndarray, of: np.ndarray, forms_at: int, tail: bytes | None) -> DataFrame:
+    """(block, word, cells), in parts to be added: counts of neighbours by class before, class after, and of the word after
+    itself. A block stands for HEAD_BLOCK words of the head, of which only those count to which `own` points; the words
+    outside the head that `tail` (see known_tail; None: there are none) may mean have rows of their own."""
+    shared = texts.sparkSession.sparkContext.broadcast((place, kind, own, of, tail))
     width = 2 * CLASSES + 1
 
     def run(batches):
-        place, kind, own, of = shared.value
-        at, names = place.get, list(place)
-        heads = len(names)
+        place, kind, own, of, tail = shared.value
+        at, heads = place.get, len(place)
         far: dict[bytes, int] = {}
         held, n_held = [], 0
 
+        def tail_number(w: bytes) -> int:
+            if tail is None or not tail[(h := zlib.crc32(w) % TAIL_BITS) >> 3] >> (h & 7) & 1:
+                return -1
+            return heads + far.setdefault(w, len(far))
+
         def out():
             if held:
                 code = np.concatenate([c for c, _ in held])
@@ -196,15 +216,21 @@ def neighbours(texts: DataFrame, place: dict[bytes, int], kind: np.ndarray, own:
                 code, n = code[order], np.concatenate([k for _, k in held])[order]
                 first = np.nonzero(np.concatenate([[True], code[1:] != code[:-1]]))[0]
                 code, n = code[first], np.add.reduceat(n, first)
-                word = code // width
-                start = np.nonzero(np.concatenate([[True], word[1:] != word[:-1]]))[0]
-                cells = np.stack([code % width, n], axis=1).astype("<i4")
-                bounds, tails = np.append(start, len(code)), list(far)
+                in_head = int(np.searchsorted(code, heads * width))
+                pack = lambda code, n: np.stack([code, n], axis=1).astype("<i4")
+                block = code[:in_head] // (HEAD_BLOCK * width)
+                for k in np.unique(block).tolist():
+                    lo, hi = np.searchsorted(block, [k, k + 1])
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([None], pa.binary()), pa.array([pack(code[lo:hi] - k * HEAD_BLOCK * width, n[lo:hi]).tobytes()], pa.binary())], ["block", "word", "cells"])
+                word = code[in_head:] // width
+                start = np.nonzero(np.concatenate([[True], word[1:] != word[:-1]]))[0] if len(word) else np.zeros(0, "i8")
+                cells = pack(code[in_head:] % width, n[in_head:])
+                bounds, tails = np.append(start, len(word)), list(far)
                 for i in range(0, len(start), 20_000):
                     part = word[start[i : i + 20_000]].tolist()
                     b = bounds[i : i + 20_001]
                     packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(((b - b[0]) * 8).astype("<i4").tobytes()), pa.py_buffer(cells[b[0] : b[-1]].tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array([names[w] if w < heads else tails[w - heads] for w in part], pa.binary()), pa.array([w < heads for w in part]), packed], ["word", "in_head", "cells"])
+                    yield pa.RecordBatch.from_arrays([pa.array([None] * len(part), pa.int64()), pa.array([tails[w - heads] for w in part], pa.binary()), packed], ["block", "word", "cells"])
             held.clear()
             far.clear()
 
@@ -218,7 +244,7 @@ def neighbours(texts: DataFrame, place: dict[bytes, int], kind: np.ndarray, own:
                             ids.append(i if own[i] else -1)
                             types.append(kind[i])
                         else:
-                            ids.append(heads + far.setdefault(w, len(far)) if tail else -1)
+                            ids.append(tail_number(w))
                             types.append(forms_at + form(w))
                     ids.append(-1)
                     types.append(0)
@@ -236,32 +262,45 @@ def neighbours(texts: DataFrame, place: dict[bytes, int], kind: np.ndarray, own:
                     n_held = 0
         yield from out()
 
-    return map_arrow(texts.select("text"), run, "word binary, in_head boolean, cells binary")
+    return map_arrow(texts.select("text"), run, "block long, word binary, cells binary")
 
 
-def word_classes(cells: DataFrame, table: np.ndarray, of_form: np.ndarray) -> DataFrame:
-    """(word, in_head, cls): the class of every word seen LEAST_SEEN times or more, by one exchange step from its form's."""
-    shared = cells.sparkSession.sparkContext.broadcast((table.astype("f8"), of_form))
+def word_classes(cells: DataFrame, names: list[bytes], table: np.ndarray, of_form: np.ndarray) -> DataFrame:
+    """(at, word, cls): the class of every word seen LEAST_SEEN times or more, by one exchange step from its form's; words
+    of the head (`names`) by their place there, others by name."""
+    shared = cells.sparkSession.sparkContext.broadcast((names, table.astype("f8"), of_form))
+    width = 2 * CLASSES + 1
 
     def run(batches):
-        table, of_form = shared.value
+        names, table, of_form = shared.value
+
+        def class_of(w: bytes, n: np.ndarray) -> int | None:
+            come, go, itself = n[:CLASSES].astype("f8"), n[CLASSES:-1].astype("f8"), float(n[-1])
+            if come.sum() < LEAST_SEEN:
+                return None
+            a = int(of_form[form(w)])
+            come[a] -= itself
+            go[a] -= itself
+            return step_of(table, a, go, come, itself)
+
         for batch in batches:
-            words, heads, cls = [], [], []
-            for w, h, parts in zip(batch.column("word").to_pylist(), batch.column("in_head").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+            at, words, cls = [], [], []
+            for block, w, parts in zip(*(batch.column(c).to_pylist() for c in ("block", "word", "cells")), strict=True):
                 cell = np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2)
-                n = np.bincount(cell[:, 0], cell[:, 1], 2 * CLASSES + 1)
-                come, go, itself = n[:CLASSES], n[CLASSES:-1], n[-1]
-                if come.sum() < LEAST_SEEN:
-                    continue
-                a = int(of_form[form(w)])
-                come[a] -= itself
-                go[a] -= itself
-                words.append(w)
-                heads.append(h)
-                cls.append(step_of(table, a, go, come, itself))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(heads, pa.bool_()), pa.array(cls, pa.int64())], ["word", "in_head", "cls"])
-
-    return map_arrow(cells.groupBy("word", "in_head").agg(F.collect_list("cells").alias("cells")), run, "word binary, in_head boolean, cls long")
+                if block is None:
+                    found = [(None, w, class_of(w, np.bincount(cell[:, 0], cell[:, 1], width)))]
+                else:
+                    first = block * HEAD_BLOCK
+                    n = np.bincount(cell[:, 0], cell[:, 1], HEAD_BLOCK * width).reshape(-1, width)
+                    found = [(first + i, None, class_of(names[first + i], n[i])) for i in np.nonzero(n.any(1))[0].tolist()]
+                for i, w, c in found:
+                    if c is not None:
+                        at.append(i)
+                        words.append(w)
+                        cls.append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words, pa.binary()), pa.array(cls, pa.int64())], ["at", "word", "cls"])
+
+    return map_arrow(cells.groupBy("block", "word").agg(F.collect_list("cells").alias("cells")), run, "at long, word binary, cls long")
 
 
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -401,11 +440,12 @@ def score(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ()) -> Data
     base_unit = np.log10(float(n_tokens + n_words + 1))
     in_form = kind >= types.forms_at
     one = np.eye(CLASSES)[of]
-    tail = not vocab.filter(~in_head & (F.col("n") >= LEAST_SEEN)).isEmpty()
-    found = word_classes(neighbours(train, place, kind, in_form & (n >= LEAST_SEEN), of, types.forms_at, tail), one.T @ pairs @ one, of[types.forms_at :]).checkpoint()
+    clustered = vocab.filter(~in_head & (F.col("n") >= LEAST_SEEN))
+    tail = None if clustered.isEmpty() else known_tail(clustered)
+    found = word_classes(neighbours(train, place, kind, in_form & (n >= LEAST_SEEN), of, types.forms_at, tail), names, one.T @ pairs @ one, of[types.forms_at :]).checkpoint()
     cls = of[kind]
-    for r in found.filter("in_head").select("word", "cls").toLocalIterator():
-        cls[place[bytes(r["word"])]] = r["cls"]
+    for r in found.filter("at is not null").select("at", "cls").toLocalIterator():
+        cls[r["at"]] = r["cls"]
     share = np.where(in_form & (n < LEAST_SEEN), _form_share(model, n, np.where(in_form, kind - types.forms_at, 0)), np.log10(np.maximum(n, 0.5)))
     end_n = float(counts.get(_END, 0))
     shared = spark.sparkContext.broadcast((place, cls.astype("u1"), np.log10(n + 1) - base_unit, share))
@@ -445,7 +485,7 @@ def score(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ()) -> Data
     sums = "n_tokens long, n_known long, base_score double, score double, seq binary"
     parts = map_arrow(ready, run, f"__row long, {kept}, word binary, {sums}, places binary, form long")
     # rows that tell of a document itself have a word that no text has, and so find no count
-    rare = vocab.filter(~in_head).join(found.filter(~F.col("in_head")).select("word", "cls"), "word", "left").select(F.col("word").alias("__word"), F.col("n").alias("__n"), F.col("cls").alias("__cls"))
+    rare = vocab.filter(~in_head).join(found.filter("at is null").select("word", "cls"), "word", "left").select(F.col("word").alias("__word"), F.col("n").alias("__n"), F.col("cls").alias("__cls"))
     joined = parts.join(rare, parts["word"] == rare["__word"], "left")
     open_words = F.when(F.col("places").isNotNull(), F.struct("places", "form", F.coalesce("__n", F.lit(0)).alias("n"), F.coalesce("__cls", F.lit(-1)).alias("cls")))
     grouped = joined.groupBy("__row").agg(*(F.max(c).alias(c) for c in [*fields[1:], "n_tokens", "n_known", "base_score", "score", "seq"]), F.collect_list(open_words).alias("__open"))
