@@ -46,7 +46,7 @@ CLASSES = 48
 #: Most words whose counts are broadcast.
 HEAD = 200_000
 #: Words of the head that one row of neighbour counts stands for.
-HEAD_BLOCK = 1000
+HEAD_BLOCK = 200
 #: Size of the filter for words outside the head that are to have a class (4 MB).
 TAIL_BITS = 1 << 25
 DISCOUNT = 0.5
@@ -300,7 +300,9 @@ def word_classes(cells: DataFrame, names: list[bytes], table: np.ndarray, of_for
                         cls.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words, pa.binary()), pa.array(cls, pa.int64())], ["at", "word", "cls"])
 
-    return map_arrow(cells.groupBy("block", "word").agg(F.collect_list("cells").alias("cells")), run, "at long, word binary, cls long")
+    # a step takes long for its few bytes, so the number of tasks is not left to their size
+    dealt = cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "word")
+    return map_arrow(dealt.groupBy("block", "word").agg(F.collect_list("cells").alias("cells")), run, "at long, word binary, cls long")
 
 
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
