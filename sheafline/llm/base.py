@@ -36,9 +36,17 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.concat(F.col(c), F.lit("")).alias(c) if c in names and c in text else F.col(c).bitwiseXOR(F.lit(0).cast("long")).alias(c) if c in names else F.col(c) for c in df.columns))
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `limit` bytes of the column each."""
-    col = batch.column(column)
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, or as many underscores before them as it takes that df has none of them."""
+    taken = {c.lower() for c in df.columns}
+    while any(n.lower() in taken for n in names):
+        names = tuple(f"_{n}" for n in names)
+    return [*names]
+
+
+def chunks(batch: pa.RecordBatch, column: str | pa.Array = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `limit` bytes of the column (or of an array beside it) each."""
+    col = batch.column(column) if isinstance(column, str) else column
     offsets = np.frombuffer(col.buffers()[1], "<i4", count=len(col) + 1, offset=col.offset * 4) if len(col) else np.zeros(1, "i4")
     lo = 0
     while lo < len(col):
@@ -72,12 +80,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def intermediate(spark: SparkSession, name: str) -> str:
+    """A new folder for a table in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage is cut there, what is read is read by column, and
     lost executors cost nothing that was written. The table is deleted when the driver ends."""
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = folder or intermediate(spark, name)
     df.write.option("compression", "zstd").parquet(folder)
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    discard(spark, folder, now=False)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def discard(spark: SparkSession, folder: str, now: bool = True) -> None:
+    """Deletes a folder of intermediate tables, at once or when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if now:
+        files.delete(path, True)
+    else:
+        files.deleteOnExit(path)

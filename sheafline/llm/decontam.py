@@ -5,11 +5,12 @@ of `WINDOW` words (a shorter item is one window). Every window of a document is
 of all test windows; hits are verified word by word. Hit words can be removed as spans, or documents as a whole.
 
 The test set is broadcast in blocks of at most BLOCK_WORDS words of windows, so that what a worker holds is bounded
-however large the benchmark grows; each further block is one more scan, whose hits are merged by row. A benchmark of one
-block (the usual case) needs no shuffle at all.
+however large the benchmark grows. Each further block is one more scan over rows that carry what was hit so far; between two
+blocks the rows are written to the shared folder and the block before is released. Nothing is shuffled.
 
 Null texts have no words. Items without words hit nothing, null item ids mark words but are not counted as items. Equal
-items all count. Extra columns pass untouched.
+items all count. Repeated rows and ids are judged each by its own text. A text is scanned a document at a time, some 60
+bytes a word. Extra columns pass untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_bytes, chunks, map_arrow
+from .base import as_bytes, chunks, discard, intermediate, map_arrow, stored
 
 WINDOW = 10
 #: Words of benchmark text in one broadcast block (some 60 bytes each in a worker).
@@ -115,41 +116,51 @@ def test_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: in
     yield TestSet(items, window)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id (and the columns of `keep`), __n (words), __runs (start and end of the maximal runs of hit words, in
-    one array) and __items, one row for each row of docs."""
-    docs = docs.withColumn("__row", F.monotonically_increasing_id()).select("__row", "doc_id", "text", *(c for c in keep if c != "text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text" or "text" in keep)
-    names = [f.name for f in docs.schema if f.name != "text" or "text" in keep]
+def scan(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW, whole: bool = False) -> DataFrame:
+    """doc_id (or with `whole` the struct __doc of all columns), __n (words), __runs (start and end of the maximal runs of
+    hit words, in one array) and __items, one row for each row of docs."""
+    spark = docs.sparkSession
+    rows = docs.select(F.struct("*").alias("__doc")) if whole else docs.select("doc_id", "text")
+    own = rows.columns
+    found = "__n long, __runs array<bigint>, __items array<string>"
+    schema = rows.schema.simpleString()[7:-1]
 
-    def block(test: TestSet) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(test)
+    def block(rows: DataFrame, shared) -> DataFrame:
+        first = rows.columns == own
 
         def run(batches):
-            own = shared.value
-            number = own.number.get
+            test = shared.value
+            number = test.number.get
             for batch in batches:
-                for part in chunks(batch):
+                for part in chunks(batch, batch.column("__doc").field("text") if whole else "text"):
+                    text = part.column("__doc").flatten()[names.index("text")] if whole else part.column("text")
                     n, runs, items = [], [], []
-                    for data in as_bytes(part.column("text")):
-                        found = words(data)
-                        n.append(len(found))
-                        hit, got = own.scan(np.fromiter((number(w, -1) for w in found), "i8", len(found)))
-                        edges = np.nonzero(np.diff(np.concatenate([[False], hit, [False]]).astype("i1")))[0]
-                        runs.append(edges.tolist())
-                        items.append(sorted(own.names[i] for i in got))
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*names, "__n", "__runs", "__items"])
-
-        return map_arrow(docs, run, fields + ", __n long, __runs array<bigint>, __items array<string>")
-
-    parts = [block(t) for t in test_blocks(benchmark, block_words, window)]
-    if len(parts) == 1:
-        return parts[0].drop("__row")
-    merged = parts[0].select(*names, "__n", "__runs", "__items")
-    for part in parts[1:]:
-        merged = merged.unionByName(part.select(*names, "__n", "__runs", "__items"))
-    whole = merged.groupBy("__row").agg(*(F.first(c).alias(c) for c in names[1:]), F.first("__n").alias("__n"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"), F.flatten(F.collect_list("__runs")).alias("__runs"))
-    return whole.withColumn("__runs", merge_runs(F.col("__runs"))).drop("__row")
+                    for data in as_bytes(text):
+                        words_ = words(data)
+                        n.append(len(words_))
+                        hit, got = test.scan(np.fromiter((number(w, -1) for w in words_), "i8", len(words_)))
+                        runs.append(np.nonzero(np.diff(np.concatenate([[False], hit, [False]]).astype("i1")))[0].tolist())
+                        items.append(sorted(test.names[i] for i in got))
+                    if not first:
+                        runs = [a + b for a, b in zip(part.column("__runs").to_pylist(), runs, strict=True)]
+                        items = [a + b for a, b in zip(part.column("__items").to_pylist(), items, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*own, "__n", "__runs", "__items"])
+
+        return map_arrow(rows, run, f"{schema}, {found}")
+
+    names = docs.columns
+    several, before, folder = False, None, None
+    for test in test_blocks(benchmark, block_words, window):
+        if before is not None:
+            several, last, folder = True, folder, intermediate(spark, "decontaminated")
+            rows = stored(block(rows, before), "decontaminated", folder)
+            before.unpersist()
+            if last:
+                discard(spark, last)
+        before = spark.sparkContext.broadcast(test)
+    rows = block(rows, before)
+    rows = rows.withColumn("__runs", merge_runs(F.col("__runs"))) if several else rows
+    return rows if whole else rows.drop("text")
 
 
 def merge_runs(runs):
@@ -192,16 +203,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "spans", **option
     Rows without a hit are unchanged. A null text stays null.
     """
     names = docs.columns
-    found = scan(docs, benchmark, keep=tuple(c for c in names if c != "doc_id"), **options)
+    found = scan(docs, benchmark, whole=True, **options)
     if remove == "documents":
-        return found.filter(F.size("__runs") == 0).select(*names)
+        return found.filter(F.size("__runs") == 0).select("__doc.*")
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch):
-                texts = part.column("text").cast(pa.binary()).to_pylist()
+            for part in chunks(batch, batch.column("__doc").field("text")):
+                columns = dict(zip(names, part.column("__doc").flatten(), strict=True))
+                texts = columns["text"].cast(pa.binary()).to_pylist()
                 runs = part.column("__runs").to_pylist()
-                text = pa.array([None if t is None else cut(t, r).decode() if r else t.decode() for t, r in zip(texts, runs, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([text if c == "text" else part.column(c) for c in names], names)
+                columns["text"] = pa.array([None if t is None else cut(t, r).decode() if r else t.decode() for t, r in zip(texts, runs, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns.values()], names)
 
-    return map_arrow(found.select(*names, "__runs"), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return map_arrow(found.select("__doc", "__runs"), run, docs.schema.simpleString()[7:-1])

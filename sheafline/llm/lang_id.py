@@ -7,10 +7,13 @@ the language has never seen. The trees are frozen after training, so code length
 A text belongs to the language that codes it in the fewest bits.
 
 As the trees are frozen, the cost of a byte depends on nothing but its context. It is tabulated once on the driver for
-every context any language has seen; executors then score text by two table lookups a byte.
+every context any language has seen; executors then score text by two table lookups a byte. However many languages there
+are, none is left out: a table of over MODEL_BYTES is made as several, each one more scan over rows that carry the best so
+far.
 
 Null texts and texts without a letter are `und` with score 0; equal code lengths go to the alphabetically first language;
-without labelled rows every text is `und`. Extra columns pass untouched, repeated rows are scored alike.
+without labelled rows every text is `und`. Extra columns pass untouched, repeated rows are scored alike. A long text takes
+some 60 bytes a byte while it is scored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import chunks, map_arrow, raw
+from .base import chunks, map_arrow, raw, stored
 
 #: Longest context in bytes.
 ORDER = 3
@@ -28,8 +31,10 @@ ORDER = 3
 SAMPLE_ROWS = 1000
 #: Times a context of two or more bytes must precede a byte in the sample to enter the tree.
 MIN_COUNT = 2
-#: Languages a model may hold.
-MAX_LANGUAGES = 256
+#: Bytes that a model's table of costs may have (it is broadcast); the languages are dealt to as many models as that takes.
+MODEL_BYTES = 256 << 20
+#: Languages whose samples are counted and brought to the driver together.
+AT_ONCE = 64
 #: Bits a byte above which no learned language explains a text of MAX_BITS_FROM bytes or more (one key or address can
 #: raise a short text's bits as much).
 MAX_BITS, MAX_BITS_FROM = 7.5, 512
@@ -90,29 +95,42 @@ def _grams(order: int):
     return run
 
 
-def fit(docs: DataFrame, where: Column | None = None, order: int = ORDER, sample_rows: int = SAMPLE_ROWS, min_count: int = MIN_COUNT) -> Model | None:
-    """Train on a sample of the rows with text and lang for which `where` holds; None if there are none.
+def fit(docs: DataFrame, where: Column | None = None, order: int = ORDER, sample_rows: int = SAMPLE_ROWS, min_count: int = MIN_COUNT) -> list[Model]:
+    """Train on a sample of the rows with text and lang for which `where` holds; no models if there are none.
 
     The sample has about `sample_rows` whole documents of each language, chosen by a hash of the key, so what reaches the
-    driver is bounded by the parameters and not by the corpus.
+    driver is bounded by the parameters and the number of languages and not by the corpus.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows if where is None else rows.filter(where)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
-        return None
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, sample_rows / n) * (1 << 30))).otherwise(share)
-    sample = rows.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lang sample")), F.lit(1 << 30)) < share).select("lang", "text")
-    counts = map_arrow(sample, _grams(order), "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).filter((F.col("k") < 2) | (F.col("n") >= min_count))
-    return build(counts.toPandas(), order)
-
-
-def build(counts, order: int = ORDER) -> Model | None:
-    """The model of a table (lang, k, gram, n) of k+1-byte strings and their counts."""
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    trained, languages = [], sorted(sizes)
+    for i in range(0, len(languages), AT_ONCE):
+        part = languages[i : i + AT_ONCE]
+        share = F.create_map(*(F.lit(x) for lang in part for x in (lang, int(min(1.0, sample_rows / sizes[lang]) * (1 << 30)))))
+        sample = rows.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lang sample")), F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, "lang"), F.lit(0))).select("lang", "text")
+        counts = map_arrow(sample, _grams(order), "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).filter((F.col("k") < 2) | (F.col("n") >= min_count))
+        trained += models(counts.toPandas(), order)
+    return trained
+
+
+def models(counts, order: int = ORDER, limit: int | None = None) -> list[Model]:
+    """Models of a table (lang, k, gram, n) of k+1-byte strings and their counts, each of at most `limit` bytes of costs (or
+    of one language)."""
     if not len(counts):
-        return None
+        return []
+    languages = sorted(counts["lang"].unique())
+    width = counts.loc[counts["k"] == 0, "gram"].nunique() + 2
+    contexts = sum(np.unique(g["gram"].to_numpy() >> 8).size for _, g in counts.groupby("k"))
+    if len(languages) == 1 or len(languages) * contexts * width * 4 <= (MODEL_BYTES if limit is None else limit):
+        return [build(counts, order)]
+    half = set(languages[: len(languages) // 2])
+    first = counts["lang"].isin(half)
+    return models(counts[first], order, limit) + models(counts[~first], order, limit)
+
+
+def build(counts, order: int = ORDER) -> Model:
+    """The model of a table (lang, k, gram, n) of k+1-byte strings and their counts."""
     languages = sorted(counts["lang"].unique())
     zero = counts[counts["k"] == 0]
     seen = np.unique(np.append(zero["gram"].to_numpy(), _START))  # the start has a symbol of its own
@@ -160,29 +178,46 @@ def build(counts, order: int = ORDER) -> Model | None:
     return Model(languages, symbol, state, cost.reshape(len(languages), -1), order)
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (the winner's probability among the learned languages, all equally likely before) and
-    bits (a byte; null where undetermined) added; lang_pred, score and bits that docs has are replaced."""
-    docs = docs.drop("lang_pred", "score", "bits")
-    if model is None:
-        return docs.select("*", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    at = names.index(text)
+def predict(docs: DataFrame, trained: list[Model], text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "bits")) -> DataFrame:
+    """docs with the language, score (the winner's probability among the learned languages, all equally likely before) and
+    bits (a byte; null where undetermined) added under `names`; columns of these names that docs has are replaced."""
+    own = [c for c in docs.columns if c not in names]
+    rest = F.struct(F.lit(True).alias("__"), *(F.col(f"`{c}`") for c in own if c != text))
+    rows = docs.select(rest.alias("doc"), F.col(f"`{text}`").alias("text"))
+    kind = rows.schema["doc"].dataType.simpleString()
+    for i, model in enumerate(trained):
+        rows = map_arrow(rows, _scorer(docs.sparkSession.sparkContext.broadcast(model), i > 0), f"doc {kind}, text string, best double, share double, lang string")
+        if i + 1 < len(trained):
+            rows = stored(rows, "languages")
+    if not trained:
+        rows = rows.select("doc", "text", F.lit(0.0).alias("best"), F.lit(1.0).alias("share"), F.lit(UNDETERMINED).alias("lang"))
+    known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(trained))
+    return rows.select(
+        *(F.col("text").alias(c) if c == text else F.col(f"doc.`{c}`") for c in own), F.when(known, F.col("lang")).otherwise(UNDETERMINED).alias(names[0]),
+        F.when(known, 1 / F.col("share")).otherwise(0.0).alias(names[1]), F.when(known, F.col("best") / F.greatest(F.octet_length("text"), F.lit(1))).alias(names[2]),
+    )
+
+
+def _scorer(shared, further: bool):
+    """Adds to each text the least bits of a model's languages, that language, and the sum of all languages' shares in units
+    of its own; `further`: of this model's and those scored before."""
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            for part in chunks(batch, "__text"):
-                data, offsets = raw(part.column("__text"))
+            for part in chunks(batch):
+                data, offsets = raw(part.column("text"))
                 bits = own.bits(data, offsets)
-                best = bits.argmin(1) if len(own.languages) else np.zeros(len(bits), "i8")
-                score = 1 / np.exp2(bits.min(1)[:, None] - bits).sum(1)
-                each = bits.min(1) / np.maximum(np.diff(offsets), 1)
-                letter = np.array(part.column("__letter").to_pylist(), bool)
-                kept = [part.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([own.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letter, strict=True)], pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(each, mask=~letter)], [*names, "lang_pred", "score", "bits"])
-
-    ready = docs.withColumn("__text", F.coalesce(F.col(f"`{names[at]}`"), F.lit(""))).withColumn("__letter", F.coalesce(F.col(f"`{names[at]}`").rlike(r"\p{L}"), F.lit(False)))
-    schema = docs.schema
-    return map_arrow(ready, run, schema.simpleString()[7:-1] + ",lang_pred:string,score:double,bits:double")
+                at = bits.argmin(1)
+                best = bits.min(1)
+                share = np.exp2(best[:, None] - bits).sum(1)
+                lang = [own.languages[i] for i in at]
+                if further:
+                    least, sums, names = part.column("best").to_numpy(zero_copy_only=False), part.column("share").to_numpy(zero_copy_only=False), part.column("lang").to_pylist()
+                    low = np.minimum(least, best)
+                    share = sums * np.exp2(low - least) + share * np.exp2(low - best)
+                    lang = [a if x <= y else b for a, b, x, y in zip(names, lang, least, best, strict=True)]
+                    best = low
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("text"), pa.array(best), pa.array(share), pa.array(lang, pa.string())], ["doc", "text", "best", "share", "lang"])
+
+    return run

@@ -249,8 +249,10 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", alpha: float
     def run(batches):
         own = lattice(model, alpha)
         for batch in batches:
-            text = [own.decode(np.array(p or [], "i4")) for p in batch.column("pieces").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(text, pa.string())], [*names, "text"])
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                text = [own.decode(np.array(p or [], "i4")) for p in part.column("pieces").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(text, pa.string())], [*names, "text"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "text")
     return map_arrow(encoded.select(*(F.col(f"`{c}`") for c in names)), run, f"{fields}, text string")

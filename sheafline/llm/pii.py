@@ -14,7 +14,11 @@ The weights are trained by maximum likelihood (forward-backward over segments) o
 spans. As the base patterns can only teach their own forms, part of the sample is rewritten to others (defanged dots,
 spelled at-signs, numbers without a plus sign); the rest of the digits of the sample are the counter-examples.
 
-Null texts are empty. Positions are code points, ends exclusive. Repeated rows are judged alike.
+Null texts are empty. Positions are code points, ends exclusive. Repeated rows are judged alike; a text without digits and
+at-signs has no windows. A long text is decided a window at a time, and a window, which grows while digits follow each
+other closely, takes some 60 bytes a token: its candidates are scored as they come up and not kept. Extra columns are not
+read by `detect` and pass through `redact`, whatever their names. An empty table trains no weights, and the field then adds
+nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +26,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +115,12 @@ class Window:
 FEATURES = 34
 
 
+@lru_cache(maxsize=4096)
+def cues(before: str) -> tuple[bool, ...]:
+    """By kind, whether the text before a span names it."""
+    return tuple(bool(_CUE[kind].search(before)) for kind in KINDS)
+
+
 def features(text: str, a: int, b: int) -> np.ndarray | None:
     """Features of a span as a whole; None if it cannot be an entity."""
     s = text[a:b]
@@ -157,16 +169,14 @@ def features(text: str, a: int, b: int) -> np.ndarray | None:
     f[27] = bool(after) and (after.isalnum() or after in ("-", "_", '"', "@", "/"))
     f[28] = not s[-1].isalnum()
     f[29] = any(k in s for k in ("  ", "\n", "\t"))
-    for i, kind in enumerate(KINDS):
-        f[30 + i] = bool(_CUE[kind].search(before))
+    f[30:] = cues(before)
     return f
 
 
-def windows(text: str, barriers: list[tuple[int, int, int]] = ()) -> list[Window]:
-    """Windows around digits and address signs, outside the spans given."""
+def stretches(text: str, barriers: list[tuple[int, int, int]] = ()) -> Iterator[tuple[int, int]]:
+    """Where digits and address signs are, with what lies around them, outside the spans given."""
     if not _HINT.search(text):
-        return []
-    out: list[Window] = []
+        return
     edges = [0]
     for a, _, b in barriers:
         if a > edges[-1]:
@@ -187,59 +197,73 @@ def windows(text: str, barriers: list[tuple[int, int, int]] = ()) -> list[Window
             end, hint = min(hi, m.end() + 80), m
             while (hint := _HINT.search(text, hint.end(), end)) is not None:
                 end = min(hi, hint.end() + 80)
-            out += _narrow(text, start, end)
+            yield start, end
             at = end
-    return out
 
 
-def _narrow(text: str, lo: int, hi: int) -> list[Window]:
-    bounds = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
-    wanted = np.zeros(len(bounds) + 1, "i4")
-    for i, (a, b) in enumerate(bounds):
-        if _TRIGGER.fullmatch(text, a, b):
-            wanted[max(0, i - WINDOW_TOKENS)] += 1
-            wanted[min(len(bounds), i + WINDOW_TOKENS + 1)] -= 1
-    inside = np.concatenate([[0], (np.cumsum(wanted[:-1]) > 0).astype("i1"), [0]])
-    out = []
-    turns = np.nonzero(np.diff(inside))[0]
+class Tokens:
+    """The tokens of a window: where they start and end, and which are triggers and may begin or end an entity."""
+
+    def __init__(self, text: str, start: np.ndarray, end: np.ndarray, trigger: np.ndarray):
+        self.text, self.start, self.end = text, start.tolist(), end.tolist()
+        self.triggers = np.concatenate([[0], np.cumsum(trigger)]).tolist()
+        first = [text[a] for a in self.start]
+        self.ends = [c.isalnum() for c in first]
+        self.begins = [c.isalnum() or c in "+(" for c in first]
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def ending_at(self, j: int) -> Iterator[tuple[int, np.ndarray]]:
+        """First token and features of every candidate that ends before token j."""
+        if not self.ends[j - 1]:
+            return
+        for i in range(max(0, j - SPAN_TOKENS), j):
+            if self.begins[i] and self.triggers[i] < self.triggers[j] and (f := features(self.text, self.start[i], self.end[j - 1])) is not None:
+                yield i, f
+
+
+def token_windows(text: str, lo: int, hi: int) -> Iterator[Tokens]:
+    """The tokens within WINDOW_TOKENS of a trigger, in windows."""
+    found = np.fromiter((x for m in _TOKEN.finditer(text, lo, hi) for x in (m.start(), m.end(), _TRIGGER.fullmatch(text, m.start(), m.end()) is not None)), "i8").reshape(-1, 3)
+    trigger = found[:, 2] > 0
+    at = np.nonzero(trigger)[0]
+    wanted = np.zeros(len(found) + 1, "i4")
+    np.add.at(wanted, np.maximum(at - WINDOW_TOKENS, 0), 1)
+    np.add.at(wanted, np.minimum(at + WINDOW_TOKENS + 1, len(found)), -1)
+    turns = np.nonzero(np.diff(np.concatenate([[0], (np.cumsum(wanted[:-1]) > 0).astype("i1"), [0]])))[0]
     for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
-        w = Window(bounds[a:b])
-        kinds = [text[x] for x, _ in w.bounds]
-        trigger = [bool(_TRIGGER.fullmatch(text, x, y)) for x, y in w.bounds]
-        for i in range(len(w.bounds)):
-            if not (kinds[i].isalnum() or kinds[i] in "+("):
-                continue
-            seen = False
-            for j in range(i + 1, min(len(w.bounds), i + SPAN_TOKENS) + 1):
-                seen |= trigger[j - 1]
-                if seen and kinds[j - 1].isalnum() and (f := features(text, w.bounds[i][0], w.bounds[j - 1][1])) is not None:
-                    w.segments.append((i, j, f))
-        if w.segments:
-            out.append(w)
+        yield Tokens(text, found[a:b, 0], found[a:b, 1], trigger[a:b])
+
+
+def windows(text: str, barriers: list[tuple[int, int, int]] = ()) -> list[Window]:
+    """Windows with all their candidates, for training."""
+    out = []
+    for lo, hi in stretches(text, barriers):
+        for t in token_windows(text, lo, hi):
+            w = Window([*zip(t.start, t.end, strict=True)], [(i, j, f) for j in range(1, len(t) + 1) for i, f in t.ending_at(j)])
+            if w.segments:
+                out.append(w)
     return out
 
 
-def best(w: Window, weights: np.ndarray) -> list[tuple[int, int, int]]:
+def best(t: Tokens, weights: np.ndarray) -> list[tuple[int, int, int]]:
     """The best segmentation's entities: (first token, kind, end token)."""
-    score = np.stack([f for *_, f in w.segments]) @ weights.T - MARGIN
-    by_end: dict[int, list[int]] = {}
-    for s, (_, j, _) in enumerate(w.segments):
-        by_end.setdefault(j, []).append(s)
-    total, back = [0.0] * (len(w.bounds) + 1), [None] * (len(w.bounds) + 1)
-    for j in range(1, len(w.bounds) + 1):
+    total, start, kind = np.zeros(len(t) + 1), np.full(len(t) + 1, -1, "i4"), np.zeros(len(t) + 1, "i1")
+    for j in range(1, len(t) + 1):
         total[j] = total[j - 1]
-        for s in by_end.get(j, ()):
-            k = int(score[s].argmax())
-            value = total[w.segments[s][0]] + score[s, k]
-            if value > total[j] + 1e-12:
-                total[j], back[j] = value, (w.segments[s][0], k)
-    out, j = [], len(w.bounds)
+        for i, f in t.ending_at(j):
+            score = weights @ f - MARGIN
+            k = int(score.argmax())
+            if (value := total[i] + score[k]) > total[j] + 1e-12:
+                total[j], start[j], kind[j] = value, i, k
+    out, j = [], len(t)
     while j:
-        if back[j] is None:
+        if start[j] < 0:
             j -= 1
         else:
-            out.append((back[j][0], back[j][1], j))
-            j = back[j][0]
+            out.append((int(start[j]), int(kind[j]), j))
+            j = int(start[j])
     return out[::-1]
 
 
@@ -347,8 +371,9 @@ def find(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]], li
     """Base spans, and the spans that the field adds."""
     base = base_spans(text)
     added = []
-    for w in windows(text, base):
-        added += [(w.bounds[i][0], k, w.bounds[j - 1][1]) for i, k, j in best(w, weights)]
+    for lo, hi in stretches(text, base):
+        for t in token_windows(text, lo, hi):
+            added += [(t.start[i], k, t.end[j - 1]) for i, k, j in best(t, weights)]
     return base, added
 
 

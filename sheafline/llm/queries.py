@@ -11,8 +11,8 @@ from .base import remainder, table
 def op1_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 4) == 2
-    model = lang_id.fit(docs, ~held_out)
-    return lang_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "bits")
+    trained = lang_id.fit(docs, ~held_out)
+    return lang_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), trained).select("doc_id", "held_out", "lang_pred", "score", "bits")
 
 
 def op2_decontaminate(spark, sf_dir):

@@ -5,9 +5,13 @@ ending there that can follow the last token of the prefix before it: no merge cr
 complete. So tokens[i] = tokens[i - len(last)] + 1 fills a table of exact counts for all prefixes in one pass, and
 questions of truncation or budget are answered from the table without encoding anything again.
 
-The pre-tokenizer's pieces are independent, so the table of a text is made of the tables of its pieces, which are kept by
-piece (bounded; dropped as a whole when full). Null texts count as empty; the special string counts as one token, as the
-library does by default.
+The pre-tokenizer's pieces are independent, so the table of a text is made of the tables of its pieces. `prefix_tables`
+stores it for every row, packed; `fitting` and `truncate` answer from the stored tables and know nothing of tokens.
+`token_counts` needs the last entry alone, so it keeps the last entries of pieces (bounded; dropped as a whole when full).
+
+Null texts count as empty; the special string counts as one token, as the library does by default. A very long text takes
+some 100 bytes a character while its table is made. Repeated rows stay repeated; extra columns are not read by
+`token_counts` and pass through `prefix_tables`, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,13 +19,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from bisect import bisect_right
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,34 +206,32 @@ class PrefixCounter:
         piece = text[a:b]
         table = self.piece(piece.encode())
         width = np.cumsum([0, *(len(c.encode()) for c in piece)])
-        first = 0
-        lead = a
-        while lead > 0 and text[lead - 1].isspace():
-            lead -= 1
+        spaces = len(piece) - len(piece.lstrip())
+        if spaces:  # white space at the end of a prefix is one piece, however it is divided before what follows
+            lead = a
+            while lead > 0 and text[lead - 1].isspace():
+                lead -= 1
+            run = text[lead : a + spaces]
+            blank = self.piece(run.encode())
+            at = np.cumsum([0, *(len(c.encode()) for c in run)])
         for i in range(1, len(piece) + 1):
-            if piece[:i].isspace() and lead < a or piece[:i].isspace():
-                # white space at the end of a prefix is one piece, however it is divided before what follows
-                ws = lead
-                out[a + i] = int(out[ws]) + self.piece(text[ws : a + i].encode())[-1]
+            if i <= spaces:
+                out[a + i] = int(out[lead]) + blank[at[a - lead + i]]
             elif piece[0] == "'" and len(piece) == 3 and i == 2 and piece[1:].isalpha():
                 out[a + i] = done + self.piece(b"'")[-1] + self.piece(piece[1].encode())[-1]
             else:
                 out[a + i] = done + table[width[i]]
-            first = i
-        assert first == len(piece)
         return done + table[-1]
 
     def truncate(self, text: str, budget: int) -> str:
         """The longest prefix of at most `budget` tokens."""
-        counts = self.prefix_counts(text)
-        fits = np.nonzero(counts <= budget)[0]
-        return text[: int(fits[-1])]
+        return text[: longest(self.prefix_counts(text), [budget])[0]]
+
 
-    def fitting(self, text: str, budgets: list[int]) -> list[int]:
-        """For each budget the length of the longest prefix within it; one table answers them all."""
-        counts = self.prefix_counts(text)
-        least = np.minimum.accumulate(counts[::-1])[::-1]  # a longer prefix may have fewer tokens
-        return [bisect_right(least, b) - 1 for b in budgets]
+def longest(counts: np.ndarray, budgets: list[int]) -> list[int]:
+    """For each budget the length of the longest prefix within it (-1: none); one table of counts answers them all."""
+    least = np.minimum.accumulate(counts[::-1])[::-1]  # a longer prefix may have fewer tokens
+    return (np.searchsorted(least, budgets, "right") - 1).tolist()
 
 
 @lru_cache(maxsize=2)
@@ -253,3 +255,41 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     ready = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     kind = ready.schema["doc_id"].dataType.simpleString()
     return map_arrow(ready, run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def prefix_tables(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    """(doc, n_tokens, table): the row as a struct, its tokens, and the count at every prefix (from 0 characters to all), as
+    differences of 16 bits, packed."""
+
+    def run(batches):
+        own, pack = counter(tokenizer), zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for part in chunks(batch):
+                counts = [own.prefix_counts(t or "") for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([int(c[-1]) for c in counts], pa.int64()), pa.array([pack(np.diff(c).astype("<i2").tobytes()) for c in counts], pa.binary())], ["doc", "n_tokens", "table"])
+
+    ready = docs.select(F.struct("*").alias("doc"), "text")
+    return map_arrow(ready, run, f"doc {ready.schema['doc'].dataType.simpleString()}, n_tokens long, table binary")
+
+
+def unpack(table: bytes) -> np.ndarray:
+    """The counts of a stored table."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(table), "<i2"), dtype="i8")])
+
+
+def fitting(tables: DataFrame, budgets: list[int]) -> DataFrame:
+    """tables with `fits`: for each budget the characters of the longest prefix within it."""
+
+    def run(batches):
+        for batch in batches:
+            fits = [longest(unpack(t), budgets) for t in batch.column("table").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("n_tokens"), pa.array(fits, pa.list_(pa.int64()))], ["doc", "n_tokens", "fits"])
+
+    return map_arrow(tables.select("doc", "n_tokens", "table"), run, f"doc {tables.schema['doc'].dataType.simpleString()}, n_tokens long, fits array<bigint>")
+
+
+def truncate(tables: DataFrame, budget: int) -> DataFrame:
+    """The rows of the tables, each text cut to its longest prefix of at most `budget` tokens."""
+    found = fitting(tables, [budget])
+    names = found.schema["doc"].dataType.names
+    return found.select(*(F.substring(F.col("doc.text"), F.lit(1), F.col("fits")[0].cast("int")).alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in names))

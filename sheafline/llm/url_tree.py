@@ -3,7 +3,7 @@
 The tree of a host is built a level at a time. Where the children of a node are many and mostly different, the segment is
 variable and its values become wildcards of their shape (runs of digits 0, of letters a). Siblings whose labelled share
 of bad pages does not differ significantly from that of the rest of their node are merged into one branch (`~`); what
-differs stays a branch of its own. A template is rejected if its smoothed labelled purity, the bad share with PRIOR_WEIGHT
+differs stays a branch of its own, and so does a segment or wildcard without siblings. A template is rejected if its smoothed labelled purity, the bad share with PRIOR_WEIGHT
 pages of share PRIOR added, reaches REJECT.
 
 All of it is DataFrame operations: per level two counts by node and segment, each combined before it is shuffled, and
@@ -81,10 +81,10 @@ def templates(pages: DataFrame) -> DataFrame:
         at = at.join(fresh(node, "host", "template"), ["host", "template"]).withColumn("__seg", F.when(F.col("__variable"), F.concat(F.lit("*"), shape)).otherwise(seg)).drop("__variable")
         at = fresh(at, "host", "template")
         branch = at.groupBy("host", "template", "__seg").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k"))
-        whole = branch.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
+        whole = branch.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"), F.count("*").alias("kinds"))
         n, k, rest, rest_k = F.col("n"), F.col("k"), F.col("all_n") - F.col("n"), F.col("all_k") - F.col("k")
         apart = (n >= LEAST_LABELLED) & (rest >= LEAST_LABELLED) & ((k * rest - rest_k * n) * (k * rest - rest_k * n) * F.col("all_n") > Z_SQUARED * n * rest * F.col("all_k") * (F.col("all_n") - F.col("all_k")))
-        named = branch.join(whole, ["host", "template"]).select("host", "template", "__seg", F.when(apart, F.col("__seg")).otherwise("~").alias("__branch"))
+        named = branch.join(whole, ["host", "template"]).select("host", "template", "__seg", F.when((F.col("kinds") == 1) | apart, F.col("__seg")).otherwise("~").alias("__branch"))
         at = at.join(fresh(named, "host", "template"), ["host", "template", "__seg"]).withColumn("template", F.concat("template", F.lit("/"), "__branch")).drop("__seg", "__branch")
     return at.drop("__parts").checkpoint()
 
@@ -121,8 +121,8 @@ def oracle_sql(rules: tuple = RULES, depth: int = DEPTH) -> str:
             f"v{i} AS MATERIALIZED (SELECT host, template, count(*) >= {LEAST_CHILDREN} AND count(*) * {SHARE} > sum(n) AS variable FROM (SELECT host, template, s{i}, count(*) AS n FROM t{i} GROUP BY ALL) GROUP BY ALL)",
             f"g{i} AS MATERIALIZED (SELECT t.*, CASE WHEN variable THEN '*' || regexp_replace(regexp_replace(s{i}, '[A-Za-z]+', 'a', 'g'), '[0-9]+', '0', 'g') ELSE s{i} END AS seg FROM t{i} t JOIN v{i} v ON t.host = v.host AND t.template = v.template)",
             f"c{i} AS MATERIALIZED (SELECT host, template, seg, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k FROM g{i} GROUP BY ALL)",
-            f"w{i} AS MATERIALIZED (SELECT host, template, sum(n) AS nn, sum(k) AS kk FROM c{i} GROUP BY ALL)",
-            f"m{i} AS MATERIALIZED (SELECT c.host, c.template, seg, CASE WHEN n >= {LEAST_LABELLED} AND nn - n >= {LEAST_LABELLED} AND (k * (nn - n) - (kk - k) * n) * (k * (nn - n) - (kk - k) * n) * nn > CAST({Z_SQUARED} AS DOUBLE) * n * (nn - n) * kk * (nn - kk) THEN seg ELSE '~' END AS branch FROM c{i} c JOIN w{i} w ON c.host = w.host AND c.template = w.template)",
+            f"w{i} AS MATERIALIZED (SELECT host, template, sum(n) AS nn, sum(k) AS kk, count(*) AS kinds FROM c{i} GROUP BY ALL)",
+            f"m{i} AS MATERIALIZED (SELECT c.host, c.template, seg, CASE WHEN kinds = 1 OR n >= {LEAST_LABELLED} AND nn - n >= {LEAST_LABELLED} AND (k * (nn - n) - (kk - k) * n) * (k * (nn - n) - (kk - k) * n) * nn > CAST({Z_SQUARED} AS DOUBLE) * n * (nn - n) * kk * (nn - kk) THEN seg ELSE '~' END AS branch FROM c{i} c JOIN w{i} w ON c.host = w.host AND c.template = w.template)",
             f"t{i + 1} AS MATERIALIZED (SELECT g.page_id, g.host, g.path, g.bad, g.template || '/' || m.branch AS template" + "".join(f", g.s{j}" for j in range(i + 1, depth)) + f" FROM g{i} g JOIN m{i} m ON g.host = m.host AND g.template = m.template AND g.seg = m.seg)",
         ]
     sql += [

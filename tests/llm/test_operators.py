@@ -100,9 +100,22 @@ def test_language(docs, empty, odd):
     by_id = {r["doc_id"]: r for r in rows}
     assert [(by_id[i]["lang_pred"], by_id[i]["score"]) for i in (100, 101, 102)] == [("und", 0.0)] * 3
     assert all(0 <= r["score"] <= 1 for r in rows)
-    assert lang_id.fit(empty) is None and lang_id.predict(empty, model).count() == 0
-    assert {r["lang_pred"] for r in lang_id.predict(docs, None).collect()} == {"und"}
+    assert lang_id.fit(empty) == [] and lang_id.predict(empty, model).count() == 0
+    assert {r["lang_pred"] for r in lang_id.predict(docs, []).collect()} == {"und"}
     assert lang_id.predict(odd, model).count() == odd.count()
+    kept = lang_id.predict(odd, model, names=("a", "b", "c"))
+    assert kept.columns == [*odd.columns, "a", "b", "c"] and kept.drop("a", "b", "c").exceptAll(odd).count() == 0
+
+
+def test_languages_in_several_models(docs):
+    """A table of costs over the limit is made as several models; what they say together is the same."""
+    third = docs.select("doc_id", "text", F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang")).alias("lang"), "source")
+    whole = lang_id.fit(third)
+    counts = lang_id.map_arrow(third.filter("lang is not null and text is not null").select("lang", "text"), lang_id._grams(3), "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).filter("k < 2 or n >= 2").toPandas()
+    parts = lang_id.models(counts, limit=1)
+    assert len(whole) == 1 and len(parts) == 3
+    said = [sorted((repr(r["doc_id"]), r["lang_pred"], round(r["score"], 6), r["bits"] and round(r["bits"], 4)) for r in lang_id.predict(docs, m).collect()) for m in (whole, parts)]
+    assert [x[:3] for x in said[0]] == [x[:3] for x in said[1]] and {x[1] for x in said[0]} == {"en", "de", "xx", "und"}
 
 
 # decontamination
@@ -139,7 +152,11 @@ def test_decontamination(spark, empty, odd):
     gone = decontam.clean(d, b, remove="documents")
     assert {r["doc_id"] for r in gone.collect()} == {i for i, w in enumerate(want) if not w[4]}
     assert decontam.report(empty, b).count() == 0 and decontam.report(d, b.limit(0)).filter("contaminated").count() == 0
-    assert decontam.clean(odd, b).columns == odd.columns
+    strange = odd.select("*", *(F.lit("u").alias(c) for c in ("__n", "__runs", "__items", "__doc")))
+    for options in ({}, {"block_words": 10}):
+        for remove in ("spans", "documents"):
+            same = decontam.clean(strange.filter("doc_id >= 100"), b, remove=remove, **options)
+            assert same.columns == strange.columns and same.filter("__runs <> 'u' or __doc <> 'u'").count() == 0
 
 
 # pieces
@@ -211,6 +228,23 @@ def test_class_model(docs, empty, odd):
     assert class_lm.score(odd, held).count() == len(rows)
 
 
+def test_score_beats_the_base(spark):
+    """On held-out rows of text with classes, and unseen words in it."""
+    dice = random.Random(9)
+    kinds = [[f"{c}{i}{e}" for i in range(60)] for c, e in (("n", "ab"), ("v", "cd"), ("a", "ef"))]
+    rows = [(i, " ".join(dice.choice(k) if dice.random() > 0.03 else f"u{dice.randint(0, 10**9)}" for _ in range(12) for k in kinds), "en", "s", 0) for i in range(300)]
+    got = class_lm.score(spark.createDataFrame(rows, SCHEMA).repartition(3), remainder("doc_id", 7) == 2).filter("held_out").collect()
+    assert sum(r["score"] for r in got) > 0.9 * sum(r["base_score"] for r in got) and len(got) > 20
+
+
+def test_unseen_words_of_a_form_share_what_is_left():
+    types = class_lm.Types([b"w"])
+    forms = np.array([3])
+    model = class_lm.Model(types, np.zeros(types.size, "i8"), np.zeros((types.size, types.size)), np.full(class_lm.FORMS, 10.0), np.full(class_lm.FORMS, 4.0), classes=2)
+    seen, unseen = (10 ** model.within(np.array([float(n)]), forms)[0] for n in (1, 0))
+    assert math.isclose(seen, 0.5 / 10) and math.isclose(unseen, 0.5 * 4 / 10 / 5)
+
+
 def test_tail_words_are_joined(docs, monkeypatch):
     held = remainder("doc_id", 7) == 2
     whole = {(r["doc_id"], round(r["base_score"], 6), round(r["score"], 6)) for r in class_lm.score(docs, held).collect()}
@@ -345,6 +379,34 @@ def test_large_groups_go_out_in_blocks(spark, monkeypatch):
     assert sorted(r["b"] for r in out if r["key"] is not None) == sorted(fp.view("i8").tolist()) and {r["block"] for r in out} == {0, 1, 2}
 
 
+def test_pairs_of_blocks_are_read_one_at_a_time(spark, monkeypatch):
+    """Groups over the limit give the same components."""
+    dice = np.random.default_rng(5)
+    seeds = dice.integers(0, 2**62, 12, dtype="i8")
+    prints = sorted({int(s) ^ sum(1 << int(b) for b in dice.choice(20, dice.integers(0, 4), replace=False)) for s in seeds for _ in range(15)})
+    d = spark.createDataFrame([(p,) for p in prints], "fp long").repartition(3)
+    whole = {tuple(r) for r in near_dups.components(near_dups.links(d)).collect()}
+    monkeypatch.setattr(near_dups, "GROUP_ROWS", 4)
+    # workers are forked from a daemon that has the module's own limit, so the limit goes with the function
+    real = near_dups._links
+
+    def few(batches):
+        near_dups.GROUP_ROWS, usual = 4, near_dups.GROUP_ROWS
+        yield from real(batches)
+        near_dups.GROUP_ROWS = usual
+
+    monkeypatch.setattr(near_dups, "_links", few)
+    assert {tuple(r) for r in near_dups.components(near_dups.links(d)).collect()} == whole
+    far = 0x5555555500000000
+    rows = [(5, i, j, side, fp) for i, j in ((0, 0), (0, 1), (1, 1)) for side in ((0,) if i == j else (0, 1)) for fp in ((1, 3, 7), (15, far))[i if side == 0 else j]]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["key", "i", "j", "side", "b"])
+    cut = [batch.slice(k, 2) for k in range(0, len(rows), 2)]
+    found = {(r["a"], r["b"]) for b in near_dups._block_links(iter(cut)) for r in b.to_pylist()}
+    assert {x for e in found for x in e} == {1, 3, 7, 15} and far not in {x for e in found for x in e}
+
+
 # personal data
 
 
@@ -396,6 +458,39 @@ def test_expectation_is_that_of_all_segmentations(weights):
     assert math.isclose(z, math.log(total), rel_tol=1e-9) and np.allclose(got, expected / total)
 
 
+def test_decision_is_the_best_segmentation(weights):
+    for text in ("tel 415-555-1234 or 4111.1111 x", "(415) 555-1234 20", "ip 10 . 2 . 3 . 4 or 7", "a at b dot org"):
+        for lo, hi in pii.stretches(text):
+            for t in pii.token_windows(text, lo, hi):
+                segments = [(i, j, k, float(weights[k] @ f) - pii.MARGIN) for j in range(1, len(t) + 1) for i, f in t.ending_at(j) for k in range(4)]
+
+                def top(at, segments=segments, n=len(t)):
+                    return 0.0 if at == n else max([top(at + 1), *(v + top(j) for i, j, _, v in segments if i == at)])
+
+                value = {(i, k, j): v for i, j, k, v in segments}
+                assert math.isclose(sum(value[s] for s in pii.best(t, weights)), top(0), abs_tol=1e-9)
+
+
+def test_planted_forms_are_found(weights):
+    """Recall by kind of forms that the patterns miss."""
+    dice = random.Random(12)
+    number = lambda n: "".join(dice.choice("0123456789") for _ in range(n))
+    forms = {
+        "email": [lambda: f"jo{number(2)} at mail{number(1)} dot example dot com", lambda: f"jo{number(2)}@mail[.]example[.]org", lambda: f"al.{number(2)} (at) host.example.net"],
+        "ip": [lambda: f"10[.]{dice.randint(0, 255)}[.]{dice.randint(0, 255)}[.]7", lambda: f"192(.)168(.){dice.randint(0, 255)}(.)4"],
+        "phone": [lambda: f"({dice.randint(200, 999)}) 555-{number(4)}", lambda: f"{dice.randint(200, 999)}-555-{number(4)}"],
+    }
+    for kind, made in forms.items():
+        hits = 0
+        for i in range(60):
+            form = made[i % len(made)]()
+            text = f"{prose(EN, 6, i)} contact {form} {prose(EN, 6, i + 1)}"
+            at = text.index(form)
+            hits += any(pii.KINDS[k] == kind and a < at + len(form) and b > at for a, k, b in sum(pii.find(text, weights), []))
+        assert hits >= 54, (kind, hits)
+    assert sum(bool(pii.find(f"{prose(EN, 8, i)} in {1900 + i} there were {i * 37} of {i + 2}.{i}", weights)[1]) for i in range(100)) == 0
+
+
 def test_personal_data_table(docs, empty, odd, weights):
     assert pii.detect(docs, weights).count() == docs.count() and pii.detect(empty, weights).count() == 0
     same = pii.redact(odd, weights)
@@ -491,6 +586,27 @@ def test_token_counts(docs, empty):
     got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokcount.token_counts(docs).collect()}
     assert all(got[r["doc_id"]] == (len((r["text"] or "").encode()), count(r["text"] or ""), False) for r in docs.collect())
     assert tokcount.token_counts(empty).count() == 0
+    # the stored tables answer budgets
+    rows = docs.select("*", F.lit("u").alias("doc"), F.lit("u").alias("table"), F.lit(-1).alias("n_tokens"))
+    tables = tokcount.prefix_tables(rows)
+    for r in tables.collect():
+        t = r["doc"]["text"] or ""
+        assert r["n_tokens"] == count(t) and tokcount.unpack(r["table"]).tolist() == own.prefix_counts(t).tolist()
+    budgets = [0, 3, 10, 10_000]
+    for r in tokcount.fitting(tables, budgets).collect():
+        t = r["doc"]["text"] or ""
+        counts = [count(t[:i]) for i in range(len(t) + 1)]
+        assert list(r["fits"]) == [max(i for i, c in enumerate(counts) if c <= b) for b in budgets]
+    cut = tokcount.truncate(tables, 10)
+    assert cut.columns == rows.columns and all(count(r["text"] or "") <= 10 for r in cut.collect())
+    assert tokcount.prefix_tables(empty).count() == 0
+
+
+def test_prefix_counts_of_white_space():
+    own = tokcount.counter("byte_bpe_50k.json")
+    t = "a" + " \n" * 3000 + "b  " * 50
+    counts = own.prefix_counts(t)
+    assert len(counts) == len(t) + 1 and all(counts[i] == own.count(t[:i]) for i in (1, 2, 3, 700, 5999, 6001, 6002, 6003, len(t)))
 
 
 # quality
@@ -518,6 +634,29 @@ def test_quality(spark, docs, empty, odd):
             assert r["ratio"] == len(packer.compress(b)) / len(b)
     assert [got[i]["kept"] for i in range(8)] == [True, False, False, False, False, False, False, False]
     assert quality.judge(empty).count() == 0 and quality.filter_quality(odd).columns == odd.columns
+    rows = spark.createDataFrame([(1, sound), (1, noise), (None, sound[:3000]), (None, "few words"), (2, None)], "doc_id long, text string")
+    assert sorted(map(len, (r["text"] for r in quality.filter_quality(rows).collect()))) == sorted([len(sound), 3000])
+
+
+def test_bands_reject_planted_stretches():
+    """Repetition and noise in texts of all lengths that pass the base rules' windows; sound prose stays."""
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=quality.LEVEL)
+    dice = random.Random(8)
+    # words with the frequencies and lengths of prose
+    words = ["".join(dice.choice("etaoinshrdlucmfwypvbgk") for _ in range(dice.randint(2, 9))) for _ in range(4000)]
+    weight = [1 / (r + 3) for r in range(4000)]
+    text = lambda n: " ".join(dice.choices(words, weight, k=n // 6 + 20))[:n]
+    ok = lambda t: quality.verdict(len(t.encode()), *quality.ratios(t.encode(), packer))
+    kept = caught = noisy = 0
+    for i in range(200):
+        n = int(300 * 1.025**i)
+        kept += ok(text(n))
+        unit = text(70)
+        caught += ok(text(n // 5) + " " + (unit + " ") * (n // len(unit)))
+        noisy += ok("".join(dice.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)))
+    assert kept >= 198 and caught <= 10 and noisy <= 45, (kept, caught, noisy)
 
 
 # urls
@@ -553,6 +692,7 @@ def test_urls(spark, empty):
     assert [by_id[1000 + i]["rule"] for i in (5, 6, 7, 9, 10)] == [None, "net/", "net/", "net/", "example.net/en/"]
     assert any(r["verdict"] == "block" and r["rule"] is None for r in rows)
     assert url_tree.judge(pages.limit(0), labels, key).count() == 0
+    assert {r["verdict"] for r in url_tree.judge(pages, labels.limit(0), key, rules=()).collect()} == {"allow"}
 
 
 def test_deep_urls_keep_their_branches(spark):
@@ -569,3 +709,36 @@ def test_deep_urls_keep_their_branches(spark):
     con.register("labels", labels.toPandas())
     want = con.execute(url_tree.oracle_sql(depth=6)).fetchall()
     assert sorted(map(tuple, url_tree.judge(pages, labels, key).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_wildcards_stay_in_templates(spark):
+    rows = [(i, f"https://h.org/{'shop' if i % 2 else 'blog'}/item{i}.html") for i in range(100)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(100)], "doc_id long, toxic int")
+    key = F.expr("try_cast(regexp_extract(url, '([0-9]+)[^0-9]*$', 1) as bigint)")
+    got = {(r["template"], r["verdict"]) for r in url_tree.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, key, rules=()).collect()}
+    assert got == {("/shop/*a0.a/$/$", "block"), ("/blog/*a0.a/$/$", "allow")}
+
+
+# very long texts, in every operator
+
+
+def test_very_long_texts(spark, weights):
+    """Texts of megabytes: whole results, beside a short text."""
+    dice = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    long = " ".join(dice.choice(words) for _ in range(400_000))
+    digits = " ".join(str(dice.randint(0, 9999)) for _ in range(6000))
+    d = spark.createDataFrame([(1, long, "en", "s", 0), (2, "a" * 1_500_000, "en", "s", 0), (3, "the short one of ten words that is all here", "en", "s", 0), (4, digits, "en", "s", 0)], SCHEMA).repartition(2)
+    size = {r["doc_id"]: len(r["text"]) for r in d.collect()}
+    assert size[1] > 2 << 20
+    assert {r["doc_id"]: r["n_words"] for r in quality.judge(d).collect()}[1] == 400_000
+    assert {r["doc_id"]: r["n_tokens"] for r in class_lm.score(d, F.lit(False)).collect()} == {1: 400_001, 2: 2, 3: 11, 4: 6001}
+    assert lang_id.predict(d, lang_id.fit(d)).filter("lang_pred = 'en'").count() == 3
+    item = " ".join(long.split()[200_000:200_012])
+    hit = {r["doc_id"]: r["n_hit"] for r in decontam.report(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert hit == {1: 12, 2: 0, 3: 0, 4: 0}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix.remove_repeats(d).collect()}
+    assert got[2] == (1_500_000, 1_500_000, 1) and got[1] == (size[1], 0, 0) and got[3][1] == 0
+    assert near_dups.classes(d).count() == 4 and pii.detect(d, weights).count() == 4
+    assert all(r["n_bytes"] == size[r["doc_id"]] for r in tokcount.token_counts(d).collect())
+    assert all(r["round_trip"] for r in pieces.encode(d.filter("doc_id <> 2"), ids=False).collect())

@@ -2,6 +2,7 @@
 
 import corpus_pipeline as pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from sheafline.llm import decontam
 
@@ -43,3 +44,14 @@ def test_run_and_empty(spark, folder, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_the_documents_stay(spark, folder):
+    """Columns with the names that the stages use inside keep their values."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ("score", "bits", "lang_pred", "fp", "component_id", "__doc", "__runs", "_score")
+    docs = docs.select("*", *(F.concat(F.lit(f"{c}:"), F.col("doc_id")).alias(c) for c in names))
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in names), name
