@@ -1,26 +1,28 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
 The first four return the columns of documents: they drop rows (language, near-duplicates, contamination) or rewrite text
-(personal data). The last encodes what is left. Null and empty texts have no letters, so they go at the first stage.
+(personal data). The last encodes what is left. Null and empty texts have no letters, so they go at the first stage. Of
+repeated rows one stays (near-duplicates); rows that share a doc_id are told apart by their texts. Extra columns pass
+through the first four stages untouched, whatever their names. A stage's table is deleted when the next one is written, the
+last when the driver ends.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.llm import decontam, lang_id, near_dups, pieces, pii
-from sheafline.llm.base import remainder, shared_folder, table
+from sheafline.llm.base import discard, intermediate, remainder, stored, table, unused
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows without a letter, and rows that no learned language explains."""
-    model = lang_id.fit(docs, remainder("doc_id", 4) != 2)
-    found = lang_id.predict(docs, model)
-    strange = (F.col("bits") > lang_id.MAX_BITS) & (F.octet_length("text") >= lang_id.MAX_BITS_FROM)
-    return found.filter((F.col("lang_pred") != lang_id.UNDETERMINED) & ~strange).select(*docs.columns)
+    trained = lang_id.fit(docs, remainder("doc_id", 4) != 2)
+    lang, score, bits = unused(docs, "lang_pred", "score", "bits")
+    found = lang_id.predict(docs, trained, names=(lang, score, bits))
+    strange = (F.col(bits) > lang_id.MAX_BITS) & (F.octet_length("text") >= lang_id.MAX_BITS_FROM)
+    return found.filter((F.col(lang) != lang_id.UNDETERMINED) & ~strange).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,12 +60,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    shared_folder(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
+            folder = intermediate(spark, name)
+            docs = stored(docs, name, folder)
+            if before:
+                discard(spark, before)
+            before = folder
     return docs
