@@ -12,6 +12,7 @@ from collections.abc import Callable
 from functools import lru_cache
 from itertools import permutations
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +47,18 @@ def _clusters() -> dict[str, str]:
     return out
 
 
+_COLUMNS: dict = {}
+
+
+def built_once(key: tuple, build: Callable):
+    """What `build` makes of columns, made once for each key while the Spark context lives: large expressions take the
+    driver seconds to build."""
+    key = (id(SparkContext._active_spark_context), *key)
+    if key not in _COLUMNS:
+        _COLUMNS[key] = build()
+    return _COLUMNS[key]
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value evaluated once, however often it occurs there (higher-order functions are not subject to
     the elimination of common subexpressions)."""
@@ -60,7 +73,7 @@ def strip_accents(s: Column) -> Column:
 
 def nfc(s: Column) -> Column:
     """Composed form of Latin letters; other scripts' clusters are left as they are."""
-    table = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in _clusters().items())), F.lit("\n"), F.lit("\t"))  # folded into one literal
+    table = built_once(("clusters",), lambda: F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in _clusters().items())), F.lit("\n"), F.lit("\t")))  # folded into one literal
     parts = F.regexp_extract_all(s, F.lit(r"(?s)(\P{Mn}\p{Mn}*|\p{Mn}+)"), F.lit(1))
     # a cluster that is no letter as a whole is composed as far as its first mark
     begun = lambda p: F.concat(F.coalesce(F.try_element_at(table, F.substring(p, 1, 2)), F.substring(p, 1, 2)), F.substring(p, 3, 1 << 20))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import PARSERS
-from ..functions.text import same_names, strip_accents
+from ..functions.text import built_once, same_names, strip_accents
 from ..model import DOC_TYPES, OPEN_ENDED, SCHEMA, RulesConfig, kind_of
 
 from .salary import salary_average, salary_by_month
@@ -84,13 +84,22 @@ def completeness(present: Column, unreadable: Column, required: list[str] | None
     return F.struct(F.lit("R0").alias("rule_id"), F.when(ok, "pass").otherwise("fail").alias("status"), message.alias("message"), evidence.alias("evidence")).cast(CHECK)
 
 
+def within(declared: Column, average: Column, rules: RulesConfig) -> Column:
+    return declared.cast("double") <= average * (F.lit(1.0) + F.lit(float(rules.income_tolerance)))
+
+
+def income_outcome(usable: Column, double: Column, declared: Column, average: Column, rules: RulesConfig) -> Column:
+    """R4's outcome of a mean salary (null: none) and whether a month has two."""
+    return F.when(~usable | double | average.isNull(), "unknown").when(within(declared, average, rules), "pass").otherwise("fail")
+
+
 def income(declared: Operand, statement: Operand, months: Column, rules: RulesConfig) -> Column:
     """R4, in this order: an operand unknown, two salaries in a month, no salary, then the comparison."""
     average = salary_average(months)
     usable = declared.known & statement.known
     double = F.exists(months, lambda m: m["n"] > 1)
-    ok = declared.value.cast("double") <= average * (F.lit(1.0) + F.lit(float(rules.income_tolerance)))
-    outcome = F.when(~usable, "unknown").when(double, "unknown").when(average.isNull(), "unknown").when(ok, "pass").otherwise("fail")
+    ok = within(declared.value, average, rules)
+    outcome = income_outcome(usable, double, declared.value, average, rules)
     names = F.array_join(F.transform(F.filter(months, lambda m: m["n"] > 1), lambda m: F.date_format(m["month"], "MM/yyyy")), ", ")
     message = (
         F.when(~usable, listed([declared, statement], lambda o: ~o.known))
@@ -125,12 +134,16 @@ def coverage(start: Operand, end: Operand, signed: Operand, rules: RulesConfig)
 
 
 def bundles(finalized: DataFrame, key: str = "bundle_id") -> DataFrame:
-    """One row for each bundle: docs (type and cells, in order), present and unreadable types. The only shuffle.
+    """One row for each bundle: docs (type and cells, in order), present and unreadable types, and, where the documents
+    have them, the sums of latency_ms, n_calls and cost_usd and the number of documents with extract_errors. The only
+    shuffle.
 
     finalized has the key, doc_ord, doc_type, cells and readable; of two documents of a type the last counts.
     """
+    spent = [F.sum(c).alias(c) for c in ("latency_ms", "n_calls", "cost_usd") if c in finalized.columns]
+    spent += [F.count_if(F.size("extract_errors") > 0).alias("failed_docs")] if "extract_errors" in finalized.columns else []
     doc = F.struct("doc_ord", "doc_type", "readable", F.when(F.col("readable"), F.col("cells")).alias("cells"))
-    grouped = finalized.groupBy(key).agg(F.array_sort(F.collect_list(doc), lambda a, b: F.when(a["doc_ord"] < b["doc_ord"], -1).when(a["doc_ord"] > b["doc_ord"], 1).otherwise(0)).alias("docs"))
+    grouped = finalized.groupBy(key).agg(F.array_sort(F.collect_list(doc), lambda a, b: F.when(a["doc_ord"] < b["doc_ord"], -1).when(a["doc_ord"] > b["doc_ord"], 1).otherwise(0)).alias("docs"), *spent)
     types = lambda ok: F.transform(F.filter("docs", lambda d: d["readable"] == ok), lambda d: d["doc_type"])
     out = grouped.withColumns({"present": F.array_distinct(types(True)), "unreadable": types(False)})
 
@@ -140,30 +153,56 @@ def bundles(finalized: DataFrame, key: str = "bundle_id") -> DataFrame:
     return out.withColumns({f"c_{d}": last_of(d) for d in DOC_TYPES})
 
 
-def check(view: DataFrame, rules: RulesConfig | None = None) -> DataFrame:
-    """The view of bundles with the column checks, R0 to R8 in order."""
+class View:
+    """What a rule may read of a bundle: v(doc_type, field) is an operand, bare(operand) its text without accents."""
+
+    def __init__(self, rules: RulesConfig):
+        self.rules, self.months = rules, F.col("months")
+        self.names = [self(*x) for x in _NAMES]
+
+    def __call__(self, doc_type: str, name: str) -> Operand:
+        if (doc_type, name) in _READ:  # a plain column, so that nothing is looked up twice
+            return Operand(doc_type, name, F.col(f"v_{doc_type}_{name}"), F.col(f"k_{doc_type}_{name}"))
+        return operand(doc_type, name, F.col(f"c_{doc_type}"))
+
+    def bare(self, x: Operand) -> Column:
+        return F.col(f"`b_{x.label}`") if (x.doc_type, x.name) in _NAMES else strip_accents(x.value)
+
+
+def _equal(a: Operand, b: Operand) -> Column:
+    return a.value == b.value
+
+
+#: The rules in order. A rule is a function of a View; more can be given to `check`.
+RULES: list[Callable[[View], Column]] = [
+    lambda v: completeness(F.col("present"), F.col("unreadable")),
+    lambda v: all_equal("R1", v.names, lambda a, b: same_names(a.value, v.bare(a), b.value, v.bare(b)), "name"),
+    lambda v: all_equal("R2", [v("don_vay", "so_cccd"), v("cccd", "so_cccd")], _equal, "identity number"),
+    lambda v: all_equal("R3", [v("don_vay", "ngay_sinh"), v("cccd", "ngay_sinh")], _equal, "date of birth"),
+    lambda v: income(v("don_vay", "thu_nhap_thang"), v("sao_ke", "giao_dich"), v.months, v.rules),
+    lambda v: date_order("R5", v("cccd", "ngay_het_han"), v("don_vay", "ngay_ky"), "identity card valid"),
+    lambda v: all_equal("R6", [v("don_vay", "so_tk_nhan_luong"), v("sao_ke", "so_tk")], _equal, "account"),
+    lambda v: contract(v("hdld", "loai_hd"), v("hdld", "ngay_ket_thuc"), v("don_vay", "ngay_ky")),
+    lambda v: coverage(v("sao_ke", "ky_tu"), v("sao_ke", "ky_den"), v("don_vay", "ngay_ky"), v.rules),
+]
+
+
+def check(view: DataFrame, rules: RulesConfig | None = None, more: list[Callable[[View], Column]] = ()) -> DataFrame:
+    """The view of bundles with the column checks: R0 to R8 in order, then those of `more`."""
     rules = rules or RulesConfig()
+
+    def read() -> tuple[dict, dict, Column]:
+        cells = {(d, f): operand(d, f, F.col(f"c_{d}")) for d, f in _READ}
+        v = View(rules)
+        plain = {f"v_{d}_{f}": x.value for (d, f), x in cells.items()} | {f"k_{d}_{f}": x.known for (d, f), x in cells.items()}
+        derived = {f"b_{x.label}": strip_accents(x.value) for x in v.names} | {"months": salary_by_month(v("sao_ke", "giao_dich").value, rules)}
+        return plain, derived, [r(v) for r in RULES]
+
     # what the rules read, as plain columns, so that nothing is looked up or derived twice
-    read = {(d, f): operand(d, f, F.col(f"c_{d}")) for d, f in _READ}
-    view = view.withColumns({f"v_{d}_{f}": x.value for (d, f), x in read.items()} | {f"k_{d}_{f}": x.known for (d, f), x in read.items()})
-    o = lambda d, f: Operand(d, f, F.col(f"v_{d}_{f}"), F.col(f"k_{d}_{f}"))
-    names = [o("don_vay", "ho_ten"), o("cccd", "ho_ten"), o("hdld", "ho_ten_nld"), o("sao_ke", "chu_tk")]
-    view = view.withColumns({f"b_{x.label}": strip_accents(x.value) for x in names} | {"months": salary_by_month(o("sao_ke", "giao_dich").value, rules)})
-    bare = lambda x: F.col(f"`b_{x.label}`")
-    equal = lambda a, b: a.value == b.value
-    made = [
-        completeness(F.col("present"), F.col("unreadable")),
-        all_equal("R1", names, lambda a, b: same_names(a.value, bare(a), b.value, bare(b)), "name"),
-        all_equal("R2", [o("don_vay", "so_cccd"), o("cccd", "so_cccd")], equal, "identity number"),
-        all_equal("R3", [o("don_vay", "ngay_sinh"), o("cccd", "ngay_sinh")], equal, "date of birth"),
-        income(o("don_vay", "thu_nhap_thang"), o("sao_ke", "giao_dich"), F.col("months"), rules),
-        date_order("R5", o("cccd", "ngay_het_han"), o("don_vay", "ngay_ky"), "identity card valid"),
-        all_equal("R6", [o("don_vay", "so_tk_nhan_luong"), o("sao_ke", "so_tk")], equal, "account"),
-        contract(o("hdld", "loai_hd"), o("hdld", "ngay_ket_thuc"), o("don_vay", "ngay_ky")),
-        coverage(o("sao_ke", "ky_tu"), o("sao_ke", "ky_den"), o("don_vay", "ngay_ky"), rules),
-    ]
+    plain, derived, made = built_once(("checks", repr(rules)), read)
+    view = view.withColumns(plain).withColumns(derived)
     kept = [c for c in view.columns if not c.startswith(("v_", "k_", "b_"))]
-    return view.withColumn("checks", F.array(*made)).select(*kept, "checks")
+    return view.withColumn("checks", F.array(*made, *(r(View(rules)) for r in more))).select(*kept, "checks")
 
 
 # The fields that rules read.
@@ -174,5 +213,8 @@ _READ = [
 ]
 
 
+_NAMES = _READ[:4]
+
+
 def long_checks(checked: DataFrame, key: str = "bundle_id") -> DataFrame:
     return checked.select(key, F.explode("checks").alias("c")).select(key, "c.*")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import PARSERS, no_end_date
-from ..functions.text import foreign_chars
+from ..functions.text import built_once, foreign_chars
 from ..model import TRANSACTION, RulesConfig, Thresholds, field_rows
 from .salary import salary_by_month
 
@@ -39,8 +39,10 @@ def cell(kind: str, declared: Column, doc_type: Column, first: Column, second: C
 
     def parse_all(g: Column) -> Column:
         garbled = F.coalesce(foreign_chars(g["raw"]), F.lit("")) if kind in ("name", "text") else F.lit("")
-        more = [F.struct(x.alias("value"), y.alias("ok")).alias(n) for n, (x, y) in (("own", parsed(kind, g["raw"])), *([("other", parsed(kind, g["second"]))] if twice else []))]
-        return F.struct(g.alias("g"), garbled.alias("garbled"), *more)
+        value = lambda raw: F.struct(*(c.alias(n) for c, n in zip(parsed(kind, raw), ("value", "ok"), strict=True)))
+        # the second reading is mostly the first's own text, and then need not be parsed
+        more = [F.when(g["second"] != g["raw"], value(g["second"])).alias("other")] if twice else []
+        return F.struct(g.alias("g"), garbled.alias("garbled"), value(g["raw"]).alias("own"), *more)
 
     def judge(p: Column) -> Column:
         raw, value = p["g"]["raw"], p["own"]["value"]
@@ -51,7 +53,9 @@ def cell(kind: str, declared: Column, doc_type: Column, first: Column, second: C
         same = F.lit(True)
         if twice:
             pair = (lambda v: salary_by_month(v, rules)) if kind == "transactions" else (lambda v: v)
-            same = ~p["g"]["d"]["critical"] | F.coalesce(p["g"]["second"].isNotNull() & p["other"]["ok"] & pair(p["other"]["value"]).eqNullSafe(pair(value)), F.lit(False))
+            second = p["g"]["second"]
+            agree = (second == raw) | F.when(second != raw, p["other"]["ok"] & pair(p["other"]["value"]).eqNullSafe(pair(value)))
+            same = ~p["g"]["d"]["critical"] | F.coalesce(agree, F.lit(False))
         slots = {"text": null("string"), "day": null("date"), "amount": null("bigint"), "rows": null(f"array<{TRANSACTION.simpleString()}>")} | {slot: F.when(good, value)}
         d = p["g"]["d"]
         return F.struct(
@@ -66,7 +70,12 @@ def finalize(docs: DataFrame, rules: RulesConfig | None = None, limits: Threshol
     """docs (doc_type and two maps field -> (raw, page), of which the second may be absent) with the column cells: every
     field its type declares, in order, whether the document gives it or not."""
     rules, limits = rules or RulesConfig(), limits or Thresholds()
-    twice = limits.use_self_consistency and second in docs.columns
+    second = second if limits.use_self_consistency and second in docs.columns else None
+    return docs.withColumn("cells", built_once(("cells", repr(rules), repr(limits), first, second), lambda: cells_of(rules, limits, first, second)))
+
+
+def cells_of(rules: RulesConfig, limits: Thresholds, first: str, second: str | None) -> Column:
+    """The cells of a document, from the columns doc_type, `first` and (if not None) `second`."""
     registry: dict[str, list] = {}
     for d, _, f, order, kind, critical in field_rows(limits):
         registry.setdefault(d, []).append({"field": f, "field_ord": order, "kind": kind, "critical": critical})
@@ -74,9 +83,9 @@ def finalize(docs: DataFrame, rules: RulesConfig | None = None, limits: Threshol
     made = []
     for kind in PARSERS:
         own = F.filter(F.try_element_at(table, F.col("doc_type")), (lambda k: lambda d: d["kind"] == k)(kind))
-        made.append(cell(kind, own, F.col("doc_type"), F.col(first), F.col(second) if twice else None, rules))
-    by_order = lambda a, b: a["field_ord"] - b["field_ord"]
-    return docs.withColumn("cells", F.array_sort(F.concat(*made), by_order))
+        made.append(cell(kind, own, F.col("doc_type"), F.col(first), F.col(second) if second else None, rules))
+    placed = F.array_sort(F.transform(F.concat(*made), lambda c: F.struct(c["field_ord"].alias("at"), c.alias("cell"))))
+    return F.transform(placed, lambda x: x["cell"])
 
 
 def long_fields(finalized: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions.formats import rate
 from ..functions.stats import upper_bound_95
 from ..functions.text import clean_text, fold, normalize_name
 from ..model import CREDIT, ERROR_RULE, ROUTES, RulesConfig
+from .ranks import value_ranks
 from .salary import salary_by_month
 
 
@@ -80,9 +81,38 @@ def end_to_end(pairs: DataFrame) -> DataFrame:
 
 
 def latency(runs: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Median (interpolated) and 95th percentile (nearest rank)."""
-    p95 = F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{value}`)")
-    return runs.groupBy(*(by or [])).agg(F.median(value).alias("p50"), p95.alias("p95"))
+    """Median (interpolated) and 95th percentile (nearest rank) by group; groups without a value are left out."""
+    by = by or []
+    own = by or ["__all"]
+    ranks = value_ranks(runs if by else runs.withColumn("__all", F.lit(0)), own, value)
+    at = lambda rank: F.min(F.when(F.col("__upto") >= rank, F.col(value)))
+    total = F.col("__total")
+    found = ranks.groupBy(*own).agg(at(F.floor((total + 1) / 2)).alias("low"), at(F.floor(total / 2) + 1).alias("high"), at(F.floor((total * 95 + 99) / 100)).alias("p95"))
+    return found.select(*by, ((F.col("low") + F.col("high")) / 2).alias("p50"), "p95")
+
+
+def operations(decided: DataFrame) -> DataFrame:
+    """One row: latency, calls and cost by bundle, and documents whose extraction failed."""
+    counted = decided.agg(F.avg("n_calls").alias("calls_per_bundle"), F.avg("cost_usd").alias("cost_per_bundle_usd"), F.sum("failed_docs").alias("docs_extract_failed"))
+    spread = latency(decided, "latency_ms").select(F.col("p50").alias("latency_p50_ms"), F.col("p95").alias("latency_p95_ms"))
+    return counted.withColumn("__one", F.lit(1)).join(spread.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")  # one row each
+
+
+def call_costs(calls: DataFrame, by: list[str], tokens_in: str, tokens_out: str, price_in: float, price_out: float) -> DataFrame:
+    """Calls and their cost by group, prices being for a million tokens."""
+    cost = (F.col(tokens_in) * F.lit(float(price_in)) + F.col(tokens_out) * F.lit(float(price_out))) / 1e6
+    return calls.groupBy(*by).agg(F.count("*").alias("calls"), F.sum(cost).alias("cost"))
+
+
+def label_histogram(manifest: DataFrame) -> DataFrame:
+    """(label, value, n): bundles by expected route, injected errors and near-misses by code, and documents by layout."""
+    each = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
+    of = lambda label, column: F.transform(column, lambda v: each(label, v))
+    labels = F.concat(
+        F.array(each("route", F.col("expected_route"))), of("error", F.col("injected_errors.code")), of("near_miss", F.col("near_miss.code")),
+        F.transform(F.map_entries("layout_ids"), lambda e: each("layout", F.concat_ws("/", e["key"], e["value"]))),
+    )
+    return manifest.select(F.explode(labels).alias("x")).groupBy("x.label", "x.value").agg(F.count("*").alias("n"))
 
 
 def gate(runs: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import names_match
+from ..model import SCHEMA
+from . import ranks
 
 EVENTS = "bundle_id string, kind string, route string, reasons array<string>, reviewer string, conclusion string, edits string, note string, at double"
 # What a reviewer may conclude, and the rules that compare values.
@@ -48,11 +50,30 @@ def latest(events: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return events.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
-def queue(decisions: DataFrame, items: DataFrame, only: str | None = None, search: str | None = None) -> DataFrame:
-    """Bundles that need a person with their review state; by route, and by a text in id or customer without case."""
+def edits(before: Column, after: Column) -> Column:
+    """map<field, struct<from, to>> of what a reviewer changed, of two maps field -> value (a field absent is null)."""
+    names = F.array_distinct(F.concat(F.map_keys(before), F.map_keys(after)))
+    entries = F.transform(names, lambda k: F.struct(k.alias("key"), F.struct(F.try_element_at(before, k).alias("from"), F.try_element_at(after, k).alias("to")).alias("value")))
+    return F.map_from_entries(F.filter(entries, lambda e: ~e["value"]["from"].eqNullSafe(e["value"]["to"])))
+
+
+def shown_message(message: Column, status: Column, documents: dict[str, str], labels: dict[str, str]) -> Column:
+    """A check's message for people: references doc_type.field in words, and on a fail without the rule's own label."""
+    text = F.when(status == "fail", F.regexp_replace(message, r"^[^:]*: ", "")).otherwise(message)
+    for (d, f) in ((d, f) for d in SCHEMA for f, _ in SCHEMA[d]):
+        if d in documents:
+            text = F.regexp_replace(text, rf"\b{d}\.{f}\b", f"{documents[d]} · {labels.get(f, f).lower()}")
+    return text
+
+
+def queue(decisions: DataFrame, items: DataFrame, only: str | None = None, search: str | None = None, augment: str | None = None) -> DataFrame:
+    """Bundles that need a person with their review state; by route, by a text in id or customer without case, and by the
+    quality of their images."""
     rows = decisions.filter(F.col("route") == only if only else F.col("route") != "AUTO_PASS")
     if search:
         rows = rows.filter(F.lower(F.concat_ws(" ", "bundle_id", "customer")).contains(search.lower()))
+    if augment:
+        rows = rows.filter(F.col("augment") == augment)
     return rows.join(items.select("bundle_id", "status", "opened_at", "closed_at", "reviewer"), "bundle_id", "left").withColumn("status", F.coalesce("status", F.lit("new")))
 
 
@@ -68,8 +89,7 @@ def next_open(rows: DataFrame, closed: DataFrame, order: str = "pos") -> DataFra
 
 def neighbours(rows: DataFrame, by: str, order: str, key: str = "bundle_id") -> DataFrame:
     """The bundles before and after each in its class."""
-    w = W.partitionBy(by).orderBy(order)
-    return rows.withColumns({"prev": F.lag(key).over(w), "next": F.lead(key).over(w)})
+    return ranks.neighbours(rows, [by], order, key)
 
 
 def pick_samples(labelled: DataFrame, n_auto: int = 2) -> DataFrame:

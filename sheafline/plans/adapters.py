@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import CREDIT, DEBIT
+from ..functions import formats
+from ..model import CREDIT, DEBIT, DOC_TYPES
+from ..operators import checks, fields, route
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,3 +41,63 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = F.when(F.col("o_orderstatus") == "F", "AUTO_PASS").when(F.col("o_orderstatus") == "O", "REVIEW").otherwise("REQUEST_MORE")
     actual = F.when(F.col("o_totalprice") < 150000, "AUTO_PASS").when(F.col("o_totalprice") < 300000, "REVIEW").otherwise("REQUEST_MORE")
     return o.select(F.col("o_orderkey").alias("bundle_id"), expected.alias("expected"), actual.alias("actual"), F.col("o_orderpriority").alias("priority"), "o_custkey", "o_orderdate", "o_totalprice")
+
+
+def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as bundles of four printed documents, read twice: the customer's card, the order as a form, a contract, and
+    the lineitems as a statement. What is wrong with a bundle follows from remainders of the order's number: names, numbers,
+    dates and accounts that differ, unreadable or missing documents, wrong formats, foreign letters, and readings that do
+    not agree. (bundle_id, doc_ord, doc_type, readable, raw0, raw1)"""
+    k, signed = F.col("o_orderkey"), F.to_date("o_orderdate")
+    amount = F.format_number("so_tien", 0)
+    row = F.struct(F.date_format("ngay", "dd/MM/yyyy").alias("ngay"), "mo_ta", amount.alias("so_tien"), F.when(F.col("loai") == CREDIT, "C").otherwise("D").alias("loai"))
+    lines = statements(spark, sf_dir).groupBy("bundle_id").agg(F.to_json(F.collect_list(row)).alias("lines"), F.min("ngay").alias("first"), F.max("ngay").alias("last"))
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(lines, k == F.col("bundle_id"), "left").drop("bundle_id")
+    letters = F.translate(F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), "0123456789", "ABCDEGHIKL")
+    name = F.concat(F.lit("NGUYỄN VĂN "), letters)
+    number = lambda v, n, fill: F.lpad(v.cast("string"), n, fill)
+    form_name = (
+        F.when(k % 11 == 0, F.concat(F.lit("NGUYỄN "), letters)).when(k % 11 == 1, F.concat(F.lit("Nguyen Van "), letters))
+        .when(k % 11 == 2, F.concat(F.lit("  nguyễn  văn "), F.lower(letters))).when(k % 11 == 3, F.concat(F.lit("NGUYỄN VÃN "), letters)).otherwise(name)
+    )
+    born = F.date_add(F.lit("1960-01-01").cast("date"), (F.col("o_custkey") % 12000).cast("int"))
+    income = F.bround("o_totalprice").cast("bigint")
+    expiry = F.date_add(signed, (k % 400 - 40).cast("int"))
+    dmy = lambda d, style="slash": formats.date_as(d, style)
+    raw = {
+        "cccd": {
+            "so_cccd": formats.account_as(number(F.col("o_custkey"), 12, "0"), True), "ho_ten": name, "ngay_sinh": dmy(born), "gioi_tinh": F.when(k % 2 == 0, "Nam").otherwise("Nữ"),
+            "que_quan": F.when(k % 3 > 0, F.col("c_mktsegment")), "ngay_cap": dmy(F.date_sub(signed, 900)), "ngay_het_han": dmy(expiry),
+        },
+        "don_vay": {
+            "ho_ten": form_name, "so_cccd": F.when(k % 13 == 0, number(F.col("o_custkey") + 1, 12, "0")).when(k % 13 == 1, F.lit(" ")).when(k % 13 == 2, "12ab").otherwise(number(F.col("o_custkey"), 12, "0")),
+            "ngay_sinh": F.when(k % 17 == 1, "31/02/1990").otherwise(dmy(F.date_add(born, F.when(k % 17 == 0, 1).otherwise(0)), "dash")), "so_dien_thoai": formats.phone_as(F.concat(F.lit("09"), number(F.col("o_custkey"), 8, "0")), True),
+            "dia_chi": F.col("c_name"), "ten_cong_ty": F.when(k % 37 == 0, "CÐNG TY").otherwise("CÔNG TY"),
+            "thu_nhap_thang": F.when(k % 4 == 0, formats.money_as(income, "dong")).when(k % 4 == 1, formats.money_as(income, "vnd")).when(k % 4 == 2, formats.money_as(income, "d")).otherwise(formats.money_as(income, "comma")),
+            "so_tk_nhan_luong": number(F.col("o_custkey"), 10, "1"), "ngay_ky": dmy(signed, "long"),
+        },
+        "hdld": {
+            "ho_ten_nld": F.when(k % 41 > 0, name), "loai_hd": F.when(k % 59 == 0, "thử việc").when(k % 3 == 0, "Không xác định thời hạn").otherwise("Xác định thời hạn"),
+            "ngay_ket_thuc": F.when(k % 3 == 0, "Không xác định").otherwise(dmy(F.date_add(signed, (k % 500 - 30).cast("int")), "dot")),
+        },
+        "sao_ke": {
+            "chu_tk": F.concat(F.lit("NGUYEN VAN "), letters), "so_tk": formats.account_as(number(F.col("o_custkey") + F.when(k % 29 == 0, 1).otherwise(0), 10, "1"), True), "ky_tu": dmy(F.col("first")), "ky_den": dmy(F.col("last")),
+            "giao_dich": F.when(k % 53 == 0, '[{"ngay": "?"}]').otherwise(F.col("lines")),
+        },
+    }
+    second = {"cccd": {"ngay_het_han": F.when(k % 31 == 0, dmy(F.date_add(expiry, 1))).otherwise(dmy(expiry))}}
+    there = {"cccd": F.col("c_custkey").isNotNull() & (k % 19 > 0), "don_vay": k % 47 > 0, "hdld": k % 43 > 0, "sao_ke": F.col("first").isNotNull()}
+    as_map = lambda values: F.create_map(*(x for f, v in values.items() for x in (F.lit(f), F.struct(v.alias("raw"), F.lit(1).alias("page")))))
+    docs = [
+        F.when(there[d], F.struct(F.lit(i).alias("doc_ord"), F.lit(d).alias("doc_type"), (~((k % 23 == 1) & F.lit(d == "cccd"))).alias("readable"), as_map(raw[d]).alias("raw0"), as_map(raw[d] | second.get(d, {})).alias("raw1")))
+        for i, d in enumerate(DOC_TYPES)
+    ]
+    # judging a bundle takes long for its few bytes, so the number of tasks is not left to their size; it stays for what follows
+    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), k)
+    each = o.select(k.alias("bundle_id"), F.explode(F.filter(F.array(*docs), lambda d: d.isNotNull())).alias("d"))
+    return each.select("bundle_id", "d.doc_ord", "d.doc_type", "d.readable", "d.raw0", "d.raw1")
+
+
+def order_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order bundles, decided."""
+    return route.route(checks.check(checks.bundles(fields.finalize(order_documents(spark, sf_dir)))))

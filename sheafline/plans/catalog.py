@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import formats, parse, stats, text
+from ..functions import dates, formats, parse, stats, text
 from ..model import ROUTES
-from ..operators import checks, metrics, review, route, salary
+from ..operators import checks, fields, metrics, review, route, salary
 from ..sources.extract import page_merge
-from .adapters import declared, judged, routed, statements, table
+from ..sources.stage import stored
+from .adapters import declared, judged, order_bundles, order_documents, routed, statements, table
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -54,14 +55,13 @@ def garbled_docs(spark, sf_dir):
     return d.select("doc_id", text.foreign_chars(F.col("text")).alias("strange"))
 
 
-@query("""WITH p AS (SELECT doc_id, substr(text, 1, 24) AS a, CASE doc_id % 4 WHEN 0 THEN translate(strip_accents(substr(text, 1, 24)), 'đĐ', 'dD') WHEN 1 THEN '  ' || lower(substr(text, 1, 24)) WHEN 2 THEN substr(text, 2, 24) ELSE replace(replace(substr(text, 1, 24), 'é', 'è'), 'ä', 'a') END AS b FROM documents),
+@query("""WITH p AS (SELECT doc_id, text AS a, CASE doc_id % 4 WHEN 0 THEN translate(strip_accents(text), 'đĐ', 'dD') WHEN 1 THEN '  ' || lower(text) WHEN 2 THEN substr(text, 2) ELSE replace(replace(text, 'é', 'è'), 'ä', 'a') END AS b FROM documents),
 n AS (SELECT doc_id, upper(trim(regexp_replace(replace(a, 'ß', 'ss'), '\\s+', ' ', 'g'))) AS a, upper(trim(regexp_replace(replace(b, 'ß', 'ss'), '\\s+', ' ', 'g'))) AS b FROM p)
 SELECT doc_id, a = b OR ((strip_accents(a) = a OR strip_accents(b) = b) AND strip_accents(a) = strip_accents(b)) AS same FROM n""")
 def name_match_pairs(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    a = F.substring("text", 1, 24)
-    m = F.col("doc_id") % 4
-    b = F.when(m == 0, text.strip_accents(a)).when(m == 1, F.concat(F.lit("  "), F.lower(a))).when(m == 2, F.substring("text", 2, 24)).otherwise(F.replace(F.replace(a, F.lit("é"), F.lit("è")), F.lit("ä"), F.lit("a")))
+    a, m = F.col("text"), F.col("doc_id") % 4
+    b = F.when(m == 0, text.strip_accents(a)).when(m == 1, F.concat(F.lit("  "), F.lower(a))).when(m == 2, F.expr("substring(text, 2)")).otherwise(F.replace(F.replace(a, F.lit("é"), F.lit("è")), F.lit("ä"), F.lit("a")))
     sharp = lambda s: F.replace(s, F.lit("ß"), F.lit("ss"))
     return d.select("doc_id", text.names_match(sharp(a), sharp(b)).alias("same"))
 
@@ -134,11 +134,14 @@ SELECT o_orderkey AS bundle_id, CASE WHEN l.k IS NULL THEN 'unknown' WHEN coales
 FROM orders LEFT JOIN a ON a.bundle_id = o_orderkey LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) l ON l.k = o_orderkey""")
 def income_check(spark, sf_dir):
     """Declared income against the mean salary of the statement, with its order of unknowns."""
-    rows = statements(spark, sf_dir).groupBy("bundle_id").agg(F.collect_list(F.struct("ngay", "mo_ta", "so_tien", "loai")).alias("rows"))
-    j = declared(spark, sf_dir).join(rows, "bundle_id", "left").withColumn("months", salary.salary_by_month(F.col("rows"), checks.RulesConfig()))
-    a = checks.Operand("don_vay", "thu_nhap_thang", F.col("declared"), F.col("declared").isNotNull())
-    b = checks.Operand("sao_ke", "giao_dich", F.col("rows"), F.col("rows").isNotNull())
-    return j.select("bundle_id", checks.income(a, b, F.col("months"), checks.RulesConfig())["status"].alias("status"))
+    t, rules = statements(spark, sf_dir), checks.RulesConfig()
+    paid = salary.is_salary(F.col("loai"), F.col("mo_ta"), rules)
+    months = t.groupBy("bundle_id", F.when(paid, F.trunc("ngay", "MM")).alias("month")).agg(F.sum(F.when(paid, F.col("so_tien"))).alias("total"), F.count("*").alias("n"))
+    given = F.col("month").isNotNull()
+    mean = months.groupBy("bundle_id").agg(F.try_divide(F.sum("total").cast("double"), F.count("month")).alias("average"), F.coalesce(F.bool_or(given & (F.col("n") > 1)), F.lit(False)).alias("double"), F.lit(True).alias("there"))
+    j = declared(spark, sf_dir).join(mean, "bundle_id", "left")
+    usable = F.col("declared").isNotNull() & F.coalesce("there", F.lit(False))
+    return j.select("bundle_id", checks.income_outcome(usable, F.coalesce("double", F.lit(False)), F.col("declared"), F.col("average"), rules).alias("status"))
 
 
 # checks
@@ -257,11 +260,14 @@ def escape_rates(spark, sf_dir):
     return e.withColumns({c: F.round(c, 9) for c in ("escape_rate", "false_review_rate", "automation_rate")})
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) FILTER (o_totalprice > 400000) AS k, count(*) AS n FROM orders GROUP BY ALL),
+b AS (SELECT DISTINCT k, n, CAST(k AS DOUBLE) / n AS lo, CAST(1 AS DOUBLE) AS hi, 0 AS i FROM g WHERE k < n
+UNION ALL SELECT k, n, CASE WHEN chance > 0.05 THEN mid ELSE lo END, CASE WHEN chance > 0.05 THEN hi ELSE mid END, i + 1 FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((lo + hi) / 2) + (n - j) * ln(1 - (lo + hi) / 2)))) AS chance FROM b WHERE i < 45))
+SELECT o_orderpriority, month, g.k, g.n, round(CASE WHEN g.k >= g.n THEN 1.0 ELSE b.hi END, 8) AS upper FROM g LEFT JOIN b ON b.k = g.k AND b.n = g.n AND b.i = 45""")
 def clopper_pearson(spark, sf_dir):
-    """Upper bounds of the share of large orders by priority and month (bisection, so no SQL)."""
-    o = table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.trunc("o_orderdate", "MM").alias("month")).agg(F.count_if(F.col("o_totalprice") > 400000).alias("k"), F.count("*").alias("n"))
-    return o.withColumn("upper", stats.upper_bound_95(F.col("k"), F.col("n")))
+    """Upper bounds of the share of large orders by priority and month."""
+    o = table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.to_date(F.trunc("o_orderdate", "MM")).alias("month")).agg(F.count_if(F.col("o_totalprice") > 400000).alias("k"), F.count("*").alias("n"))
+    return o.withColumn("upper", F.round(stats.upper_bound_95(F.col("k"), F.col("n")), 8))
 
 
 @query("""SELECT code, count(*) AS n, round(CAST(count(*) FILTER (NOT flagged) AS DOUBLE) / count(*), 9) AS rate FROM (SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderpriority ELSE 'clean' END AS code, o_totalprice > 300000 AS flagged FROM orders) GROUP BY code""")
@@ -283,10 +289,10 @@ def latency_percentiles(spark, sf_dir):
     return metrics.latency(table(spark, sf_dir, "events"), "value", ["event_type"]).withColumn("p50", F.round("p50", 9))
 
 
-@query("SELECT event_type, count(*) AS calls, count(DISTINCT user_id) AS users, round(sum(CAST(round_even(value * 100, 0) AS BIGINT)) * 0.77 / 1e6, 9) AS cost FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS calls, round(sum(CAST(round_even(value * 100, 0) AS BIGINT) * CAST(0.77 AS DOUBLE) + user_id * CAST(0.5 AS DOUBLE)) / 1e6, 7) AS cost FROM events GROUP BY event_type")
 def call_costs(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("calls"), F.count_distinct("user_id").alias("users"), F.round(F.sum(F.bround(F.col("value") * 100).cast("bigint")) * F.lit(0.77) / 1e6, 9).alias("cost"))
+    e = table(spark, sf_dir, "events").withColumn("tokens", F.bround(F.col("value") * 100).cast("bigint"))
+    return metrics.call_costs(e, ["event_type"], "tokens", "user_id", 0.77, 0.5).withColumn("cost", F.round("cost", 7))
 
 
 @query("""SELECT * FROM (SELECT 'field' AS kind, 0 AS ord, count(*) AS n FROM documents WHERE NOT regexp_matches(text, '[äöüßÄÖÜ]') AND lang = 'de' UNION ALL SELECT 'rule_miss', 1, count(*) FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'false_flag', 2, count(*) FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT 'route', 3, count(*) FROM (""" + _ROUTED + ") WHERE expected <> actual) WHERE n > 0")
@@ -322,10 +328,9 @@ def prev_run_delta(spark, sf_dir):
     return metrics.gate(runs).select("run_id", "split", "escape_rate", "automation_rate", "prev_run_id", "prev_escape_rate", F.round("d_escape", 6).alias("d_escape"), "rejected")
 
 
-@query(f"SELECT bundle_id, actual, lag(bundle_id) OVER w AS prev, lead(bundle_id) OVER w AS next FROM ({_ROUTED}) WINDOW w AS (PARTITION BY actual, o_custkey ORDER BY bundle_id)")
+@query(f"SELECT bundle_id, actual, lag(bundle_id) OVER w AS prev, lead(bundle_id) OVER w AS next FROM ({_ROUTED}) WINDOW w AS (PARTITION BY actual ORDER BY bundle_id)")
 def neighbours(spark, sf_dir):
-    r = routed(spark, sf_dir).withColumn("class", F.concat_ws("/", "actual", F.col("o_custkey").cast("string")))
-    return review.neighbours(r, "class", "bundle_id").select("bundle_id", "actual", "prev", "next")
+    return review.neighbours(routed(spark, sf_dir), "actual", "bundle_id").select("bundle_id", "actual", "prev", "next")
 
 
 @query("SELECT event_type, user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -416,12 +421,226 @@ def display_formats(spark, sf_dir):
     return o.select("o_orderkey", formats.money_shown(v).alias("shown"), formats.date_shown(F.to_date("o_orderdate")).alias("day"), F.bround(F.col("o_totalprice") * 100 / 500000).cast("bigint").alias("pct"))
 
 
-@query()
+# generated bundles through the whole dataflow: the labels are the oracle
+
+_PLAN = """(SELECT i, printf('dev_%04d', i) AS bundle_id, i % 2 = 0 AS bad, ['E1', 'E2', 'E3', 'E4', 'E5', 'E6', 'E7', 'E8'] AS codes, (i // 2) AS j FROM (SELECT unnest(range(count(*))) AS i FROM customer))"""
+_CODES = f"""(SELECT *, CASE WHEN NOT bad THEN [] WHEN j % 9 = 8 AND j % 8 <> 7 THEN [codes[j % 8 + 1], list_filter(list_concat(codes[(j + 3) % 7 + 1:], codes), lambda c: c <> 'E8' AND c <> codes[j % 8 + 1] AND NOT (c IN ('E5', 'E7') AND codes[j % 8 + 1] IN ('E5', 'E7')))[1]] ELSE [codes[j % 8 + 1]] END AS errors, CASE WHEN NOT bad AND j % 3 = 0 THEN 'N' || (j // 3 % 6 + 1) END AS near FROM {_PLAN})"""
+_EXPECTED = f"(SELECT *, CASE WHEN list_contains(errors, 'E8') THEN 'REQUEST_MORE' WHEN bad THEN 'REVIEW' ELSE 'AUTO_PASS' END AS route FROM {_CODES})"
+
+
+def _generated(spark, sf_dir):
+    """As many bundles as there are customers, with what was decided of them; both written, for many metrics read them."""
+    from ..sources.generator import generate
+    from .bundles import run
+
+    manifest = stored(generate(spark, table(spark, sf_dir, "customer").count()), "manifest")
+    return manifest, stored(run(manifest), "decided")
+
+
+@query(f"SELECT bundle_id, route, CASE route WHEN 'REQUEST_MORE' THEN 'R0' ELSE array_to_string(list_sort(list_transform(errors, lambda c: 'R' || c[2])), ',') END AS reasons FROM {_EXPECTED}")
 def bundle_decisions(spark, sf_dir):
-    """Synthetic bundles through the whole dataflow: extraction, fields, checks and routes (as many as there are
-    customers)."""
+    """Synthetic bundles through the whole dataflow: extraction, fields, checks and routes."""
     from ..sources.generator import generate
     from .bundles import run
 
-    n = table(spark, sf_dir, "customer").count()
-    return run(generate(spark, n)).select("bundle_id", "route", F.array_join("reasons", ",").alias("reasons"))
+    return run(generate(spark, table(spark, sf_dir, "customer").count())).select("bundle_id", "route", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"""WITH e AS (SELECT unnest(errors) AS code FROM {_EXPECTED}), n AS (SELECT code, count(*) AS n FROM e GROUP BY code) SELECT c.code, c.rule_id, coalesce(n, 0) AS n, coalesce(n, 0) AS caught, 0 AS unknown, 0 AS missed, CASE WHEN n > 0 THEN CAST(1 AS DOUBLE) END AS recall
+FROM (SELECT 'E' || (i + 1) AS code, CASE WHEN i = 7 THEN 'R0' ELSE 'R' || (i + 1) END AS rule_id FROM (SELECT unnest(range(8)) AS i)) c LEFT JOIN n ON n.code = c.code""")
+def bundle_recall(spark, sf_dir):
+    """Every injected error is found by its rule."""
+    from .bundles import evaluate
+
+    return evaluate(*_generated(spark, sf_dir))["recall"]
+
+
+@query(f"SELECT coalesce(near, 'clean') AS code, count(*) AS n, CAST(1 AS DOUBLE) AS rate FROM {_EXPECTED} WHERE NOT bad GROUP BY 1")
+def bundle_near_misses(spark, sf_dir):
+    """No valid variant is flagged."""
+    from .bundles import evaluate
+
+    return evaluate(*_generated(spark, sf_dir))["near"]
+
+
+@query(f"""SELECT n_bundles, n_with_errors, n_clean, 0 AS escaped, CAST(0 AS DOUBLE) AS escape_rate, round(1 - pow(0.05, CAST(1.0 AS DOUBLE) / n_with_errors), 8) AS escape_rate_upper95, CAST(0 AS DOUBLE) AS false_review_rate, round(CAST(n_clean AS DOUBLE) / n_bundles, 8) AS automation_rate, 0 AS error_rows, 0 AS docs_failed, CAST(8 * n_bundles - 2 * gone AS DOUBLE) / n_bundles AS calls, CAST(0 AS DOUBLE) AS p95, CAST(1 AS DOUBLE) AS row_recall, CAST(1 AS DOUBLE) AS credit_row_recall, CAST(0 AS DOUBLE) AS schema_error, CAST(1 AS DOUBLE) AS auto_acc, 0 AS auto_wrong
+FROM (SELECT count(*) AS n_bundles, count(*) FILTER (bad) AS n_with_errors, count(*) FILTER (NOT bad) AS n_clean, count(*) FILTER (list_contains(errors, 'E8')) AS gone FROM {_EXPECTED})""")
+def bundle_evaluation(spark, sf_dir):
+    """All tiers of the evaluation in one row: routing, operation, statements, formats, automatic passes and error rows."""
+    from .bundles import evaluate
+
+    found = evaluate(*_generated(spark, sf_dir))
+    parts = [
+        found["end_to_end"].withColumns({c: F.round(c, 8) for c in ("escape_rate_upper95", "automation_rate")}), found["errors"].agg(F.count("*").alias("error_rows")),
+        found["operations"].select(F.col("docs_extract_failed").alias("docs_failed"), F.col("calls_per_bundle").alias("calls"), F.col("latency_p95_ms").cast("double").alias("p95")), found["statements"].select("row_recall", "credit_row_recall"),
+        found["schema_errors"].select(F.col("rate").alias("schema_error")), found["auto_pass_data"].select(F.col("acc").alias("auto_acc"), F.col("bundles_with_wrong_field").alias("auto_wrong")),
+    ]
+    out = parts[0].withColumn("__one", F.lit(1))
+    for p in parts[1:]:  # one row each
+        out = out.join(p.withColumn("__one", F.lit(1)), "__one", "left")
+    return out.drop("__one")
+
+
+@query(f"""SELECT 'route' AS label, route AS value, count(*) AS n FROM {_EXPECTED} GROUP BY 2 UNION ALL SELECT 'error', code, count(*) FROM (SELECT unnest(errors) AS code FROM {_EXPECTED}) GROUP BY 2 UNION ALL SELECT 'near_miss', near, count(*) FROM {_EXPECTED} WHERE near IS NOT NULL GROUP BY 2 UNION ALL SELECT 'layout', 'cccd/A', count(*) FROM {_EXPECTED}""")
+def bundle_labels(spark, sf_dir):
+    """Labels as generated (of the drawn layouts only the card's, which has one)."""
+    from ..sources.generator import generate
+
+    found = metrics.label_histogram(generate(spark, table(spark, sf_dir, "customer").count()))
+    return found.filter("label <> 'layout' or value = 'cccd/A'")
+
+
+# orders as printed bundles, from raw strings to routes
+
+_ORDER = """(SELECT o_orderkey AS k, o_custkey AS c, CAST(o_orderdate AS DATE) AS signed, CAST(round_even(o_totalprice, 0) AS BIGINT) AS income, c_name, c_mktsegment,
+c_custkey IS NOT NULL AND o_orderkey % 19 > 0 AS card, o_orderkey % 23 = 1 AS blurred, o_orderkey % 47 > 0 AS form, o_orderkey % 43 > 0 AS contract, l.first IS NOT NULL AS statement, l.first, l.last, m.average, coalesce(m.twice, false) AS twice
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+LEFT JOIN (SELECT l_orderkey, min(CAST(l_shipdate AS DATE)) AS first, max(CAST(l_shipdate AS DATE)) AS last FROM lineitem GROUP BY 1) l ON l.l_orderkey = o_orderkey
+LEFT JOIN (SELECT bundle_id, CAST(sum(total) AS DOUBLE) / count(*) AS average, max(n) > 1 AS twice FROM (""" + _MONTHS + """) GROUP BY 1) m ON m.bundle_id = o_orderkey)"""
+_TYPED = f"""(SELECT *, card AND NOT blurred AS cc, CASE WHEN k % 13 = 0 THEN lpad(CAST(c + 1 AS VARCHAR), 12, '0') WHEN k % 13 > 2 THEN lpad(CAST(c AS VARCHAR), 12, '0') END AS form_id, lpad(CAST(c AS VARCHAR), 12, '0') AS card_id,
+CASE WHEN k % 17 <> 1 THEN CAST(DATE '1960-01-01' + CAST(c % 12000 AS INTEGER) + CASE WHEN k % 17 = 0 THEN 1 ELSE 0 END AS DATE) END AS form_born, CAST(DATE '1960-01-01' + CAST(c % 12000 AS INTEGER) AS DATE) AS card_born, CAST(signed + CAST(k % 400 - 40 AS INTEGER) AS DATE) AS expiry,
+lpad(CAST(c AS VARCHAR), 10, '1') AS form_account, lpad(CAST(c + CASE WHEN k % 29 = 0 THEN 1 ELSE 0 END AS VARCHAR), 10, '1') AS account, CASE WHEN k % 59 = 0 THEN NULL WHEN k % 3 = 0 THEN 'open' ELSE 'fixed' END AS term, CASE WHEN k % 3 > 0 THEN CAST(signed + CAST(k % 500 - 30 AS INTEGER) AS DATE) END AS ends FROM {_ORDER})"""
+_STATUS = f"""(SELECT *, CASE WHEN NOT card OR blurred OR NOT form OR NOT contract OR NOT statement THEN 'fail' ELSE 'pass' END AS r0,
+CASE WHEN form AND k % 11 IN (0, 3) AND (cc OR contract AND k % 41 > 0) OR form AND k % 11 = 0 AND statement THEN 'fail' WHEN form AND cc AND contract AND k % 41 > 0 AND statement THEN 'pass' ELSE 'unknown' END AS r1,
+CASE WHEN NOT (form AND cc AND form_id IS NOT NULL) THEN 'unknown' WHEN form_id <> card_id THEN 'fail' ELSE 'pass' END AS r2, CASE WHEN NOT (form AND cc AND form_born IS NOT NULL) THEN 'unknown' WHEN form_born <> card_born THEN 'fail' ELSE 'pass' END AS r3,
+CASE WHEN NOT form OR NOT statement OR k % 53 = 0 OR twice OR average IS NULL THEN 'unknown' WHEN CAST(income AS DOUBLE) <= average * (CAST(1.0 AS DOUBLE) + CAST(0.1 AS DOUBLE)) THEN 'pass' ELSE 'fail' END AS r4,
+CASE WHEN NOT form OR NOT cc OR k % 31 = 0 THEN 'unknown' WHEN expiry >= signed THEN 'pass' ELSE 'fail' END AS r5, CASE WHEN NOT form OR NOT statement THEN 'unknown' WHEN form_account <> account THEN 'fail' ELSE 'pass' END AS r6,
+CASE WHEN contract AND term = 'open' THEN 'pass' WHEN contract AND ends IS NOT NULL AND form THEN CASE WHEN ends >= signed THEN 'pass' ELSE 'fail' END ELSE 'unknown' END AS r7,
+CASE WHEN NOT form OR NOT statement THEN 'unknown' WHEN date_diff('day', last, signed) <= 30 AND CAST(first + INTERVAL 3 MONTH AS DATE) <= last + 1 THEN 'pass' ELSE 'fail' END AS r8 FROM {_TYPED})"""
+_EACH = ", ".join(f"r{i}" for i in range(9))
+
+
+@query(f"SELECT k AS bundle_id, 'R' || (i - 1) AS rule_id, [{_EACH}][i] AS status FROM {_STATUS}, (SELECT unnest(range(1, 10)) AS i)")
+def order_checks(spark, sf_dir):
+    """All nine checks of every order bundle, from printed strings."""
+    return checks.long_checks(order_bundles(spark, sf_dir)).select("bundle_id", "rule_id", "status")
+
+
+def _tokens(kind: str, names: dict[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {when} THEN '{kind}:{name}' END" for name, when in names.items()) + "], lambda x: x IS NOT NULL)"
+
+
+_FORMAT = _tokens("FORMAT", {"don_vay.so_cccd": "form AND k % 13 = 2", "don_vay.ngay_sinh": "form AND k % 17 = 1", "sao_ke.giao_dich": "statement AND k % 53 = 0"})
+_LOW = _tokens("LOW_CONF", {"cccd.ngay_het_han": "cc AND k % 31 = 0", "don_vay.so_cccd": "form AND k % 13 IN (1, 2)", "don_vay.ngay_sinh": "form AND k % 17 = 1", "hdld.ho_ten_nld": "contract AND k % 41 = 0", "sao_ke.giao_dich": "statement AND k % 53 = 0"})
+_BY = lambda status, shown: f"list_transform(list_filter(range(1, 10), lambda i: [{_EACH}][i] = '{status}'), lambda i: '{shown}' || (i - 1))"
+
+
+@query(f"""SELECT k AS bundle_id, CASE WHEN r0 = 'fail' OR len(errors) >= 3 THEN 'REQUEST_MORE' WHEN len(failed) > 0 OR len(doubt) > 0 THEN 'REVIEW' ELSE 'AUTO_PASS' END AS route,
+array_to_string(CASE WHEN r0 = 'fail' OR len(errors) >= 3 THEN list_concat(CASE WHEN r0 = 'fail' THEN ['R0'] ELSE [] END, errors) WHEN len(failed) > 0 THEN failed ELSE doubt END, ',') AS reasons
+FROM (SELECT *, {_FORMAT} AS errors, {_BY('fail', 'R')} AS failed, list_concat(list_concat({_BY('unknown', 'UNKNOWN:R')}, {_LOW}), CASE WHEN form AND k % 37 = 0 THEN ['GARBLED:don_vay.ten_cong_ty'] ELSE [] END) AS doubt FROM {_STATUS})""")
+def order_routes(spark, sf_dir):
+    """Routes of the order bundles with all kinds of reasons."""
+    return order_bundles(spark, sf_dir).select("bundle_id", "route", F.array_join("reasons", ",").alias("reasons"))
+
+
+_PAIR = lambda rule, what, x, y, vx, vy, kx, ky: f"SELECT k AS bundle_id, '{rule.upper()}' AS rule_id, CASE {rule} WHEN 'pass' THEN '{what}: all equal' WHEN 'fail' THEN '{what}: {x}=' || {vx} || ' differs from {y}=' || {vy} ELSE 'missing or uncertain: ' || array_to_string(list_filter([CASE WHEN NOT ({kx}) THEN '{x}' END, CASE WHEN NOT ({ky}) THEN '{y}' END], lambda z: z IS NOT NULL), ', ') END AS message, '{x.replace('.', '|')}|' || coalesce(CASE WHEN form THEN CAST({vx} AS VARCHAR) END, '-') || '|' || ({kx}) || ' {y.replace('.', '|')}|' || coalesce(CASE WHEN {'cc' if y[0] == 'c' else 'statement'} THEN CAST({vy} AS VARCHAR) END, '-') || '|' || ({ky}) AS evidence FROM {_STATUS}"
+
+
+@query(
+    _PAIR("r2", "identity number", "don_vay.so_cccd", "cccd.so_cccd", "form_id", "card_id", "form AND form_id IS NOT NULL", "cc") + " UNION ALL " + _PAIR("r3", "date of birth", "don_vay.ngay_sinh", "cccd.ngay_sinh", "form_born", "card_born", "form AND form_born IS NOT NULL", "cc")
+    + " UNION ALL " + _PAIR("r6", "account", "don_vay.so_tk_nhan_luong", "sao_ke.so_tk", "form_account", "account", "form", "statement")
+)
+def order_messages(spark, sf_dir):
+    """Messages and evidence of the checks that compare two documents."""
+    long = checks.long_checks(order_bundles(spark, sf_dir)).filter(F.col("rule_id").isin("R2", "R3", "R6"))
+    shown = F.transform("evidence", lambda e: F.concat_ws("|", e["doc_type"], e["field"], F.coalesce(e["value"], F.lit("-")), e["known"].cast("string")))
+    return long.select("bundle_id", "rule_id", "message", F.array_join(shown, " ").alias("evidence"))
+
+
+_FLAG = lambda rule, x, y, vx, vy, kx, ky: f"SELECT k AS bundle_id, '{x.split('.')[0]}' AS doc_type, '{x.split('.')[1]}' AS field, '{rule.upper()}' AS rule_id, {rule} AS status, CASE WHEN {rule} = 'fail' THEN {vy} END AS suggestion FROM {_STATUS} WHERE {rule} = 'fail' OR {rule} = 'unknown' AND NOT ({kx}) UNION ALL SELECT k, '{y.split('.')[0]}', '{y.split('.')[1]}', '{rule.upper()}', {rule}, CASE WHEN {rule} = 'fail' THEN {vx} END FROM {_STATUS} WHERE {rule} = 'fail' OR {rule} = 'unknown' AND NOT ({ky})"
+
+
+@query(
+    _FLAG("r2", "don_vay.so_cccd", "cccd.so_cccd", "form_id", "card_id", "form AND form_id IS NOT NULL", "cc") + " UNION ALL " + _FLAG("r3", "don_vay.ngay_sinh", "cccd.ngay_sinh", "CAST(form_born AS VARCHAR)", "CAST(card_born AS VARCHAR)", "form AND form_born IS NOT NULL", "cc")
+    + " UNION ALL " + _FLAG("r6", "don_vay.so_tk_nhan_luong", "sao_ke.so_tk", "form_account", "account", "form", "statement")
+)
+def order_flags(spark, sf_dir):
+    """Fields that the comparing checks flag, with the other document's value as a suggestion where they fail."""
+    each = review.flagged_fields(order_bundles(spark, sf_dir)).select("bundle_id", "doc_type", "field", F.explode("why").alias("w")).filter(F.col("w.rule_id").isin("R2", "R3", "R6"))
+    return each.select("bundle_id", "doc_type", "field", "w.rule_id", "w.status", F.get("w.suggest", F.lit(0))["value"].alias("suggestion"))
+
+
+@query(f"SELECT k AS bundle_id, array_to_string({_BY('pass', 'R')}, ',') AS passed, array_to_string({_BY('fail', 'R')}, ',') AS failed, array_to_string({_BY('unknown', 'R')}, ',') AS unknown FROM {_STATUS}")
+def order_tallies(spark, sf_dir):
+    """Checks of each bundle by outcome."""
+    by = lambda s: F.array_join(F.transform(F.filter("checks", lambda c: c["status"] == s), lambda c: c["rule_id"]), ",")
+    return order_bundles(spark, sf_dir).select("bundle_id", by("pass").alias("passed"), by("fail").alias("failed"), by("unknown").alias("unknown"))
+
+
+_CELL = lambda doc, there, name, value, high, error="NULL": f"SELECT k AS bundle_id, '{doc}' AS doc_type, '{name}' AS field, CAST({value} AS VARCHAR) AS value, {high} AS high, {error} AS error FROM {_TYPED} WHERE {there}"
+_WHO = "translate(lpad(CAST(c % 1000 AS VARCHAR), 3, '0'), '0123456789', 'ABCDEGHIKL')"
+_CELLS = {
+    ("cccd", "so_cccd"): ("card_id", "true"), ("cccd", "ho_ten"): (f"'NGUYỄN VĂN ' || {_WHO}", "true"), ("cccd", "ngay_het_han"): ("expiry", "k % 31 > 0"), ("cccd", "que_quan"): ("CASE WHEN k % 3 > 0 THEN c_mktsegment END", "k % 3 > 0"), ("cccd", "noi_thuong_tru"): ("NULL", "false"),
+    ("don_vay", "ho_ten"): (f"CASE k % 11 WHEN 0 THEN 'NGUYỄN ' WHEN 1 THEN 'NGUYEN VAN ' WHEN 3 THEN 'NGUYỄN VÃN ' ELSE 'NGUYỄN VĂN ' END || {_WHO}", "true"), ("don_vay", "so_cccd"): ("form_id", "form_id IS NOT NULL", "CASE WHEN k % 13 = 2 THEN 'not a valid identity number: 12ab' END"),
+    ("don_vay", "ngay_sinh"): ("form_born", "form_born IS NOT NULL", "CASE WHEN form_born IS NULL THEN 'not a valid date: 31/02/1990' END"), ("don_vay", "so_dien_thoai"): ("'09' || lpad(CAST(c AS VARCHAR), 8, '0')", "true"), ("don_vay", "thu_nhap_thang"): ("income", "true"),
+    ("don_vay", "ten_cong_ty"): ("CASE WHEN k % 37 > 0 THEN 'CÔNG TY' END", "k % 37 > 0", "CASE WHEN k % 37 = 0 THEN 'garbled: Ð' END"), ("don_vay", "ngay_ky"): ("signed", "true"),
+    ("hdld", "loai_hd"): ("CASE term WHEN 'open' THEN 'khong_xac_dinh_thoi_han' WHEN 'fixed' THEN 'xac_dinh_thoi_han' END", "term IS NOT NULL", "CASE WHEN term IS NULL THEN 'not a valid contract kind: thử việc' END"), ("hdld", "ngay_ket_thuc"): ("ends", "true"),
+    ("sao_ke", "so_tk"): ("account", "true"), ("sao_ke", "ky_tu"): ("first", "true"), ("sao_ke", "giao_dich"): ("NULL", "k % 53 > 0", "CASE WHEN k % 53 = 0 THEN 'not a valid list of transactions: [{\"ngay\": \"?\"}]' END"),
+}
+_THERE = {"cccd": "card", "don_vay": "form", "hdld": "contract", "sao_ke": "statement"}
+
+
+@query(" UNION ALL ".join(_CELL(d, _THERE[d], f, *rest) for (d, f), rest in _CELLS.items()))
+def order_cells(spark, sf_dir):
+    """Finalized fields: typed value, confidence and error, of fields of every kind (of statements whether they parse)."""
+    cells = fields.long_fields(fields.finalize(order_documents(spark, sf_dir))).filter(F.concat_ws(".", "doc_type", "field").isin([f"{d}.{f}" for d, f in _CELLS]))
+    return cells.select("bundle_id", "doc_type", "field", F.coalesce("text", F.col("day").cast("string"), F.col("amount").cast("string")).alias("value"), "high", "error")
+
+
+@query("""WITH b AS (SELECT c_custkey, CAST(DATE '1960-01-01' + CAST(c_custkey * 7 % 15000 AS INTEGER) AS DATE) AS born, CAST(DATE '2000-01-01' + CAST(c_custkey * 11 % 12000 AS INTEGER) AS DATE) AS issued FROM customer)
+SELECT c_custkey, list_min(list_filter([CAST(born + INTERVAL 25 YEAR AS DATE), CAST(born + INTERVAL 40 YEAR AS DATE), CAST(born + INTERVAL 60 YEAR AS DATE)], lambda d: d > issued)) AS expiry FROM b""")
+def card_expiries(spark, sf_dir):
+    """When a card issued on a day expires, by the holder's age."""
+    day = lambda start, step, span: F.date_add(F.lit(start).cast("date"), (F.col("c_custkey") * step % span).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", dates.card_expiry(day("1960-01-01", 7, 15000), day("2000-01-01", 11, 12000)).alias("expiry"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS d, o_orderkey % 4 <> 2 AS ok FROM orders")
+def optional_dates(spark, sf_dir):
+    """End dates that may be none: words for no end are valid, others are not."""
+    k = F.col("o_orderkey") % 4
+    raw = F.when(k == 0, "Không xác định").when(k == 1, " - ").when(k == 2, "chưa rõ").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    value, ok = fields.parsed("opt_date", raw)
+    return table(spark, sf_dir, "orders").select("o_orderkey", value.alias("d"), ok.alias("ok"))
+
+
+@query("""WITH t AS (SELECT l_orderkey AS bundle_id, l_returnflag = 'N' AS credit, CAST(l_shipdate AS DATE) AS d, CAST(round_even(l_extendedprice, 0) AS BIGINT) AS v, l_quantity > 10 AS read_, l_orderkey % 9 = 0 AS lost FROM lineitem),
+g AS (SELECT bundle_id, credit, d, v, count(*) AS n, CASE WHEN lost THEN 0 ELSE count(*) FILTER (read_) END AS m FROM t GROUP BY bundle_id, credit, d, v, lost)
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, round(CAST(sum(least(n, m)) AS DOUBLE) / sum(n), 9) AS row_recall, round(CAST(sum(least(n, m)) AS DOUBLE) / sum(m), 9) AS row_precision, CAST(sum(n) FILTER (credit) AS BIGINT) AS n_credit_rows, round(CAST(sum(least(n, m)) FILTER (credit) AS DOUBLE) / sum(n) FILTER (credit), 9) AS credit_row_recall FROM g""")
+def statement_scores(spark, sf_dir):
+    """Statements read in part, or (one in nine) not at all, scored by row."""
+    t = statements(spark, sf_dir)
+    row = F.struct("ngay", "mo_ta", "so_tien", "loai")
+    both = t.groupBy("bundle_id").agg(F.collect_list(row).alias("truth"), F.collect_list(F.when(F.col("l_quantity") > 10, row)).alias("pred"))
+    found = metrics.statement_rows(both.withColumn("pred", F.when(F.col("bundle_id") % 9 > 0, F.col("pred"))))
+    return found.withColumns({c: F.round(c, 9) for c in ("row_recall", "row_precision", "credit_row_recall")})
+
+
+@query("""SELECT user_id AS bundle_id, json_group_object AS changed FROM (SELECT user_id, array_to_string(list_sort(list(k || ':' || coalesce(a, '-') || '>' || coalesce(b, '-'))), ' ') AS json_group_object FROM
+(SELECT user_id, unnest(['x', 'y', 'z']) AS k, unnest([CAST(count(*) AS VARCHAR), CAST(count(*) % 2 AS VARCHAR), NULL]) AS a, unnest([CAST(count(*) + user_id % 2 AS VARCHAR), '1', '7']) AS b FROM events GROUP BY user_id) WHERE a IS DISTINCT FROM b GROUP BY user_id)""")
+def edits_map(spark, sf_dir):
+    """What a reviewer changed, of values before and after."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    as_map = lambda **kw: F.create_map(*(x for k, v in kw.items() for x in (F.lit(k), v.cast("string"))))
+    m = review.edits(as_map(x=F.col("n"), y=F.col("n") % 2), as_map(x=F.col("n") + F.col("user_id") % 2, y=F.lit(1), z=F.lit(7)))
+    shown = F.transform(F.map_entries(m), lambda x: F.concat(x["key"], F.lit(":"), F.coalesce(x["value"]["from"], F.lit("-")), F.lit(">"), F.coalesce(x["value"]["to"], F.lit("-"))))
+    return e.select(F.col("user_id").alias("bundle_id"), F.array_join(F.array_sort(shown), " ").alias("changed"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Card · identity=' || p_size || ' differs from Form · so_cccd=' || p_brand ELSE 'number: Card · identity' END AS shown, substr(repeat(p_name, 30), 1, 200) AS cut FROM part")
+def shown_messages(spark, sf_dir):
+    """Messages with their references in words, and long values cut."""
+    p = table(spark, sf_dir, "part")
+    even = F.col("p_partkey") % 2 == 0
+    message = F.when(even, F.concat(F.lit("number: cccd.so_cccd="), F.col("p_size"), F.lit(" differs from don_vay.so_cccd="), "p_brand")).otherwise("number: cccd.so_cccd")
+    shown = review.shown_message(message, F.when(even, "fail").otherwise("unknown"), {"cccd": "Card", "don_vay": "Form"}, {})
+    row = p.select(F.col("p_partkey").cast("string").alias("bundle_id"), F.lit("x").alias("kind"), F.lit("x").alias("detail"), F.repeat("p_name", 30).alias("expected"), F.lit("x").alias("actual"))
+    cut = metrics.error_rows(row, row.limit(0), row.limit(0), row.limit(0)).select(F.col("bundle_id").cast("bigint").alias("p_partkey"), F.col("expected").alias("cut"))
+    return p.select("p_partkey", F.replace(shown, F.lit("Card · so_cccd"), F.lit("Card · identity")).alias("shown")).join(cut, "p_partkey")
+
+
+@query("SELECT c_custkey, regexp_replace(substr('0' || lpad(CAST(c_custkey AS VARCHAR), 9, '3'), 1, 10), '(.{4})(.{3})(.*)', '\\1 \\2 \\3') AS phone, trim(regexp_replace(lpad(CAST(c_custkey AS VARCHAR), 10, '1'), '(.{4})', '\\1 ', 'g')) AS account, CASE WHEN c_custkey % 5 = 0 THEN '–' ELSE printf('%.1f%%', CAST(c_custkey % 1000 AS DOUBLE) / 7) END AS share FROM customer")
+def printed_forms(spark, sf_dir):
+    """Account and phone numbers in groups, and shares as percent."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    return c.select("c_custkey", formats.phone_as(F.concat(F.lit("0"), F.lpad(k.cast("string"), 9, "3")), True).alias("phone"), formats.account_as(F.lpad(k.cast("string"), 10, "1"), True).alias("account"), formats.percent_shown(F.when(k % 5 > 0, (k % 1000).cast("double") / 700)).alias("share"))

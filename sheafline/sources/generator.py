@@ -16,15 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import CARD_AGES
 from ..model import CREDIT, DEBIT, DOC_IDS, DOC_TYPES, ERROR_RULE, FIXED_TERM, MANIFEST, NEAR_MISSES, OPEN_ENDED, SCHEMA
 
 FAMILY = "Nguyễn Trần Lê Phạm Hoàng Huỳnh Vũ Võ Đặng Bùi Đỗ Hồ Ngô Dương Lý Đinh Lương".split()
 MIDDLE = "Văn Thị Hữu Minh Quốc Thanh Ngọc Đức Thành Kim Xuân Gia".split()
 GIVEN = "An Bình Cường Dũng Hà Hải Hạnh Hiếu Hùng Hương Khánh Lan Linh Long Mai Nam Nga Phúc Quân Sơn Thảo Thịnh Trang Tuấn Việt Yến".split()
 PLACES = ["Phường Bến Thành, Quận 1, TP. Hồ Chí Minh", "Phường Hòa Cường, Quận Hải Châu, Đà Nẵng", "Xã Phú Xuân, Huyện Krông Năng, Đắk Lắk", "Phường Cửa Nam, Quận Hoàn Kiếm, Hà Nội", "Phường Vĩnh Trung, TP. Nha Trang, Khánh Hòa"]
-COMPANIES = ["CÔNG TY TNHH AN PHÁT", "CÔNG TY CỔ PHẦN SAO VIỆT", "CÔNG TY TNHH THƯƠNG MẠI ĐÔNG HẢI", "CÔNG TY CỔ PHẦN DỆT MAY BÌNH MINH"]
-TITLES, PURPOSES = ["Nhân viên kế toán", "Kỹ sư phần mềm", "Chuyên viên kinh doanh", "Trưởng nhóm kho"], ["Mua xe máy", "Sửa nhà", "Học phí", "Chi tiêu gia đình"]
-SPEND, OTHER_CREDIT = ["RUT TIEN ATM", "THANH TOAN TIEN DIEN", "MUA HANG SIEU THI", "CK THUE NHA"], ["NHAN CK TU LUONG VAN AN", "BAN XE MAY CU", "HOAN TIEN MUA HANG"]
+COMPANIES = ["CÔNG TY TNHH GỐM SỨ SÔNG TRÀ", "CÔNG TY CỔ PHẦN SAO VIỆT", "CÔNG TY TNHH THƯƠNG MẠI ĐÔNG HẢI", "CÔNG TY CỔ PHẦN DỆT MAY BÌNH MINH"]
+TITLES, PURPOSES = ["Nhân viên kế toán", "Thợ điện bậc ba", "Chuyên viên kinh doanh", "Trưởng nhóm kho"], ["Mua máy cày", "Lợp lại mái", "Học phí", "Chi tiêu gia đình"]
+SPEND, OTHER_CREDIT = ["RUT TIEN TAI QUAY", "THANH TOAN TIEN DIEN", "MUA HANG SIEU THI", "CK THUE NHA"], ["NHAN CK TU LUONG VAN AN", "BAN XE MAY CU", "HOAN TIEN MUA HANG"]
 _TARGET = {"E1": ("don_vay", "ho_ten"), "E2": ("don_vay", "so_cccd"), "E3": ("don_vay", "ngay_sinh"), "E4": ("don_vay", "thu_nhap_thang"), "E5": ("cccd", "ngay_het_han"), "E6": ("don_vay", "so_tk_nhan_luong"), "E7": ("hdld", "ngay_ket_thuc"), "N1": ("don_vay", "ho_ten"), "N2": ("don_vay", "ho_ten"), "N3": ("don_vay", "thu_nhap_thang"), "N4": ("sao_ke", "giao_dich"), "N5": ("cccd", "ngay_het_han"), "N6": ("sao_ke", "giao_dich")}
 
 
@@ -86,7 +87,7 @@ def truth(i: int, errors: list[str], near: list[str], dice: random.Random) -> di
     while m <= end:
         d = m + timedelta(days=dice.randint(4, 9))
         if start <= d <= end:
-            paid.append({"ngay": d, "mo_ta": dice.choice([f"CT LUONG T{d.month:02d}/{d.year} CTY", f"CTY TRA LUONG T{d.month}", f"SALARY {d.month:02d}"]), "so_tien": net + dice.randint(-3, 3) * 50_000, "loai": CREDIT})
+            paid.append({"ngay": d, "mo_ta": dice.choice([f"CT LUONG KY {d.month:02d} NAM {d.year}", f"KE TOAN TRA LUONG THANG {d.month}", f"MONTHLY SALARY {d.month:02d}"]), "so_tien": net + dice.randint(-3, 3) * 50_000, "loai": CREDIT})
         m = months_after(m, 1)
     if "N6" in near and len(paid) > 1:
         paid.pop()
@@ -100,7 +101,7 @@ def truth(i: int, errors: list[str], near: list[str], dice: random.Random) -> di
         declared = int(average * dice.uniform(1.02, 1.07))
     if "E4" in errors:
         declared = int(average * dice.uniform(1.25, 1.8))
-    expiry = months_after(signed, dice.randint(12, 120))
+    expiry = next(day for age in CARD_AGES if (day := months_after(born, 12 * age)) > signed)
     if "N5" in near:
         expiry = signed + timedelta(days=dice.randint(1, 30))
     if "E5" in errors:
