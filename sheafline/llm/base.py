@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stage import discard, intermediate, shared_folder, stored
+
+__all__ = ["as_bytes", "chunks", "discard", "fresh", "intermediate", "map_arrow", "raw", "remainder", "shared_folder", "stored", "table", "unused"]
+
 #: Bytes of text that a Python worker holds in derived arrays at a time; a longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
 
@@ -69,37 +72,3 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def as_bytes(col: pa.Array) -> list[bytes]:
     """Each text as bytes (null: empty)."""
     return [b"" if x is None else x for x in col.cast(pa.binary()).to_pylist()]
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints and intermediate tables: that of spark.checkpoint.dir; where it is unset (as in tests) one
-    in the warehouse, which all executors share too."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def intermediate(spark: SparkSession, name: str) -> str:
-    """A new folder for a table in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """df written as a table in the shared folder and read again: lineage is cut there, what is read is read by column, and
-    lost executors cost nothing that was written. The table is deleted when the driver ends."""
-    spark = df.sparkSession
-    folder = folder or intermediate(spark, name)
-    df.write.option("compression", "zstd").parquet(folder)
-    discard(spark, folder, now=False)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
-def discard(spark: SparkSession, folder: str, now: bool = True) -> None:
-    """Deletes a folder of intermediate tables, at once or when the driver ends."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if now:
-        files.delete(path, True)
-    else:
-        files.deleteOnExit(path)
