@@ -47,6 +47,8 @@ CLASSES = 48
 HEAD = 200_000
 #: Words of the head that one row of neighbour counts stands for.
 HEAD_BLOCK = 200
+#: Occurrences of words outside the head whose counts meet in one row, as near as whole words allow.
+BUCKET_TOKENS = 50_000
 #: Size of the filter for words outside the head that are to have a class (4 MB).
 TAIL_BITS = 1 << 25
 DISCOUNT = 0.5
@@ -180,6 +182,42 @@ def step_of(table: np.ndarray, a: int, go: np.ndarray, come: np.ndarray, itself:
     return b if gain[b] > gain[a] + 1e-9 else a
 
 
+def steps_of(table: np.ndarray, a: np.ndarray, go: np.ndarray, come: np.ndarray, itself: np.ndarray) -> np.ndarray:
+    """step_of for many words at once (go and come: a row each). Only cells that a word has are touched."""
+    left, right, every = table.sum(1), table.sum(0), np.arange(len(a))
+
+    def changes(own: np.ndarray, other: np.ndarray, by_class: np.ndarray) -> np.ndarray:
+        """What adding `own` to each class changes in the rows of the table without the word; by_class[j]: what the classes
+        have to or from class j."""
+        w, j = np.nonzero(own)
+        v, cell = own[w, j], by_class[j]
+        mine = j == a[w]
+        cell[mine] -= other[w[mine]]
+        at = np.arange(len(w))
+        cell[at, a[w]] -= v + np.where(mine, itself[w], 0.0)
+        out = np.zeros((len(a), len(table)))
+        if len(w):
+            first = np.nonzero(np.concatenate([[True], w[1:] != w[:-1]]))[0]
+            out[w[first]] = np.add.reduceat(_xlogx(cell + v[:, None]) - _xlogx(cell), first, axis=0)
+        return out
+
+    d = np.repeat(table.diagonal()[None, :], len(a), axis=0)
+    d[every, a] -= go[every, a] + come[every, a] + itself
+    cross = _xlogx(d + go + come + itself[:, None]) - _xlogx(d + go) - _xlogx(d + come) + _xlogx(d)
+    out_sum, in_sum = go.sum(1) + itself, come.sum(1) + itself
+    rows, cols = left - come, right - go
+    rows[every, a] -= out_sum
+    cols[every, a] -= in_sum
+    gain = changes(go, come, np.ascontiguousarray(table.T)) + changes(come, go, table) + cross
+    gain -= _xlogx(rows + out_sum[:, None]) - _xlogx(rows) + _xlogx(cols + in_sum[:, None]) - _xlogx(cols)
+    gain[:, -1] = -np.inf
+    empty = rows + cols == 0
+    empty[every, a] = False
+    gain[empty] = -np.inf
+    b = gain.argmax(1)
+    return np.where(gain[every, b] > gain[every, a] + 1e-9, b, a)
+
+
 def known_tail(words: DataFrame) -> bytes:
     """One bit for each remainder that the crc32 of one of these words has: what tells most other words apart before they
     are shuffled. Its size is fixed; however full it is, no word of theirs is missed."""
@@ -191,12 +229,14 @@ def known_tail(words: DataFrame) -> bytes:
     return bytes(out)
 
 
-def neighbours(texts: DataFrame, place: dict[bytes, int], kind: np.ndarray, own: np.ndarray, of: np.ndarray, forms_at: int, tail: bytes | None) -> DataFrame:
-    """(block, word, cells), in parts to be added: counts of neighbours by class before, class after, and of the word after
-    itself. A block stands for HEAD_BLOCK words of the head, of which only those count to which `own` points; the words
-    outside the head that `tail` (see known_tail; None: there are none) may mean have rows of their own."""
+def neighbours(texts: DataFrame, place: dict[bytes, int], kind: np.ndarray, own: np.ndarray, of: np.ndarray, forms_at: int, tail: bytes | None, buckets: int) -> DataFrame:
+    """(block, words, sizes, cells), in parts to be added: counts of neighbours by class before, class after, and of the word
+    after itself. A block from 0 stands for HEAD_BLOCK words of the head, of which only those count to which `own` points. A
+    block below 0 is one of `buckets` of words outside the head that `tail` (see known_tail; None: there are none) may mean:
+    words in a line, how many cells each has, and the cells."""
     shared = texts.sparkSession.sparkContext.broadcast((place, kind, own, of, tail))
     width = 2 * CLASSES + 1
+    columns = ["block", "words", "sizes", "cells"]
 
     def run(batches):
         place, kind, own, of, tail = shared.value
@@ -217,20 +257,26 @@ def neighbours(texts: DataFrame, place: dict[bytes, int], kind: np.ndarray, own:
                 first = np.nonzero(np.concatenate([[True], code[1:] != code[:-1]]))[0]
                 code, n = code[first], np.add.reduceat(n, first)
                 in_head = int(np.searchsorted(code, heads * width))
-                pack = lambda code, n: np.stack([code, n], axis=1).astype("<i4")
+                pack = lambda code, n: np.stack([code, n], axis=1).astype("<i4").tobytes()
+                rows = []
                 block = code[:in_head] // (HEAD_BLOCK * width)
-                for k in np.unique(block).tolist():
-                    lo, hi = np.searchsorted(block, [k, k + 1])
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([None], pa.binary()), pa.array([pack(code[lo:hi] - k * HEAD_BLOCK * width, n[lo:hi]).tobytes()], pa.binary())], ["block", "word", "cells"])
-                word = code[in_head:] // width
-                start = np.nonzero(np.concatenate([[True], word[1:] != word[:-1]]))[0] if len(word) else np.zeros(0, "i8")
-                cells = pack(code[in_head:] % width, n[in_head:])
-                bounds, tails = np.append(start, len(word)), list(far)
-                for i in range(0, len(start), 20_000):
-                    part = word[start[i : i + 20_000]].tolist()
-                    b = bounds[i : i + 20_001]
-                    packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(((b - b[0]) * 8).astype("<i4").tobytes()), pa.py_buffer(cells[b[0] : b[-1]].tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array([None] * len(part), pa.int64()), pa.array([tails[w - heads] for w in part], pa.binary()), packed], ["block", "word", "cells"])
+                bounds = np.concatenate([[0], np.nonzero(np.diff(block))[0] + 1, [in_head]]) if in_head else np.zeros(1, "i8")
+                for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    rows.append((int(block[lo]), None, None, pack(code[lo:hi] - block[lo] * HEAD_BLOCK * width, n[lo:hi])))
+                # the words of the tail by bucket
+                word, cell, n = code[in_head:] // width - heads, code[in_head:] % width, n[in_head:]
+                tails = list(far)
+                bucket = np.fromiter((zlib.crc32(w) // 7 % buckets for w in tails), "i8", len(tails))
+                order = np.lexsort((word, bucket[word])) if len(word) else np.zeros(0, "i8")
+                word, cell, n = word[order], cell[order], n[order]
+                bounds = np.concatenate([[0], np.nonzero(np.diff(bucket[word]))[0] + 1, [len(word)]]) if len(word) else np.zeros(1, "i8")
+                for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    start = np.concatenate([[0], np.nonzero(np.diff(word[lo:hi]))[0] + 1])
+                    names = [tails[i] for i in word[lo:hi][start].tolist()]
+                    rows.append((-1 - int(bucket[word[lo]]), b" ".join(names), np.diff(np.append(start, hi - lo)).astype("<i4").tobytes(), pack(cell[lo:hi], n[lo:hi])))
+                for i in range(0, len(rows), 200):
+                    part = list(zip(*rows[i : i + 200], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), *(pa.array(c, pa.binary()) for c in part[1:])], columns)
             held.clear()
             far.clear()
 
@@ -262,7 +308,7 @@ def neighbours(texts: DataFrame, place: dict[bytes, int], kind: np.ndarray, own:
                     n_held = 0
         yield from out()
 
-    return map_arrow(texts.select("text"), run, "block long, word binary, cells binary")
+    return map_arrow(texts.select("text"), run, "block long, words binary, sizes binary, cells binary")
 
 
 def word_classes(cells: DataFrame, names: list[bytes], table: np.ndarray, of_form: np.ndarray) -> DataFrame:
@@ -273,36 +319,31 @@ def word_classes(cells: DataFrame, names: list[bytes], table: np.ndarray, of_for
 
     def run(batches):
         names, table, of_form = shared.value
-
-        def class_of(w: bytes, n: np.ndarray) -> int | None:
-            come, go, itself = n[:CLASSES].astype("f8"), n[CLASSES:-1].astype("f8"), float(n[-1])
-            if come.sum() < LEAST_SEEN:
-                return None
-            a = int(of_form[form(w)])
-            come[a] -= itself
-            go[a] -= itself
-            return step_of(table, a, go, come, itself)
-
         for batch in batches:
-            at, words, cls = [], [], []
-            for block, w, parts in zip(*(batch.column(c).to_pylist() for c in ("block", "word", "cells")), strict=True):
-                cell = np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2)
-                if block is None:
-                    found = [(None, w, class_of(w, np.bincount(cell[:, 0], cell[:, 1], width)))]
+            for block, parts in zip(batch.column("block").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                cell = np.frombuffer(b"".join(p["cells"] for p in parts), "<i4").reshape(-1, 2)
+                first = block * HEAD_BLOCK
+                if block >= 0:
+                    words, code = names[first : first + HEAD_BLOCK], cell[:, 0].astype("i8")
                 else:
-                    first = block * HEAD_BLOCK
-                    n = np.bincount(cell[:, 0], cell[:, 1], HEAD_BLOCK * width).reshape(-1, width)
-                    found = [(first + i, None, class_of(names[first + i], n[i])) for i in np.nonzero(n.any(1))[0].tolist()]
-                for i, w, c in found:
-                    if c is not None:
-                        at.append(i)
-                        words.append(w)
-                        cls.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words, pa.binary()), pa.array(cls, pa.int64())], ["at", "word", "cls"])
+                    number: dict[bytes, int] = {}
+                    index = np.array([number.setdefault(w, len(number)) for p in parts for w in p["words"].split(b" ")], "i8")
+                    words, code = list(number), np.repeat(index, np.frombuffer(b"".join(p["sizes"] for p in parts), "<i4")) * width + cell[:, 0]
+                n = np.bincount(code, cell[:, 1], len(words) * width).reshape(-1, width)
+                use = np.nonzero(n[:, :CLASSES].sum(1) >= LEAST_SEEN)[0]
+                for i in range(0, len(use), 500):
+                    at = use[i : i + 500]
+                    come, go, itself, every = n[at, :CLASSES], n[at, CLASSES:-1], n[at, -1], np.arange(len(at))
+                    a = of_form[np.array([form(words[k]) for k in at.tolist()], "i8")]
+                    come[every, a] -= itself
+                    go[every, a] -= itself
+                    cls = steps_of(table, a, go, come, itself)
+                    head = block >= 0
+                    yield pa.RecordBatch.from_arrays([pa.array(first + at if head else [None] * len(at), pa.int64()), pa.array([None] * len(at) if head else [words[k] for k in at.tolist()], pa.binary()), pa.array(cls.astype("i8"))], ["at", "word", "cls"])
 
     # a step takes long for its few bytes, so the number of tasks is not left to their size
-    dealt = cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "word")
-    return map_arrow(dealt.groupBy("block", "word").agg(F.collect_list("cells").alias("cells")), run, "at long, word binary, cls long")
+    dealt = cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+    return map_arrow(dealt.groupBy("block").agg(F.collect_list(F.struct("words", "sizes", "cells")).alias("parts")), run, "at long, word binary, cls long")
 
 
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -443,8 +484,10 @@ def score(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ()) -> Data
     in_form = kind >= types.forms_at
     one = np.eye(CLASSES)[of]
     clustered = vocab.filter(~in_head & (F.col("n") >= LEAST_SEEN))
-    tail = None if clustered.isEmpty() else known_tail(clustered)
-    found = word_classes(neighbours(train, place, kind, in_form & (n >= LEAST_SEEN), of, types.forms_at, tail), names, one.T @ pairs @ one, of[types.forms_at :]).checkpoint()
+    occurrences = clustered.agg(F.sum("n")).first()[0]
+    tail = known_tail(clustered) if occurrences else None
+    buckets = max(16, (occurrences or 0) // BUCKET_TOKENS)
+    found = word_classes(neighbours(train, place, kind, in_form & (n >= LEAST_SEEN), of, types.forms_at, tail, buckets), names, one.T @ pairs @ one, of[types.forms_at :]).checkpoint()
     cls = of[kind]
     for r in found.filter("at is not null").select("at", "cls").toLocalIterator():
         cls[r["at"]] = r["cls"]

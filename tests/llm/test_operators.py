@@ -268,6 +268,23 @@ def test_exchange_and_probabilities():
     assert np.allclose((10**model.step).sum(1), 1)
 
 
+def test_steps_of_many_words_are_those_of_each():
+    dice = np.random.default_rng(2)
+    m = 7
+    table = dice.integers(0, 40, (m, m)).astype("f8")
+    table[:, 4] = table[4] = 0  # an empty class
+    words, classes = [], [c for c in range(m - 1) if c != 4]
+    for i in range(200):
+        a = int(dice.choice(classes))
+        # a word's counts are part of the table's
+        go = np.floor(table[a] * dice.random(m) * (dice.random(m) < 0.4) / 2)
+        come = np.floor(table[:, a] * dice.random(m) * (dice.random(m) < 0.4) / 2)
+        itself = float(dice.integers(0, 2)) if table[a, a] > go[a] + come[a] + 1 else 0.0
+        words.append((a, go, come, itself))
+    a, go, come, itself = (np.array(x) for x in zip(*words, strict=True))
+    assert class_lm.steps_of(table, a, go, come, itself).tolist() == [class_lm.step_of(table, *w) for w in words]
+
+
 def test_every_word_with_contexts_is_clustered(spark, monkeypatch):
     """Words outside the lexicon, in the head or not, get their class by their own neighbours."""
     monkeypatch.setattr(class_lm, "LEXICON", 8)
