@@ -28,8 +28,10 @@ Null texts are empty: one end token. Rows of equal doc_id are scored apart. With
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,15 +62,17 @@ _CELLS = 1 << 14
 _HELD = 4_000_000
 _OPEN = 255  # class of a word that is to be joined
 _END = b" "  # no word has a space
+_DIGIT = re.compile(rb"[0-9]")
 
 
 def tokens(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
+@lru_cache(maxsize=200_000)
 def form(word: bytes) -> int:
     """The form type of a word, from 0 to FORMS - 1."""
-    kinds = (word.isalpha(), word.isascii(), any(48 <= c <= 57 for c in word[:4]))
+    kinds = (word.isalpha(), word.isascii(), _DIGIT.search(word, 0, 4) is not None)
     return zlib.crc32(word[-2:] + bytes(kinds) + (word[-3:-2] if kinds[0] else b"")) % FORMS
 
 
@@ -240,7 +244,7 @@ def neighbours(texts: DataFrame, place: dict[bytes, int], kind: np.ndarray, own:
 
     def run(batches):
         place, kind, own, of, tail = shared.value
-        at, heads = place.get, len(place)
+        at, heads, end = place.get, len(place), place.get(_END, 0)
         far: dict[bytes, int] = {}
         held, n_held = [], 0
 
@@ -282,19 +286,19 @@ def neighbours(texts: DataFrame, place: dict[bytes, int], kind: np.ndarray, own:
 
         for batch in batches:
             for part in chunks(batch):
-                ids, types = [-1], [0]
+                # words of the part in a line, each text after an end and with one behind it
+                words = [_END]
                 for data in as_bytes(part.column("text")):
-                    for w in tokens(data):
-                        i = at(w, -1)
-                        if i >= 0:
-                            ids.append(i if own[i] else -1)
-                            types.append(kind[i])
-                        else:
-                            ids.append(tail_number(w))
-                            types.append(forms_at + form(w))
-                    ids.append(-1)
-                    types.append(0)
-                word, cls = np.array(ids, "i8"), of[np.array(types, "i8")]
+                    words += tokens(data)
+                    words.append(_END)
+                index = np.fromiter((at(w, -1) for w in words), "i8", len(words))
+                index[:1] = end  # an end before the first
+                rest = np.nonzero(index < 0)[0]
+                strange = [words[i] for i in rest.tolist()]
+                word, types = np.where(own[index], index, -1), kind[index]
+                word[rest] = np.fromiter(map(tail_number, strange), "i8", len(strange))
+                types[rest] = forms_at + np.fromiter(map(form, strange), "i8", len(strange))
+                cls = of[types]
                 use = np.nonzero(word >= 0)[0]
                 if not len(use):
                     continue
