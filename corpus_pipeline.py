@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import decontam, lang_id, near_dups, pieces, pii
+from sheafline.llm import decontam, lang_id, near_texts, pieces, pii
 from sheafline.llm.base import discard, intermediate, remainder, stored, table, unused
 
 
@@ -26,8 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group."""
-    return near_dups.one_of_each(docs)
+    """Keeps one document of each group of texts at a similarity of 0.8 or more of 5-word shingles."""
+    return near_texts.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

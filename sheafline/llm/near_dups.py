@@ -28,6 +28,7 @@ component's id unless all its doc_ids are null. Repeated rows stay repeated.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ MOST_BITS = 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints of one key compared in one task; more go out in pairs of blocks.
 GROUP_ROWS = 4096
+#: Groups of more fingerprints are linked by walks, not by a table of their differences.
+WALK_ROWS = 64
 _GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, of the [23,12,7] Golay code
 
 
@@ -157,6 +160,8 @@ def _expand(batches):
 
 def forest(left: np.ndarray, right: np.ndarray | None = None, most_bits: int = MOST_BITS, block: int = 512) -> list[tuple[int, int]]:
     """A spanning forest of the links within `left`, or of those between left and right."""
+    if len(left) > WALK_ROWS:
+        return walks(left, right, most_bits)
     every = left if right is None else np.concatenate([left, right])
     root = np.arange(len(every))
 
@@ -179,7 +184,25 @@ def forest(left: np.ndarray, right: np.ndarray | None = None, most_bits: int = M
     return out
 
 
-def _links(batches):
+def walks(left: np.ndarray, right: np.ndarray | None, most_bits: int) -> list[tuple[int, int]]:
+    """The same for large groups: from each fingerprint to all linked ones that no walk has reached yet, so that a group of
+    which all link costs its size and not its pairs."""
+    rest = [left] if right is None else [left, right]
+    out = []
+    while len(rest[0]) and len(rest[-1]):
+        queue, rest[0] = [(0, rest[0][0])], rest[0][1:]
+        while queue:
+            side, x = queue.pop()
+            other = len(rest) - 1 - side
+            hit = np.bitwise_count(rest[other] ^ x) <= most_bits
+            if hit.any():
+                new, rest[other] = rest[other][hit], rest[other][~hit]
+                out += [(int(x), y) for y in new.tolist()]
+                queue += [(other, y) for y in new]
+    return out
+
+
+def _links(batches, most_bits: int = MOST_BITS):
     """Of rows sorted by key and fp: links found, as (a, b, null, null), and blocks of groups too large for one task,
     as (null, fp, key, block)."""
     rest_key, rest = None, np.zeros(0, "u8")
@@ -195,7 +218,7 @@ def _links(batches):
             if block:
                 blocks.append((key, block, prints))
             elif len(prints) > 1:
-                made = forest(prints)
+                made = forest(prints, None, most_bits)
             prints, block = prints[:0], 0
         return made, blocks, prints
 
@@ -226,7 +249,7 @@ def _links(batches):
         if first_goes_on:
             inner[0] = False
         two = bounds[:-1][inner & (size == 2)]
-        near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= MOST_BITS]
+        near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= most_bits]
         made += list(zip(fp[near].tolist(), fp[near + 1].tolist(), strict=True))
         for g in np.nonzero(inner & (size > 2))[0]:
             m, b, _ = group(int(key[bounds[g]]), fp[bounds[g] : bounds[g + 1]], True)
@@ -247,7 +270,7 @@ def _links(batches):
         yield from rows(m, b)
 
 
-def _block_links(batches):
+def _block_links(batches, most_bits: int = MOST_BITS):
     """Links of pairs of blocks. Rows come sorted by pair and side; one pair, of two blocks at most, is held at a time."""
     held: list[np.ndarray] = []  # rows of the pair in hand: key, i, j, side, fp
 
@@ -255,7 +278,7 @@ def _block_links(batches):
         rows = np.concatenate(held)
         held.clear()
         left, right = (rows[rows[:, 3] == s, 4].view("u8") for s in (0, 1))
-        made = np.array(forest(left, right if rows[0, 1] != rows[0, 2] else None), "u8").reshape(-1, 2).view("i8")
+        made = np.array(forest(left, right if rows[0, 1] != rows[0, 2] else None, most_bits), "u8").reshape(-1, 2).view("i8")
         return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
 
     for batch in batches:
@@ -270,10 +293,12 @@ def _block_links(batches):
         yield done()
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b): links between different fingerprints of the column fp, enough for their components."""
-    keyed = map_arrow(prints.select("fp"), _expand, "key long, fp long")
-    found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "a long, b long, key long, block long").checkpoint()
+def links(prints: DataFrame, expand: Callable = _expand, most_bits: int = MOST_BITS) -> DataFrame:
+    """(a, b): links between different fingerprints of the column fp, enough for their components. `expand` gives the keys
+    under which they meet."""
+    keyed = map_arrow(prints, expand, "key long, fp long")
+    within, between = (_links, _block_links) if most_bits == MOST_BITS else (partial(_links, most_bits=most_bits), partial(_block_links, most_bits=most_bits))
+    found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(within, "a long, b long, key long, block long").checkpoint()
     direct = found.filter(F.col("key").isNull()).select("a", "b")
     large = found.filter(F.col("key").isNotNull())
     if large.isEmpty():
@@ -281,7 +306,7 @@ def links(prints: DataFrame) -> DataFrame:
     sizes = large.groupBy("key").agg(F.max("block").alias("last"))
     dealt = large.join(sizes, "key").select("key", "block", "b", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).alias("other"))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "b")
-    more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_block_links, "a long, b long")
+    more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(between, "a long, b long")
     return direct.unionByName(more)
 
 
@@ -314,7 +339,11 @@ def rooted(docs: DataFrame, shingle: int = SHINGLE, cache: Callable[[DataFrame],
     shared_folder(docs.sparkSession)
     rows = cache(fingerprints(docs, shingle))
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(prints))
+    return named(rows, prints, components(links(prints.select("fp"))))
+
+
+def named(rows: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """What `rooted` returns, of rows with fp, the fingerprints with the least doc_id of each, and the roots of linked ones."""
     least = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
     named = least.join(of_root, "root").select(F.col("fp").alias("print"), "component_id", "root")
@@ -330,22 +359,22 @@ def as_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, find: Callable = rooted, prints: Callable = fingerprints) -> DataFrame:
     """docs with one document of each component: the one whose doc_id names it.
 
     Rows with a doc_id of their own are judged by it, so only keys are shuffled with the ids of those to go. Null and
     repeated doc_ids tell no rows apart: their rows are judged by doc_id and fp together, and of rows equal in both one
     stays, if their component has no other document that names it.
     """
-    found = rooted(docs, shingle).checkpoint()
+    found = find(docs, shingle).checkpoint()
     shared = found.groupBy("doc_id").count().filter("doc_id is null or count > 1").select(F.col("doc_id").alias("__again"))
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").isNotNull()).select("doc_id")
     gone = gone.unionByName(shared.select(F.col("__again").alias("doc_id"))).distinct().select(F.col("doc_id").alias("__gone"))
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
     if shared.isEmpty():
         return kept
-    named = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "doc_id")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__fp"))
+    keeps = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "doc_id")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__fp"))
     again = docs.join(shared, docs["doc_id"].eqNullSafe(shared["__again"]), "left_semi")
-    again = fingerprints(again.select("doc_id", "text", F.struct("*").alias("__doc")), shingle, keep=("__doc",)).dropDuplicates(["doc_id", "fp"])
-    again = again.join(named, (again["fp"] == named["__fp"]) & again["doc_id"].eqNullSafe(named["__id"]), "left_semi")
+    again = prints(again.select("doc_id", "text", F.struct("*").alias("__doc")), shingle, keep=("__doc",)).dropDuplicates(["doc_id", "fp"])
+    again = again.join(keeps, (again["fp"] == keeps["__fp"]) & again["doc_id"].eqNullSafe(keeps["__id"]), "left_semi")
     return kept.unionByName(again.select("__doc.*"))

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sheafline.llm import class_lm, decontam, lang_id, near_dups, pieces, pii, quality, suffix, tokcount, url_tree
+from sheafline.llm import class_lm, decontam, lang_id, near_dups, near_texts, pieces, pii, quality, suffix, tokcount, url_tree
 from sheafline.llm.base import remainder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -424,6 +424,68 @@ def test_pairs_of_blocks_are_read_one_at_a_time(spark, monkeypatch):
     assert {x for e in found for x in e} == {1, 3, 7, 15} and far not in {x for e in found for x in e}
 
 
+def shingle_set(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def test_near_texts(spark, empty, odd):
+    """Components of all pairs at a similarity of 0.8 or more, by comparing every pair of sets."""
+    dice = random.Random(3)
+    rows = []
+    for g in range(12):  # copies of a base text with words changed in some places
+        base = prose([f"v{i}" for i in range(400)], 120 + 20 * g, g).split()
+        for k in range(6):
+            words = list(base)
+            for at in dice.sample(range(len(words)), dice.choice((0, 1, 1, 2, 3, 12))):
+                words[at] = f"new{dice.random()}"
+            rows.append((10 * g + k, " ".join(words)))
+    rows += [(200 + i, prose([f"v{i}" for i in range(400)], 60, 100 + i)) for i in range(20)]
+    rows += [(300, None), (301, ""), (302, "one two"), (303, "one two"), (303, "one two"), (304, "one three"), (None, "one two"), (None, rows[0][1]), (None, "alone here"), (305, "w " * 60_000)]
+    sets = [shingle_set(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0:
+                label = [label[b] if x == label[a] else x for x in label]
+    least = {x: min((i for (i, _), y in zip(rows, label, strict=True) if y == x and i is not None), default=None) for x in label}
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in near_texts.rooted(d).collect()), key=repr)
+    assert got == sorted(((i, least[x]) for (i, _), x in zip(rows, label, strict=True)), key=repr)
+    assert 0 < len(set(label)) - 26 and max(label.count(x) for x in label) >= 4
+    kept = sorted((r["doc_id"] for r in near_texts.one_of_each(d).collect()), key=repr)
+    assert kept == sorted(least.values(), key=repr)
+    assert near_texts.one_of_each(empty).count() == 0 and near_texts.one_of_each(odd).columns == odd.columns
+
+
+def test_texts_still_apart_are_compared(spark):
+    """Of rows under shared keys all pairs of different classes come, those of one class do not."""
+    near = np.zeros((near_texts.SEGMENTS, near_texts.NEAREST), "<u2").tobytes()
+    own = {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, (1 << 40) - 1: 6}
+    d = spark.createDataFrame([(fp, near, c) for fp, c in own.items()], "fp long, near binary, own long")
+    got = sorted((r["a"], r["b"]) for r in near_texts.apart(d).collect())
+    assert got == [(1, 4), (1, 5), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5)]
+
+
+def test_walks_give_the_same_components():
+    dice = np.random.default_rng(2)
+    base = dice.integers(0, 2**62, 9, dtype="u8")
+    x = np.unique(np.concatenate([b ^ (np.uint64(1) << dice.integers(0, 60, 30, dtype="u8")) for b in base]))
+
+    def parts(links, nodes):
+        root = {int(n): int(n) for n in nodes}
+        for a, b in links:
+            old, new = root[b], root[a]
+            root = {k: new if v == old else v for k, v in root.items()}
+        return {frozenset(k for k in root if root[k] == v) for v in root.values()}
+
+    pairs = [(int(a), int(b)) for i, a in enumerate(x) for b in x[:i] if (int(a) ^ int(b)).bit_count() <= 3]
+    assert parts(near_dups.walks(x, None, 3), x) == parts(pairs, x) and len(near_dups.walks(x, None, 3)) == len(x) - 9
+    left, right = x[::2], x[1::2]
+    across = [(a, b) for a, b in pairs if (a in left) != (b in left)]
+    assert parts(near_dups.walks(left, right, 3), x) == parts(across, x)
+
+
 # personal data
 
 
