@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .base import chunks, map_arrow
 
 #: Bytes of text whose words are filtered together: the more, the more words are the same.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 ALPHA = 1.0
 RANK_SHIFT = 10.0
 SEED = 7
