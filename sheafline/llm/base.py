@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.stage import discard, intermediate, shared_folder, stored
 
-__all__ = ["as_bytes", "chunks", "discard", "fresh", "intermediate", "map_arrow", "raw", "remainder", "shared_folder", "stored", "table", "unused"]
+__all__ = ["as_bytes", "chunks", "discard", "fresh", "intermediate", "map_arrow", "numbered", "raw", "remainder", "shared_folder", "stored", "table", "unused"]
 
 #: Bytes of text that a Python worker holds in derived arrays at a time; a longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
@@ -72,3 +74,44 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def as_bytes(col: pa.Array) -> list[bytes]:
     """Each text as bytes (null: empty)."""
     return [b"" if x is None else x for x in col.cast(pa.binary()).to_pylist()]
+
+
+def numbered(rows: DataFrame, by: str, order: list, name: str) -> DataFrame:
+    """rows (a stored table: it is read twice) with their place in the order, from 0, among the rows of equal `by`, which
+    must come first in the order. Rows are sorted by range into runs, also by a hash of their row number, which deals rows
+    of equal keys to many runs; a task counts on within its run, and the driver adds what earlier runs hold of a run's first
+    value: one row a run."""
+
+    def count_on(batches):
+        run, before, place, at, first = TaskContext.get().partitionId(), None, 0, 0, True
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            col = batch.column(by) if before is None else pa.concat_arrays([before, batch.column(by)])
+            a, b = col.slice(0, len(col) - 1), col.slice(1)
+            new = pc.if_else(pc.xor(a.is_null(), b.is_null()), True, pc.fill_null(pc.not_equal(a, b), False)).to_numpy(zero_copy_only=False)
+            if before is None:
+                new = np.concatenate([[False], new])
+            i = np.arange(n)
+            last = np.maximum.accumulate(np.where(new, i, -1))
+            places = np.where(last < 0, place + i, i - last)
+            heads = first & (last < 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64()), pa.array(np.full(n, run), pa.int32()), pa.array(at + i, pa.int64()), pa.array(heads, pa.bool_())], [*batch.schema.names, name, *own])
+            before, place, at, first = batch.column(by).slice(n - 1), int(places[-1]) + 1, at + n, bool(heads[-1])
+
+    spark = rows.sparkSession
+    salt, *own = unused(rows, "_salt", "_run", "_at", "_head")
+    keys = [*order, F.xxhash64(F.col(salt))]
+    runs = rows.withColumn(salt, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(salt)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema)
+    runs = stored(map_arrow(runs, count_on, f"{kinds}, `{name}` long, `{own[0]}` int, `{own[1]}` long, `{own[2]}` boolean"), "runs")
+    run, at, head = own
+    ends = runs.groupBy(run).agg(F.min_by(by, at).alias("first"), F.max_by(by, at).alias("last"), F.max_by(name, at).alias("place"), F.bool_and(head).alias("whole")).orderBy(run).collect()
+    offsets, before, carry = [], None, 0
+    for k, r in enumerate(ends):
+        offset = carry if k and r["first"] == before else 0
+        offsets.append((r[run], offset))
+        before, carry = r["last"], r["place"] + 1 + (offset if r["whole"] else 0)
+    add = F.broadcast(spark.createDataFrame(offsets, f"`{run}` int, `{salt}` long"))
+    return runs.join(add, run).withColumn(name, F.col(name) + F.when(F.col(head), F.col(salt)).otherwise(0)).drop(salt, *own)
