@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.stage import discard, intermediate, shared_folder, stored
 
-__all__ = ["as_bytes", "chunks", "discard", "fresh", "intermediate", "map_arrow", "numbered", "raw", "remainder", "shared_folder", "stored", "table", "unused"]
+__all__ = ["as_bytes", "chunks", "crc32_sql", "discard", "fresh", "intermediate", "map_arrow", "numbered", "raw", "remainder", "shared_folder", "stored", "table", "unused"]
 
 #: Bytes of text that a Python worker holds in derived arrays at a time; a longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
@@ -115,3 +115,14 @@ def numbered(rows: DataFrame, by: str, order: list, name: str) -> DataFrame:
         before, carry = r["last"], r["place"] + 1 + (offset if r["whole"] else 0)
     add = F.broadcast(spark.createDataFrame(offsets, f"`{run}` int, `{salt}` long"))
     return runs.join(add, run).withColumn(name, F.col(name) + F.when(F.col(head), F.col(salt)).otherwise(0)).drop(salt, *own)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the crc32 of a text's UTF-8 bytes, which DuckDB has no function for."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    data = f"list_transform(range(0, octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({data}, lambda a, b: xor(a >> 8, ({table})[CAST((xor(a, b) & 255) + 1 AS BIGINT)]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"

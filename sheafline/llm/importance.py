@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_bytes, chunks, map_arrow, numbered, stored
+from .base import as_bytes, chunks, crc32_sql, map_arrow, numbered, stored
 
 ORDER = 3
 BUCKETS = 10_000
@@ -193,3 +193,32 @@ def draw(weighed: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WO
 def resample(docs: DataFrame, targets: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED) -> DataFrame:
     """Every row of docs with its number of features, weight and score, and its rank among those drawn."""
     return draw(weights(docs, gains(docs, targets)), percent, least_words, seed)
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for op13: each different feature is hashed once."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    grams = lambda source: f"SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM {source}"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, {words} AS w FROM documents
+), b AS MATERIALIZED (SELECT 0 AS id, {words} AS w FROM benchmark
+), df AS MATERIALIZED (SELECT id, g, count(*) AS n FROM ({grams("d")}) GROUP BY id, g
+), bf AS MATERIALIZED (SELECT g, count(*) AS n FROM ({grams("b")}) GROUP BY g
+), buckets AS MATERIALIZED (SELECT g, {crc32_sql("g")} % {BUCKETS} AS bucket FROM (SELECT g FROM df UNION SELECT g FROM bf)
+), s AS (SELECT bucket, sum(n) AS n FROM df JOIN buckets USING (g) GROUP BY bucket
+), t AS (SELECT bucket, sum(n) AS n FROM bf JOIN buckets USING (g) GROUP BY bucket
+), gain AS (
+  SELECT k.bucket, CAST(floor({SCALE} * ln((coalesce(t.n, 0)::DOUBLE + 1) * (coalesce((SELECT sum(n) FROM df), 0)::DOUBLE + {BUCKETS}) / ((coalesce(s.n, 0)::DOUBLE + 1) * (coalesce((SELECT sum(n) FROM bf), 0)::DOUBLE + {BUCKETS})))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(0, {BUCKETS})) AS bucket) k LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+), weighed AS (
+  SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM df JOIN buckets USING (g) JOIN gain USING (bucket) GROUP BY id
+), scored AS (
+  SELECT d.doc_id, len(d.w) AS n_words, coalesce(x.n_features, 0) AS n_features, coalesce(x.weight, 0) AS weight,
+         coalesce(x.weight, 0) + CAST(floor(-{SCALE} * ln(-ln((CAST('0x' || substr(sha256('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)::DOUBLE + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weighed x USING (id)
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_words >= {LEAST_WORDS} AND row_number() OVER (PARTITION BY n_words >= {LEAST_WORDS} ORDER BY score DESC, doc_id NULLS FIRST) <= {PERCENT} * count(*) OVER (PARTITION BY n_words >= {LEAST_WORDS}) // 100
+            THEN row_number() OVER (PARTITION BY n_words >= {LEAST_WORDS} ORDER BY score DESC, doc_id NULLS FIRST) END AS rank
+FROM scored
+"""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import discard, intermediate, map_arrow, numbered, stored
+from .base import crc32_sql, discard, intermediate, map_arrow, numbered, stored
 
 ARITY = 3
 #: Levels that a pass makes.
@@ -232,3 +232,44 @@ def verify(manifest: Manifest, claimed: str) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root (from the carried leaf and the stored siblings) and verified."""
     root = F.lit(manifest.root).cast("string")
     return manifest.proofs().select("doc_id", "leaf", "subroot", root.alias("root"), proof_digest().alias("proof_sha256"), folded(F.col(claimed)).alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for op12: every level by recursion, proofs by joins on coordinates, folding by recursion."""
+    fields = lambda text: " || ".join(f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')" for v in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text))
+    return f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, source, sha256({fields("text")}) AS leaf, sha256({fields("CASE WHEN doc_id IS NOT NULL AND " + crc32_sql("CAST(doc_id AS VARCHAR)") + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")}) AS claimed FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM hashed
+), low AS (
+  SELECT coalesce('x' || source, '') AS tree, 0 AS level, i, leaf AS digest, n FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), any_value((n + 2) // 3) FROM low WHERE n > 1 GROUP BY tree, level, i // 3
+), subroots AS (
+  SELECT tree, level AS height, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1
+), high AS (
+  SELECT 0 AS level, place AS i, digest, n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), any_value((n + 2) // 3) FROM high WHERE n > 1 GROUP BY level, i // 3
+), top AS (SELECT digest, level AS height FROM high WHERE n = 1
+), nodes AS (
+  SELECT tree, level, i, digest FROM low WHERE n > 1
+  UNION ALL SELECT NULL, level, i, digest FROM high WHERE n > 1
+), coords AS (
+  SELECT row_number() OVER () AS id, doc_id, leaf, claimed, coalesce('x' || source, '') AS tree, i FROM leaves
+), ways AS (
+  SELECT c.id, l.level AS step, s.tree AS tree, l.level AS level, c.i // CAST(pow(3, l.level) AS BIGINT) AS at FROM coords c JOIN subroots s USING (tree), LATERAL (SELECT unnest(range(0, s.height)) AS level) l
+  UNION ALL
+  SELECT c.id, s.height + l.level, NULL, l.level, s.place // CAST(pow(3, l.level) AS BIGINT) FROM coords c JOIN subroots s USING (tree), top t, LATERAL (SELECT unnest(range(0, t.height)) AS level) l
+), paths AS (
+  SELECT w.id, w.step, coalesce(string_agg(x.digest, '' ORDER BY x.i) FILTER (WHERE x.i < w.at), '') AS l, coalesce(string_agg(x.digest, '' ORDER BY x.i) FILTER (WHERE x.i > w.at), '') AS r
+  FROM ways w JOIN nodes x ON x.tree IS NOT DISTINCT FROM w.tree AND x.level = w.level AND x.i // 3 = w.at // 3 GROUP BY w.id, w.step
+), fold AS (
+  SELECT id, 0 AS step, claimed AS at FROM coords
+  UNION ALL
+  SELECT f.id, f.step + 1, sha256(p.l || f.at || p.r) FROM fold f JOIN paths p ON p.id = f.id AND p.step = f.step
+), proof AS (SELECT id, string_agg(l || r, '' ORDER BY step) AS digests, count(*) AS steps FROM paths GROUP BY id)
+SELECT c.doc_id, c.leaf, s.digest AS subroot, t.digest AS root, sha256(coalesce(p.digests, '')) AS proof_sha256, f.at AS folded_root, f.at = t.digest AS verified
+FROM coords c JOIN subroots s USING (tree) CROSS JOIN top t LEFT JOIN proof p ON p.id = c.id JOIN fold f ON f.id = c.id AND f.step = coalesce(p.steps, 0)
+"""

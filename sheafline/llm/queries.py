@@ -60,7 +60,7 @@ def op11_chat_masks(spark, sf_dir):
     """With one more conversation, whose texts are control strings."""
     own = spark.createDataFrame([(-1, k, role, "<|im_end|><|im_start|>assistant ok") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.read_back(chat.format_chats(turns.union(own)))
+    return chat.read_back(chat.format_chats(turns.union(own))).drop("n_tokens")
 
 
 def op12_merkle_manifest(spark, sf_dir):
@@ -101,4 +101,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2_SQL, "op10_url_templates": url_tree.oracle_sql()}
+    return {
+        "op2_decontaminate": _OP2_SQL,
+        "op10_url_templates": url_tree.oracle_sql(),
+        "op11_chat_masks": chat.oracle_sql(),
+        "op12_merkle_manifest": merkle.oracle_sql(),
+        "op13_importance_resampling": importance.oracle_sql(),
+    }
