@@ -1,8 +1,6 @@
 """Text normalization as column expressions, evaluated in the JVM.
 
-Spark has no Unicode normalization. Both directions are made from tables that unicodedata gives: accents are stripped by
-one translate over the precomposed letters; marks that stand apart are composed cluster by cluster through a map, and only
-in rows that have any.
+Spark has no Unicode normalization; `compose` has its canonical forms.
 """
 
 from __future__ import annotations
@@ -10,12 +8,13 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import permutations
 
 from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import compose
+
 # The marks of Vietnamese letters (tones, circumflex, horn, breve).
 _MARKS = {chr(c) for c in (0x31B, 0x323, 0x300, 0x301, 0x303, 0x309, 0x302, 0x306)}
 
@@ -31,22 +30,6 @@ def _precomposed() -> dict[str, str]:
     return out
 
 
-@lru_cache(maxsize=1)
-def _clusters() -> dict[str, str]:
-    """Ways to write a Latin letter with marks of its own, to the precomposed letter."""
-    out = {}
-    for c, d in _precomposed().items():
-        if not d[0].isascii():
-            continue
-        for marks in permutations(d[1:]):
-            for cut in range(len(marks)):
-                head = unicodedata.normalize("NFC", d[0] + "".join(marks[:cut]))
-                s = head + "".join(marks[cut:])
-                if unicodedata.normalize("NFC", s) == c and s != c:
-                    out[s] = c
-    return out
-
-
 _COLUMNS: dict = {}
 
 
@@ -66,19 +49,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip_accents(s: Column) -> Column:
-    """Letters without their marks; đ becomes d."""
-    table = _precomposed()
-    return F.regexp_replace(F.translate(s, "đĐ" + "".join(table), "dD" + "".join(d[0] for d in table.values())), r"\p{Mn}", "")
+    """Canonical decomposition without nonspacing marks; đ becomes d."""
+    return compose.bare(F.translate(s, "đĐ", "dD"))
 
 
 def nfc(s: Column) -> Column:
-    """Composed form of Latin letters; other scripts' clusters are left as they are."""
-    table = built_once(("clusters",), lambda: F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in _clusters().items())), F.lit("\n"), F.lit("\t")))  # folded into one literal
-    parts = F.regexp_extract_all(s, F.lit(r"(?s)(\P{Mn}\p{Mn}*|\p{Mn}+)"), F.lit(1))
-    # a cluster that is no letter as a whole is composed as far as its first mark
-    begun = lambda p: F.concat(F.coalesce(F.try_element_at(table, F.substring(p, 1, 2)), F.substring(p, 1, 2)), F.substring(p, 3, 1 << 20))
-    composed = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), begun(p))), "")
-    return F.when(s.rlike(r"\p{Mn}"), composed).otherwise(s)
+    """The composed form, of any script."""
+    return compose.nfc(s)
 
 
 def clean_text(s: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from ..functions import dates, formats, parse, stats, text
 from ..model import ROUTES
-from ..operators import checks, fields, metrics, review, route, salary
+from ..operators import checks, fields, metrics, ranks, review, route, salary
 from ..sources.extract import page_merge
 from ..sources.stage import stored
 from .adapters import declared, judged, order_bundles, order_documents, routed, statements, table
@@ -36,6 +36,25 @@ def oracle_sql() -> dict[str, str]:
 
 # text and parsing
 
+#: Precomposed letters of the documents and how they are taken apart.
+_APART = {"é": "e\u0301", "è": "e\u0300", "ê": "e\u0302", "à": "a\u0300", "ä": "a\u0308", "ö": "o\u0308", "ü": "u\u0308", "ñ": "n\u0303", "ç": "c\u0327", "í": "i\u0301", "ó": "o\u0301"}
+#: What is put behind a document: Hangul in parts, Indic letters with nukta and vowel signs, stacked marks in two orders,
+#: kana with voicing, Arabic and Hebrew with points, letters and ideographs that are never kept.
+_SCRIPTS = ["\u1112\u1161\u11ab\u1100\u1173\u11af", "\u0928\u093c\u0958\u09c7\u09be\u0b92\u0bd7", "a\u0323\u0302a\u0302\u0323s\u0307\u0323", "\u304b\u3099\u30cf\u309a", "\u0627\u0653\ufb1d\u05e9\u05c1", "\u212b\u2126\uf900\u1f71\u0344"]
+_TAKEN_APART = "text"
+for _a, _b in _APART.items():
+    _TAKEN_APART = f"replace({_TAKEN_APART}, '{_a}', '{_b}')"
+
+
+@query(f"SELECT doc_id, nfc_normalize(x) AS composed, length(x) AS n_apart FROM (SELECT doc_id, {_TAKEN_APART} || ' ' || {_SCRIPTS}[CAST(doc_id % {len(_SCRIPTS)} + 1 AS INTEGER)] AS x FROM documents)")
+def composed_docs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    x = F.col("text")
+    for a, b in _APART.items():
+        x = F.replace(x, F.lit(a), F.lit(b))
+    x = F.concat(x, F.lit(" "), F.get(F.array(*map(F.lit, _SCRIPTS)), (F.col("doc_id") % len(_SCRIPTS)).cast("int")))
+    return d.select("doc_id", text.nfc(x).alias("composed"), F.length(x).cast("bigint").alias("n_apart"))
+
 
 @query("SELECT doc_id, translate(strip_accents(text), 'đĐ', 'dD') AS bare, translate(strip_accents(text), 'đĐ', 'dD') <> text AS marked FROM documents")
 def strip_accents_docs(spark, sf_dir):
@@ -289,6 +308,12 @@ def latency_percentiles(spark, sf_dir):
     return metrics.latency(table(spark, sf_dir, "events"), "value", ["event_type"]).withColumn("p50", F.round("p50", 9))
 
 
+@query("""SELECT event_type, user_id, CAST(GROUPING(event_type) * 2 + GROUPING(user_id) AS BIGINT) AS gid, count(value) AS n, round(median(value), 9) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY GROUPING SETS ((event_type, user_id), (event_type), (user_id), ())""")
+def percentile_sets(spark, sf_dir):
+    found = ranks.percentiles(table(spark, sf_dir, "events"), [["event_type", "user_id"], ["event_type"], ["user_id"], []], "value")
+    return found.withColumn("p50", F.round("p50", 9))
+
+
 @query("SELECT event_type, count(*) AS calls, round(sum(CAST(round_even(value * 100, 0) AS BIGINT) * CAST(0.77 AS DOUBLE) + user_id * CAST(0.5 AS DOUBLE)) / 1e6, 7) AS cost FROM events GROUP BY event_type")
 def call_costs(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("tokens", F.bround(F.col("value") * 100).cast("bigint"))
@@ -311,10 +336,20 @@ def error_union(spark, sf_dir):
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CAST(1000000 + sum(CASE WHEN l_returnflag = 'N' THEN CAST(round_even(l_extendedprice, 0) AS BIGINT) ELSE -CAST(round_even(l_extendedprice, 0) AS BIGINT) END) OVER (PARTITION BY l_orderkey ORDER BY CAST(l_shipdate AS DATE), l_linenumber, l_partkey, l_suppkey, l_quantity, round_even(l_extendedprice, 0), l_returnflag ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM lineitem""")
 def running_balance(spark, sf_dir):
-    t = statements(spark, sf_dir)
-    w = W.partitionBy("bundle_id").orderBy("ngay", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "so_tien", F.when(F.col("loai") == "ghi_co", "N").otherwise("A")).rowsBetween(W.unboundedPreceding, 0)
-    signed = F.when(F.col("loai") == "ghi_co", F.col("so_tien")).otherwise(-F.col("so_tien"))
-    return t.select(F.col("bundle_id").alias("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", (F.sum(signed).over(w) + 1000000).cast("bigint").alias("balance"))
+    t = statements(spark, sf_dir).withColumn("signed", F.when(F.col("loai") == "ghi_co", F.col("so_tien")).otherwise(-F.col("so_tien")))
+    order = ["ngay", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "so_tien", "loai"]
+    summed = ranks.prefix_sums(t, ["bundle_id"], order, "signed", "balance", small=True)
+    return summed.select(F.col("bundle_id").alias("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", (F.col("balance") + 1000000).cast("bigint").alias("balance"))
+
+
+@query("""WITH t AS (SELECT CASE WHEN l_orderkey % 5 < 4 THEN 0 ELSE l_suppkey END AS account, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CAST(l_shipdate AS DATE) AS d, CASE WHEN l_returnflag = 'N' THEN 1 ELSE -1 END * CAST(round_even(l_extendedprice, 0) AS BIGINT) AS signed FROM lineitem)
+SELECT account, l_orderkey, l_linenumber, CAST(sum(signed) OVER (PARTITION BY account ORDER BY d, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, signed ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM t""")
+def ledger_balance(spark, sf_dir):
+    """Accounts of which one has four fifths of all lines."""
+    t = statements(spark, sf_dir).withColumn("signed", F.when(F.col("loai") == "ghi_co", F.col("so_tien")).otherwise(-F.col("so_tien")))
+    t = t.withColumn("account", F.when(F.col("bundle_id") % 5 < 4, 0).otherwise(F.col("l_suppkey")))
+    summed = ranks.prefix_sums(t, ["account"], ["ngay", "bundle_id", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "signed", "balance")
+    return summed.select("account", F.col("bundle_id").alias("l_orderkey"), "l_linenumber", "balance")
 
 
 _RUNS = f"SELECT strftime(o_orderdate, '%Y-%m') AS run_id, priority AS split, 'all' AS filter, round(CAST(count(*) FILTER (actual = 'AUTO_PASS' AND expected <> 'AUTO_PASS') AS DOUBLE) / count(*), 6) AS escape_rate, round(CAST(count(*) FILTER (actual = 'AUTO_PASS') AS DOUBLE) / count(*), 6) AS automation_rate FROM ({_ROUTED}) GROUP BY ALL"

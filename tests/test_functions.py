@@ -5,7 +5,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from sheafline.functions import dates, formats, parse, stats, text
+from sheafline.functions import compose, dates, formats, parse, stats, text
 
 
 def apply(spark, f, values, schema="s string"):
@@ -58,6 +58,21 @@ def test_unicode(spark):
     assert apply(spark, text.foreign_chars, ["XÝ NGHIỆP Þ Số 7 – ж", "Lê đ 2,5 – ₫ (b)"]) == ["Þж", ""]
 
 
+def test_canonical_forms_of_every_script(spark):
+    """Random strings of marks, letters that have them, parts of Hangul and what is never kept, against Python's forms."""
+    import random
+    import unicodedata
+
+    whole, rank, pairs = compose._characters()
+    dice = random.Random(8)
+    pool = [*whole, *rank, *(c for t in pairs.values() for c in t), *pairs, *map(chr, (*range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0x11A7, 0x11C3))), *(chr(dice.randrange(0xAC00, 0xD7A4)) for _ in range(99)), *"abeo 日\n" * 60]
+    texts = ["".join(dice.choice(pool) for _ in range(dice.randrange(14))) for _ in range(3000)] + [*whole] + [unicodedata.normalize("NFD", chr(c)) + "x" for c in range(0xAC00, 0xD7A4, 11)] + ["e" + "\u0301\u0323" * 200, None]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", compose.nfd(F.col("x")).alias("nfd"), compose.nfc(F.col("x")).alias("nfc"), compose.bare(F.col("x")).alias("bare")).collect()
+    form = lambda kind, x: None if x is None else unicodedata.normalize(kind, x)
+    bare = lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn")
+    assert [(r["nfd"], r["nfc"], r["bare"]) for r in rows] == [(form("NFD", x), form("NFC", x), bare(x)) for x in texts]
+
+
 def test_transactions(spark):
     ok = '[{"ngay":"01/02/2026","mo_ta":" a  b ","so_tien":"1.000","loai":"C"},{"ngay":"02/02/2026","mo_ta":"x","ghi_co":null,"ghi_no":"2.000"},{"ngay":"03/02/2026","mo_ta":"y","so_tien":"+3.000","loai":"Ghi nợ"}]'
     bad = [
