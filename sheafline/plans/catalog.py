@@ -8,8 +8,10 @@ from pyspark.sql import Window as W
 from ..functions import dates, formats, parse, stats, text
 from ..model import ROUTES
 from ..operators import checks, fields, metrics, ranks, review, route, salary
-from ..sources.extract import page_merge
-from ..sources.stage import stored
+from ..sources.calls import Policy
+from ..sources.extract import HttpExtractor, page_merge
+from ..sources.page_source import read_pages
+from ..sources.stage import intermediate, stored
 from .adapters import declared, judged, order_bundles, order_documents, routed, statements, table
 
 _QUERIES: dict = {}
@@ -679,3 +681,61 @@ def printed_forms(spark, sf_dir):
     """Account and phone numbers in groups, and shares as percent."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     return c.select("c_custkey", formats.phone_as(F.concat(F.lit("0"), F.lpad(k.cast("string"), 9, "3")), True).alias("phone"), formats.account_as(F.lpad(k.cast("string"), 10, "1"), True).alias("account"), formats.percent_shown(F.when(k % 5 > 0, (k % 1000).cast("double") / 700)).alias("share"))
+
+
+# extraction by a model
+
+
+def _read_image(payload: dict) -> dict:
+    """A model that copies what the image says, were it not for smudges: such pages get a reply without fields."""
+    text = payload["image"].decode()
+    return {"choices": [{"message": {"content": "illegible" if text.startswith("smudge") else text}}], "usage": {"prompt_tokens": 1000, "completion_tokens": 100}}
+
+
+_EXTRACTED = """SELECT c_custkey AS bundle_id, c_name AS name, CAST(1 AS INTEGER) AS name_page, CASE WHEN c_custkey % 50 <> 7 THEN lpad(CAST(c_custkey AS VARCHAR), 10, '0') END AS phone, CASE WHEN c_custkey % 50 <> 7 THEN CAST(2 AS INTEGER) END AS phone_page,
+  CAST(CASE WHEN c_custkey % 50 = 7 THEN 6 ELSE 4 END AS BIGINT) AS calls, round(CASE WHEN c_custkey % 50 = 7 THEN 6 ELSE 4 END * CAST(0.0011 AS DOUBLE), 6) AS cost, CAST(CASE WHEN c_custkey % 50 = 7 THEN 4 ELSE 0 END AS INTEGER) AS n_errors FROM customer"""
+
+
+def _forms(spark, sf_dir):
+    """Each customer's form, printed on two pages; the second of every fiftieth is smudged."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    first = F.to_json(F.struct(F.col("c_name").alias("ho_ten"), F.lit(None).cast("string").alias("so_dien_thoai")))
+    second = F.to_json(F.struct(F.lit("someone else").alias("ho_ten"), F.struct(F.lpad(k.cast("string"), 10, "0").alias("raw"), F.lit(1).alias("page")).alias("so_dien_thoai")))
+    smudged = F.when(k % 50 == 7, F.concat(F.lit("smudge "), k.cast("string"))).otherwise(second)
+    return c.select(k.cast("string").alias("bundle_id"), F.lit("d2").alias("doc_id"), F.lit("don_vay").alias("doc_type"), F.array(first.cast("binary"), smudged.cast("binary")).alias("pages"))
+
+
+def _shown_fields(docs):
+    cell = lambda f, part: F.try_element_at("raw0", F.lit(f))[part]
+    return docs.select(F.col("bundle_id").cast("bigint").alias("bundle_id"), cell("ho_ten", "raw").alias("name"), cell("ho_ten", "page").alias("name_page"), cell("so_dien_thoai", "raw").alias("phone"), cell("so_dien_thoai", "page").alias("phone_page"), F.col("n_calls").alias("calls"), F.round("cost_usd", 6).alias("cost"), F.size("extract_errors").alias("n_errors"))
+
+
+def _model():
+    return HttpExtractor("copyist", _read_image, 1.0, 1.0, policy=Policy(delay=0.0))
+
+
+@query(_EXTRACTED)
+def extracted_forms(spark, sf_dir):
+    """Pages called from within tasks, several at a time."""
+    docs, model = _forms(spark, sf_dir), _model()
+    return _shown_fields(model.extract(docs, stored(model.call(model.pages(docs)), "replies")))
+
+
+@query(f"SELECT bundle_id, name, phone, calls // 2 AS calls FROM ({_EXTRACTED})")
+def page_source_forms(spark, sf_dir):
+    """The same pages as a data source, of which one pass is read: the other is not called for."""
+    docs, model = _forms(spark, sf_dir), _model()
+    pages = read_pages(model, docs, intermediate(spark, "pages")).filter("variant = 0 and bundle_id is not null")
+    made = _shown_fields(model.extract(docs, stored(pages.dropDuplicates(["key"]), "replies")))
+    return made.select("bundle_id", "name", "phone", "calls")
+
+
+@query("""SELECT c_custkey % 10 < 6 AS kept, count(*) FILTER (c_custkey % 10 >= 6) AS missing, count(*) AS n FROM customer, (VALUES (1), (2)) p(page), (VALUES (0), (1)) v(variant) GROUP BY 1""")
+def cache_misses(spark, sf_dir):
+    """Pages looked up in a table of kept replies by way of a filter in the scan."""
+    docs, model = _forms(spark, sf_dir), _model()
+    pages = model.pages(docs)
+    cache = stored(pages.filter(F.col("bundle_id").cast("bigint") % 10 < 6).select("key", F.lit("{}").alias("reply")), "kept")
+    missed = model.misses(pages, cache).select("bundle_id", "page", "variant", F.lit(1).alias("missed"))
+    each = pages.select("bundle_id", "page", "variant").join(missed, ["bundle_id", "page", "variant"], "left")
+    return each.groupBy((F.col("bundle_id").cast("bigint") % 10 < 6).alias("kept")).agg(F.count("missed").alias("missing"), F.count("*").alias("n"))
