@@ -135,13 +135,16 @@ def coverage(start: Operand, end: Operand, signed: Operand, rules: RulesConfig)
 
 def bundles(finalized: DataFrame, key: str = "bundle_id") -> DataFrame:
     """One row for each bundle: docs (type and cells, in order), present and unreadable types, and, where the documents
-    have them, the sums of latency_ms, n_calls and cost_usd and the number of documents with extract_errors. The only
-    shuffle.
+    have them, the sums of latency_ms, n_calls and cost_usd, all extract_errors, the number of documents with any, and the
+    model_outputs by document. The only shuffle.
 
     finalized has the key, doc_ord, doc_type, cells and readable; of two documents of a type the last counts.
     """
     spent = [F.sum(c).alias(c) for c in ("latency_ms", "n_calls", "cost_usd") if c in finalized.columns]
     spent += [F.count_if(F.size("extract_errors") > 0).alias("failed_docs")] if "extract_errors" in finalized.columns else []
+    in_order = lambda *c: F.array_sort(F.collect_list(F.struct("doc_ord", *c)))
+    spent += [F.flatten(F.transform(in_order("extract_errors"), lambda x: x["extract_errors"])).alias("extract_errors")] if "extract_errors" in finalized.columns else []
+    spent += [F.transform(F.filter(in_order("doc_type", "model_output"), lambda x: x["model_output"].isNotNull()), lambda x: F.struct(x["doc_type"].alias("doc_type"), x["model_output"].alias("output"))).alias("model_outputs")] if "model_output" in finalized.columns else []
     doc = F.struct("doc_ord", "doc_type", "readable", F.when(F.col("readable"), F.col("cells")).alias("cells"))
     grouped = finalized.groupBy(key).agg(F.array_sort(F.collect_list(doc), lambda a, b: F.when(a["doc_ord"] < b["doc_ord"], -1).when(a["doc_ord"] > b["doc_ord"], 1).otherwise(0)).alias("docs"), *spent)
     types = lambda ok: F.transform(F.filter("docs", lambda d: d["readable"] == ok), lambda d: d["doc_type"])

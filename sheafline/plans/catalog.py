@@ -36,6 +36,10 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def sql_of(name: str) -> str:
+    return _SQL[name]
+
+
 # text and parsing
 
 #: Precomposed letters of the documents and how they are taken apart.
@@ -739,3 +743,6 @@ def cache_misses(spark, sf_dir):
     missed = model.misses(pages, cache).select("bundle_id", "page", "variant", F.lit(1).alias("missed"))
     each = pages.select("bundle_id", "page", "variant").join(missed, ["bundle_id", "page", "variant"], "left")
     return each.groupBy((F.col("bundle_id").cast("bigint") % 10 < 6).alias("kept")).agg(F.count("missed").alias("missing"), F.count("*").alias("n"))
+
+
+from . import catalog_io  # noqa: E402, F401  (registers its queries)
