@@ -11,9 +11,12 @@ What meets under a key and differs in MOST_BITS = 18 bits or fewer of its first
 Nothing is linked without comparison of the sets themselves:
 
 1. Candidates are united to clusters by the forests and star steps of `near_dups`.
-2. In each cluster all texts are compared with LEADERS of them, chosen by hash, and those similar enough are linked.
-3. Texts that meet under a key and are still apart are compared, all of them: those outside the key's largest class with
-   all others there. So no candidate pair is left that is neither united already nor compared.
+2. Each text of a cluster is compared with the one of the cluster's LEADERS, chosen by hash, whose bits are nearest, and
+   linked if it is similar enough; what is linked so is a class.
+3. In clusters of several classes all texts outside the largest class are compared with all others of the cluster, so no
+   pair of a cluster is left that is neither united already nor compared. Clusters go out in pairs of blocks of BLOCK_ROWS
+   texts or BLOCK_BYTES of sets, so a set moves once for each block it meets and not once for each pair, and a task holds
+   two blocks; similarities of two blocks are products of matrices over the shingles that they share.
 
 Fingerprints stand for texts: rows with the same fingerprint are one text (texts at a similarity of 0.7 share one with a
 chance of 1e-6). Null and empty texts have fingerprint zero and are one. Fewer words than a shingle: the whole sequence.
@@ -39,7 +42,11 @@ LEAST = 0.8
 SEGMENTS = 4
 NEAREST = 3
 MOST_BITS = 18
-LEADERS = 4
+LEADERS = 8
+BLOCK_ROWS = 1024
+BLOCK_BYTES = 8 << 20
+#: Shared shingles whose columns are multiplied at a time.
+COLUMNS = 4096
 #: Settles bits that half of the shingles set, the same way in all texts.
 _TIES = np.unpackbits(np.array([xxhash.xxh64_intdigest(b"ties", k) for k in (0, 1)], "<u8").view("u1"), bitorder="little") - 0.5
 
@@ -140,16 +147,84 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(both.select("a", "b", "x", "y"), _similar, "a long, b long")
 
 
-def apart(members: DataFrame) -> DataFrame:
-    """(a, b): candidates of different classes `own` among members (fp, near, own).
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set on the left has in common with each on the right."""
+    out = np.zeros((len(left), len(right)), "f4")
+    of = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    every = [np.concatenate(side) if side else np.zeros(0, "u8") for side in (left, right)]
+    shared = np.intersect1d(*every)
+    for lo in range(0, len(shared), COLUMNS):
+        some, marks = shared[lo : lo + COLUMNS], []
+        for hashed, row, n in zip(every, of, map(len, (left, right)), strict=True):
+            at = np.searchsorted(some, hashed)
+            hit = some[np.minimum(at, len(some) - 1)] == hashed
+            mark = np.zeros((n, len(some)), "f4")
+            mark[row[hit], at[hit]] = 1
+            marks.append(mark)
+        out += marks[0] @ marks[1].T
+    return out
+
 
-    Of a key's rows those outside its largest class are compared with all others there; keys of one class give none."""
-    keyed = map_arrow(members.select("fp", "near", "own"), expand, "key long, fp long, own long").checkpoint()
-    mixed = keyed.groupBy("key", "own").count().groupBy("key").agg(F.max_by("own", F.struct("count", "own")).alias("top"), F.count("*").alias("classes")).filter("classes > 1")
-    rows = fresh(keyed, "key").join(mixed.select("key", "top"), "key")
-    few = rows.filter("own <> top").select(F.col("key").alias("k"), F.col("fp").alias("a"), F.col("own").alias("own_a"))
-    met = few.join(rows, (F.col("k") == F.col("key")) & (F.col("own_a") != F.col("own")) & ((F.col("own") == F.col("top")) | (F.col("a") < F.col("fp"))) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= MOST_BITS))
-    return met.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
+def _compared(batches):
+    """Links between texts of different classes in pairs of blocks, of which rows come sorted by (root, i, j) and side: 0
+    left, 1 right, and 2 for texts of clusters of one block, which are both. Of the links found a forest is kept."""
+    held: list[tuple] = []
+
+    def done():
+        sides = [[r for r in held if r[3] in (k, 2)] for k in (0, 1)]
+        held.clear()
+        left, right = sides
+        if left and left[0][3] == 2:
+            left = [r for r in left if r[6]]
+        sets = [[np.frombuffer(r[5], "u8") for r in side] for side in (left, right)]
+        size = [np.array([len(x) for x in side], "f4") for side in sets]
+        both = common(*sets)
+        near = both >= LEAST * (size[0][:, None] + size[1][None, :] - both) - 1e-4
+        own = [np.array([r[7] for r in side], "i8") for side in (left, right)]
+        a, b = np.nonzero(near & (own[0][:, None] != own[1][None, :]))
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        out = []
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = top(int(own[0][i])), top(int(own[1][j]))
+            if x != y:
+                root[y] = x
+                out.append((left[i][4], right[j][4]))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "side", "fp", "shingles", "few", "own")), strict=True):
+            if held and held[0][:3] != row[:3]:
+                yield done()
+            held.append(row)
+    if held:
+        yield done()
+
+
+def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between classes `own` of the clusters `root`, among members (fp, root, own), by their sets."""
+    sized = members.join(sets.select("fp", F.octet_length("shingles").alias("bytes")), "fp")
+    classes = sized.groupBy("root", "own").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    mixed = classes.groupBy("root").agg(F.max_by("own", F.struct("n", "own")).alias("top"), F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("n").alias("n_top"), F.max_by("bytes", F.struct("n", "own")).alias("bytes_top")).filter("classes > 1")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    mixed = mixed.select("root", "top", blocks(F.col("n") - F.col("n_top"), F.col("bytes") - F.col("bytes_top")).alias("lefts"), blocks(F.col("n"), F.col("bytes")).alias("rights"))
+    rows = fresh(members, "root").join(mixed, "root").withColumn("few", F.col("own") != F.col("top"))
+    block = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+    one = F.col("rights") == 1
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    columns = ["root", "fp", "own", "few"]
+    dealt = (
+        rows.filter(one).select(*columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))
+        .unionByName(rows.filter(~one & F.col("few")).select(*columns, block(F.col("lefts")).alias("i"), F.explode(each(F.col("rights"))).alias("j"), F.lit(0).alias("side")))
+        .unionByName(rows.filter(~one).select(*columns, F.explode(each(F.col("lefts"))).alias("i"), block(F.col("rights")).alias("j"), F.lit(1).alias("side")))
+    )
+    placed = dealt.join(sets, "fp").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side")
+    return map_arrow(placed.select("root", "i", "j", "side", "fp", "shingles", "few", "own"), _compared, "a long, b long")
 
 
 def rooted(docs: DataFrame, shingle: int = WORDS, cache: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
@@ -167,11 +242,12 @@ def rooted(docs: DataFrame, shingle: int = WORDS, cache: Callable[[DataFrame], D
     sets = sets.groupBy("fp").agg(F.min("shingles").alias("shingles")).checkpoint()
 
     leaders = members.groupBy("root").agg(F.array_distinct(F.array(*(F.min_by("fp", F.xxhash64("fp", F.lit(k))) for k in range(LEADERS)))).alias("leaders"))
-    led = fresh(members.select("fp", "root"), "root").join(leaders, "root").select("fp", F.explode("leaders").alias("leader")).filter("fp <> leader")
-    first = similar(led.select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct(), sets).checkpoint()
+    nearest = F.array_min(F.transform(F.filter("leaders", lambda x: x != F.col("fp")), lambda x: F.struct(F.bit_count(x.bitwiseXOR(F.col("fp"))).alias("bits"), x.alias("leader"))))["leader"]
+    led = fresh(members.select("fp", "root"), "root").join(leaders, "root").select("fp", nearest.alias("leader")).filter("leader is not null")
+    first = similar(led.select(F.col("fp").alias("a"), F.col("leader").alias("b")), sets).checkpoint()
     own = near_dups.components(first)
-    now = members.join(own, members["fp"] == own["node"], "left").select("fp", "near", F.coalesce(own["root"], "fp").alias("own"))
-    second = similar(apart(now), sets).checkpoint()
+    now = members.join(own, members["fp"] == own["node"], "left").select("fp", members["root"].alias("root"), F.coalesce(own["root"], "fp").alias("own")).checkpoint()
+    second = apart(now, sets).checkpoint()
     return near_dups.named(rows.select("doc_id", "fp"), known.select("fp", "least"), near_dups.components(first.unionByName(second)))
 
 

@@ -458,13 +458,35 @@ def test_near_texts(spark, empty, odd):
     assert near_texts.one_of_each(empty).count() == 0 and near_texts.one_of_each(odd).columns == odd.columns
 
 
-def test_texts_still_apart_are_compared(spark):
-    """Of rows under shared keys all pairs of different classes come, those of one class do not."""
-    near = np.zeros((near_texts.SEGMENTS, near_texts.NEAREST), "<u2").tobytes()
-    own = {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, (1 << 40) - 1: 6}
-    d = spark.createDataFrame([(fp, near, c) for fp, c in own.items()], "fp long, near binary, own long")
-    got = sorted((r["a"], r["b"]) for r in near_texts.apart(d).collect())
-    assert got == [(1, 4), (1, 5), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5)]
+@pytest.mark.parametrize("rows_a_block", [3, 1024])
+def test_texts_still_apart_are_compared(spark, monkeypatch, rows_a_block):
+    """Links between classes of a cluster are as many as unite what is similar, in any number of blocks; those within a
+    class are not looked for, and other clusters are not met."""
+    monkeypatch.setattr(near_texts, "BLOCK_ROWS", rows_a_block)
+    monkeypatch.setattr(near_texts, "COLUMNS", 16)
+    dice = np.random.default_rng(4)
+    bases = [dice.integers(0, 1 << 60, 50).astype("u8") for _ in range(3)]
+    members, sets, group = [], [], {}
+    for fp in range(60):
+        base = bases[fp % 3].copy()
+        base[:2] = dice.integers(0, 1 << 60, 2)
+        group[fp] = fp % 3
+        sets.append((fp, np.unique(base).tobytes()))
+        members.append((fp, fp // 30, (0 if fp % 3 == 0 else fp) + 1000))
+    got = near_texts.apart(spark.createDataFrame(members, "fp long, root long, own long"), spark.createDataFrame(sets, "fp long, shingles binary")).collect()
+    own = {m[0]: m[2] for m in members}
+    assert got and all(group[r["a"]] == group[r["b"]] and r["a"] // 30 == r["b"] // 30 and own[r["a"]] != own[r["b"]] for r in got)
+    label = {fp: (fp // 30, o) for fp, o in own.items()}
+    for r in got:
+        label = {fp: label[r["b"]] if x == label[r["a"]] else x for fp, x in label.items()}
+    assert len(set(label.values())) == 2 * 3
+
+
+def test_common_shingles_are_counted():
+    dice = random.Random(5)
+    sets = [np.unique(np.array([dice.randrange(60) for _ in range(dice.randrange(40))], "u8")) for _ in range(30)]
+    got = near_texts.common(sets[:12], sets[12:])
+    assert (got == [[len(np.intersect1d(x, y)) for y in sets[12:]] for x in sets[:12]]).all()
 
 
 def test_walks_give_the_same_components():
