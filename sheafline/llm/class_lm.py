@@ -505,28 +505,30 @@ def score(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ()) -> Data
         at = place.get
         for batch in batches:
             for part in chunks(batch):
-                rows, local, tail = part.column("__row").to_pylist(), [], [[], [], [], []]
+                rows, local, tail = part.column("__row").to_pylist(), [], [[], [], []]
                 for row, data in zip(rows, as_bytes(part.column("text")), strict=True):
                     words = tokens(data)
                     index = np.fromiter((at(w, -1) for w in words), "i8", len(words))
-                    places: dict[bytes, list[int]] = {}
-                    for i in np.nonzero(index < 0)[0].tolist():
-                        places.setdefault(words[i], []).append(i)
-                    for w, where in places.items():
-                        tail[0].append(row)
-                        tail[1].append(w)
-                        tail[2].append(np.array(where, "<i4").tobytes())
-                        tail[3].append(form(w))
+                    places: dict[bytes, bytes] = {}
+                    absent = np.nonzero(index < 0)[0]
+                    packed, at_word = absent.astype("<i4").tobytes(), places.get
+                    for k, i in enumerate(absent.tolist()):
+                        w, here = words[i], packed[4 * k : 4 * k + 4]
+                        places[w] = here if (before := at_word(w)) is None else before + here
+                    tail[0].append(np.full(len(places), row))
+                    tail[1] += places
+                    tail[2] += places.values()
                     known = index[index >= 0]
                     seq = np.full(len(words) + 1, _OPEN, "u1")
                     seq[-1] = CLASSES - 1
                     seq[:-1][index >= 0] = cls[known] if len(known) else 0
                     local.append((len(words) + 1, len(known) + (end_n > 0), float(base[known].sum()) + np.log10(end_n + 1) - base_unit, float(share[known].sum()) + np.log10(max(end_n, 0.5)), seq.tobytes()))
                 total, known, base_sum, sum_, seqs = zip(*local, strict=True)
-                n, m = len(rows), len(tail[0])
-                null = lambda k: pa.nulls(m, k)
-                columns = [pa.concat_arrays([part.column(c).combine_chunks() if isinstance(part.column(c), pa.ChunkedArray) else part.column(c), pa.array(tail[0], pa.int64()) if c == "__row" else null(part.column(c).type)]) for c in fields]
-                columns += [pa.array([*(b"\n%d" % r for r in rows), *tail[1]], pa.binary()), pa.array([*total, *[None] * m], pa.int64()), pa.array([*known, *[None] * m], pa.int64()), pa.array([*base_sum, *[None] * m], pa.float64()), pa.array([*sum_, *[None] * m], pa.float64()), pa.array([*seqs, *[None] * m], pa.binary()), pa.array([*[None] * n, *tail[2]], pa.binary()), pa.array([*[None] * n, *tail[3]], pa.int64())]
+                n, m = len(rows), len(tail[1])
+                null = lambda values, k: pa.concat_arrays([pa.array(values, k), pa.nulls(m, k)])
+                columns = [pa.concat_arrays([part.column(c).combine_chunks() if isinstance(part.column(c), pa.ChunkedArray) else part.column(c), pa.array(np.concatenate(tail[0]), pa.int64()) if c == "__row" else pa.nulls(m, part.column(c).type)]) for c in fields]
+                columns += [pa.array([*(b"\n%d" % r for r in rows), *tail[1]], pa.binary()), null(total, pa.int64()), null(known, pa.int64()), null(base_sum, pa.float64()), null(sum_, pa.float64()), null(seqs, pa.binary())]
+                columns += [pa.concat_arrays([pa.nulls(n, k), pa.array(values, k)]) for values, k in ((tail[2], pa.binary()), ([*map(form, tail[1])], pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, [*fields, "word", "n_tokens", "n_known", "base_score", "score", "seq", "places", "form"])
 
     ready = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "text", held_out.alias("held_out"), *keep)
