@@ -6,11 +6,13 @@ closing, so retried writes change nothing.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import names_match
+from ..functions.text import let, names_match, normalize_name, same_names, strip_accents
 from ..model import SCHEMA
 from . import ranks
 
@@ -123,16 +125,50 @@ def peers(evidence: DataFrame, key: list[str]) -> DataFrame:
     return a.join(b, key).filter("pos <> peer_pos")
 
 
-def flagged_fields(checked: DataFrame, key: str = "bundle_id") -> DataFrame:
+#: Pairs of the positions 0 to 3, and sets of positions with the pairs they need (as bits), largest and earliest first.
+_PAIRS = list(combinations(range(4), 2))
+_CLIQUES = [(members, sum(1 << _PAIRS.index(p) for p in combinations(members, 2))) for size in (4, 3, 2, 1) for members in combinations(range(4), size)]
+
+
+def majority(names: Column) -> Column:
+    """struct<value, n, members>: of up to four names (nulls stand for none) the largest group in which all match each
+    other. Matching is not transitive: a name without accents matches two that differ in theirs, which do not match each
+    other, so groups are cliques and may overlap; of equally large ones the first counts. Its value is its first name with
+    accents, or else its first."""
+    forms = F.transform(names, lambda x: let(normalize_name(x), lambda n: F.struct(n.alias("n"), strip_accents(n).alias("bare"))))
+
+    def found(f: Column) -> Column:
+        at = lambda i: F.get(f, F.lit(i))
+        joined = sum((F.when(F.coalesce(same_names(at(i)["n"], at(i)["bare"], at(j)["n"], at(j)["bare"]), F.lit(False)), 1 << k).otherwise(0) for k, (i, j) in enumerate(_PAIRS)), F.lit(0))
+        there = sum((F.when(at(i)["n"].isNotNull(), 1 << i).otherwise(0) for i in range(4)), F.lit(0))
+
+        def largest(bits: Column) -> Column:
+            fits = [F.when(((bits["joined"].bitwiseAND(F.lit(need))) == need) & (bits["there"].bitwiseAND(F.lit(sum(1 << i for i in members))) == sum(1 << i for i in members)), F.array(*map(F.lit, members))) for members, need in _CLIQUES]
+            return F.coalesce(*fits, F.array().cast("array<int>"))
+
+        def named(members: Column) -> Column:
+            values = F.transform(members, lambda i: F.struct(F.get(names, i).alias("raw"), (F.get(f, i)["bare"] != F.get(f, i)["n"]).alias("marked")))
+            first = F.coalesce(F.get(F.filter(values, lambda v: v["marked"]), 0), F.get(values, 0))
+            return F.struct(first["raw"].alias("value"), F.size(members).alias("n"), members.alias("members"))
+
+        return let(let(F.struct(joined.alias("joined"), there.alias("there")), largest), named)
+
+    return let(forms, found)
+
+
+def flagged_fields(checked: DataFrame, key: str = "bundle_id", grouped: bool = False) -> DataFrame:
     """(bundle, doc_type, field): why it is flagged, its peers, and the value suggested instead.
 
     A failed check flags all its fields, an unknown one those not known. A comparing rule that failed suggests the other
-    document's value if there are two, or the majority's if more agree.
+    document's value if there are two, or the majority's if more agree. Values agree if they are equal; with `grouped`
+    names agree as R1 compares them, and the value of their largest group is suggested to those that do not match it.
     """
     each = checked.select(key, F.explode("checks").alias("c")).filter("c.status <> 'pass'").select(key, "c.rule_id", "c.status", F.filter("c.evidence", lambda e: e["field"].isNotNull()).alias("refs"))
     values = F.filter(F.transform("refs", lambda e: e["value"]), lambda v: v.isNotNull())
     counts = F.transform(F.array_distinct(values), lambda v: F.struct(v.alias("v"), F.size(F.filter(values, lambda x: x == v)).alias("n")))
     top = F.aggregate(counts, F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("n")), lambda best, c: F.when(c["n"] > best["n"], c).otherwise(best))
+    if grouped:
+        top = F.when(F.col("rule_id") == "R1", let(majority(F.transform("refs", lambda e: e["value"])), lambda m: F.struct(m["value"].alias("v"), m["n"].alias("n")))).otherwise(top)
     rows = each.withColumn("top", top).select("*", F.posexplode("refs").alias("i", "e")).filter((F.col("status") == "fail") | ~F.col("e.known"))
     others = F.filter("refs", lambda o, i: i != F.col("i"))
     name_rule = F.col("rule_id") == "R1"

@@ -10,8 +10,8 @@ from ..model import MANIFEST, RulesConfig, load_config
 from ..operators import checks, fields, metrics, review, route
 from ..sources import manifest, sinks, traces
 from ..sources.stage import discard, intermediate, stored
-from .adapters import order_documents, table
-from .catalog import _ORDER, _STATUS, query, sql_of
+from .adapters import order_bundles, order_documents, routed, table
+from .catalog import _MONTHS, _ORDER, _ROUTED, _STATUS, query, sql_of
 
 
 def folder(spark, name: str) -> str:
@@ -62,3 +62,63 @@ def trace_scan(spark, sf_dir):
     o.filter(text.isNotNull()).select(F.concat(k.cast("string"), F.lit("\t"), text).alias("value")).write.text(place)
     read = spark.read.text(place).select(F.substring_index("value", "\t", 1).alias("bundle_id"), F.try_parse_json(F.substring_index("value", "\t", -1)).alias("trace"))
     return read.select("bundle_id", *traces.pick({"route": ("$.decision.route", "string"), "customer": ("$.customer", "bigint")}), F.col("trace").isNotNull().alias("sound"))
+
+
+# checks and suggestions of the order bundles that need words and groups
+
+_LIST = lambda *cases: "'missing or uncertain: ' || array_to_string(list_filter([" + ", ".join(f"CASE WHEN {when} THEN '{label}' END" for label, when in cases) + "], lambda z: z IS NOT NULL), ', ')"
+_NAMED = f"""(SELECT *, 'NGUYỄN VĂN ' || letters AS name, 'NGUYEN VAN ' || letters AS bare, CASE WHEN NOT form THEN NULL WHEN k % 11 = 0 THEN 'NGUYỄN ' || letters WHEN k % 11 = 1 THEN 'NGUYEN VAN ' || letters WHEN k % 11 = 3 THEN 'NGUYỄN VÃN ' || letters ELSE 'NGUYỄN VĂN ' || letters END AS form_name
+FROM (SELECT *, translate(lpad(CAST(c % 1000 AS VARCHAR), 3, '0'), '0123456789', 'ABCDEGHIKL') AS letters FROM {_STATUS}))"""
+_SHOWN = {
+    "R1": f"CASE r1 WHEN 'pass' THEN 'name: all equal' WHEN 'unknown' THEN {_LIST(('don_vay.ho_ten', 'NOT form'), ('cccd.ho_ten', 'NOT cc'), ('hdld.ho_ten_nld', 'NOT contract OR k % 41 = 0'), ('sao_ke.chu_tk', 'NOT statement'))} ELSE 'name: don_vay.ho_ten=' || form_name || ' differs from ' || CASE WHEN cc THEN 'cccd.ho_ten=' || name WHEN contract AND k % 41 > 0 THEN 'hdld.ho_ten_nld=' || name ELSE 'sao_ke.chu_tk=' || bare END END",
+    "R4": f"CASE WHEN NOT form OR NOT statement OR k % 53 = 0 THEN {_LIST(('don_vay.thu_nhap_thang', 'NOT form'), ('sao_ke.giao_dich', 'NOT statement OR k % 53 = 0'))} WHEN twice THEN 'months with two salaries or more: ' || doubled WHEN average IS NULL THEN 'no salary on the statement' ELSE 'declared ' || income || CASE r4 WHEN 'pass' THEN ' within ' ELSE ' over ' END || format('{{:,}}', CAST(round_even(average, 0) AS BIGINT)) || ' x 1.1' END",
+    "R5": f"CASE r5 WHEN 'unknown' THEN {_LIST(('cccd.ngay_het_han', 'NOT cc OR k % 31 = 0'), ('don_vay.ngay_ky', 'NOT form'))} ELSE 'identity card valid: cccd.ngay_het_han=' || expiry || CASE r5 WHEN 'pass' THEN ' >= ' ELSE ' < ' END || 'don_vay.ngay_ky=' || signed END",
+    "R7": f"CASE WHEN contract AND term = 'open' THEN 'contract without end' WHEN contract AND ends IS NOT NULL AND form THEN 'contract in force: hdld.ngay_ket_thuc=' || ends || CASE r7 WHEN 'pass' THEN ' >= ' ELSE ' < ' END || 'don_vay.ngay_ky=' || signed ELSE {_LIST(('hdld.loai_hd', 'NOT contract OR ends IS NULL'), ('hdld.ngay_ket_thuc', 'NOT contract'), ('don_vay.ngay_ky', 'contract AND ends IS NOT NULL AND NOT form'))} END",
+    "R8": f"CASE r8 WHEN 'unknown' THEN {_LIST(('sao_ke.ky_tu', 'NOT statement'), ('sao_ke.ky_den', 'NOT statement'), ('don_vay.ngay_ky', 'NOT form'))} ELSE 'statement ends ' || date_diff('day', last, signed) || ' days before signing (at most 30); covers 3 months: ' || CASE WHEN CAST(first + INTERVAL 3 MONTH AS DATE) <= last + 1 THEN 'yes' ELSE 'no' END END",
+}
+
+
+@query(f"""WITH named AS MATERIALIZED (SELECT n.*, d.doubled FROM {_NAMED} n LEFT JOIN (SELECT bundle_id, string_agg(strftime(month, '%m/%Y'), ', ' ORDER BY month) AS doubled FROM ({_MONTHS}) WHERE n > 1 GROUP BY 1) d ON d.bundle_id = n.k)
+""" + " UNION ALL ".join(f"SELECT k AS bundle_id, '{r}' AS rule_id, {m} AS message FROM named" for r, m in _SHOWN.items()))
+def order_rule_messages(spark, sf_dir):
+    """What R1, R4, R5, R7 and R8 say of every order bundle: names that differ, salaries, dates, what is missing."""
+    return checks.long_checks(order_bundles(spark, sf_dir)).filter(F.col("rule_id").isin(*_SHOWN)).select("bundle_id", "rule_id", "message")
+
+
+_FOUR = ["form_name", "CASE WHEN cc THEN name END", "CASE WHEN contract AND k % 41 > 0 THEN name END", "CASE WHEN statement THEN bare END"]
+_MATCH = lambda x, y: f"coalesce(n[{x + 1}] = n[{y + 1}] OR ((strip_accents(n[{x + 1}]) = n[{x + 1}] OR strip_accents(n[{y + 1}]) = n[{y + 1}]) AND strip_accents(n[{x + 1}]) = strip_accents(n[{y + 1}])), false)"
+_GROUPS = " ".join(f"WHEN {' AND '.join([_MATCH(i, j) for i in m for j in m if i < j] or [f'n[{m[0] + 1}] IS NOT NULL'])} THEN [{', '.join(str(i) for i in m)}]" for m, _ in review._CLIQUES)
+
+
+@query(f"""SELECT k AS bundle_id, CAST(len(g) AS INTEGER) AS agreeing, array_to_string(g, ',') AS members, coalesce(list_filter(list_transform(g, lambda i: n[i + 1]), lambda x: strip_accents(x) <> x)[1], n[g[1] + 1]) AS value
+FROM (SELECT k, n, CASE {_GROUPS} ELSE [] END AS g FROM (SELECT k, [{', '.join(_FOUR)}] AS n FROM {_NAMED} WHERE card OR form OR contract OR statement))""")
+def name_majorities(spark, sf_dir):
+    """The largest group of agreeing names on each order's four documents."""
+    name = lambda d, f: F.get(F.filter(f"c_{d}", lambda c: (c["field"] == f) & c["error"].isNull()), 0)["text"]
+    names = F.array(name("don_vay", "ho_ten"), name("cccd", "ho_ten"), name("hdld", "ho_ten_nld"), name("sao_ke", "chu_tk"))
+    found = checks.bundles(fields.finalize(order_documents(spark, sf_dir))).select("bundle_id", review.majority(names).alias("m"))
+    return found.select("bundle_id", F.col("m.n").alias("agreeing"), F.array_join("m.members", ",").alias("members"), "m.value")
+
+
+@query(f"""SELECT k AS bundle_id, doc || '.' || field AS field, suggested FROM (
+SELECT k, unnest([{{'doc': 'don_vay', 'field': 'ho_ten', 'v': n[1]}}, {{'doc': 'cccd', 'field': 'ho_ten', 'v': n[2]}}, {{'doc': 'hdld', 'field': 'ho_ten_nld', 'v': n[3]}}, {{'doc': 'sao_ke', 'field': 'chu_tk', 'v': n[4]}}], recursive := true), CASE WHEN len(g) >= 2 THEN coalesce(list_filter(list_transform(g, lambda i: n[i + 1]), lambda x: strip_accents(x) <> x)[1], n[g[1] + 1]) END AS suggested
+FROM (SELECT k, n, CASE {_GROUPS} ELSE [] END AS g FROM (SELECT k, [{', '.join(_FOUR)}] AS n FROM {_NAMED} WHERE r1 = 'fail'))
+) WHERE v IS NOT NULL AND suggested IS NOT NULL AND NOT (v = suggested OR ((strip_accents(v) = v OR strip_accents(suggested) = suggested) AND strip_accents(v) = strip_accents(suggested)))""")
+def order_name_suggestions(spark, sf_dir):
+    """The name suggested where R1 failed: that of the largest group, to documents that do not match it."""
+    flagged = review.flagged_fields(order_bundles(spark, sf_dir).select("bundle_id", "checks"), grouped=True).select("bundle_id", "doc_type", "field", F.explode("why").alias("w")).filter("w.rule_id = 'R1' and w.status = 'fail'")
+    return flagged.filter(F.size("w.suggest") > 0).select("bundle_id", F.concat_ws(".", "doc_type", "field").alias("field"), F.get("w.suggest", F.lit(0))["value"].alias("suggested"))
+
+
+_R4 = lambda tolerance: f"CASE WHEN NOT form OR NOT statement OR k % 53 = 0 OR twice OR average IS NULL THEN 'unknown' WHEN CAST(income AS DOUBLE) <= average * (CAST(1.0 AS DOUBLE) + CAST({tolerance} AS DOUBLE)) THEN 'pass' ELSE 'fail' END"
+
+
+@query(f"SELECT k AS bundle_id, {_R4('2.5')} AS income, CASE WHEN NOT (form AND statement) THEN 'unknown' WHEN signed < last THEN 'fail' ELSE 'pass' END AS own, 'rules-wide' AS version FROM {_STATUS} WHERE card OR form OR contract OR statement")
+def custom_rules(spark, sf_dir):
+    """Configuration written as a file and read again, and a rule of one's own behind the nine."""
+    place = f"{folder(spark, 'config')}/config.json"
+    sinks.write_text(spark, place, '{"rules": {"version": "rules-wide", "income_tolerance": 2.5}, "thresholds": {"request_more_min_format_errors": 2}}')
+    rules, limits = load_config(spark.read.text(place, wholetext=True).first()["value"])
+    later = lambda v: checks.date_order("R9", v("don_vay", "ngay_ky"), v("sao_ke", "ky_den"), "statement before signing")
+    judged = route.route(checks.check(checks.bundles(fields.finalize(order_documents(spark, sf_dir), rules, limits)), rules, more=[later]), rules, limits)
+    return judged.select("bundle_id", F.get("checks", F.lit(4))["status"].alias("income"), F.get("checks", F.lit(9))["status"].alias("own"), F.col("rules_version").alias("version"))
