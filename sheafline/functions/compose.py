@@ -123,16 +123,19 @@ def _ordered(s: Column) -> Column:
     return F.flatten(F.transform(groups, marked))
 
 
+@lru_cache(maxsize=1)
+def _pairs() -> str:
+    """Compositions as text, for str_to_map, which is folded into one literal."""
+    return "\n".join(f"{first}{second}\t{whole}" for second, table in _characters()[2].items() for first, whole in table.items())
+
+
 def _joined(first: Column, second: Column) -> Column:
     """What two characters compose to, or null."""
-    out = None
-    for mark, table in _characters()[2].items():
-        made = F.translate(first, "".join(table), "".join(table.values()))
-        out = F.when(second == mark, made) if out is None else out.when(second == mark, made)
+    hangul = second.between(chr(_VOWEL), chr(_TAIL + _TAILS - 1))
     lead, vowel, tail, at = F.ascii(first) - _LEAD, F.ascii(second) - _VOWEL, F.ascii(second) - _TAIL, F.ascii(first) - _SYLLABLES
-    out = out.when(lead.between(0, _LEADS - 1) & vowel.between(0, _VOWELS - 1), _char(_SYLLABLES + (lead * _VOWELS + vowel) * _TAILS))
-    out = out.when(at.between(0, _LEADS * _VOWELS * _TAILS - 1) & (at % _TAILS == 0) & tail.between(1, _TAILS - 1), _char(F.ascii(first) + tail))
-    return F.nullif(out, first)
+    code = F.when(lead.between(0, _LEADS - 1) & (vowel < _VOWELS), _SYLLABLES + (lead * _VOWELS + vowel) * _TAILS)
+    code = code.when(at.between(0, _LEADS * _VOWELS * _TAILS - 1) & (at % _TAILS == 0) & (tail > 0), F.ascii(first) + tail)
+    return F.when(hangul, _char(code)).otherwise(F.try_element_at(F.str_to_map(F.lit(_pairs()), F.lit("\n"), F.lit("\t")), F.concat(first, second)))
 
 
 def _composed(chars: Column) -> Column:
@@ -174,13 +177,26 @@ def nfc(s: Column) -> Column:
     return F.when(s.rlike(quick) & s.rlike(both), changed).otherwise(s)
 
 
-def bare(s: Column) -> Column:
-    """The decomposed form without nonspacing marks (those of the tables, which may know more than the JVM)."""
+@lru_cache(maxsize=1)
+def _bare_tables() -> tuple[dict[str, str], dict[str, str], str]:
+    """What characters leave without nonspacing marks: one character, or more; and the marks."""
     spacing = lambda d: "".join(c for c in d if unicodedata.category(c) != "Mn")
     tables = {c: spacing(d) for c, d in _characters()[0].items()}
-    one, more = {c: d for c, d in tables.items() if len(d) == 1}, {c: d for c, d in tables.items() if len(d) > 1}
     marks = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Mn")
-    simple = F.translate(s, "".join(one) + marks, "".join(one.values()))
+    return {c: d for c, d in tables.items() if len(d) == 1}, {c: d for c, d in tables.items() if len(d) > 1}, marks
+
+
+def plain(s: Column) -> Column:
+    """Like `bare`, for looking for ASCII: characters that come apart to several spacing ones (Hangul, some Indic vowels)
+    stay as they are."""
+    one, _, marks = _bare_tables()
+    return F.translate(s, "".join(one) + marks, "".join(one.values()))
+
+
+def bare(s: Column) -> Column:
+    """The decomposed form without nonspacing marks (those of the tables, which may know more than the JVM)."""
+    _, more, _ = _bare_tables()
+    simple = plain(s)
     rare, quick = rf"{_ranges(more)}\x{{AC00}}-\x{{D7A3}}", rf"[\x{{{ord(min(more)):X}}}-\x{{10FFFF}}]"
     pieces = F.regexp_extract_all(simple, F.lit(rf"(?s)([{rare}]|[^{rare}]+)"), F.lit(1))
     apart = F.transform(pieces, lambda p: F.when(F.length(p) > 1, p).when(p >= chr(_SYLLABLES), _decomposed(p)).otherwise(_mapped(p, more)))

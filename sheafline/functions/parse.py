@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..model import CREDIT, DEBIT, FIXED_TERM, OPEN_ENDED, TRANSACTION
-from .text import clean_text, digits_only, let, normalize_name, strip_accents
+from .text import clean_text, collapsed, digits_only, for_ascii, let
 
 # Units of money, words for no end date, and marks of direction.
 UNITS = {"ty": 10**9, "trieu": 10**6, "nghin": 10**3, "ngan": 10**3, "k": 10**3}
@@ -52,7 +52,7 @@ def money(s: Column) -> Column:
         scaled = F.bround(F.replace(number, F.lit(","), F.lit(".")).try_cast("double") * factor).try_cast("bigint")
         return F.when(whole, exact).otherwise(scaled)
 
-    parts = let(F.lower(strip_accents(s)), lambda t: F.struct(F.regexp_extract(t, head, 1).alias("number"), F.regexp_extract(t, head, 2).alias("unit")))
+    parts = let(F.lower(for_ascii(s)), lambda t: F.struct(F.regexp_extract(t, head, 1).alias("number"), F.regexp_extract(t, head, 2).alias("unit")))
     return let(parts, value)
 
 
@@ -72,11 +72,11 @@ def day(s: Column) -> Column:
 
 
 def no_end_date(s: Column) -> Column:
-    return F.lower(F.trim(strip_accents(s))).isin(NO_END)
+    return F.lower(F.trim(for_ascii(s))).isin(NO_END)
 
 
 def contract_kind(s: Column) -> Column:
-    return let(F.lower(strip_accents(s)), lambda t: F.when(t.contains("khong xac dinh"), OPEN_ENDED).when(t.contains("xac dinh"), FIXED_TERM))
+    return let(F.lower(for_ascii(s)), lambda t: F.when(t.contains("khong xac dinh"), OPEN_ENDED).when(t.contains("xac dinh"), FIXED_TERM))
 
 
 def transactions(s: Column) -> Column:
@@ -99,7 +99,7 @@ def transactions(s: Column) -> Column:
     def signed(t: Column) -> Column:
         sign = F.substring(t["amount"], 1, 1)
         by_sign = sign.isin("+", "-")
-        return F.struct(t["ngay"].alias("ngay"), t["mo_ta"].alias("mo_ta"), F.when(by_sign, F.substring(t["amount"], 2, 1 << 20)).otherwise(t["amount"]).alias("amount"), F.when(by_sign, sign).otherwise(F.replace(F.lower(strip_accents(t["side"])), F.lit(" "), F.lit("_"))).alias("side"))
+        return F.struct(t["ngay"].alias("ngay"), t["mo_ta"].alias("mo_ta"), F.when(by_sign, F.substring(t["amount"], 2, 1 << 20)).otherwise(t["amount"]).alias("amount"), F.when(by_sign, sign).otherwise(F.replace(F.lower(for_ascii(t["side"])), F.lit(" "), F.lit("_"))).alias("side"))
 
     def typed(t: Column) -> Column:
         return F.struct(day(t["ngay"]).alias("ngay"), clean_text(t["mo_ta"]).alias("mo_ta"), money(t["amount"]).alias("so_tien"), F.when(t["side"].isin(CREDIT_MARKS), CREDIT).when(t["side"].isin(DEBIT_MARKS), DEBIT).alias("loai"))
@@ -112,10 +112,11 @@ def transactions(s: Column) -> Column:
     return F.get(F.filter(F.array(parsed), lambda r: r.isNotNull() & F.coalesce(sound(r), F.lit(False))), 0).cast(f"array<{TRANSACTION.simpleString()}>")
 
 
-#: By kind: the parser, the slot of the cell that its value takes, and what to call it.
+#: By kind: the parser, the slot of the cell that its value takes, and what to call it. Names and texts are parsed from
+#: composed text.
 PARSERS: dict[str, tuple[Callable[[Column], Column], str, str]] = {
-    "name": (normalize_name, "text", "name"),
-    "text": (clean_text, "text", "text"),
+    "name": (lambda s: F.upper(collapsed(s)), "text", "name"),
+    "text": (collapsed, "text", "text"),
     "cccd": (identity, "text", "identity number"),
     "account": (account, "text", "account number"),
     "digits": (phone, "text", "phone number"),

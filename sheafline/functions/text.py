@@ -53,13 +53,23 @@ def strip_accents(s: Column) -> Column:
     return compose.bare(F.translate(s, "đĐ", "dD"))
 
 
+def for_ascii(s: Column) -> Column:
+    """The same for comparison with ASCII text, by one translate."""
+    return compose.plain(F.translate(s, "đĐ", "dD"))
+
+
 def nfc(s: Column) -> Column:
     """The composed form, of any script."""
     return compose.nfc(s)
 
 
+def collapsed(s: Column) -> Column:
+    """Composed text with single spaces."""
+    return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
+
+
 def clean_text(s: Column) -> Column:
-    return F.trim(F.regexp_replace(nfc(s), r"(?U)\s+", " "))
+    return collapsed(nfc(s))
 
 
 def normalize_name(s: Column) -> Column:
@@ -96,6 +106,6 @@ def _foreign_class() -> str:
     return rf"[\x00-\x7F\p{{P}}\p{{Z}}\p{{S}}đĐ{own}]"
 
 
-def foreign_chars(s: Column) -> Column:
+def foreign_chars(s: Column, composed: bool = False) -> Column:
     """The characters that are neither ASCII, punctuation, space, symbol nor a Vietnamese letter."""
-    return F.regexp_replace(nfc(s), _foreign_class(), "")
+    return F.regexp_replace(s if composed else nfc(s), _foreign_class(), "")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import PARSERS, no_end_date
-from ..functions.text import built_once, foreign_chars
+from ..functions.text import built_once, foreign_chars, nfc
 from ..model import TRANSACTION, RulesConfig, Thresholds, field_rows
 from .salary import salary_by_month
 
@@ -37,12 +37,20 @@ def cell(kind: str, declared: Column, doc_type: Column, first: Column, second: C
         at = lambda m: F.try_element_at(m, d["field"])
         return F.struct(d.alias("d"), at(first)["raw"].alias("raw"), at(first)["page"].alias("page"), *([F.when(d["critical"], at(second)["raw"]).alias("second")] if twice else []))
 
-    def parse_all(g: Column) -> Column:
-        garbled = F.coalesce(foreign_chars(g["raw"]), F.lit("")) if kind in ("name", "text") else F.lit("")
+    words = kind in ("name", "text")
+
+    def composed(g: Column) -> Column:
+        """The readings in composed form, where words are compared; the expression is large and so occurs once."""
+        read = F.array(g["raw"], *([F.when(g["second"] != g["raw"], g["second"])] if twice else []))
+        return F.struct(g.alias("g"), F.transform(read, nfc).alias("read") if words else read.alias("read"))
+
+    def parse_all(c: Column) -> Column:
+        g, read = c["g"], c["read"]
+        garbled = F.coalesce(foreign_chars(read[0], composed=True), F.lit("")) if words else F.lit("")
         value = lambda raw: F.struct(*(c.alias(n) for c, n in zip(parsed(kind, raw), ("value", "ok"), strict=True)))
         # the second reading is mostly the first's own text, and then need not be parsed
-        more = [F.when(g["second"] != g["raw"], value(g["second"])).alias("other")] if twice else []
-        return F.struct(g.alias("g"), garbled.alias("garbled"), value(g["raw"]).alias("own"), *more)
+        more = [F.when(g["second"] != g["raw"], value(read[1])).alias("other")] if twice else []
+        return F.struct(g.alias("g"), garbled.alias("garbled"), value(read[0]).alias("own"), *more)
 
     def judge(p: Column) -> Column:
         raw, value = p["g"]["raw"], p["own"]["value"]
@@ -63,7 +71,7 @@ def cell(kind: str, declared: Column, doc_type: Column, first: Column, second: C
             *(v.alias(k) for k, v in slots.items()), F.coalesce(good & same, F.lit(False)).alias("high"), error.alias("error"),
         ).cast(CELL)
 
-    return F.transform(F.transform(F.transform(declared, given), parse_all), judge)
+    return F.transform(F.transform(F.transform(F.transform(declared, given), composed), parse_all), judge)
 
 
 def finalize(docs: DataFrame, rules: RulesConfig | None = None, limits: Thresholds | None = None, first: str = "raw0", second: str = "raw1") -> DataFrame:
