@@ -41,28 +41,29 @@ def _characters() -> tuple[dict[str, str], dict[str, int], dict[str, dict[str, s
     return whole, rank, dict(pairs)
 
 
-def _ranges(chars) -> str:
-    """A character class (without brackets) of many characters."""
+def _ranges(chars, gap: int = 1) -> str:
+    """A character class (without brackets) of many characters; ranges up to `gap` apart are one."""
     out, codes = [], sorted(map(ord, chars))
     start = before = None
     for code in [*codes, None]:
-        if before is not None and code != before + 1:
+        if before is not None and (code is None or code > before + gap):
             out.append(rf"\x{{{start:X}}}" if start == before else rf"\x{{{start:X}}}-\x{{{before:X}}}")
             start = None
         start, before = code if start is None else start, code
     return "".join(out)
 
 
-#: The characters below this one stay as they are and join nothing; classes test it first, their ranges being many.
-_FIRST = 0x300
+#: The characters below this one stay as they are and join nothing; classes test it first, their ranges being many. Where
+#: text is cut, some more characters may count as changing, which makes classes short: what is cut out is composed as well.
+_FIRST, _COARSE = 0x300, 12
 
 
-def _within(chars) -> str:
-    return rf"[\x{{{_FIRST:X}}}-\x{{10FFFF}}&&[{_ranges(chars)}]]"
+def _within(chars, gap: int = _COARSE) -> str:
+    return rf"[\x{{{_FIRST:X}}}-\x{{10FFFF}}&&[{_ranges(chars, gap)}]]"
 
 
-def _without(chars) -> str:
-    return rf"[\x00-\x{{{_FIRST - 1:X}}}[^{_ranges(chars)}]]"
+def _without(chars, gap: int = _COARSE) -> str:
+    return rf"[\x00-\x{{{_FIRST - 1:X}}}[^{_ranges(chars, gap)}]]"
 
 
 @lru_cache(maxsize=1)
@@ -117,8 +118,7 @@ def _rank(c: Column) -> Column:
 def _ordered(s: Column) -> Column:
     """Decomposed text as an array of (rank, character), marks sorted by class behind each starter, those of one class as
     they come."""
-    rank = _characters()[1]
-    groups = F.regexp_extract_all(s, F.lit(rf"({_without(rank)}{_within(rank)}*|{_within(rank)}+)"), F.lit(1))
+    groups = F.regexp_extract_all(s, F.lit(rf"(?s)(.{_within(_characters()[1], 1)}*)"), F.lit(1))
     marked = lambda g: F.array_sort(F.transform(_letters(g), lambda c, i: F.struct(_rank(c).alias("rank"), i.alias("i"), c.alias("c"))))
     return F.flatten(F.transform(groups, marked))
 

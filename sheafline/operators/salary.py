@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, strip_accents
+from ..functions.text import for_ascii, let
 from ..model import CREDIT, RulesConfig
 
 
 def is_salary(loai: Column, mo_ta: Column, rules: RulesConfig) -> Column:
     """A credit whose description, upper-cased and without accents, has one of the patterns."""
-    return (loai == CREDIT) & F.upper(strip_accents(mo_ta)).rlike("|".join(f"(?:{p})" for p in rules.salary_patterns))
+    return (loai == CREDIT) & F.upper(for_ascii(mo_ta)).rlike("|".join(f"(?:{p})" for p in rules.salary_patterns))
 
 
 def salary_by_month(rows: Column, rules: RulesConfig) -> Column:
