@@ -4,14 +4,17 @@ Each writes the whole of what its tables give to a folder in the shared one and
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
-from ..model import MANIFEST, RulesConfig, load_config
+from ..model import MANIFEST, load_config
 from ..operators import checks, fields, metrics, review, route
 from ..sources import manifest, sinks, traces
+from ..sources.extract import OracleExtractor
 from ..sources.stage import discard, intermediate, stored
 from .adapters import order_bundles, order_documents, routed, table
-from .catalog import _MONTHS, _ORDER, _ROUTED, _STATUS, query, sql_of
+from .catalog import _MONTHS, _ROUTED, _STATUS, query, sql_of
 
 
 def folder(spark, name: str) -> str:
@@ -122,3 +125,180 @@ def custom_rules(spark, sf_dir):
     later = lambda v: checks.date_order("R9", v("don_vay", "ngay_ky"), v("sao_ke", "ky_den"), "statement before signing")
     judged = route.route(checks.check(checks.bundles(fields.finalize(order_documents(spark, sf_dir), rules, limits)), rules, more=[later]), rules, limits)
     return judged.select("bundle_id", F.get("checks", F.lit(4))["status"].alias("income"), F.get("checks", F.lit(9))["status"].alias("own"), F.col("rules_version").alias("version"))
+
+
+# manifests, files and stores
+
+_PNG_START, _PNG_END = "89504E470D0A1A0A", "0000000049454E44AE426082"
+
+
+def _orders_manifest(spark, sf_dir):
+    """Orders as manifest rows: a card and a form, of which the first bundles have photographs and the rest scans."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    key = F.concat(F.lit("b"), F.lpad(k.cast("string"), 9, "0"))
+    pair = lambda raw: F.struct(raw.alias("raw"), F.lit(1).alias("page"))
+
+    def doc(doc_id, kind, given: dict, truth: dict, n: int):
+        files = F.array(*(F.concat(key, F.lit(f"/{doc_id}_{i}.png")) for i in range(n)))
+        as_map = lambda values, of: F.create_map(*(x for f, v in values.items() for x in (F.lit(f), of(v))))
+        return F.struct(F.lit(doc_id).alias("doc_id"), F.lit(kind).alias("type"), files.alias("files"), as_map(truth, lambda v: v).alias("fields_gt"), as_map(given, pair).alias("fields_raw"))
+
+    number = F.lpad(F.col("o_custkey").cast("string"), 12, "0")
+    read = F.when(k % 13 == 0, F.lpad((F.col("o_custkey") + 1).cast("string"), 12, "0")).when(k % 13 == 1, " ").when(k % 13 == 2, "12ab").otherwise(number)
+    card = doc("d1", "cccd", {"so_cccd": number}, {"so_cccd": number}, 1)
+    form = doc("d2", "don_vay", {"so_cccd": read}, {"so_cccd": number}, 2)
+    label = lambda code: F.struct(F.lit(code).alias("code"), F.lit("d2").alias("doc_id"), F.lit("so_cccd").alias("field"))
+    none = F.array().cast("array<struct<code:string,doc_id:string,field:string>>")
+    made = o.select(
+        key.alias("bundle_id"), F.lit("test").alias("split"), F.lit("7").alias("seed"), F.create_map(F.lit("cccd"), F.when(k % 2 == 0, "A").otherwise("B")).alias("layout_ids"),
+        F.when(F.col("o_orderstatus") == "F", "photo").otherwise("scan").alias("augment"), F.col("o_orderpriority").alias("bank"), F.when(k % 19 > 0, F.array(card, form)).otherwise(F.array(form)).alias("docs"),
+        F.when(k % 19 > 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("cccd"))).alias("missing_docs"), F.when(k % 13 == 0, F.array(label("E2"))).otherwise(none).alias("injected_errors"), F.when(k % 13 == 5, F.array(label("N1"))).otherwise(none).alias("near_miss"),
+        F.when(k % 13 == 0, "REVIEW").otherwise("AUTO_PASS").alias("expected_route"),
+    )
+    return made.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in MANIFEST))
+
+
+def _written_manifest(spark, sf_dir):
+    place = folder(spark, "manifest")
+    sinks.write_frozen(_orders_manifest(spark, sf_dir), place)
+    return manifest.read_manifest(spark, place)
+
+
+_BUNDLE = "'b' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0')"
+_READ = "CASE o_orderkey % 13 WHEN 0 THEN lpad(CAST(o_custkey + 1 AS VARCHAR), 12, '0') WHEN 1 THEN ' ' WHEN 2 THEN '12ab' ELSE lpad(CAST(o_custkey AS VARCHAR), 12, '0') END"
+
+
+@query(f"""SELECT {_BUNDLE} AS bundle_id, d.id AS doc_id, CAST(CASE WHEN o_orderkey % 19 > 0 THEN d.i ELSE 0 END AS INTEGER) AS doc_ord, d.kind AS doc_type, 'in/' || {_BUNDLE} || '/' || d.id || '_0.png' AS file, CAST(d.n AS INTEGER) AS n_files, true AS readable, CASE WHEN d.i = 0 THEN lpad(CAST(o_custkey AS VARCHAR), 12, '0') ELSE {_READ} END AS raw, CASE WHEN d.i = 0 AND o_orderkey % 2 = 0 THEN 'A' WHEN d.i = 0 THEN 'B' END AS layout
+FROM orders, (VALUES (0, 'd1', 'cccd', 1), (1, 'd2', 'don_vay', 2)) d(i, id, kind, n) WHERE (d.i = 1 OR o_orderkey % 19 > 0) AND o_orderstatus = 'F'""")
+def manifest_documents(spark, sf_dir):
+    """A manifest written as a split that cannot be overwritten, read again, and its photographed bundles' documents with
+    what the labels say they print."""
+    docs = manifest.with_readable(manifest.documents(manifest.subset(_written_manifest(spark, sf_dir), augment="photo"), "in"), None)
+    read = OracleExtractor().extract(docs)
+    return read.select("bundle_id", "doc_id", "doc_ord", "doc_type", F.get("files", 0).alias("file"), F.size("files").alias("n_files"), "readable", F.try_element_at("raw0", F.lit("so_cccd"))["raw"].alias("raw"), "layout")
+
+
+@query(f"SELECT {_BUNDLE} AS bundle_id, CASE o_orderstatus WHEN 'F' THEN 'photo' ELSE 'scan' END AS augment FROM orders WHERE o_orderstatus <> 'F' ORDER BY 1 LIMIT 150")
+def first_bundles(spark, sf_dir):
+    """A limit on an evaluation: its first bundles of one kind of image, in order."""
+    return manifest.subset(_written_manifest(spark, sf_dir), augment="scan", limit=150).select("bundle_id", "augment")
+
+
+@query(f"""WITH l AS (SELECT 'route' AS label, CASE WHEN o_orderkey % 13 = 0 THEN 'REVIEW' ELSE 'AUTO_PASS' END AS value FROM orders UNION ALL SELECT 'error', 'E2' FROM orders WHERE o_orderkey % 13 = 0 UNION ALL SELECT 'near_miss', 'N1' FROM orders WHERE o_orderkey % 13 = 5 UNION ALL SELECT 'layout', 'cccd/' || CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'B' END FROM orders) SELECT label, value, count(*) AS n FROM l GROUP BY ALL""")
+def manifest_labels(spark, sf_dir):
+    return metrics.label_histogram(_written_manifest(spark, sf_dir))
+
+
+def _png(text):
+    """A whole PNG file of one grey pixel with a text in it, as bytes."""
+    number = lambda n: F.unhex(F.lpad(F.hex(n), 8, "0"))
+    chunk = lambda kind, body: F.concat(number(F.length(body)), F.concat(F.lit(kind).cast("binary"), body), number(F.crc32(F.concat(F.lit(kind).cast("binary"), body))))
+    head, pixel = F.unhex(F.lit("00000001000000010800000000")), F.unhex(F.lit(zlib.compress(b"\0\x80").hex()))
+    return F.concat(F.unhex(F.lit(_PNG_START)), chunk("IHDR", head), chunk("tEXt", F.concat(F.lit("Comment\0").cast("binary"), F.encode(text, "utf-8"))), chunk("IDAT", pixel), F.unhex(F.lit(_PNG_END)))
+
+
+@query("SELECT doc_id AS bundle_id, CAST(0 AS INTEGER) AS doc_ord, CASE doc_id % 7 WHEN 0 THEN true WHEN 6 THEN true ELSE false END AS readable FROM documents")
+def readable_images(spark, sf_dir):
+    """Documents as images, some cut short, altered inside, missing, one of two missing, or none at all: which can be read."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 7
+    name = lambda i: F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(f"_{i}.png"))
+    whole = _png(F.coalesce("text", F.lit("")))
+    content = F.when(k == 1, F.expr("left(whole, length(whole) - 5)")).when(k == 2, F.overlay("whole", F.unhex(F.lit("FFFF")), F.lit(60))).otherwise(F.col("whole"))
+    files = d.filter(k != 3).withColumn("whole", whole).select(name(0).alias("path"), content.alias("content")).unionByName(d.filter(k == 6).select(name(1).alias("path"), whole.alias("content")))
+    wanted = F.when(k.isin(4, 6), F.array(name(0), name(1))).when(k == 5, F.array().cast("array<string>")).otherwise(F.array(name(0)))
+    docs = d.select(F.col("doc_id").alias("bundle_id"), F.lit(0).alias("doc_ord"), wanted.alias("files"))
+    return manifest.with_readable(docs, files).select("bundle_id", "doc_ord", "readable")
+
+
+@query("""SELECT 'now' AS place, run_id, model FROM (SELECT strftime(o_orderdate, '%Y-%m') AS run_id, o_orderpriority AS model FROM orders GROUP BY ALL) WHERE run_id >= '1995' UNION ALL
+SELECT 'legacy', run_id, NULL FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS run_id FROM orders) WHERE run_id < '1995'""")
+def runs_table(spark, sf_dir):
+    """Runs appended year by year to a table whose columns once changed: the old table is moved aside, both are read."""
+    o, place = table(spark, sf_dir, "orders").withColumn("run_id", F.date_format("o_orderdate", "yyyy-MM")), f"{folder(spark, 'runs')}/runs"
+    sinks.append_run(o.filter("run_id < '1993'").select("run_id").distinct(), place)
+    sinks.append_run(o.filter("run_id >= '1993' and run_id < '1995'").select("run_id").distinct(), place)
+    sinks.append_run(o.filter("run_id >= '1995'").select("run_id", F.col("o_orderpriority").alias("model")).distinct(), place)
+    now, old = (spark.read.parquet(p) for p in (place, f"{place}_legacy"))
+    return now.select(F.lit("now").alias("place"), "run_id", "model").unionByName(old.select(F.lit("legacy").alias("place"), "run_id", F.lit(None).cast("string").alias("model")))
+
+
+@query("""SELECT user_id AS key, CASE WHEN user_id % 3 < 2 THEN 'first' ELSE 'second' END AS value, CASE WHEN user_id % 4 > 0 THEN 'reply ' || user_id END AS reply FROM (SELECT DISTINCT user_id FROM events)""")
+def keyed_stores(spark, sf_dir):
+    """A table set up empty, to which two writers add rows of which some keys are there already; and kept replies, of which
+    failed ones are not kept."""
+    users, place = table(spark, sf_dir, "events").select("user_id").distinct(), folder(spark, "keyed")
+    keys, kept = f"{place}/keys", f"{place}/replies"
+    sinks.bootstrap(spark, keys, "key bigint, value string")
+    sinks.bootstrap(spark, keys, "key bigint, value string")
+    k = F.col("user_id")
+    sinks.append_new(users.filter(k % 3 < 2).select(k.alias("key"), F.lit("first").alias("value")), keys, "key")
+    sinks.append_new(users.filter(k % 3 > 0).select(k.alias("key"), F.lit("second").alias("value")), keys, "key")
+    for late in (True, False):
+        errors = F.when((k % 4 == 0) | F.lit(late), F.array(F.lit("late"))).otherwise(F.array().cast("array<string>"))
+        sinks.append_replies(users.select(k.cast("string").alias("key"), F.when(k % 2 == 0, F.concat(F.lit("reply "), k)).otherwise(F.concat(F.lit("reply "), k)).alias("reply"), errors.alias("errors")), kept)
+    replies = spark.read.parquet(kept).select(F.col("key").cast("bigint").alias("key"), "reply")
+    return spark.read.parquet(keys).join(replies, "key", "left").select("key", "value", "reply")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS bundle_id, 'field' AS kind, lang || ',' || source AS detail, left(text, 200) AS expected, CASE WHEN doc_id % 3 > 0 THEN left(upper(source), 200) END AS actual FROM documents")
+def errors_file(spark, sf_dir):
+    """Error rows with quotes, commas and line breaks, written as CSV and read again."""
+    d, place = table(spark, sf_dir, "documents"), folder(spark, "errors")
+    row = lambda rows: rows.select(F.col("doc_id").cast("string").alias("bundle_id"), F.lit("field").alias("kind"), F.concat_ws(",", "lang", "source").alias("detail"), F.col("text").alias("expected"), F.when(F.col("doc_id") % 3 > 0, F.upper("source")).alias("actual"))
+    none = row(d.limit(0))
+    sinks.write_errors(metrics.error_rows(row(d), none, none, none), place)
+    return spark.read.csv(place, header=True, multiLine=True, escape='"', schema="bundle_id string, kind string, detail string, expected string, actual string")
+
+
+@query(f"""WITH e AS (SELECT count(*) FILTER (actual = 'AUTO_PASS' AND expected <> 'AUTO_PASS') AS escaped, count(*) FILTER (expected <> 'AUTO_PASS') AS bad, count(*) FILTER (actual = 'AUTO_PASS') AS auto, count(*) AS n FROM ({_ROUTED}))
+SELECT 'escape rate' AS name, format('{{:.1f}}%', 100.0 * escaped / bad) AS value FROM e UNION ALL SELECT 'automation rate', format('{{:.1f}}%', 100.0 * auto / n) FROM e UNION ALL SELECT 'n_bundles', CAST(n AS VARCHAR) FROM e UNION ALL SELECT 'run', 'run 1' FROM e""")
+def run_report(spark, sf_dir):
+    """Metrics and report of a run, written as files and read again: figures of the one, lines of the other."""
+    place, pairs = folder(spark, "report"), routed(spark, sf_dir)
+    meta = {"run_id": "run 1", "split": "test"}
+    none = {"latency_p50_ms": None, "latency_p95_ms": None, "calls_per_bundle": None, "cost_per_bundle_usd": None, "docs_extract_failed": 0}
+    found = {"end_to_end": metrics.end_to_end(pairs).first().asDict(), "confusion": [r.asDict() for r in metrics.confusion(spark, pairs).collect()], "recall": [], "near": [], "accuracy": [], "operations": none}
+    sinks.write_text(spark, f"{place}/metrics.json", sinks.metrics_json(meta, found))
+    sinks.write_text(spark, f"{place}/report.md", sinks.report(meta, found))
+    lines = spark.read.text(f"{place}/report.md").select(F.regexp_extract("value", r"^- (escape rate|automation rate) ([0-9.]+%)", 1).alias("name"), F.regexp_extract("value", r"^- (escape rate|automation rate) ([0-9.]+%)", 2).alias("value")).filter("name <> ''")
+    figures = spark.read.json(f"{place}/metrics.json", multiLine=True, schema="meta struct<run_id:string>, end_to_end struct<n_bundles:bigint>")
+    return lines.unionByName(figures.select(F.lit("n_bundles").alias("name"), F.col("end_to_end.n_bundles").cast("string").alias("value"))).unionByName(figures.select(F.lit("run").alias("name"), F.col("meta.run_id").alias("value")))
+
+
+@query("""WITH s AS (SELECT user_id, min(epoch(ts)) FILTER (event_type = 'view') AS opened, max(epoch(ts)) FILTER (event_type = 'purchase') AS closed, arg_max(event_id, ts) FILTER (event_type = 'purchase') AS last FROM events GROUP BY 1)
+SELECT c_custkey AS bundle_id, CASE WHEN opened IS NULL THEN 'new' WHEN closed IS NULL THEN 'open' ELSE 'closed' END AS status, CASE WHEN opened IS NOT NULL AND closed IS NOT NULL THEN 'reviewer ' || last % 7 END AS reviewer FROM customer LEFT JOIN s ON user_id = c_custkey WHERE c_custkey % 4 = 1 AND c_mktsegment <> 'BUILDING'""")
+def queue_of_photographs(spark, sf_dir):
+    """The queue of bundles with one kind of image, with who closed each last."""
+    e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    opened = review.open_events(e.filter("event_type = 'view'").select(F.col("user_id").alias("bundle_id"), F.lit("REVIEW").alias("route"), F.array(F.lit("R1")).alias("reasons"), "at"), F.col("at"))
+    closed = review.close_events(e.filter("event_type = 'purchase'").select(F.col("user_id").alias("bundle_id"), F.concat(F.lit("reviewer "), F.col("event_id") % 7).alias("reviewer"), F.lit("valid").alias("conclusion"), F.lit("{}").alias("edits"), F.lit("").alias("note"), "at"), F.col("at"))
+    c = table(spark, sf_dir, "customer")
+    bundles = c.select(F.col("c_custkey").alias("bundle_id"), F.when(F.col("c_mktsegment") == "BUILDING", "AUTO_PASS").otherwise("REVIEW").alias("route"), F.when(F.col("c_custkey") % 4 == 1, "photo").otherwise("scan").alias("augment"))
+    return review.queue(bundles, review.state(opened.unionByName(closed)), augment="photo").select("bundle_id", "status", "reviewer")
+
+
+@query("SELECT 'manifest' AS part, c_custkey AS bundle_id FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'traces', c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
+def exported_samples(spark, sf_dir):
+    """Picked bundles' manifest rows and traces, exported and read again."""
+    c, place = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bundle_id"), "c_name", "c_mktsegment"), folder(spark, "samples")
+    sinks.export_samples(c, c.select("bundle_id", F.lit("REVIEW").alias("route")), c.filter("c_mktsegment = 'BUILDING'"), place)
+    part = lambda name: spark.read.json(f"{place}/{name}").select(F.lit(name).alias("part"), "bundle_id")
+    return part("manifest").unionByName(part("traces"))
+
+
+@query("""SELECT n_fields, round(1 - wrong::DOUBLE / n_fields, 9) AS accuracy, round(malformed::DOUBLE / n_fields, 9) AS schema_errors, e2_caught, e2, calls, CAST(0 AS BIGINT) AS docs_failed, CAST(0 AS DOUBLE) AS p95, CAST(0 AS BIGINT) AS auto_fields
+FROM (SELECT 8 * count(*) FILTER (o_orderkey % 19 > 0) + 12 * count(*) AS n_fields, count(*) FILTER (o_orderkey % 13 < 3) AS wrong, count(*) FILTER (o_orderkey % 13 = 2) AS malformed, count(*) FILTER (o_orderkey % 13 = 0 AND o_orderkey % 19 > 0) AS e2_caught, count(*) FILTER (o_orderkey % 13 = 0) AS e2, round(avg(2 * CASE WHEN o_orderkey % 19 > 0 THEN 2 ELSE 1 END), 9) AS calls FROM orders)""")
+def orders_evaluation(spark, sf_dir):
+    """The evaluation of orders as bundles of two documents against their labels: fields, formats, errors found, calls."""
+    from .bundles import evaluate, run
+
+    made = stored(_written_manifest(spark, sf_dir), "manifest")
+    found = evaluate(made, stored(run(made), "decided"))
+    every = found["accuracy"].filter("gid = 31").select(F.col("n").alias("n_fields"), F.round("acc", 9).alias("accuracy"))
+    e2 = found["recall"].filter("code = 'E2'").select(F.col("caught").alias("e2_caught"), F.col("n").alias("e2"))
+    spent = found["operations"].select(F.round("calls_per_bundle", 9).alias("calls"), F.col("docs_extract_failed").alias("docs_failed"), F.col("latency_p95_ms").cast("double").alias("p95"))
+    parts = [every, found["schema_errors"].select(F.round("rate", 9).alias("schema_errors")), e2, spent, found["auto_pass_data"].select(F.col("n").alias("auto_fields"))]
+    out = parts[0].withColumn("__one", F.lit(1))
+    for p in parts[1:]:  # one row each
+        out = out.join(p.withColumn("__one", F.lit(1)), "__one", "left")
+    return out.drop("__one")

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints and intermediate tables: that of spark.checkpoint.dir; where it is unset (as in tests) one
-    in the warehouse, which all executors share too."""
+    """The folder of checkpoints and intermediate tables: that of spark.checkpoint.dir. Where it is unset, a session on one
+    machine (as in tests) takes one in the warehouse; on a cluster, where that may be a disk of one machine, it is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return context._jsc.sc().getCheckpointDir().get()
 
 
