@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.stage import discard, intermediate, shared_folder, stored
 
-__all__ = ["as_bytes", "chunks", "crc32_sql", "discard", "fresh", "intermediate", "map_arrow", "numbered", "raw", "remainder", "shared_folder", "stored", "table", "unused"]
+__all__ = ["as_bytes", "chunks", "crc32_sql", "discard", "fresh", "intermediate", "map_arrow", "numbered", "raw", "remainder", "shared_folder", "stored", "table", "tidy", "unused"]
 
 #: Bytes of text that a Python worker holds in derived arrays at a time; a longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
@@ -34,6 +34,12 @@ def remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles that nothing refers to any more: its cleaner waits for the driver to collect
+    garbage, which many small jobs may not bring about for long."""
+    spark._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> DataFrame:
     """df with these text or number columns as new expressions: how they are partitioned is not known any more, so a join
     by them reads shuffled rows alone. Adaptive execution can split the partitions of hot keys only then."""

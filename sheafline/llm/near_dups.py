@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_bytes, chunks, map_arrow, shared_folder
+from .base import as_bytes, chunks, map_arrow, shared_folder, tidy
 
 SHINGLE = 3
 SEED = 42
@@ -327,6 +327,8 @@ def components(pairs: DataFrame) -> DataFrame:
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         joined = edges.join(low, "u")
         edges = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        del both, least, low, joined
+        tidy(edges.sparkSession)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

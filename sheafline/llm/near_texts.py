@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_dups
-from .base import as_bytes, chunks, fresh, map_arrow, shared_folder
+from .base import as_bytes, chunks, fresh, map_arrow, shared_folder, tidy
 
 WORDS = 5
 LEAST = 0.8
@@ -240,6 +240,7 @@ def rooted(docs: DataFrame, shingle: int = WORDS, cache: Callable[[DataFrame], D
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__least")), "left_semi")
     sets = prints(texts, shingle, sets=True).select("fp", "shingles").join(members.select("fp"), "fp", "left_semi")
     sets = sets.groupBy("fp").agg(F.min("shingles").alias("shingles")).checkpoint()
+    tidy(docs.sparkSession)
 
     leaders = members.groupBy("root").agg(F.array_distinct(F.array(*(F.min_by("fp", F.xxhash64("fp", F.lit(k))) for k in range(LEADERS)))).alias("leaders"))
     nearest = F.array_min(F.transform(F.filter("leaders", lambda x: x != F.col("fp")), lambda x: F.struct(F.bit_count(x.bitwiseXOR(F.col("fp"))).alias("bits"), x.alias("leader"))))["leader"]
@@ -248,6 +249,7 @@ def rooted(docs: DataFrame, shingle: int = WORDS, cache: Callable[[DataFrame], D
     own = near_dups.components(first)
     now = members.join(own, members["fp"] == own["node"], "left").select("fp", members["root"].alias("root"), F.coalesce(own["root"], "fp").alias("own")).checkpoint()
     second = apart(now, sets).checkpoint()
+    tidy(docs.sparkSession)
     return near_dups.named(rows.select("doc_id", "fp"), known.select("fp", "least"), near_dups.components(first.unionByName(second)))
 
 
