@@ -28,10 +28,9 @@ Null texts are empty: one end token. Rows of equal doc_id are scored apart. With
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
-from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -62,18 +61,26 @@ _CELLS = 1 << 14
 _HELD = 4_000_000
 _OPEN = 255  # class of a word that is to be joined
 _END = b" "  # no word has a space
-_DIGIT = re.compile(rb"[0-9]")
+#: Neighbouring types a worker holds before it counts them.
+_LINE = 2_000_000
 
 
 def tokens(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
-@lru_cache(maxsize=200_000)
+#: What a form's key has for a word of letters, and for others by whether they are ASCII and have a digit among the first four.
+_LETTERS = bytes((True, True, False))
+_KINDS = {(a, d): bytes((False, a, d)) for a in (False, True) for d in (False, True)}
+_DIGITS = b"0123456789"
+
+
 def form(word: bytes) -> int:
     """The form type of a word, from 0 to FORMS - 1."""
-    kinds = (word.isalpha(), word.isascii(), _DIGIT.search(word, 0, 4) is not None)
-    return zlib.crc32(word[-2:] + bytes(kinds) + (word[-3:-2] if kinds[0] else b"")) % FORMS
+    if word.isalpha():
+        return zlib.crc32(word[-2:] + _LETTERS + word[-3:-2]) % FORMS
+    first = word[:4]
+    return zlib.crc32(word[-2:] + _KINDS[word.isascii(), first.translate(None, _DIGITS) != first]) % FORMS
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -117,22 +124,28 @@ class Types:
 
 def pair_counts(texts: DataFrame, head: dict[bytes, int], types: Types) -> np.ndarray:
     """Counts of neighbouring types over the texts, shape (types, types); each text starts after an end."""
-    shared = texts.sparkSession.sparkContext.broadcast((head, types))
+    shared = texts.sparkSession.sparkContext.broadcast(({**head, _END: 0}, types.forms_at))
     size = types.size
 
     def run(batches):
-        head, types = shared.value
-        number = head.get
-        total = np.zeros(size * size, "i8")
+        number, forms_at = shared.value
+        at, total, held, n_held = number.get, np.zeros(size * size, "i8"), [], 0
         for batch in batches:
             for part in chunks(batch):
-                seq = [0]
+                words = [_END]
                 for data in as_bytes(part.column("text")):
-                    words = tokens(data)
-                    seq += [types.forms_at + form(w) if (t := number(w)) is None else t for w in words]
-                    seq.append(0)
-                at = np.array(seq, "i8")
-                total += np.bincount(at[:-1] * size + at[1:], minlength=size * size)
+                    words += tokens(data)
+                    words.append(_END)
+                seq = np.fromiter(map(at, words, repeat(-1)), "i8", len(words))
+                rest = np.nonzero(seq < 0)[0]
+                seq[rest] = forms_at + np.fromiter(map(form, [words[i] for i in rest.tolist()]), "i8", len(rest))
+                held.append(seq[:-1] * size + seq[1:])
+                n_held += len(words)
+                if n_held > _LINE:
+                    total += np.bincount(np.concatenate(held), minlength=size * size)
+                    held, n_held = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=size * size)
         for lo in range(0, size * size, _CELLS):
             cells = total[lo : lo + _CELLS]
             if cells.any():
@@ -291,7 +304,7 @@ def neighbours(texts: DataFrame, place: dict[bytes, int], kind: np.ndarray, own:
                 for data in as_bytes(part.column("text")):
                     words += tokens(data)
                     words.append(_END)
-                index = np.fromiter((at(w, -1) for w in words), "i8", len(words))
+                index = np.fromiter(map(at, words, repeat(-1)), "i8", len(words))
                 index[:1] = end  # an end before the first
                 rest = np.nonzero(index < 0)[0]
                 strange = [words[i] for i in rest.tolist()]
@@ -508,7 +521,7 @@ def score(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ()) -> Data
                 rows, local, tail = part.column("__row").to_pylist(), [], [[], [], []]
                 for row, data in zip(rows, as_bytes(part.column("text")), strict=True):
                     words = tokens(data)
-                    index = np.fromiter((at(w, -1) for w in words), "i8", len(words))
+                    index = np.fromiter(map(at, words, repeat(-1)), "i8", len(words))
                     places: dict[bytes, bytes] = {}
                     absent = np.nonzero(index < 0)[0]
                     packed, at_word = absent.astype("<i4").tobytes(), places.get
