@@ -13,8 +13,9 @@ from ..operators import checks, fields, metrics, review, route
 from ..sources import manifest, sinks, traces
 from ..sources.extract import OracleExtractor
 from ..sources.stage import discard, intermediate, stored
+from ..streaming import review_log
 from .adapters import order_bundles, order_documents, routed, table
-from .catalog import _MONTHS, _ROUTED, _STATUS, query, sql_of
+from .catalog import _MONTHS, _ROUTED, _STATUS, _events, query, sql_of
 
 
 def folder(spark, name: str) -> str:
@@ -302,3 +303,14 @@ def orders_evaluation(spark, sf_dir):
     for p in parts[1:]:  # one row each
         out = out.join(p.withColumn("__one", F.lit(1)), "__one", "left")
     return out.drop("__one")
+
+
+@query(sql_of("review_state"))
+def review_stream(spark, sf_dir):
+    """The review log read as a stream: half of its events, and then, from the stream's checkpoint, all of them again."""
+    log, items, progress = (folder(spark, name) for name in ("review_log", "review_items", "review_progress"))
+    events = _events(spark, sf_dir)
+    for part in (events.filter(F.hash("bundle_id", "kind", "at") % 2 == 0), events):
+        part.write.mode("append").parquet(log)
+        review_log.keep(spark.readStream.schema(events.schema).parquet(log), items, progress, availableNow=True).awaitTermination()
+    return review_log.current(spark, items).select("bundle_id", "opened_at", "closed_at", "status")
