@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import let, names_match, normalize_name, same_names, strip_accents
+from ..functions.text import each_of, let, names_match, normalize_name, same_names, strip_accents
 from ..model import SCHEMA
 from . import ranks
 
@@ -163,7 +163,7 @@ def flagged_fields(checked: DataFrame, key: str = "bundle_id", grouped: bool = F
     document's value if there are two, or the majority's if more agree. Values agree if they are equal; with `grouped`
     names agree as R1 compares them, and the value of their largest group is suggested to those that do not match it.
     """
-    each = checked.select(key, F.explode("checks").alias("c")).filter("c.status <> 'pass'").select(key, "c.rule_id", "c.status", F.filter("c.evidence", lambda e: e["field"].isNotNull()).alias("refs"))
+    each = checked.select(key, each_of("checks").alias("c")).filter("c.status <> 'pass'").select(key, "c.rule_id", "c.status", F.filter("c.evidence", lambda e: e["field"].isNotNull()).alias("refs"))
     values = F.filter(F.transform("refs", lambda e: e["value"]), lambda v: v.isNotNull())
     counts = F.transform(F.array_distinct(values), lambda v: F.struct(v.alias("v"), F.size(F.filter(values, lambda x: x == v)).alias("n")))
     top = F.aggregate(counts, F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("n")), lambda best, c: F.when(c["n"] > best["n"], c).otherwise(best))
