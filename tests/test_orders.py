@@ -37,3 +37,14 @@ def test_cells_and_checks_are_made_once_and_not_grouped_again(spark, sparse):
     cells = plan(fields.long_fields(fields.finalize(adapters.order_documents(spark, sparse))))
     assert not [x for x in cells.split("\n") if x.lstrip(" :+-").startswith("Filter") and "size(" in x]
     assert plan(adapters.order_view(spark, sparse)).count("Aggregate") == 1  # that of the lines
+
+
+def test_an_evaluation_broadcasts_no_table_of_bundles(spark):
+    from sheafline.plans import bundles
+    from sheafline.sources.generator import generate
+    from sheafline.sources.stage import stored
+
+    made = stored(generate(spark, 4, "test"), "manifest")
+    found = bundles.evaluate(made, stored(bundles.run(made), "decided"))
+    for name in ("accuracy", "pairs", "statements", "schema_errors", "auto_pass_data"):
+        assert "BroadcastHashJoin" not in found[name]._jdf.queryExecution().executedPlan().toString(), name
