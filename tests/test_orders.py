@@ -48,3 +48,20 @@ def test_an_evaluation_broadcasts_no_table_of_bundles(spark):
     found = bundles.evaluate(made, stored(bundles.run(made), "decided"))
     for name in ("accuracy", "pairs", "statements", "schema_errors", "auto_pass_data"):
         assert "BroadcastHashJoin" not in found[name]._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_a_worker_holds_few_generated_bundles_at_once():
+    import pandas as pd
+
+    from sheafline.sources import generator
+
+    sizes = [len(x) for x in generator.lines(iter([pd.DataFrame({"id": range(600)})]), "test", 42)]
+    assert sum(sizes) == 600 and max(sizes) <= 256
+
+
+def test_generated_bundles_are_parsed_once(spark):
+    from sheafline.sources.generator import generate
+    from sheafline.sources.manifest import documents
+
+    plan = documents(generate(spark, 3))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if x.lstrip(" :+-").startswith("Filter") and "size(" in x]
