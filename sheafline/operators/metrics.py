@@ -136,8 +136,17 @@ def error_rows(fields: DataFrame, missed: DataFrame, flags: DataFrame, routes: D
 
 def statement_rows(fields: DataFrame) -> DataFrame:
     """Statements scored by row: fields has bundle_id, truth and pred (arrays of transactions; null: not parsed)."""
-    keys = ["ngay", "mo_ta", "so_tien", "loai"]
     rows = lambda c: fields.select("bundle_id", F.explode(c).alias("t")).select("bundle_id", "t.*")
-    by_side = bag_overlap(rows("truth"), rows("pred"), keys[:3], ["bundle_id", "loai"])
+    return row_scores(rows("truth"), rows("pred"))
+
+
+def row_scores(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """The same of rows of transactions (bundle_id, ngay, mo_ta, so_tien, loai). Both bags are counted by one grouping; rows
+    with a null are counted but equal to none."""
+    keys = ["bundle_id", "loai", "ngay", "mo_ta", "so_tien"]
+    part = lambda df, t: df.select(*keys, F.lit(t).alias("t"))
+    counts = part(truth, True).unionByName(part(predicted, False)).groupBy(*keys).agg(F.count_if("t").alias("n_truth"), F.count_if(~F.col("t")).alias("n_pred"))
+    whole = F.concat(*(F.col(k).cast("string") for k in keys)).isNotNull()
+    by_side = counts.withColumn("hit", F.when(whole, F.least("n_truth", "n_pred")).otherwise(0))
     summed = by_side.agg(F.sum("n_truth").alias("n_rows"), F.sum("n_pred").alias("n_pred"), F.sum("hit").alias("hit"), F.sum(F.when(F.col("loai") == CREDIT, F.col("n_truth"))).alias("n_credit_rows"), F.sum(F.when(F.col("loai") == CREDIT, F.col("hit"))).alias("credit_hit"))
     return summed.select("n_rows", rate(F.col("hit"), F.col("n_rows")).alias("row_recall"), rate(F.col("hit"), F.col("n_pred")).alias("row_precision"), "n_credit_rows", rate(F.col("credit_hit"), F.col("n_credit_rows")).alias("credit_row_recall"))

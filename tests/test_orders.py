@@ -65,3 +65,13 @@ def test_generated_bundles_are_parsed_once(spark):
 
     plan = documents(generate(spark, 3))._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.split("\n") if x.lstrip(" :+-").startswith("Filter") and "size(" in x]
+
+
+def test_statements_are_scored_by_one_grouping_of_rows(spark):
+    from sheafline.operators import metrics
+
+    made = lambda rows: spark.createDataFrame(rows, "bundle_id bigint, ngay date, mo_ta string, so_tien bigint, loai string").withColumn("ngay", F.lit("2024-01-01").cast("date"))
+    truth, read = made([(1, None, "x", 5, "ghi_co")] * 2 + [(1, None, "x", None, "ghi_no")]), made([(1, None, "x", 5, "ghi_co"), (1, None, "x", None, "ghi_no")])
+    found = metrics.row_scores(truth, read)
+    assert tuple(found.first()) == (3, 1 / 3, 0.5, 2, 0.5)  # a row with a null amount equals none
+    assert "Join" not in catalog.statement_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
