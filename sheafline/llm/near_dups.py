@@ -46,6 +46,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GROUP_ROWS = 4096
 #: Groups of more fingerprints are linked by walks, not by a table of their differences.
 WALK_ROWS = 64
+#: Fingerprints of 128 bits.
+WIDE = np.dtype([("fp", "<u8"), ("rest", "<u8")])
 _GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, of the [23,12,7] Golay code
 
 
@@ -158,11 +160,32 @@ def _expand(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner.view("i8"))], ["key", "fp"])
 
 
+def _prints(fp: np.ndarray, rest: np.ndarray | None = None) -> np.ndarray:
+    """Fingerprints of 64 bits, or of 128 with the bits in `rest`; the first 64 name the fingerprint."""
+    if rest is None:
+        return fp
+    out = np.empty(len(fp), WIDE)
+    out["fp"], out["rest"] = fp, rest
+    return out
+
+
+def _named(prints: np.ndarray) -> np.ndarray:
+    return prints["fp"] if prints.dtype == WIDE else prints
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits fingerprints differ."""
+    if x.dtype != WIDE:
+        return np.bitwise_count(x ^ y)
+    return np.bitwise_count(x["fp"] ^ y["fp"]) + np.bitwise_count(x["rest"] ^ y["rest"])
+
+
 def forest(left: np.ndarray, right: np.ndarray | None = None, most_bits: int = MOST_BITS, block: int = 512) -> list[tuple[int, int]]:
     """A spanning forest of the links within `left`, or of those between left and right."""
     if len(left) > WALK_ROWS:
         return walks(left, right, most_bits)
     every = left if right is None else np.concatenate([left, right])
+    name = _named(every)
     root = np.arange(len(every))
 
     def top(i: int) -> int:
@@ -175,12 +198,12 @@ def forest(left: np.ndarray, right: np.ndarray | None = None, most_bits: int = M
     cols = every if right is None else right
     shift = 0 if right is None else len(left)
     for lo in range(0, len(left), block):
-        a, b = np.nonzero(np.bitwise_count(left[lo : lo + block, None] ^ cols[None, lo if right is None else 0 :]) <= most_bits)
+        a, b = np.nonzero(_differ(left[lo : lo + block, None], cols[None, lo if right is None else 0 :]) <= most_bits)
         a, b = a + lo, b + (lo if right is None else shift)
         for i, j in zip(a.tolist(), b.tolist(), strict=True):
             if i < j and (x := top(i)) != (y := top(j)):
                 root[y] = x
-                out.append((int(every[i]), int(every[j])))
+                out.append((int(name[i]), int(name[j])))
     return out
 
 
@@ -194,19 +217,19 @@ def walks(left: np.ndarray, right: np.ndarray | None, most_bits: int) -> list[tu
         while queue:
             side, x = queue.pop()
             other = len(rest) - 1 - side
-            hit = np.bitwise_count(rest[other] ^ x) <= most_bits
+            hit = _differ(rest[other], x) <= most_bits
             if hit.any():
                 new, rest[other] = rest[other][hit], rest[other][~hit]
-                out += [(int(x), y) for y in new.tolist()]
+                out += [(int(_named(x)), y) for y in _named(new).tolist()]
                 queue += [(other, y) for y in new]
     return out
 
 
 def _links(batches, most_bits: int = MOST_BITS):
     """Of rows sorted by key and fp: links found, as (a, b, null, null), and blocks of groups too large for one task,
-    as (null, fp, key, block)."""
+    as (null, fp, key, block); with the column `rest` also its bits of a block's fingerprints."""
     rest_key, rest = None, np.zeros(0, "u8")
-    block = 0
+    block, wide = 0, False
 
     def group(key, prints, last):
         nonlocal block
@@ -228,13 +251,17 @@ def _links(batches, most_bits: int = MOST_BITS):
             return
         links = np.array(made, "u8").reshape(-1, 2).view("i8")
         parts = [np.concatenate([np.full(len(p), v, "i8") for *v_, p in blocks for v in [v_[i]]]) if blocks else np.zeros(0, "i8") for i in (0, 1)]
-        more = np.concatenate([p for *_, p in blocks]).view("i8") if blocks else np.zeros(0, "i8")
+        prints = np.concatenate([p for *_, p in blocks]) if blocks else np.zeros(0, WIDE if wide else "u8")
+        more = _named(prints).view("i8")
         none = np.arange(n) >= len(links)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([links[:, 0], more]), mask=none), pa.array(np.concatenate([links[:, 1], more])), pa.array(np.concatenate([links[:, 0], parts[0]]), mask=~none), pa.array(np.concatenate([links[:, 0], parts[1]]), mask=~none)], ["a", "b", "key", "block"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([links[:, 0], more]), mask=none), pa.array(np.concatenate([links[:, 1], more])), pa.array(np.concatenate([links[:, 0], parts[0]]), mask=~none), pa.array(np.concatenate([links[:, 0], parts[1]]), mask=~none), *([pa.array(np.concatenate([links[:, 0], prints["rest"].view("i8")]), mask=~none)] if wide else [])], ["a", "b", "key", "block", *(["rest"] if wide else [])])
 
     for batch in batches:
         key = batch.column("key").to_numpy(zero_copy_only=False)
         fp = batch.column("fp").to_numpy(zero_copy_only=False).view("u8")
+        wide = "rest" in batch.schema.names
+        if wide:
+            fp = _prints(fp, batch.column("rest").to_numpy(zero_copy_only=False).view("u8"))
         if not len(key):
             continue
         bounds = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
@@ -249,8 +276,8 @@ def _links(batches, most_bits: int = MOST_BITS):
         if first_goes_on:
             inner[0] = False
         two = bounds[:-1][inner & (size == 2)]
-        near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= most_bits]
-        made += list(zip(fp[near].tolist(), fp[near + 1].tolist(), strict=True))
+        near = two[_differ(fp[two], fp[two + 1]) <= most_bits]
+        made += list(zip(_named(fp[near]).tolist(), _named(fp[near + 1]).tolist(), strict=True))
         for g in np.nonzero(inner & (size > 2))[0]:
             m, b, _ = group(int(key[bounds[g]]), fp[bounds[g] : bounds[g + 1]], True)
             made += m
@@ -272,19 +299,20 @@ def _links(batches, most_bits: int = MOST_BITS):
 
 def _block_links(batches, most_bits: int = MOST_BITS):
     """Links of pairs of blocks. Rows come sorted by pair and side; one pair, of two blocks at most, is held at a time."""
-    held: list[np.ndarray] = []  # rows of the pair in hand: key, i, j, side, fp
+    held: list[np.ndarray] = []  # rows of the pair in hand: key, i, j, side, fp, and rest if there is one
 
     def done():
         rows = np.concatenate(held)
         held.clear()
-        left, right = (rows[rows[:, 3] == s, 4].view("u8") for s in (0, 1))
+        prints = _prints(*(rows[:, c].view("u8") for c in range(4, rows.shape[1])))
+        left, right = (prints[rows[:, 3] == s] for s in (0, 1))
         made = np.array(forest(left, right if rows[0, 1] != rows[0, 2] else None, most_bits), "u8").reshape(-1, 2).view("i8")
         return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype("i8") for c in ("key", "i", "j", "side", "b")], axis=1)
+        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype("i8") for c in ("key", "i", "j", "side", "b", "rest") if c in batch.schema.names], axis=1)
         for part in np.split(rows, np.nonzero((rows[1:, :3] != rows[:-1, :3]).any(1))[0] + 1):
             if held and (held[0][0, :3] != part[0, :3]).any():
                 yield done()
@@ -295,19 +323,21 @@ def _block_links(batches, most_bits: int = MOST_BITS):
 
 def links(prints: DataFrame, expand: Callable = _expand, most_bits: int = MOST_BITS) -> DataFrame:
     """(a, b): links between different fingerprints of the column fp, enough for their components. `expand` gives the keys
-    under which they meet."""
-    keyed = map_arrow(prints, expand, "key long, fp long")
+    under which they meet. With a column `rest` the fingerprints have 128 bits, of which fp is the first half."""
+    rest = ["rest"] if "rest" in prints.columns else []
+    more = "".join(f", {c} long" for c in rest)
+    keyed = map_arrow(prints, expand, f"key long, fp long{more}")
     within, between = (_links, _block_links) if most_bits == MOST_BITS else (partial(_links, most_bits=most_bits), partial(_block_links, most_bits=most_bits))
-    found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(within, "a long, b long, key long, block long").checkpoint()
+    found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(within, f"a long, b long, key long, block long{more}").checkpoint()
     direct = found.filter(F.col("key").isNull()).select("a", "b")
     large = found.filter(F.col("key").isNotNull())
     if large.isEmpty():
         return direct
     sizes = large.groupBy("key").agg(F.max("block").alias("last"))
-    dealt = large.join(sizes, "key").select("key", "block", "b", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).alias("other"))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "b")
-    more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(between, "a long, b long")
-    return direct.unionByName(more)
+    dealt = large.join(sizes, "key").select("key", "block", "b", *rest, F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).alias("other"))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "b", *rest)
+    between_blocks = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(between, "a long, b long")
+    return direct.unionByName(between_blocks)
 
 
 def components(pairs: DataFrame) -> DataFrame:

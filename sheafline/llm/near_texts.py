@@ -7,7 +7,9 @@ NEAREST = 3 codewords of the extended [24,12,8] code with the highest correlatio
 codeword of a segment with a chance of 0.75 (measured), so by the pigeonhole at least two of four segments agree with a
 chance of 0.947, at 0.85 of 0.983, at 0.9 of 0.997. A key is a pair of segments with a codeword of each: 54 keys a text.
 
-What meets under a key and differs in MOST_BITS = 18 bits or fewer of its first 64 (at 0.8: all but 0.003) is a candidate.
+What meets under a key and differs in MOST_BITS = 34 bits or fewer of all 128 (at 0.8: all but 0.0003) is a candidate. All
+128 are needed: a key of two segments speaks for 48 of them, so of unrelated texts that meet by chance a large part would
+pass a limit on 64 bits, and links by chance, which grow with the square of the texts, would unite most texts to one cluster.
 Nothing is linked without comparison of the sets themselves:
 
 1. Candidates are united to clusters by the forests and star steps of `near_dups`.
@@ -41,7 +43,7 @@ WORDS = 5
 LEAST = 0.8
 SEGMENTS = 4
 NEAREST = 3
-MOST_BITS = 18
+MOST_BITS = 34
 LEADERS = 8
 BLOCK_ROWS = 1024
 BLOCK_BYTES = 8 << 20
@@ -95,7 +97,7 @@ def decode(sums: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, shingle: int = WORDS, keep: tuple[str, ...] = (), sets: bool = False) -> DataFrame:
-    """doc_id, the columns of `keep`, fp (the first 64 bits as a long) and near (codewords of the segments); with `sets` the
+    """doc_id, the columns of `keep`, fp and rest (the first and the last 64 bits as longs) and near (codewords of the segments); with `sets` the
     hashes of the shingles too. One row for each row of docs."""
     names = [*dict.fromkeys(["doc_id", *keep])]
 
@@ -107,25 +109,25 @@ def prints(docs: DataFrame, shingle: int = WORDS, keep: tuple[str, ...] = (), se
                 for lo in range(0, len(hashed), 256):
                     some = hashed[lo : lo + 256]
                     total = np.stack([sums(h) for h in some])
-                    fp = np.packbits(total[:, :64] > 0, axis=1, bitorder="little").view("<u8").reshape(-1)
+                    fp, rest = np.packbits(total > 0, axis=1, bitorder="little").view("<u8").T.copy()
                     fp[[not len(h) for h in some]] = 0
-                    cols = [*(part.column(c).slice(lo, len(some)) for c in names), pa.array(fp.view("i8")), pa.array([x.tobytes() for x in decode(total, code)], pa.binary())]
+                    cols = [*(part.column(c).slice(lo, len(some)) for c in names), pa.array(fp.view("i8")), pa.array(rest.view("i8")), pa.array([x.tobytes() for x in decode(total, code)], pa.binary())]
                     more = [pa.array([h.tobytes() for h in some], pa.binary())] if sets else []
-                    yield pa.RecordBatch.from_arrays([*cols, *more], [*names, "fp", "near", *["shingles"][: len(more)]])
+                    yield pa.RecordBatch.from_arrays([*cols, *more], [*names, "fp", "rest", "near", *["shingles"][: len(more)]])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return map_arrow(docs.select(*dict.fromkeys([*names, "text"])), run, f"{schema}, fp long, near binary" + (", shingles binary" if sets else ""))
+    return map_arrow(docs.select(*dict.fromkeys([*names, "text"])), run, f"{schema}, fp long, rest long, near binary" + (", shingles binary" if sets else ""))
 
 
 def expand(batches):
-    """The keys of fingerprints: pairs of segments with a codeword of each. A column `own` goes along."""
+    """The keys of fingerprints: pairs of segments with a codeword of each. The column `rest` goes along."""
     for batch in batches:
         if not batch.num_rows:
             continue
         near = np.frombuffer(b"".join(batch.column("near").to_pylist()), "<u2").reshape(-1, SEGMENTS, NEAREST).astype("i8")
         pairs = [(p, q) for p in range(SEGMENTS) for q in range(p + 1, SEGMENTS)]
         keys = np.concatenate([(case << 24 | near[:, p, :, None] << 12 | near[:, q, None, :]).reshape(len(near), -1) for case, (p, q) in enumerate(pairs)], axis=1)
-        others = [c for c in ("fp", "own") if c in batch.schema.names]
+        others = [c for c in ("fp", "rest") if c in batch.schema.names]
         rows = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), keys.shape[1]) for c in others]
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *map(pa.array, rows)], ["key", *others])
 
@@ -231,10 +233,10 @@ def rooted(docs: DataFrame, shingle: int = WORDS, cache: Callable[[DataFrame], D
     """doc_id, fp, component_id (the smallest doc_id reachable) and root, one row for each row of docs."""
     shared_folder(docs.sparkSession)
     rows = cache(prints(docs, shingle))
-    known = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("near").alias("near"))
-    clusters = near_dups.components(near_dups.links(known.select("fp", "near"), expand, MOST_BITS))
+    known = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("near", "rest")).alias("print")).select("fp", "least", "print.*")
+    clusters = near_dups.components(near_dups.links(known.select("fp", "rest", "near"), expand, MOST_BITS))
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
-    members = known.join(clusters, known["fp"] == clusters["node"]).select("fp", "least", "near", "root").checkpoint()
+    members = known.join(clusters, known["fp"] == clusters["node"]).select("fp", "least", "root").checkpoint()
 
     wanted = members.select(F.col("least").alias("__least")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__least")), "left_semi")

@@ -482,6 +482,34 @@ def test_texts_still_apart_are_compared(spark, monkeypatch, rows_a_block):
     assert len(set(label.values())) == 2 * 3
 
 
+def test_unrelated_texts_do_not_meet(spark):
+    """Texts that share a key by chance are no candidates; those at a similarity of 0.85 or so are."""
+    dice = np.random.default_rng(8)
+    sums = dice.normal(size=(4000, 128)) * 30
+    sums[2000:2200] = sums[:200] * 0.92 + dice.normal(size=(200, 128)) * 30 * 0.39
+    fp, rest = np.packbits(sums > 0, axis=1, bitorder="little").view("<i8").T
+    near = near_texts.decode(sums, near_texts.codewords())
+    d = spark.createDataFrame([(int(a), int(b), n.tobytes()) for a, b, n in zip(fp, rest, near, strict=True)], "fp long, rest long, near binary").repartition(3)
+    found = {frozenset((r["a"], r["b"])) for r in near_dups.links(d, near_texts.expand, near_texts.MOST_BITS).collect()}
+    planted = {frozenset((int(fp[i]), int(fp[2000 + i]))) for i in range(200)}
+    assert found <= planted and len(found) >= 190
+
+
+def test_wide_prints_in_blocks(monkeypatch):
+    """Fingerprints of 128 bits of a large group keep both halves, in blocks and between them."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dups, "GROUP_ROWS", 3)
+    fp, rest = np.arange(8), np.where(np.arange(8) % 2, 0, -1)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(8, 5)), pa.array(fp), pa.array(rest)], ["key", "fp", "rest"])
+    out = pa.Table.from_batches([*near_dups._links(iter([batch.slice(0, 4), batch.slice(4)]), 34)]).to_pylist()
+    assert sorted((r["b"], r["rest"]) for r in out if r["key"] is not None) == list(zip(fp.tolist(), rest.tolist(), strict=True))
+    rows = [(5, 0, 1, int(r["block"] > 0), r["b"], r["rest"]) for r in sorted(out, key=lambda r: r["block"]) if r["block"] < 2]
+    pairs = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["key", "i", "j", "side", "b", "rest"])
+    made = [(r["a"], r["b"]) for b in near_dups._block_links(iter([pairs.slice(0, 2), pairs.slice(2)]), 34) for r in b.to_pylist()]
+    assert made and all((a - b) % 2 == 0 for a, b in made) and {x for e in made for x in e} == {0, 1, 2, 3, 4, 5}
+
+
 def test_common_shingles_are_counted():
     dice = random.Random(5)
     sets = [np.unique(np.array([dice.randrange(60) for _ in range(dice.randrange(40))], "u8")) for _ in range(30)]
