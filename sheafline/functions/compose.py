@@ -68,13 +68,14 @@ def _without(chars, gap: int = _COARSE) -> str:
 
 @lru_cache(maxsize=1)
 def _classes() -> tuple[set[str], set[str], str]:
-    """What may join the character before it, what changes by itself, and a quick superset of both as a character class."""
+    """What may join the character before it, what changes by itself, and what texts look like that have neither for certain."""
     whole, rank, pairs = _characters()
     jamo = [*map(chr, range(_VOWEL, _VOWEL + _VOWELS)), *map(chr, range(_TAIL + 1, _TAIL + _TAILS))]
     joins = {*rank, *pairs, *jamo, *(c for c, d in whole.items() if unicodedata.combining(d[0]))}
     alone = {c for c in whole if unicodedata.normalize("NFC", c) != c} - joins
-    # Latin, punctuation, unified ideographs and Hangul syllables have neither, so texts of them pass by the quick class
-    return joins, alone, r"[^\x00-\x{2FF}\x{1E00}-\x{1EFF}\x{2002}-\x{206F}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]"
+    # Latin, punctuation, unified ideographs and Hangul syllables have neither. One run over the text is told some ten times
+    # faster than whether a character outside the class is found, and the first range takes few tests, the others being a class
+    return joins, alone, r"\A[\x00-\x{2FF}[\x{1E00}-\x{1EFF}\x{2002}-\x{206F}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]]*+\z"
 
 
 def _char(code: Column) -> Column:
@@ -169,12 +170,12 @@ def nfd(s: Column) -> Column:
 
 def nfc(s: Column) -> Column:
     """The composed form."""
-    joins, alone, quick = _classes()
+    joins, alone, settled = _classes()
     both, cluster = _within(joins | alone), rf"{_without(joins)}{_within(joins)}"
     pieces = F.regexp_extract_all(s, F.lit(rf"(?s)({cluster}+|{_within(joins)}+|{_within(alone)}|{_without(joins | alone)}+(?={cluster}|{_within(alone)}|$)|.)"), F.lit(1))
     composed = lambda p: _composed(_ordered(F.array_join(F.transform(_letters(p), _decomposed), "")))
     changed = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(both), composed(p)).otherwise(p)), "")
-    return F.when(s.rlike(quick) & s.rlike(both), changed).otherwise(s)
+    return F.when(~s.rlike(settled) & s.rlike(both), changed).otherwise(s)
 
 
 @lru_cache(maxsize=1)

@@ -108,3 +108,16 @@ def test_upper_bound(spark):
 def test_card_expiry(spark):
     rows = spark.createDataFrame([(date(2000, 2, 29), date(2025, 2, 27)), (date(2000, 2, 29), date(2025, 2, 28)), (date(1980, 1, 1), date(2041, 1, 1))], "born date, issued date")
     assert [r["e"] for r in rows.select(dates.card_expiry(F.col("born"), F.col("issued")).alias("e")).collect()] == [date(2025, 2, 28), date(2040, 2, 29), None]
+
+
+def test_foreign_characters_one_by_one(spark):
+    """Each character below U+3000 is judged as by its category and letters, and ASCII is the first test of the class."""
+    import unicodedata
+
+    own = {c for c, d in text._precomposed().items() if d[0].isascii() and set(d[1:]) <= text._MARKS} | set("đĐ")
+    chars = [chr(c) for c in range(0x3000) if unicodedata.category(chr(c)) != "Cn"]
+    # categories of newer Unicode versions may differ from the JVM's, so letters, marks and digits are judged alone
+    chars = [c for c in chars if c.isascii() or c in own or unicodedata.category(c)[0] in "LN"]
+    got = apply(spark, lambda s: text.foreign_chars(s, composed=True), [f"a{c}b{c}" for c in chars])
+    assert got == ["" if c.isascii() or c in own else c + c for c in chars]
+    assert text._own_runs().startswith(r"[\x00-\x7F[") and text._own_runs().endswith("]]+")
