@@ -162,3 +162,46 @@ def test_misses_move_no_images_of_hits(spark, bits, monkeypatch):
     assert got.columns == pages.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*pages.columns).collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan
+
+
+def test_plain_calls_time_out_while_others_go_on():
+    """A try given up holds its thread, and no more requests are open for it; other errors are raised in their turn."""
+    service, release = Service(), threading.Event()
+
+    def post(n):
+        if n == 1:
+            with service.lock:
+                service.seen[n] = service.seen.get(n, 0) + 1
+            release.wait(5)
+            return {"n": n}
+        return service.post(n)
+
+    policy = calls.Policy(in_flight=3, tries=2, delay=0.01, timeout=0.3)
+    found = calls.in_order(((i, i) for i in (1, 2, 3, 4, 5, 7)), post, lambda i, reply: reply["n"], policy)
+    _, slow = next(found)
+    release.set()
+    rest = list(found)
+    assert slow.value is None and slow.calls == 2 and slow.errors == ["TimeoutError: "] * 2 and slow.latency_ms >= 600 and service.seen[1] == 2 and service.most <= 3
+    assert [(i, out.value, out.calls) for i, out in rest] == [(2, 2, 1), (3, 3, 1), (4, 4, 1), (5, 5, 2), (7, None, 2)]
+
+    def broken(n):
+        return n / 0 if n == 2 else n
+
+    found = calls.in_order(((i, i) for i in range(5)), broken, lambda i, reply: reply, NOW)
+    assert [next(found)[1].value, next(found)[1].value] == [0, 1]
+    with pytest.raises(ZeroDivisionError):
+        next(found)
+
+
+def test_plain_calls_need_no_event_loop(monkeypatch):
+    """A call by a plain function costs no task of an event loop."""
+    monkeypatch.setattr(asyncio, "new_event_loop", None)
+    assert [out.value for _, out in calls.in_order(((i, i) for i in range(100)), lambda n: n, lambda i, reply: reply, NOW)] == list(range(100))
+
+
+def test_calls_are_dealt_to_all_tasks(spark):
+    """However few the files of the pages are, calls go to as many tasks as a shuffle has."""
+    docs = documents(spark).coalesce(1)
+    made = extract.HttpExtractor("m", _post, policy=NOW)
+    replies = made.call(made.pages(docs))
+    assert replies.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and replies.select("key").distinct().count() == replies.count()
