@@ -2,8 +2,9 @@
 
 `write_pages` stores the pages of documents, a row each, sorted by bundle, in row groups of a few hundred. The source has
 them once for each pass (column `variant`) and calls the extractor's service where it is read. The plan is made from the
-files' footers alone: a partition is up to `pages_per_partition` rows of one row group in one pass, so tasks hold about
-equally many calls however pages are spread over documents. Filters on bundle_id and variant are pushed down: passes are
+files' footers alone: a partition is up to `pages_per_partition` rows of a row group, or of several, in one pass, so tasks
+hold about equally many calls however pages are spread over documents. Where that is not given it is 256, or more if there
+would be over 1024 partitions: a task of a Python source takes some 0.1 s of its own. Filters on bundle_id and variant are pushed down: passes are
 left out, row groups are pruned by their least and greatest bundle, and rows before anything is sent. A read without
 filters calls for every page.
 
@@ -28,7 +29,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from ..model import SCHEMA
 from .extract import KEY_LENGTH, REPLIES, HttpExtractor, reply_batches
 
-PAGES_PER_PARTITION = 256
+PAGES_PER_PARTITION, PARTITIONS = 256, 1024
+#: Row groups of a file at most. Every partition reads its file's footer, which is as long as the file has groups.
+GROUPS_PER_FILE = 64
 VARIANTS = (0, 1)
 STORED = ["bundle_id", "doc_id", "doc_type", "page", "n", "data"]
 
@@ -37,15 +40,15 @@ def write_pages(docs: DataFrame, path: str, rows_per_group: int = PAGES_PER_PART
     """Stores the pages (an array of bytes) of docs for the source, sorted by bundle."""
     each = docs.select(F.col("bundle_id").cast("string").alias("bundle_id"), F.col("doc_id").cast("string").alias("doc_id"), "doc_type", F.size("pages").alias("n"), F.posexplode("pages").alias("page", "data"))
     pages = each.withColumn("page", F.col("page") + 1).select(*STORED)
-    pages.repartitionByRange("bundle_id", "doc_id", "page").sortWithinPartitions("bundle_id", "doc_id", "page").write.option("parquet.block.row.count.limit", rows_per_group).parquet(path)
+    pages.repartitionByRange("bundle_id", "doc_id", "page").sortWithinPartitions("bundle_id", "doc_id", "page").write.option("parquet.block.row.count.limit", rows_per_group).option("maxRecordsPerFile", GROUPS_PER_FILE * rows_per_group).parquet(path)
 
 
 @dataclass
 class Slice(InputPartition):
-    """Rows of a row group, in one pass."""
+    """Rows of row groups, in one pass; start counts from the first of the groups."""
 
     file: str
-    group: int
+    groups: list[int]
     start: int
     rows: int
     variant: int
@@ -64,8 +67,19 @@ def key_of(extractor: HttpExtractor, page: dict) -> str:
     return hashlib.sha256("|".join(asked).encode()).hexdigest()[:KEY_LENGTH]
 
 
+def pieces(groups: list[tuple[int, int]], size: int) -> list[tuple[list[int], int, int]]:
+    """Row groups (number, rows) as pieces (groups, start, rows) of up to `size` rows: parts of one, or several whole ones."""
+    out: list[tuple[list[int], int, int]] = []
+    for g, n in groups:
+        if out and out[-1][1] == 0 and out[-1][2] + n <= size:
+            out[-1] = ([*out[-1][0], g], 0, out[-1][2] + n)
+        else:
+            out += [([g], start, min(size, n - start)) for start in range(0, n, size)]
+    return out
+
+
 class PageReader(DataSourceReader):
-    def __init__(self, extractor: HttpExtractor, path: str, pages_per_partition: int):
+    def __init__(self, extractor: HttpExtractor, path: str, pages_per_partition: int | None = None):
         self.extractor, self.path, self.size = extractor, path, pages_per_partition
         self.filters: dict[str, list[Filter]] = {"bundle_id": [], "variant": []}
 
@@ -93,24 +107,24 @@ class PageReader(DataSourceReader):
 
     def partitions(self) -> list[Slice]:
         files, folder = self.store()
-        variants, out = [v for v in VARIANTS if self.passes("variant", v)], []
+        variants, found = [v for v in VARIANTS if self.passes("variant", v)], []
         for info in sorted(files.get_file_info(pafs.FileSelector(folder)), key=lambda f: f.path):
             if not info.path.endswith(".parquet") or not variants:
                 continue
             with files.open_input_file(info.path) as f:
                 footer = pq.ParquetFile(f).metadata
             at = footer.schema.names.index("bundle_id")
-            for g in range(footer.num_row_groups):
-                group = footer.row_group(g)
-                if self.may_have(group.column(at)):
-                    out += [Slice(info.path, g, start, min(self.size, group.num_rows - start), v) for v in variants for start in range(0, group.num_rows, self.size)]
-        return out
+            groups = [(g, footer.row_group(g)) for g in range(footer.num_row_groups)]
+            found.append((info.path, [(g, group.num_rows) for g, group in groups if self.may_have(group.column(at))]))
+        pages = len(variants) * sum(n for _, groups in found for _, n in groups)
+        size = self.size or max(PAGES_PER_PARTITION, -(-pages // PARTITIONS))
+        return [Slice(path, *part, v) for path, groups in found for part in pieces(groups, size) for v in variants]
 
     def rows(self, part: Slice) -> Iterator[dict]:
         files, _ = self.store()
         at, seen = 0, set()
         with files.open_input_file(part.file) as f:
-            for batch in pq.ParquetFile(f).iter_batches(min(64, self.size), row_groups=[part.group], columns=STORED):
+            for batch in pq.ParquetFile(f).iter_batches(min(64, part.rows), row_groups=part.groups, columns=STORED):
                 lo, hi = max(part.start - at, 0), min(part.start + part.rows - at, batch.num_rows)
                 at += batch.num_rows
                 if lo < hi:
@@ -141,7 +155,7 @@ def page_source(extractor: HttpExtractor) -> type[DataSource]:
             return REPLIES
 
         def reader(self, schema) -> PageReader:
-            return PageReader(extractor, self.options["path"], int(self.options.get("pages_per_partition", PAGES_PER_PARTITION)))
+            return PageReader(extractor, self.options["path"], int(self.options["pages_per_partition"]) if "pages_per_partition" in self.options else None)
 
     return ExtractedPages
 

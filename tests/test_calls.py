@@ -205,3 +205,21 @@ def test_calls_are_dealt_to_all_tasks(spark):
     made = extract.HttpExtractor("m", _post, policy=NOW)
     replies = made.call(made.pages(docs))
     assert replies.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and replies.select("key").distinct().count() == replies.count()
+
+
+def test_partitions_do_not_grow_with_pages(spark, tmp_path, monkeypatch):
+    """Row groups are read together where there would be too many partitions, each page once, and footers stay short."""
+    monkeypatch.setattr(page_source, "PARTITIONS", 8)
+    monkeypatch.setattr(page_source, "PAGES_PER_PARTITION", 4)
+    docs = documents(spark)
+    page_source.write_pages(docs.coalesce(1), str(tmp_path / "pages"), 4)
+    n = docs.selectExpr("sum(size(pages))").first()[0]
+    reader = page_source.PageReader(extract.HttpExtractor("m", _post), str(tmp_path / "pages"))
+    plan = reader.partitions()
+    files = {p.file for p in plan}
+    assert len(plan) <= 8 + 2 * len(files) and sum(p.rows for p in plan) == 2 * n and max(len(p.groups) for p in plan) > 1
+    monkeypatch.setattr(reader, "passes", lambda column, value: True)
+    read = [(r["bundle_id"], r["doc_id"], r["page"], r["variant"]) for p in plan for r in reader.rows(p)]
+    assert len(read) == len(set(read)) and {r[:3] for r in read if r[3] == 1} >= {("b001", "d2", 1), ("b039", "d2", 2), ("b002", "d4", 2)}
+    assert page_source.pieces([(0, 5), (1, 3), (3, 2), (4, 9)], 5) == [([0], 0, 5), ([1, 3], 0, 5), ([4], 0, 5), ([4], 5, 4)]
+    assert page_source.pieces([(0, 9), (1, 1), (2, 1)], 5) == [([0], 0, 5), ([0], 5, 4), ([1, 2], 0, 2)]
