@@ -187,18 +187,22 @@ def _bare_tables() -> tuple[dict[str, str], dict[str, str], str]:
     return {c: d for c, d in tables.items() if len(d) == 1}, {c: d for c, d in tables.items() if len(d) > 1}, marks
 
 
-def plain(s: Column) -> Column:
+def plain(s: Column, more: dict[str, str] | None = None) -> Column:
     """Like `bare`, for looking for ASCII: characters that come apart to several spacing ones (Hangul, some Indic vowels)
-    stay as they are."""
+    stay as they are. more: what else is replaced, character by character."""
     one, _, marks = _bare_tables()
+    one = one | (more or {})
     return F.translate(s, "".join(one) + marks, "".join(one.values()))
 
 
-def bare(s: Column) -> Column:
+def bare(s: Column, also: dict[str, str] | None = None) -> Column:
     """The decomposed form without nonspacing marks (those of the tables, which may know more than the JVM)."""
     _, more, _ = _bare_tables()
-    simple = plain(s)
     rare, quick = rf"{_ranges(more)}\x{{AC00}}-\x{{D7A3}}", rf"[\x{{{ord(min(more)):X}}}-\x{{10FFFF}}]"
-    pieces = F.regexp_extract_all(simple, F.lit(rf"(?s)([{rare}]|[^{rare}]+)"), F.lit(1))
-    apart = F.transform(pieces, lambda p: F.when(F.length(p) > 1, p).when(p >= chr(_SYLLABLES), _decomposed(p)).otherwise(_mapped(p, more)))
-    return F.when(simple.rlike(quick) & simple.rlike(f"[{rare}]"), F.array_join(apart, "")).otherwise(simple)
+
+    def whole(simple: Column) -> Column:
+        pieces = F.regexp_extract_all(simple, F.lit(rf"(?s)([{rare}]|[^{rare}]+)"), F.lit(1))
+        apart = F.transform(pieces, lambda p: F.when(F.length(p) > 1, p).when(p >= chr(_SYLLABLES), _decomposed(p)).otherwise(_mapped(p, more)))
+        return F.when(simple.rlike(quick) & simple.rlike(f"[{rare}]"), F.array_join(apart, "")).otherwise(simple)
+
+    return F.get(F.transform(F.array(plain(s, also)), whole), 0)

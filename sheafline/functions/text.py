@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from . import compose
 
-# The marks of Vietnamese letters (tones, circumflex, horn, breve).
+# Letters with a stroke, which have no decomposition, and the marks of Vietnamese letters (tones, circumflex,
+# horn, breve).
+_STROKES = {"đ": "d", "Đ": "D"}
 _MARKS = {chr(c) for c in (0x31B, 0x323, 0x300, 0x301, 0x303, 0x309, 0x302, 0x306)}
 
 
@@ -54,24 +56,30 @@ def each_of(array: str | Column) -> Column:
     return F.explode_outer(array)
 
 
+def unless_ascii(s: Column, use: Callable[[Column], Column]) -> Column:
+    """use(s), for forms that leave ASCII as it is: such text is told by its length in bytes and not looked at."""
+    return F.when(F.octet_length(s) == F.char_length(s), s).otherwise(use(s))
+
+
 def strip_accents(s: Column) -> Column:
     """Canonical decomposition without nonspacing marks; đ becomes d."""
-    return compose.bare(F.translate(s, "đĐ", "dD"))
+    return unless_ascii(s, lambda x: compose.bare(x, _STROKES))
 
 
 def for_ascii(s: Column) -> Column:
     """The same for comparison with ASCII text, by one translate."""
-    return compose.plain(F.translate(s, "đĐ", "dD"))
+    return unless_ascii(s, lambda x: compose.plain(x, _STROKES))
 
 
 def nfc(s: Column) -> Column:
     """The composed form, of any script."""
-    return compose.nfc(s)
+    return let(s, lambda x: unless_ascii(x, compose.nfc))
 
 
 def collapsed(s: Column) -> Column:
     """Composed text with single spaces."""
-    return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
+    # single spaces, which most are, stay without being replaced
+    return F.trim(F.regexp_replace(s, r"(?U) \s+|[\s&&[^ ]]\s*", " "))
 
 
 def clean_text(s: Column) -> Column:
@@ -88,13 +96,21 @@ def has_diacritics(s: Column) -> Column:
 
 def names_match(a: Column, b: Column) -> Column:
     """Equal as normalized, or equal without accents where one side has none. Symmetric but not transitive."""
-    forms = lambda s: let(normalize_name(s), lambda n: F.struct(n.alias("n"), strip_accents(n).alias("bare")))
-    return let(F.struct(forms(a).alias("a"), forms(b).alias("b")), lambda p: same_names(p["a"]["n"], p["a"]["bare"], p["b"]["n"], p["b"]["bare"]))
+    def same(p: Column) -> Column:
+        bare = F.struct(strip_accents(p["a"]).alias("a"), strip_accents(p["b"]).alias("b"))
+        return (p["a"] == p["b"]) | let(bare, lambda q: without_accents(p["a"], q["a"], p["b"], q["b"]))
+
+    return let(F.struct(normalize_name(a).alias("a"), normalize_name(b).alias("b")), same)
+
+
+def without_accents(a: Column, bare_a: Column, b: Column, bare_b: Column) -> Column:
+    """Whether normalized names are equal without accents, one of them having none."""
+    return ((bare_a == a) | (bare_b == b)) & (bare_a == bare_b)
 
 
 def same_names(a: Column, bare_a: Column, b: Column, bare_b: Column) -> Column:
     """The same of names already normalized, with their forms without accents."""
-    return (a == b) | (((bare_a == a) | (bare_b == b)) & (bare_a == bare_b))
+    return (a == b) | without_accents(a, bare_a, b, bare_b)
 
 
 def digits_only(s: Column) -> Column:

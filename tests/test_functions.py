@@ -121,3 +121,23 @@ def test_foreign_characters_one_by_one(spark):
     got = apply(spark, lambda s: text.foreign_chars(s, composed=True), [f"a{c}b{c}" for c in chars])
     assert got == ["" if c.isascii() or c in own else c + c for c in chars]
     assert text._own_runs().startswith(r"[\x00-\x7F[") and text._own_runs().endswith("]]+")
+
+
+def test_ascii_is_not_looked_at(spark, monkeypatch):
+    """Forms of ASCII text are the text; others, spaces of every kind and null are as by their definition."""
+    import re
+
+    texts = ["plain text", "", "a  b", " a\tb \n c ", "é  đ\u00a0Đ\u3000x", "a \u2003 b", "a\u0301 ", "\u1112\u1161\u11ab", "\t", None]
+    spaced = lambda x: None if x is None else re.sub(r"\s+", " ", x).strip(" ")
+    assert apply(spark, text.collapsed, texts) == [spaced(x) for x in texts]
+    assert apply(spark, text.strip_accents, texts[:5]) == texts[:4] + ["e  d\u00a0D\u3000x"]
+    assert apply(spark, lambda s: text.has_diacritics(s), texts) == [False] * 4 + [True, False, True, False, False, None]
+    for name in ("plain", "bare", "nfc"):
+        monkeypatch.setattr(compose, name, lambda s, *_: F.raise_error(F.concat(F.lit("looked at: "), s)).cast("string"))
+    for form in (text.nfc, text.strip_accents, text.for_ascii):
+        assert apply(spark, form, texts[:4]) == texts[:4]
+
+
+def test_equal_names_are_not_stripped(spark, monkeypatch):
+    monkeypatch.setattr(text, "strip_accents", lambda s: F.raise_error(F.lit("stripped")).cast("string"))
+    assert apply(spark, lambda s: text.names_match(s, F.concat(F.lit(" "), F.lower(s))), ["Trịnh  Thị", "An"]) == [True, True]
