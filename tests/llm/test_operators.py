@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sheafline.llm import class_lm, decontam, lang_id, near_dups, near_texts, pieces, pii, quality, suffix, tokcount, url_tree
+from sheafline.llm import class_lm, decontam, lang_id, near_dups, near_texts, pieces, pii, quality, queries, suffix, tokcount, url_tree
 from sheafline.llm.base import remainder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -664,6 +664,24 @@ def test_repeated_spans(spark, bucket):
     assert sorted(map(tuple, got.collect()), key=repr) == spans_brute(rows)
 
 
+def test_repeated_spans_give_texts(spark, tmp_path):
+    """What is left and what was removed is given, not digests alone; the query's further columns are made of it."""
+    shared = "".join(f"{i:04d}" for i in range(150))
+    rows = [(1, f"é{shared} end"), (2, f"other {shared}"), (3, "short"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix.kept_texts(docs).collect()}
+    for k, t in rows:
+        data, at, left = (t or "").encode(), 0, b""
+        for a, b in got[k]["spans"]:
+            left, at = left + data[at:a], b
+        assert bytes(got[k]["kept"]) == left + data[at:]
+    assert [[tuple(s) for s in got[k]["spans"]] for k in (1, 2, 3, 4)] == [[(2, 602)], [(6, 606)], [], []]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: (r["text"], r["spans"], r["n_removed"], r["kept_sha256"]) for r in queries.op7_repeated_spans(spark, str(tmp_path)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert out == {1: ("é end", "2:602", 600, sha("é end")), 2: ("other ", "6:606", 600, sha("other ")), 3: ("short", "", 0, sha("short")), 4: ("", "", 0, sha(""))}
+
+
 def test_repeated_spans_of_nothing(empty, odd):
     assert suffix.remove_repeats(empty).count() == 0 and suffix.remove_repeats(odd).count() == odd.count()
 
