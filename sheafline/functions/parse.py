@@ -40,7 +40,8 @@ def integer(s: Column) -> Column:
 
 def money(s: Column) -> Column:
     """A leading number, with a unit or not; separators of thousands are dropped, a decimal sign counts before a unit."""
-    head = rf"^\s*([0-9.,]+)\s*({'|'.join(UNITS)})?"
+    head = r"^\s*([0-9.,]+)"
+    unit_behind = rf"{head}\s*({'|'.join(UNITS)})?"
 
     def value(p: Column) -> Column:
         number, unit = p["number"], p["unit"]
@@ -48,12 +49,17 @@ def money(s: Column) -> Column:
         for name, n in UNITS.items():
             factor = F.when(unit == name, n).otherwise(factor)
         whole = (unit == "") | number.rlike(r"^[0-9]{1,3}([.,][0-9]{3})+$")
-        exact = F.try_multiply(F.regexp_replace(number, "[.,]", "").try_cast("decimal(28,0)"), factor.cast("decimal(10,0)")).try_cast("bigint")
+        digits = F.translate(number, ".,", "")
+        times = F.try_multiply(digits.try_cast("decimal(28,0)"), factor.cast("decimal(10,0)")).try_cast("bigint")
+        exact = F.when(unit == "", digits.try_cast("bigint")).otherwise(times)
         scaled = F.bround(F.replace(number, F.lit(","), F.lit(".")).try_cast("double") * factor).try_cast("bigint")
         return F.when(whole, exact).otherwise(scaled)
 
-    parts = let(F.lower(for_ascii(s)), lambda t: F.struct(F.regexp_extract(t, head, 1).alias("number"), F.regexp_extract(t, head, 2).alias("unit")))
-    return let(parts, value)
+    def parts(t: Column) -> Column:
+        number = F.regexp_extract(t, head, 1)
+        return let(number, lambda n: F.struct(n.alias("number"), F.when(n == t, "").otherwise(F.regexp_extract(t, unit_behind, 2)).alias("unit")))
+
+    return let(let(F.lower(for_ascii(s)), parts), value)
 
 
 def day(s: Column) -> Column:
@@ -66,7 +72,7 @@ def day(s: Column) -> Column:
     def of(p: Column) -> Column:
         fits = (p["n"] == 3) & F.length(p["y"]).between(1, 4) & F.length(p["m"]).between(1, 2) & F.length(p["d"]).between(1, 2)
         text = F.concat_ws("-", F.lpad(p["y"], 4, "0"), F.lpad(p["m"], 2, "0"), F.lpad(p["d"], 2, "0"))
-        return F.when(fits, F.try_to_date(text, "yyyy-MM-dd"))
+        return F.when(fits, text.try_cast("date"))
 
     return let(F.regexp_extract_all(s, F.lit(r"([0-9]+)"), F.lit(1)), value)
 
