@@ -75,3 +75,28 @@ def test_statements_are_scored_by_one_grouping_of_rows(spark):
     found = metrics.row_scores(truth, read)
     assert tuple(found.first()) == (3, 1 / 3, 0.5, 2, 0.5)  # a row with a null amount equals none
     assert "Join" not in catalog.statement_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_queries_over_orders_make_only_what_they_read(spark, sparse):
+    from sheafline.plans import catalog_io
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for made in (catalog.order_messages, catalog.order_flags, catalog_io.name_majorities, catalog_io.order_name_suggestions):
+        assert "from_json" not in plan(made(spark, sparse)), made.__name__  # no statement is parsed
+    for made in (catalog.order_checks, catalog.order_tallies):
+        assert "differs from" not in plan(made(spark, sparse)), made.__name__  # nor a message written
+
+
+def test_usual_forms_are_read_like_any(spark):
+    from sheafline.functions import parse
+    from sheafline.functions.text import for_ascii, strip_accents
+
+    days = ["01/02/2024", "ngày 03 tháng 04 năm 1999", "31/02/1990", "00/01/2000", "01/00/2000", "01-01-0000", "2024-01-15", "2024-1-5", "1/2/2024", "01.02.24", "01/02/2024 10:00", "2024", "", " 05-06-2007\n", None]
+    found = spark.createDataFrame([(x,) for x in days], "s string").select("s", parse.day(F.col("s")).alias("a"), parse.any_day(F.col("s")).alias("b")).collect()
+    assert [r.a for r in found] == [r.b for r in found] and sum(r.a is not None for r in found) >= 6
+    amounts = {"1,234": 1234, "12": 12, "1,23": 123, "1234": 1234, "999,999,999,999,999,999,999": None, ",1": 1, "1,234\n": 1234, "1,5 trieu": 1500000, "": None, None: None}
+    found = spark.createDataFrame([(x,) for x in amounts], "s string").select("s", parse.money(F.col("s")).alias("v")).collect()
+    assert {r.s: r.v for r in found} == amounts
+    words = ["Nguyễn Đức", "e\u0301", "각", "Æß", "ώ", "abc", None]
+    found = spark.createDataFrame([(x,) for x in words], "s string").select(strip_accents(F.col("s")).alias("a"), for_ascii(F.col("s")).alias("b")).collect()
+    assert [r.a for r in found] == ["Nguyen Duc", "e", "\u1100\u1161\u11a8", "Æß", "ω", "abc", None] and [r.b for r in found][:2] == ["Nguyen Duc", "e"]
