@@ -109,10 +109,16 @@ def transactions(s: Column) -> Column:
         filled = lambda k: F.coalesce(F.trim(get(k)) != "", F.lit(False))
         two = has(CREDIT) | has(DEBIT)
         one_of_two = F.when(filled(CREDIT) & ~filled(DEBIT), get(CREDIT)).when(filled(DEBIT) & ~filled(CREDIT), get(DEBIT))
-        return F.struct(
+        given = F.struct(
             get("ngay").alias("ngay"), F.when(has("mo_ta"), F.coalesce(get("mo_ta"), F.lit("None"))).alias("mo_ta"), F.trim(F.when(two, one_of_two).otherwise(get("so_tien"))).alias("amount"),
             F.when(two, F.when(filled(CREDIT), CREDIT).otherwise(DEBIT)).otherwise(get("loai")).alias("side"),
         )
+        # most rows have these four keys and no other; whether a key is there takes longer than what it has
+        plain = F.struct(get("ngay").alias("ngay"), get("mo_ta").alias("mo_ta"), F.trim(get("so_tien")).alias("amount"), get("loai").alias("side"))
+        four = F.size(row) == 4
+        for k in ("ngay", "mo_ta", "so_tien", "loai"):
+            four = four & get(k).isNotNull()
+        return F.when(four, plain).otherwise(given)
 
     def signed(t: Column) -> Column:
         sign = F.substring(t["amount"], 1, 1)
